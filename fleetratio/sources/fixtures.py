@@ -9,150 +9,109 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_ORDER = {"o_custkey", "o_orderdate", "o_orderpriority"}
-_PART = {"p_type", "p_size"}
-_REGION = {"r_name"}
-
+from pyspark.sql import DataFrame, SparkSession
+
+# Declared so that opening a table starts no inference job.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+}
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _never_observed() -> Column:
-    """A sector and year in which no haul was observed."""
-    return (F.col("r_name") == "ASIA") & (F.year("o_orderdate") == 2001)
-
-
-def _agency() -> Column:
-    k = F.col("l_suppkey") % 4
-    return F.when(k == 0, "C").when(k == 1, "O").when(k == 2, "W").otherwise("X")
-
-
-def _state() -> Column:
-    k = F.col("l_suppkey") % 4
-    return F.when(k == 0, "CA").when(k == 1, "OR").when(k == 2, "WA")
-
-
-def _datatype() -> Column:
-    k = F.col("l_orderkey") % 40
-    return (
-        F.when(_never_observed() | (F.col("o_custkey") % 50 == 0), "Failed Data")
-        .when(k == 4, "Unsampled IFQ")
-        .when(k == 8, "Unsampled ZMIS")
-        .otherwise("Analysis Data")
-    )
-
-
-def _common_name() -> Column:
-    finished = F.col("l_linestatus") == "F"
-    return (
-        F.when((_datatype() == "Unsampled IFQ") & finished, "Non-IFQ Fish Species")
-        .when((_datatype() == "Unsampled ZMIS") & finished, "Misc Mixed Species")
-        .when(_datatype() == "Unsampled ZMIS", "Unsorted catch not sampled")
-        .otherwise(F.col("p_type"))
-    )
-
-
-def _tickets() -> Column:
-    key = F.col("l_orderkey").cast("string")
-    return (
-        F.when(F.col("l_linenumber") == 6, F.lit(""))
-        .when(F.col("l_linenumber") == 7, F.concat(F.lit("T"), key, F.lit(";X"), key))
-        .otherwise(F.concat(F.lit("T"), key))
-    )
-
-
-def _observer_columns() -> dict[str, Column]:
-    discarded = F.col("l_returnflag") == "R"
-    weight = F.col("l_quantity") / 10
-    retained = F.when(discarded, F.lit(0.0)).otherwise(weight)
-    side = F.when(F.col("l_suppkey") % 2 == 0, "North").otherwise("South")
-    return {
-        "sector": F.col("r_name"),
-        "year": F.year("o_orderdate"),
-        "gear": F.col("o_orderpriority"),
-        "cs_gear": F.col("o_orderpriority"),
-        "rmonth": F.month("o_orderdate"),
-        "r_state": _state(),
-        "drvid": F.col("l_suppkey"),
-        "trip_id": F.when(~_never_observed(), F.col("o_custkey")),
-        "haul_id": F.when(~_never_observed() & (F.col("l_orderkey") % 200 != 0), F.col("l_orderkey")),
-        "fish_tickets": _tickets(),
-        "species": F.col("p_type"),
-        "spid_eqv": F.substring("p_type", 1, 4),
-        "grouping": F.concat(F.col("p_type"), F.lit(" ("), side, F.lit(" of 40<b0>10)")),
-        "datatype": _datatype(),
-        "catch_disposition": F.when(discarded, "D").otherwise("R"),
-        "common_name": _common_name(),
-        "ifq": F.when(_common_name() != "Non-IFQ Fish Species", F.col("p_size") % 2),
-        "mt": weight,
-        "dis_mt": F.when(discarded, weight).otherwise(F.lit(0.0)),
-        "tgt_mt": retained,
-        "gfr_mt": F.when(F.col("p_size") % 2 == 0, retained).otherwise(F.lit(0.0)),
-        "pwht_mt": F.col("l_quantity") / 20,
-        "exp_sp_ct": F.col("l_linenumber"),
-        "exp_sp_wt": F.col("l_extendedprice") / 100,
-    }
-
-
-def _fleet_columns() -> dict[str, Column]:
-    ob = _observer_columns()
-    return {
-        **{c: ob[c] for c in ("sector", "year", "gear", "tgt_mt", "gfr_mt")},
-        "landing_month": F.month("o_orderdate"),
-        "agency_code": _agency(),
-        "drvid": F.col("l_suppkey"),
-        "ftid": F.concat(F.lit("T"), F.col("l_orderkey").cast("string")),
-    }
-
-
-# Which dimension columns a view column reads, beyond the line item itself.
-_NEEDS = {
-    "sector": _REGION,
-    "year": _ORDER,
-    "gear": _ORDER,
-    "cs_gear": _ORDER,
-    "rmonth": _ORDER,
-    "landing_month": _ORDER,
-    "trip_id": _ORDER | _REGION,
-    "haul_id": _ORDER | _REGION,
-    "datatype": _ORDER | _REGION,
-    "common_name": _ORDER | _REGION | _PART,
-    "ifq": _ORDER | _REGION | _PART,
-    "species": _PART,
-    "spid_eqv": _PART,
-    "grouping": _PART,
-    "gfr_mt": _PART,
+_ORDER, _PART, _REGION = "orders", "part", "region"
+
+# A sector and year in which no haul was observed.
+_NEVER = "(r_name = 'ASIA' AND year(o_orderdate) = 2001)"
+_DATATYPE = f"""CASE WHEN {_NEVER} OR o_custkey % 50 = 0 THEN 'Failed Data'
+  WHEN l_orderkey % 40 = 4 THEN 'Unsampled IFQ'
+  WHEN l_orderkey % 40 = 8 THEN 'Unsampled ZMIS'
+  ELSE 'Analysis Data' END"""
+_COMMON_NAME = f"""CASE WHEN {_DATATYPE} = 'Unsampled IFQ' AND l_linestatus = 'F' THEN 'Non-IFQ Fish Species'
+  WHEN {_DATATYPE} = 'Unsampled ZMIS' AND l_linestatus = 'F' THEN 'Misc Mixed Species'
+  WHEN {_DATATYPE} = 'Unsampled ZMIS' THEN 'Unsorted catch not sampled'
+  ELSE p_type END"""
+_TICKETS = """CASE WHEN l_linenumber = 6 THEN ''
+  WHEN l_linenumber = 7 THEN concat('T', l_orderkey, ';X', l_orderkey)
+  ELSE concat('T', l_orderkey) END"""
+_STATE = "CASE l_suppkey % 4 WHEN 0 THEN 'CA' WHEN 1 THEN 'OR' WHEN 2 THEN 'WA' END"
+_AGENCY = "CASE l_suppkey % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'O' WHEN 2 THEN 'W' ELSE 'X' END"
+_SIDE = "CASE WHEN l_suppkey % 2 = 0 THEN 'North' ELSE 'South' END"
+_RETAINED = "CASE WHEN l_returnflag = 'R' THEN 0D ELSE l_quantity / 10 END"
+
+# View column: its expression and the dimensions it reads beyond the line item.
+_SHARED = {
+    "sector": ("r_name", [_REGION]),
+    "year": ("year(o_orderdate)", [_ORDER]),
+    "gear": ("o_orderpriority", [_ORDER]),
+    "drvid": ("l_suppkey", []),
+    "tgt_mt": (_RETAINED, []),
+    "gfr_mt": (f"CASE WHEN p_size % 2 = 0 THEN {_RETAINED} ELSE 0D END", [_PART]),
+}
+OBSERVER = {
+    **_SHARED,
+    "cs_gear": ("o_orderpriority", [_ORDER]),
+    "rmonth": ("month(o_orderdate)", [_ORDER]),
+    "r_state": (_STATE, []),
+    "trip_id": (f"CASE WHEN NOT {_NEVER} THEN o_custkey END", [_ORDER, _REGION]),
+    "haul_id": (f"CASE WHEN NOT {_NEVER} AND l_orderkey % 200 <> 0 THEN l_orderkey END", [_ORDER, _REGION]),
+    "fish_tickets": (_TICKETS, []),
+    "species": ("p_type", [_PART]),
+    "spid_eqv": ("substring(p_type, 1, 4)", [_PART]),
+    "grouping": (f"concat(p_type, ' (', {_SIDE}, ' of 40<b0>10)')", [_PART]),
+    "datatype": (_DATATYPE, [_ORDER, _REGION]),
+    "catch_disposition": ("CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'R' END", []),
+    "common_name": (_COMMON_NAME, [_ORDER, _REGION, _PART]),
+    "ifq": (f"CASE WHEN {_COMMON_NAME} <> 'Non-IFQ Fish Species' THEN p_size % 2 END", [_ORDER, _REGION, _PART]),
+    "mt": ("l_quantity / 10", []),
+    "dis_mt": ("CASE WHEN l_returnflag = 'R' THEN l_quantity / 10 ELSE 0D END", []),
+    "pwht_mt": ("l_quantity / 20", []),
+    "exp_sp_ct": ("l_linenumber", []),
+    "exp_sp_wt": ("l_extendedprice / 100", []),
+}
+FLEET = {
+    **_SHARED,
+    "landing_month": ("month(o_orderdate)", [_ORDER]),
+    "agency_code": (_AGENCY, []),
+    "ftid": ("concat('T', l_orderkey)", []),
 }
 
 
-def _view(spark: SparkSession, sf_dir: str, exprs: dict[str, Column], columns: Sequence[str] | None) -> DataFrame:
-    names = list(exprs) if columns is None else list(columns)
-    needs = set().union(*[_NEEDS.get(c, set()) for c in names])
-    df = table(spark, sf_dir, "lineitem")
-    if needs & _ORDER:
-        df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if needs & _PART:
-        df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    if needs & _REGION:
-        sectors = (
-            table(spark, sf_dir, "supplier")
-            .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", "r_name")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _view(spark: SparkSession, sf_dir: str, exprs: dict, columns: Sequence[str] | None) -> DataFrame:
+    names = list(exprs) if columns is None else list(dict.fromkeys(columns))
+    needs = {d for c in names for d in exprs[c][1]}
+    sources = {"lineitem": table(spark, sf_dir, "lineitem")}
+    joins = ""
+    if _ORDER in needs:
+        sources["orders"] = table(spark, sf_dir, "orders")
+        joins += " JOIN {orders} ON l_orderkey = o_orderkey"
+    if _PART in needs:
+        sources["part"] = table(spark, sf_dir, "part")
+        joins += " JOIN {part} ON l_partkey = p_partkey"
+    if _REGION in needs:
+        sources.update({t: table(spark, sf_dir, t) for t in ("supplier", "nation", "region")})
+        joins += (
+            " JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey"
+            " JOIN {region} ON n_regionkey = r_regionkey"
         )
-        df = df.join(sectors, F.col("l_suppkey") == F.col("s_suppkey"))
-    return df.select(*[exprs[c].alias(c) for c in names])
+    columns_sql = ", ".join(f"{exprs[c][0]} AS `{c}`" for c in names)
+    return spark.sql(f"SELECT {columns_sql} FROM {{lineitem}}{joins}", **sources)
 
 
 def observer_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Catch records; all columns, or only the given ones."""
-    return _view(spark, sf_dir, _observer_columns(), columns)
+    return _view(spark, sf_dir, OBSERVER, columns)
 
 
 def fleet_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Landing lines; all columns, or only the given ones."""
-    return _view(spark, sf_dir, _fleet_columns(), columns)
+    return _view(spark, sf_dir, FLEET, columns)
