@@ -93,7 +93,7 @@ def _array_replicates(units, strata, order, n_domains, replicates, seed, sampler
     stratum runs in many tasks; draws are summed in place and never shuffled.
     """
     values = ["ves_expf", *[f"__b{i}" for i in range(n_domains)]]
-    sorted_units = F.array_sort(F.collect_list(F.struct(*order, *values)))
+    sorted_units = F.sort_array(F.collect_list(F.struct(*order, *values)))
     packed = units.groupBy(*strata).agg(sorted_units.alias("__units"))
     arrays = [F.col("__units").getField(v).alias(f"__a{k}") for k, v in enumerate(values)]
     block = max(1, min(REPLICATE_BLOCK, ceil(replicates / 8)))

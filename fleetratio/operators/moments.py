@@ -125,7 +125,7 @@ def stratum_domain_moments(
         sampled = is_true(F.col("datatype") == ANALYSIS)
     require_columns(ob, needed, "observer table")
     if analysis_only:
-        ob = ob.where(sampled)
+        ob = ob.where(F.col("datatype") == ANALYSIS)
 
     keys = [*strata, "__kind", domain_col, *([group_col] if group_col else [])]
     is_domain = F.col("__kind") == 1

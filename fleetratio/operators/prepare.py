@@ -93,7 +93,7 @@ def sector_filter(
     if keep is not None:
         df = df.where(F.col(col).isin(list(keep)))
     if drop is not None:
-        df = df.where(~is_true(F.col(col).isin(list(drop))))
+        df = df.where(F.col(col).isNull() | ~F.col(col).isin(list(drop)))
     return df
 
 
@@ -104,9 +104,20 @@ def sectors_with_domain(
     return ob.where(F.col(domain_col) == domain).select(*columns).distinct()
 
 
-def restrict_to_sectors(df: DataFrame, sectors: DataFrame, col: str = "sector") -> DataFrame:
-    """Rows whose sector is in the sector table; no size is assumed for either side."""
-    return null_safe_join(df, sectors.select(col).distinct(), [col], "left_semi")
+def restrict_to_sectors(
+    df: DataFrame, sectors: DataFrame, col: str = "sector", max_literals: int = 1_000
+) -> DataFrame:
+    """Rows whose sector is in the sector table.
+
+    Up to ``max_literals`` sectors become a predicate the scan evaluates: a join on so few values
+    would shuffle all records onto as many tasks. A longer list stays a semi-join.
+    """
+    names = sectors.select(col).distinct()
+    found = [r[0] for r in names.limit(max_literals + 1).collect()]
+    if len(found) > max_literals:
+        return null_safe_join(df, names, [col], "left_semi")
+    keep = F.col(col).isin([v for v in found if v is not None])
+    return df.where(keep | F.col(col).isNull() if None in found else keep)
 
 
 def detect_program(ob: DataFrame, sector_col: str = "sector") -> str:

@@ -70,13 +70,13 @@ def nifq_haul_domains(
     per haul holds at most one entry per domain.
     """
     domains = domain_list(domains)
-    marks = is_true(_nifq_record())
-    named = is_true(F.col(domain_col).isin(domains) & _is("catch_disposition", DISCARDED))
+    marks = _nifq_record()
+    named = F.col(domain_col).isin(domains) & _is("catch_disposition", DISCARDED)
     return (
         ob.where(marks | named)
         .groupBy(haul_col)
         .agg(
-            F.bool_or(marks).alias("nifq_haul"),
+            F.bool_or(is_true(marks)).alias("nifq_haul"),
             F.array_sort(F.collect_set(F.when(named, F.col(domain_col)))).alias("present"),
         )
         .where("nifq_haul")
