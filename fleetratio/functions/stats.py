@@ -59,7 +59,9 @@ def zero_filled_se(mean: Column, var_pop: Column, n: Column, units: Column) -> C
     Pairwise update of the centred second moment by a block of zeros: no cancellation of large
     squares, and the zero rows never have to exist.
     """
-    second = var_pop * n + mean * mean * n * divide(units - n, units)
+    # With no unit at all the mean is unknown and the zeros add nothing.
+    zeros = F.coalesce(mean * mean * n * divide(units - n, units), F.lit(0.0))
+    second = var_pop * n + zeros
     return F.when(units > 1, F.sqrt(second / (units - 1) / units)).otherwise(null_double())
 
 

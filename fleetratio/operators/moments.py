@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column_list, domain_list, require_columns
-from ..functions.nulls import is_true, measure, n_distinct, strict_sum, sum_or_zero
-from ..functions.stats import standard_error, zero_filled_mean, zero_filled_se
+from ..functions.nulls import divide, is_true, measure, n_distinct, strict_sum, sum_or_zero
+from ..functions.stats import standard_error, zero_filled_se
 
 UNIT_COLS = ("haul_id", "trip_id", "drvid")
 # Fixed value: the record class that counts as sampled.
 ANALYSIS = "Analysis Data"
 
+BYCATCH_COLUMNS = ("total_byc", "mean_byc", "se_byc", "n_hauls_byc")
+
 
 def fleet_effort(
     fleet: DataFrame, strata: Sequence[str] | str, effort: str = "tgt_mt", moments: bool = False
@@ -130,6 +132,7 @@ def stratum_domain_moments(
     keys = [*strata, "__kind", domain_col, *([group_col] if group_col else [])]
     is_domain = F.col("__kind") == 1
     wanted = is_true(F.col(domain_col).isin(domains))
+    group = [F.when(is_domain, F.col(group_col)).alias(group_col)] if group_col else []
     rows = (
         ob.where(F.col(haul).isNotNull())
         .select(
@@ -147,33 +150,26 @@ def stratum_domain_moments(
             *unit_cols,
             "__kind",
             F.when(is_domain, F.col(domain_col)).alias(domain_col),
-            *([F.when(is_domain, F.col(group_col)).alias(group_col)] if group_col else []),
+            *group,
             (~is_domain & F.col("__sampled")).alias("__sampled"),
-            F.when(~is_domain & F.col("__sampled"), F.col("__effort")).alias("__effort"),
-            F.when(is_domain, F.col("__unit")).alias("__unit"),
+            F.when(is_domain, F.col("__unit")).when(F.col("__sampled"), F.col("__effort")).alias("__value"),
         )
     )
     units = rows.groupBy(*keys, *unit_cols).agg(
-        F.bool_or("__sampled").alias("__sampled"),
-        sum_or_zero(F.col("__effort")).alias("__effort"),
-        sum_or_zero(F.col("__unit")).alias("__unit"),
+        F.bool_or("__sampled").alias("__sampled"), sum_or_zero(F.col("__value")).alias("__value")
     )
-    on_effort, byc = F.col("__sampled"), F.when(is_domain, F.col("__unit"))
-    expf = F.when(on_effort, F.col("__effort"))
-    n_expf = F.count(expf)
-    some = n_expf > 0
+    # Effort rows and bycatch rows share every buffer: few columns, since the distinct counts
+    # send each row through the shuffle once per counted column.
+    on_effort = F.col("__sampled")
+    value = F.when(is_domain | on_effort, F.col("__value"))
     cells = units.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.sum(expf).alias("total_expf"),
-        F.avg(expf).alias("mean_expf"),
-        standard_error(expf, n_expf).alias("se_expf"),
-        F.when(some, n_distinct(F.col(vessel), on_effort)).alias("n_obs_ves"),
-        F.when(some, n_distinct(F.col(trip), on_effort)).alias("n_obs_trips"),
-        # One distinct haul count serves both kinds of row.
-        F.count_distinct(F.when(on_effort | (byc > 0), F.col(haul))).alias("__hauls"),
-        F.sum(byc).alias("__total"),
-        F.avg(byc).alias("__mean"),
-        F.var_pop(byc).alias("__var"),
+        F.count(F.lit(1)).alias("__rows"),
+        F.count(value).alias("__n"),
+        F.sum(value).alias("__total"),
+        F.var_pop(value).alias("__var"),
+        n_distinct(F.col(vessel), on_effort).alias("n_obs_ves"),
+        n_distinct(F.col(trip), on_effort).alias("n_obs_trips"),
+        F.count_distinct(F.when(on_effort | (is_domain & (value > 0)), F.col(haul))).alias("__hauls"),
     )
 
     all_domains = F.array(*[F.lit(d) for d in domains])
@@ -193,31 +189,34 @@ def stratum_domain_moments(
     def from_kind(kind: int, name: str):
         return F.max(F.when(F.col("__kind") == kind, F.col(name)))
 
-    effort_names = ["total_expf", "mean_expf", "se_expf", "n_obs_ves", "n_obs_trips"]
+    names = ("__n", "__total", "__var", "__hauls")
     merged = dense.groupBy(*by).agg(
-        from_kind(0, "__n").alias("__units"),
-        *[from_kind(0, c).alias(c) for c in effort_names],
-        from_kind(0, "__hauls").alias("__obs_hauls"),
-        *[
-            F.coalesce(from_kind(1, c), F.lit(0)).alias(c)
-            for c in ("__n", "__hauls", "__total", "__mean", "__var")
-        ],
+        from_kind(0, "__rows").alias("__units"),
+        *[from_kind(0, c).alias(f"{c}_e") for c in names],
+        *[from_kind(0, c).alias(c) for c in ("n_obs_ves", "n_obs_trips")],
+        *[F.coalesce(from_kind(1, c), F.lit(0)).alias(f"{c}_b") for c in names],
     )
-    mean, var, n, total_units = (F.col(c) for c in ("__mean", "__var", "__n", "__units"))
+
+    def moments(side: str, units):
+        """Total, mean and standard error over ``units`` units."""
+        n, total, var = (F.col(f"{c}_{side}") for c in ("__n", "__total", "__var"))
+        return [total, divide(total, units), zero_filled_se(divide(total, n), var, n, units)]
+
+    sampled_any = F.col("__n_e") > 0
+    effort_moments = [
+        c.alias(a) for c, a in zip(moments("e", F.col("__n_e")), ("total_expf", "mean_expf", "se_expf"))
+    ]
+    byc_moments = [c.alias(a) for c, a in zip(moments("b", F.col("__units")), BYCATCH_COLUMNS)]
+    counts = {"n_obs_ves": "n_obs_ves", "n_obs_trips": "n_obs_trips", "n_obs_hauls": "__hauls_e"}
     return merged.select(
         *by,
-        *effort_names,
-        F.when(F.col("n_obs_ves").isNotNull(), F.col("__obs_hauls")).alias("n_obs_hauls"),
-        F.col("__total").alias("total_byc"),
-        zero_filled_mean(mean, n, total_units).alias("mean_byc"),
-        zero_filled_se(mean, var, n, total_units).alias("se_byc"),
-        F.col("__hauls").alias("n_hauls_byc"),
+        *effort_moments,
+        *[F.when(sampled_any, F.col(c)).alias(a) for a, c in counts.items()],
+        *byc_moments,
+        F.col("__hauls_b").alias("n_hauls_byc"),
     )
 
 
-BYCATCH_COLUMNS = ("total_byc", "mean_byc", "se_byc", "n_hauls_byc")
-
-
 def zero_filled_bycatch(
     ob: DataFrame,
     strata: Sequence[str] | str,
