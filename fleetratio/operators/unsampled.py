@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column_list, domain_list, require_columns
-from ..functions.nulls import is_true, measure, n_distinct, null_safe_join, strict_sum, sum_or_zero
+from ..functions.nulls import is_true, measure, null_safe_join, strict_sum, sum_or_zero
 from ..functions.stats import LB_PER_MT, expand_component, percent
 from .moments import ANALYSIS
 
@@ -145,21 +145,23 @@ def _failed_factor(ob, strata, trip_col, strict) -> DataFrame:
     )
 
 
-def _stratum_sums(ob, strata, haul_col, vessel_col, strict) -> DataFrame:
-    """Coverage, denominators and factors that do not depend on the domain.
+def _seen() -> Column:
+    """Records that count as observed; unknown where class or name leave it open."""
+    return _is("datatype", ANALYSIS) | (_is("datatype", UNSAMPLED_IFQ) & (F.col("common_name") != NON_IFQ))
 
-    Records collapse to (stratum, haul, vessel) first, so the distinct counts run on hauls.
+
+def _stratum_sums(ob, strata, domains, domain_col, strict) -> DataFrame:
+    """All sums taken record by record: numerators of every domain, denominators, factors, effort.
+
+    One pass of conditional sums straight to the stratum, so a task sends one row per stratum.
     """
-    analysis = _is("datatype", ANALYSIS)
-    seen = analysis | (_is("datatype", UNSAMPLED_IFQ) & (F.col("common_name") != NON_IFQ))
-    discarded = _is("catch_disposition", DISCARDED)
+    analysis, discarded = _is("datatype", ANALYSIS), _is("catch_disposition", DISCARDED)
     zmis = _is("datatype", UNSAMPLED_ZMIS) & discarded
     mt, tgt = measure("mt"), measure("tgt_mt")
+    count, weight = measure("exp_sp_ct"), measure("exp_sp_wt") / LB_PER_MT
 
-    def total(value: Column, cond: Column | None = None) -> Column:
-        if strict:
-            return strict_sum(value, cond)
-        return sum_or_zero(value if cond is None else F.when(cond, value))
+    def total(value: Column, cond: Column) -> Column:
+        return strict_sum(value, cond) if strict else sum_or_zero(F.when(cond, value))
 
     sums = {
         "nifq_denom": total(mt, (F.col("ifq") == 0) & analysis & discarded),
@@ -168,54 +170,34 @@ def _stratum_sums(ob, strata, haul_col, vessel_col, strict) -> DataFrame:
         "unst_denom": total(mt, analysis),
         "unst_expf": total(mt, zmis & _is("common_name", UNSORTED)),
         "fail_denom": total(tgt, analysis),
+        "obs_tgt_mt": sum_or_zero(F.when(_seen(), tgt)),
+        "unobs_tgt_mt": sum_or_zero(F.when(~_seen(), tgt)),
     }
+    for i, d in enumerate(domains):
+        own = analysis & discarded & (F.col(domain_col) == d)
+        sums[f"__ct{i}"], sums[f"__wt{i}"] = total(count, own), total(weight, own)
+    return ob.groupBy(*strata).agg(*[expr.alias(name) for name, expr in sums.items()])
+
+
+def _unit_counts(ob, strata, haul_col, vessel_col) -> DataFrame:
+    """Observed and unobserved hauls and observed vessels; only ids and flags are shuffled."""
     units = ob.groupBy(*strata, haul_col, vessel_col).agg(
-        sum_or_zero(F.when(seen, tgt)).alias("obs_tgt_mt"),
-        sum_or_zero(F.when(~seen, tgt)).alias("unobs_tgt_mt"),
-        F.bool_or(is_true(seen)).alias("__seen"),
-        F.bool_or(is_true(~seen)).alias("__unseen"),
-        F.bool_or(seen.isNull()).alias("__unknown"),
-        *[expr.alias(name) for name, expr in sums.items()],
+        F.bool_or(is_true(_seen())).alias("__seen"),
+        F.bool_or(is_true(~_seen())).alias("__unseen"),
+        F.bool_or(_seen().isNull()).alias("__unknown"),
     )
-    unknown = F.coalesce(F.bool_or("__unknown"), F.lit(False))
+    # A record of unknown class adds the missing value once to each count.
+    unknown = F.bool_or("__unknown")
 
     def count(value: str, flag: str) -> Column:
-        """Distinct values; a record of unknown class adds the missing value once."""
         cond = F.col(flag)
-        missing = unknown | F.coalesce(F.bool_or(cond & F.col(value).isNull()), F.lit(False))
+        missing = unknown | F.bool_or(cond & F.col(value).isNull())
         return F.count_distinct(F.when(cond, F.col(value))) + missing.cast("long")
 
     return units.groupBy(*strata).agg(
-        F.sum("obs_tgt_mt").alias("obs_tgt_mt"),
-        F.sum("unobs_tgt_mt").alias("unobs_tgt_mt"),
         count(haul_col, "__seen").alias("obs_hauls"),
         count(vessel_col, "__seen").alias("n_obs_ves"),
         count(haul_col, "__unseen").alias("unobs_hauls"),
-        *[(strict_sum(F.col(c)) if strict else F.sum(c)).alias(c) for c in sums],
-    )
-
-
-def _numerators(ob, strata, domains, domain_col, strict) -> DataFrame:
-    """Sampled discards per stratum, count and weight columns for every domain.
-
-    The class and disposition tests reach the scan; partial sums leave one row per stratum and task.
-    """
-    base = _is("datatype", ANALYSIS) & _is("catch_disposition", DISCARDED)
-    wanted = F.col(domain_col).isin(list(domains))
-    # An unknown test makes a strict sum unknown, so only records known not to count may go.
-    maybe = (
-        _possible("datatype", ANALYSIS) & _possible("catch_disposition", DISCARDED) & _possible(domain_col, *domains)
-    )
-    rows = ob.where(maybe if strict else base & wanted)
-    count, weight = measure("exp_sp_ct"), measure("exp_sp_wt") / LB_PER_MT
-
-    def total(value: Column, domain: str) -> Column:
-        cond = base & (F.col(domain_col) == domain)
-        return strict_sum(value, cond) if strict else sum_or_zero(F.when(cond, value))
-
-    return rows.groupBy(*strata).agg(
-        *[total(count, d).alias(f"__ct{i}") for i, d in enumerate(domains)],
-        *[total(weight, d).alias(f"__wt{i}") for i, d in enumerate(domains)],
     )
 
 
@@ -223,7 +205,7 @@ def _join_sums(left: DataFrame, sums: DataFrame, strata: Sequence[str]) -> DataF
     """Left join of stratum sums: a stratum without any record sums to 0, an unknown sum stays NULL."""
     names = [c for c in sums.columns if c not in strata]
     joined = null_safe_join(left, sums.withColumn("__hit", F.lit(True)), strata, "left")
-    filled = {c: F.when(F.col("__hit").isNull(), F.lit(0.0)).otherwise(F.col(c)) for c in names}
+    filled = {c: F.when(F.col("__hit").isNull(), F.lit(0)).otherwise(F.col(c)) for c in names}
     return joined.withColumns(filled).drop("__hit")
 
 
@@ -256,9 +238,9 @@ def expand_unsampled(
          "exp_sp_ct", "exp_sp_wt"],
         "observer table",
     )
-    parts = _stratum_sums(ob, strata, haul, vessel, strict)
+    parts = _stratum_sums(ob, strata, domains, domain_col, strict)
     for part in (
-        _numerators(ob, strata, domains, domain_col, strict),
+        _unit_counts(ob, strata, haul, vessel),
         _nifq_factor(ob, strata, domains, policy, domain_col, haul, strict),
         _failed_factor(ob, strata, trip, strict),
     ):
