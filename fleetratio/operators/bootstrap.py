@@ -8,6 +8,7 @@ partitioning, retries or the order of rows, and no state is kept between tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +29,11 @@ MAX_ARRAY_UNITS = 50_000
 DRAWS_PER_TASK = 4_000_000
 # Most replicates of a stratum in one row of work; the work of one stratum spreads over R / this.
 REPLICATE_BLOCK = 50
+# Most domains computed as columns of their own; longer lists are summed as rows and drawn in batches.
+DOMAIN_BATCH = 32
 
 
-def vessel_rollup_wide(
+def vessel_sums(
     ob: DataFrame,
     strata: Sequence[str],
     domains: Sequence[str],
@@ -38,19 +41,40 @@ def vessel_rollup_wide(
     unit: str,
     domain_col: str,
     vessel_col: str,
+    batch: int = DOMAIN_BATCH,
 ) -> DataFrame:
-    """Effort and one bycatch sum per domain for each stratum and vessel, in one pass."""
+    """Effort and the bycatch of each domain (array ``__byc``) per stratum and vessel, in one scan.
+
+    A short list is summed as one column per domain. A long one is summed by domain first, so a
+    record costs the same whatever the length of the list, and then packed per vessel.
+    """
     require_columns(ob, [*strata, vessel_col, effort, unit, domain_col], "observer table")
-    value = measure(unit)
-    byc = [sum_or_zero(F.when(F.col(domain_col) == d, value)).alias(f"__b{i}") for i, d in enumerate(domains)]
-    return ob.groupBy(*strata, vessel_col).agg(sum_or_zero(measure(effort)).alias("ves_expf"), *byc)
+    keys, value, load = [*strata, vessel_col], measure(unit), measure(effort)
+    if len(domains) <= batch:
+        byc = [sum_or_zero(F.when(F.col(domain_col) == d, value)) for d in domains]
+        return ob.groupBy(*keys).agg(sum_or_zero(load).alias("ves_expf"), F.array(*byc).alias("__byc"))
+    place = F.when(F.col(domain_col).isin(list(domains)), F.array_position(_names(domains), F.col(domain_col)))
+    by_domain = (
+        ob.withColumn("__place", place)
+        .groupBy(*keys, "__place")
+        .agg(sum_or_zero(load).alias("__load"), sum_or_zero(value).alias("__value"))
+    )
+    entries = F.collect_list(F.when(F.col("__place").isNotNull(), F.struct("__place", "__value")))
+    packed = by_domain.groupBy(*keys).agg(F.sum("__load").alias("ves_expf"), F.map_from_entries(entries).alias("__m"))
+    places = F.sequence(F.lit(1).cast("bigint"), F.lit(len(domains)).cast("bigint"))
+    amounts = F.transform(places, lambda i: F.coalesce(F.try_element_at(F.col("__m"), i), F.lit(0.0)))
+    return packed.select(*keys, "ves_expf", amounts.alias("__byc"))
+
+
+def _names(domains: Sequence[str]) -> Column:
+    return F.array(*[F.lit(d) for d in domains])
 
 
-def long_by_domain(df: DataFrame, domains: Sequence[str], domain_col: str, name: str, value) -> DataFrame:
-    """One row per domain from the per-domain columns; ``value(i)`` is the i-th domain's value."""
-    keep = [c for c in df.columns if not c.startswith("__b")]
-    cells = F.array(*[F.struct(F.lit(d).alias(domain_col), value(i).alias(name)) for i, d in enumerate(domains)])
-    return df.select(*keep, F.inline(cells))
+def _by_domain(df: DataFrame, domains: Sequence[str], domain_col: str, name: str) -> DataFrame:
+    """One row per domain from the array ``__byc``."""
+    keep = [c for c in df.columns if c != "__byc"]
+    pairs = df.withColumn("__domain", _names(domains)).withColumn("__pair", F.arrays_zip("__domain", "__byc"))
+    return pairs.select(*keep, F.inline("__pair").alias(domain_col, name))
 
 
 def vessel_rollup(
@@ -64,8 +88,8 @@ def vessel_rollup(
 ) -> DataFrame:
     """Effort and bycatch per stratum, vessel and domain; vessels without the domain have 0."""
     strata, domains = column_list(strata), domain_list(domains)
-    wide = vessel_rollup_wide(ob, strata, domains, effort, unit, domain_col, vessel_col)
-    return long_by_domain(wide, domains, domain_col, "ves_byc", lambda i: F.col(f"__b{i}"))
+    sums = vessel_sums(ob, strata, domains, effort, unit, domain_col, vessel_col)
+    return _by_domain(sums, domains, domain_col, "ves_byc")
 
 
 def stratum_salt(strata: Sequence[str]) -> Column:
@@ -172,10 +196,13 @@ def _joined_replicates(units, strata, order, n_domains, replicates, seed, sample
     return joined.groupBy(*strata, "rep").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def _replicate_sums(units, strata, order, domains, replicates, seed, sampler, max_array_units) -> DataFrame:
-    """Effort and per-domain bycatch of every replicate; ``units`` are stored vessel rows.
+def _replicate_ratios(
+    units, strata, order, domains, domain_col, replicates, seed, sampler, max_array_units, batch=DOMAIN_BATCH
+) -> DataFrame:
+    """The ratio of every stratum, domain and replicate; ``units`` are stored vessel rows.
 
-    A one-row size check chooses the path; strata over the limit always take the join path.
+    A one-row size check chooses the path; strata over the limit always take the join path. All
+    batches of domains see the same draws, for a draw depends on stratum and replicate only.
     """
     if replicates < 1:
         raise ValueError("replicates must be positive")
@@ -191,17 +218,25 @@ def _replicate_sums(units, strata, order, domains, replicates, seed, sampler, ma
         small = null_safe_join(units, counts.where(fits).select(*strata), strata, "left_semi")
         large = null_safe_join(units, counts.where(~fits).select(*strata), strata, "left_semi")
     parts = []
-    if check["strata"] or not check["large"]:
-        sizes = (max(1, check["strata"]), check["units"])
-        parts.append(_array_replicates(small, strata, order, len(domains), replicates, seed, sampler, sizes))
-    if check["large"]:
-        parts.append(
-            _joined_replicates(large, strata, order, len(domains), replicates, seed, sampler, max_array_units)
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    for start in range(0, len(domains), batch):
+        names = domains[start : start + batch]
+        values = [F.col("__byc")[start + i].alias(f"__b{i}") for i in range(len(names))]
+
+        def columns(df: DataFrame, values=values) -> DataFrame:
+            return df.select(*strata, *order, "ves_expf", *values)
+
+        sums = []
+        if check["strata"] or not check["large"]:
+            sizes = (max(1, check["strata"]), check["units"])
+            sums.append(_array_replicates(columns(small), strata, order, len(names), replicates, seed, sampler, sizes))
+        if check["large"]:
+            sums.append(
+                _joined_replicates(columns(large), strata, order, len(names), replicates, seed, sampler, max_array_units)
+            )
+        for part in sums:
+            ratios = F.array(*[divide(F.col(f"__b{i}"), F.col("ves_expf")) for i in range(len(names))])
+            parts.append(_by_domain(part.select(*strata, "rep", ratios.alias("__byc")), names, domain_col, "ratio"))
+    return reduce(DataFrame.unionByName, parts).select(*strata, domain_col, "rep", "ratio")
 
 
 def _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col, vessel_col):
@@ -211,9 +246,9 @@ def _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col
     if absent:
         raise ValueError(f"unit_strata lacks reporting strata: {', '.join(absent)}")
     order = [c for c in unit_strata if c not in strata] + [vessel_col]
-    wide = vessel_rollup_wide(ob, unit_strata, domains, effort, unit, domain_col, vessel_col)
+    sums = vessel_sums(ob, unit_strata, domains, effort, unit, domain_col, vessel_col)
     # Everything below reads the vessel table several times: store it once.
-    return cut_lineage(wide.where(F.col("ves_expf") > 0)), order
+    return cut_lineage(sums.where(F.col("ves_expf") > 0)), order
 
 
 def boot_replicates(
@@ -233,11 +268,7 @@ def boot_replicates(
     """The bootstrapped ratio of every stratum, domain and replicate."""
     strata, domains = column_list(strata), domain_list(domains)
     units, order = _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col, vessel_col)
-    sums = _replicate_sums(units, strata, order, domains, replicates, seed, sampler, max_array_units)
-    ratios = long_by_domain(
-        sums, domains, domain_col, "ratio", lambda i: divide(F.col(f"__b{i}"), F.col("ves_expf"))
-    )
-    return ratios.select(*strata, domain_col, "rep", "ratio")
+    return _replicate_ratios(units, strata, order, domains, domain_col, replicates, seed, sampler, max_array_units)
 
 
 def boot_summary(
@@ -258,21 +289,16 @@ def boot_summary(
     """Point estimate, median, mean and percentile interval of the ratio, by stratum and domain."""
     strata, domains = column_list(strata), domain_list(domains)
     units, order = _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col, vessel_col)
-    sums = _replicate_sums(units, strata, order, domains, replicates, seed, sampler, max_array_units)
+    reps = _replicate_ratios(units, strata, order, domains, domain_col, replicates, seed, sampler, max_array_units)
     tail = round((1 - confidence) / 2, 10)
-
-    def ratio(i: int) -> Column:
-        return divide(F.col(f"__b{i}"), F.col("ves_expf"))
-
-    reps = long_by_domain(sums, domains, domain_col, "ratio", ratio)
     stats = reps.groupBy(*strata, domain_col).agg(
         F.percentile("ratio", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail))).alias("__q"),
         F.avg("ratio").alias("mean_ratio"),
     )
-    totals = units.groupBy(*strata).agg(
-        F.sum("ves_expf").alias("ves_expf"), *[F.sum(f"__b{i}").alias(f"__b{i}") for i in range(len(domains))]
+    vessels = _by_domain(units.select(*strata, "ves_expf", "__byc"), domains, domain_col, "ves_byc")
+    point = vessels.groupBy(*strata, domain_col).agg(
+        divide(F.sum("ves_byc"), F.sum("ves_expf")).alias("point_est_ratio")
     )
-    point = long_by_domain(totals, domains, domain_col, "point_est_ratio", ratio).drop("ves_expf")
     return null_safe_join(point, stats, [*strata, domain_col], "left").select(
         *strata,
         domain_col,

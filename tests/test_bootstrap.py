@@ -171,3 +171,17 @@ def test_a_stratum_spreads_over_tasks(observer):
     assert "hashpartitioning(sector" in plan and "__block" in plan
     used = df.withColumn("p", F.spark_partition_id()).select("p").distinct().count()
     assert used > 1
+
+
+def test_long_domain_lists_take_batches_with_the_same_draws(observer):
+    ob = vessels(observer, 7)
+    names = ["A", "B", *[f"none {i}" for i in range(40)]]
+    args = dict(replicates=15, sampler="md5")
+    short = {(r.species, r.rep): r.ratio for r in boot_replicates(ob, "sector", ["A", "B"], **args).collect()}
+    long = {(r.species, r.rep): r.ratio for r in boot_replicates(ob, "sector", names, **args).collect()}
+    assert len(long) == 42 * 15
+    assert {k: long[k] for k in short} == pytest.approx(short)
+    assert all(v == 0.0 for k, v in long.items() if k not in short)
+    wide = {(r.drvid, r.species): r.ves_byc for r in vessel_rollup(ob, "sector", ["A", "B"]).collect()}
+    rows = {(r.drvid, r.species): r.ves_byc for r in vessel_rollup(ob, "sector", names).collect()}
+    assert {k: rows[k] for k in wide} == wide and len(rows) == 42 * 7
