@@ -132,7 +132,7 @@ def detect_program(ob: DataFrame, sector_col: str = "sector") -> str:
 
 
 def program_normalise(
-    ob: DataFrame, program: str = "auto", effort: str = "tgt_mt", sector_col: str = "sector", trip_col: str = "trip_id"
+    ob: DataFrame, program: str = "auto", sector_col: str = "sector", trip_col: str = "trip_id"
 ) -> DataFrame:
     """Observer records under one convention.
 
