@@ -28,21 +28,27 @@ from ..operators.moments import (
 from ..operators.prepare import (
     derive_fleet_strata,
     derive_observer_strata,
+    drop_empty_disposition,
     indicator_measure,
+    numeric_year,
     program_normalise,
     restrict_to_sectors,
     round_measures,
     sector_filter,
     sectors_with_domain,
+    zero_fill,
 )
 from ..operators.quality import (
+    cell_range,
     coverage,
     flag_small_cells,
     key_quality,
     partition_total,
     reconcile,
     record_class_counts,
+    row_counts,
     ticket_match_rate,
+    total_of_components,
     unobserved_strata,
     vessel_ticket_join,
 )
@@ -430,3 +436,36 @@ def reconciled_ratios(spark, sf_dir):
     )
     out = reconcile(by_haul, by_vessel, [*SYG, "species"], ["total_byc", "byc_ratio"], tolerance=1e-4)
     return round_measures(out, SYG)
+
+
+@register("cell_range")
+def cell_range_of_vessels(spark, sf_dir):
+    keys = [*SYG, "state", "season"]
+    cols = [*SYG, "r_state", "rmonth", *UNITS, "datatype", "tgt_mt"]
+    ob = derive_observer_strata(observer_view(spark, sf_dir, cols))
+    return cell_range(observed_effort(ob, keys))
+
+
+@register("row_counts")
+def row_counts_of_strata(spark, sf_dir):
+    ob = observer_view(spark, sf_dir, [*SAMPLE, "tgt_mt"])
+    return row_counts(observed_effort(ob, SYG), fleet_effort(fleet_view(spark, sf_dir, [*SYG, "tgt_mt"]), SYG))
+
+
+@register("component_totals")
+def component_totals(spark, sf_dir):
+    keys = ["year", "r_state"]
+    cols = [*keys, *UNITS, "species", "datatype", "common_name", "ifq", "catch_disposition", "mt", "tgt_mt",
+            "exp_sp_ct", "exp_sp_wt"]
+    est = expand_unsampled(observer_view(spark, sf_dir, cols), keys, DOMAINS, POLICY)
+    columns = [f"est_{c}_ct" for c in ("nifq", "zmis", "unst", "fail")]
+    out = est.select(*keys, "bycsp", total_of_components(columns).alias("est_ct"), F.col("obs_byc_ct"))
+    return round_measures(zero_fill(out, keys), keys)
+
+
+@register("numeric_year")
+def numeric_years(spark, sf_dir):
+    ob = drop_empty_disposition(observer_view(spark, sf_dir, ["year", "catch_disposition", "mt"]))
+    texts = ob.withColumn("year", F.concat(F.lit(" "), F.col("year").cast("string")))
+    out = numeric_year(texts).groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("mt").alias("mt"))
+    return round_measures(out, ["year"])

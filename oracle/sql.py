@@ -320,7 +320,7 @@ NIFQ_RECORD = """(datatype = 'Unsampled IFQ' AND (common_name = 'Non-IFQ Fish Sp
   AND catch_disposition = 'D')"""
 
 
-def unsampled_sql():
+def unsampled_sql(select=None):
     k = ["year", "r_state"]
     seen = "(datatype = 'Analysis Data' OR (datatype = 'Unsampled IFQ' AND common_name <> 'Non-IFQ Fish Species'))"
     own = "o.species = d.bycsp AND datatype = 'Analysis Data' AND catch_disposition = 'D'"
@@ -376,13 +376,13 @@ sums AS (
 ),
 named_sums AS (SELECT *, {nums}, num_ct AS obs_byc_ct, num_wt AS obs_byc_wt, obs_tgt_mt + unobs_tgt_mt AS total_tgt_mt FROM sums),
 est AS (SELECT *, {', '.join(component(c, u) for c in comps for u in ('ct', 'wt'))} FROM named_sums)
-SELECT {q(k)}, bycsp, {rounded(out)}, obs_hauls, n_obs_ves, unobs_hauls,
+""" + (select or f"""SELECT {q(k)}, bycsp, {rounded(out)}, obs_hauls, n_obs_ves, unobs_hauls,
   round({' + '.join(f'est_{c}_ct' for c in comps)}, 6) AS est_unsamp_ct,
   round({' + '.join(f'est_{c}_wt' for c in comps)}, 6) AS est_unsamp_wt,
   round(obs_byc_ct + {' + '.join(f'est_{c}_ct' for c in comps)}, 6) AS total_byc_ct,
   round(obs_byc_wt + {' + '.join(f'est_{c}_wt' for c in comps)}, 6) AS total_byc_wt,
   round(obs_tgt_mt / nullif(total_tgt_mt, 0) * 100, 1) AS pct_tgt_obs
-FROM est"""
+FROM est""")
 
 
 SINGLE = f"""{BASE},
@@ -586,6 +586,16 @@ l AS (SELECT DISTINCT {q(SYG)} FROM fleet)
 SELECT {q(SYG, 'l.')}, EXISTS (SELECT 1 FROM ob o WHERE {same('o', 'l', SYG)} AND o.datatype = 'Analysis Data'
     AND o.haul_id IS NOT NULL) AS has_sample
 FROM l LEFT JOIN eff e ON {same('l', 'e', SYG)} WHERE e.n_obs_ves IS NULL""",
+    "cell_range": f"""{BASE}, {effort_ctes(SYG + ['state', 'season'], 'tgt_mt')}
+SELECT min(n_obs_ves) AS min_count, max(n_obs_ves) AS max_count FROM eff""",
+    "row_counts": f"""{BASE}, {effort_ctes(SYG, 'tgt_mt')}
+SELECT a AS n_left, b AS n_right, a = b AS equal FROM (
+  SELECT (SELECT count(*) FROM eff) AS a, (SELECT count(*) FROM (SELECT DISTINCT {q(SYG)} FROM fleet)) AS b)""",
+    "component_totals": unsampled_sql("""SELECT "year", r_state, bycsp,
+  round(coalesce(est_nifq_ct, 0) + coalesce(est_zmis_ct, 0) + coalesce(est_unst_ct, 0) + coalesce(est_fail_ct, 0), 6) AS est_ct,
+  round(coalesce(obs_byc_ct, 0), 6) AS obs_byc_ct FROM est"""),
+    "numeric_year": f"""{BASE}
+SELECT CAST("year" AS DOUBLE) AS "year", count(*) AS n_rows, round(sum(mt), 6) AS mt FROM ob GROUP BY "year" """,
     "reconcile": f"""{BASE}{AD}, {ratio_ctes(SYG, 'tgt_mt', 'dis_mt', ['PROMO', 'SMALL'], src='ad')},
 v AS (SELECT {q(SYG)}, drvid, sum(tgt_mt) AS e FROM ad GROUP BY {q(SYG)}, drvid HAVING sum(tgt_mt) > 0),
 vb AS (
