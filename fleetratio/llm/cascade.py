@@ -104,7 +104,7 @@ RULES = (
     Rule("repeats", lambda f: 100 * f("n_repeat_words") > 20 * f("n_words")),
     Rule("word_length", lambda f: (f("word_chars") < 2 * f("n_words")) | (f("word_chars") > 15 * f("n_words"))),
     Rule("symbols", lambda f: 4 * f("n_symbols") > f("n_words")),
-    Rule("dup_lines", lambda f: 10 * f("n_dup_lines") > 3 * f("n_lines")),
+    Rule("dup_lines", lambda f: 2 * f("n_dup_lines") > f("n_lines")),
 )
 
 

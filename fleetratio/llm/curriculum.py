@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetratio.llm.common import WORD, numbered, text_of
+from fleetratio.llm.common import WORD, numbered, stored, text_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -96,7 +96,8 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Frac
         .withColumn("queue_key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
         .withColumn("bucket", F.substring("queue_key", 1, BUCKET_DIGITS))
     )
-    buckets = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"), F.max("source").alias("source"))
+    sums = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"), F.max("source").alias("source"))
+    buckets = stored(sums, "bucket-words")
     before = Window.partitionBy("source_key").orderBy("bucket")
     totals = buckets.groupBy("source_key").agg(F.sum("words").alias("source_size"), F.max("source").alias("source"))
     targets = source_targets(totals, weights, share, passes).drop("source")

@@ -56,7 +56,7 @@ WITH w AS (
   SELECT *, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 4 * n_symbols > n_words OR 10 * n_dup_lines > 3 * len(ls)) AS kept
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 4 * n_symbols > n_words OR 2 * n_dup_lines > len(ls)) AS kept
 FROM counted
 """
 

@@ -9,7 +9,27 @@ from pyspark.sql import functions as F
 
 from fleetratio.llm.cascade import cascade_report
 from fleetratio.llm.common import table
+from fleetratio.llm.contextual_pii import KINDS, find_personal_data
 from fleetratio.llm.curriculum import curriculum
+from fleetratio.llm.trigram_secrets import BASE_RULES, find_secrets
+
+
+def _listed(spans):
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def _span_digest(found: DataFrame, kinds) -> DataFrame:
+    """Counts of the base kinds, the hash of their spans, and all spans as text."""
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select("doc_id", *map(count, kinds), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")), KINDS[:4])
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +46,13 @@ def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")), [r.name for r in BASE_RULES])
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_contextual_pii": op2_contextual_pii,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op6_rule_cascade": op6_rule_cascade,
+    "op8_trigram_secrets": op8_trigram_secrets,
 }
