@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,3 +80,48 @@ def match_spans(text: Column, pattern: str, extra: int | None = None) -> Column:
     lengths = F.transform(gaps, lambda g: F.char_length(g))
     body = let(found, lambda ms: let(lengths, lambda gl: let(group, lambda ps: F.when(F.size(ms) > 0, add(gl, ms, ps)).otherwise(zero["out"]))))
     return F.when(text.rlike(pattern), body).otherwise(zero["out"])
+
+
+def whole_groups(batches, keys: list[str]):
+    """Arrow tables of whole groups from batches sorted by ``keys``; holds back only the last, open group."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+        change = np.zeros(table.num_rows - 1, dtype=bool)
+        for key in keys:
+            values = table[key].to_numpy()
+            change |= values[1:] != values[:-1]
+        cuts = np.flatnonzero(change)
+        if len(cuts):
+            yield table.slice(0, cuts[-1] + 1)
+            table = table.slice(cuts[-1] + 1)
+        held = table
+    if held is not None:
+        yield held
+
+
+class Forest:
+    """Union-find over the rows of one table in a task."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Joins pairs of rows; which of the pairs joined two trees."""
+        label, used = self.label, np.zeros(len(a), dtype=bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            while label[x] != x:
+                label[x] = x = label[label[x]]
+            while label[y] != y:
+                label[y] = y = label[label[y]]
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                used[k] = True
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                return used
+            label[:] = up

@@ -11,6 +11,7 @@ from fleetratio.llm.cascade import cascade_report
 from fleetratio.llm.common import table
 from fleetratio.llm.contextual_pii import KINDS, find_personal_data
 from fleetratio.llm.curriculum import curriculum
+from fleetratio.llm.simhash_pivots import near_duplicates
 from fleetratio.llm.trigram_secrets import BASE_RULES, find_secrets
 
 
@@ -50,9 +51,15 @@ def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")), [r.name for r in BASE_RULES])
 
 
+def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, limit=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_contextual_pii": op2_contextual_pii,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op6_rule_cascade": op6_rule_cascade,
     "op8_trigram_secrets": op8_trigram_secrets,
+    "op9_simhash_pivots": op9_simhash_pivots,
 }
