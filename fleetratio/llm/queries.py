@@ -11,6 +11,7 @@ from fleetratio.llm.cascade import cascade_report
 from fleetratio.llm.common import table
 from fleetratio.llm.contextual_pii import KINDS, find_personal_data
 from fleetratio.llm.curriculum import curriculum
+from fleetratio.llm.fuzzy_lines import line_report
 from fleetratio.llm.simhash_pivots import near_duplicates
 from fleetratio.llm.trigram_secrets import BASE_RULES, find_secrets
 
@@ -47,6 +48,10 @@ def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")), [r.name for r in BASE_RULES])
 
@@ -60,6 +65,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_contextual_pii": op2_contextual_pii,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op6_rule_cascade": op6_rule_cascade,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_simhash_pivots": op9_simhash_pivots,
 }
