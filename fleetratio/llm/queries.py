@@ -12,8 +12,11 @@ from fleetratio.llm.common import table
 from fleetratio.llm.contextual_pii import KINDS, find_personal_data
 from fleetratio.llm.curriculum import curriculum
 from fleetratio.llm.fuzzy_lines import line_report
+from fleetratio.llm.qgram_decontamination import contaminated
+from fleetratio.llm.sentence_spans import repeated_sentences
 from fleetratio.llm.simhash_pivots import near_duplicates
 from fleetratio.llm.trigram_secrets import BASE_RULES, find_secrets
+from fleetratio.llm.warc_derivatives import derive_records
 
 
 def _listed(spans):
@@ -30,16 +33,30 @@ def _span_digest(found: DataFrame, kinds) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_records(table(spark, sf_dir, "pages"))
+
+
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")), KINDS[:4])
 
 
+def op3_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     first = F.round(F.array_min(F.transform("visits", lambda v: v["position"])), 9)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = repeated_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return gone.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+
+
 def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = cascade_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -62,8 +79,11 @@ def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_contextual_pii": op2_contextual_pii,
+    "op3_qgram_decontamination": op3_qgram_decontamination,
     "op4_curriculum_mix": op4_curriculum_mix,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_rule_cascade": op6_rule_cascade,
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_trigram_secrets": op8_trigram_secrets,
