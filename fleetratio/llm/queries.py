@@ -15,6 +15,7 @@ from fleetratio.llm.fuzzy_lines import line_report
 from fleetratio.llm.qgram_decontamination import contaminated
 from fleetratio.llm.sentence_spans import repeated_sentences
 from fleetratio.llm.simhash_pivots import near_duplicates
+from fleetratio.llm.suffix_two_stage import remove_repeated_strings
 from fleetratio.llm.trigram_secrets import BASE_RULES, find_secrets
 from fleetratio.llm.warc_derivatives import derive_records
 
@@ -78,6 +79,10 @@ def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_suffix_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_contextual_pii": op2_contextual_pii,
@@ -88,4 +93,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_simhash_pivots": op9_simhash_pivots,
+    "op10_suffix_two_stage": op10_suffix_two_stage,
 }
