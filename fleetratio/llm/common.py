@@ -44,6 +44,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """(row, key_id, key_hash): whole rows in one column, so that no name of theirs meets one of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key_id"), F.xxhash64(text_of()).alias("key_hash"))
+
+
+def same_document(id_column: str = "doc_id", hash_column: str = "text_hash") -> Column:
+    """Joins ``boxed`` rows with rows that name a document by id and hash of its text."""
+    return F.col("key_id").eqNullSafe(F.col(id_column)) & (F.col("key_hash") == F.col(hash_column))
+
+
 def numbered(df: DataFrame, order: list[Column], column: str) -> DataFrame:
     """``df`` with a row number from 1 in the given order, without sorting everything in one task.
 

@@ -88,7 +88,7 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Frac
     A null source is a source, the last. An empty table gives an empty result. Further columns pass through;
     those with the names used here are replaced.
     """
-    new = ["size", "source_size", "target", "kind", "taken", "visits", "source_key", "queue_key", "bucket"]
+    new = ["size", "source_size", "target", "kind", "taken", "visits", "source_key", "queue_key", "bucket", "words", "_offset", "_upto"]
     sized = (
         docs.drop(*new)
         .withColumn("size", word_count(text_of()))
@@ -127,6 +127,6 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Frac
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each visit, range-sorted by training position."""
-    each = mixed.withColumn("visit", F.explode("visits")).drop("visits", "taken")
+    """One row for each visit with pass, taken and position, range-sorted by training position."""
+    each = mixed.drop("visit", "pass", "position").withColumn("visit", F.explode("visits")).drop("visits", "taken")
     return each.select("*", F.col("visit.pass").alias("pass"), F.col("visit.taken").alias("taken"), F.col("visit.position").alias("position")).drop("visit").orderBy("position", "doc_id", "pass")

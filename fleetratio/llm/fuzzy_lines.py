@@ -11,12 +11,14 @@ A line is known by a 64-bit hash: among n lines two different ones are taken for
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetratio.llm.common import WORD, stored, text_of, whole_groups
+from fleetratio.llm.common import WORD, boxed, same_document, stored, text_of, whole_groups
 from fleetratio.llm.components import connected_components
 
 SHINGLE = 7
@@ -25,6 +27,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 8, 4
 #: Lines hashed in one go, few enough for the processor's cache.
 BLOCK = 256
+#: Shingle sets a task remembers: pairs come sorted by one of their lines, and a leader meets many.
+REMEMBERED = 1000
 #: Lines of one bucket compared in one task; larger buckets are cut into tiles that meet pairwise.
 TILE = 1024
 
@@ -111,9 +115,10 @@ def _shared(batches):
 
 def _verified(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     def run(batches):
+        sets = lru_cache(REMEMBERED)(lambda line: shingles(line, shingle))
         for batch in batches:
             a, b = batch["content_a"].to_pylist(), batch["content_b"].to_pylist()
-            good = pa.array([similar(shingles(x, shingle), shingles(y, shingle), threshold) for x, y in zip(a, b)], pa.bool_())
+            good = pa.array([similar(sets(x), sets(y), threshold) for x, y in zip(a, b)], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
 
     return pairs.select("a", "b", "content_a", "content_b").mapInArrow(run, "a long, b long")
@@ -162,7 +167,9 @@ def similar_line_classes(lines: DataFrame, shingle: int = SHINGLE, threshold: fl
     roots = connected_components(links)
 
     labelled = stored(shared.join(roots, shared["line"] == roots["node"], "left").select("bucket", "line", F.coalesce("root", "line").alias("root")), "labelled-buckets")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1").select("bucket", "n")
+    contents = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(line))").alias("content"))
+    # bands often bring the same lines together: of buckets with equal contents one is looked at
+    mixed = contents.filter("r0 <> r1").groupBy("content", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.hash("line"), tiles)
     met = F.explode(F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(own, t).alias("low"), F.greatest(own, t).alias("high"))))
@@ -193,12 +200,6 @@ def duplicate_lines(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("removed"))
 
 
-def _joined(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    keyed = docs.withColumn("_hash", F.xxhash64(text_of()))
-    gone = removed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone_hash"), F.col("removed").alias("_removed"))
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_hash"] == gone["_gone_hash"]), "left").drop("_id", "_gone_hash", "_hash")
-
-
 def line_report(docs: DataFrame, **settings) -> DataFrame:
     """One row for each document: doc_id, n_lines (with a word), n_removed, removed (places, comma-joined).
 
@@ -213,8 +214,8 @@ def line_report(docs: DataFrame, **settings) -> DataFrame:
 
 def drop_duplicate_lines(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with their duplicate lines cut out of ``text``; columns and rows stay, a null text stays null."""
-    joined = _joined(docs, duplicate_lines(docs, **settings))
-    lines = F.split("text", "\n", -1)
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_removed", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).select(docs.columns)
+    joined = boxed(docs).join(duplicate_lines(docs, **settings), same_document(), "left")
+    lines = F.split("row.text", "\n", -1)
+    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull())
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")

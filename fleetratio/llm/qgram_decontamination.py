@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetratio.llm.common import text_of
+from fleetratio.llm.common import boxed, same_document, text_of
 
 Q, WINDOW, STEP, EDITS = 12, 80, 40, 5
 #: Items with fewer characters are not looked for.
@@ -205,6 +205,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, window: int
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without those that hold a window of a benchmark item; columns stay."""
-    bad = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_of()))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_text_hash"] == bad["_hash"]), "left_anti").select(docs.columns)
+    bad = contaminated(docs, benchmark, **settings).select("doc_id", "text_hash").distinct()
+    return boxed(docs).join(bad, same_document(), "left_anti").select("row.*")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetratio.llm.common import stored, text_of
+from fleetratio.llm.common import boxed, same_document, stored, text_of
 
 #: A sentence ends after its mark and a space, or at a line break; the pieces add up to the text.
 BREAK = r"(?<=[.!?]\x20)|(?<=\n)"
@@ -83,8 +83,8 @@ def repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_
 
 def drop_repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the sentences of repeated spans; columns and rows stay, a null text stays null."""
-    gone = repeated_sentences(docs, min_sentences, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(text_of()) == gone["_hash"]), "left")
-    left = F.filter(F.transform(F.split("text", BREAK, -1), lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, ""))
-    return joined.withColumn("text", text).select(docs.columns)
+    joined = boxed(docs).join(repeated_sentences(docs, min_sentences, min_words), same_document(), "left")
+    pieces = F.split("row.text", BREAK, -1)
+    left = F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull())
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, ""))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")

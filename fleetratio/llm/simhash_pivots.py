@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetratio.llm.common import Forest, stored, text_of, whole_groups
+from fleetratio.llm.common import Forest, boxed, same_document, stored, text_of, whole_groups
 from fleetratio.llm.components import connected_components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -157,7 +157,6 @@ def keep_one_each(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFram
     """
     found = near_duplicates(docs, shingle, limit)
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
-    kept = found.groupBy("group").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_hash"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_of()))
-    stays = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text_hash"] == kept["_hash"]), "left_semi")
-    return stays.dropDuplicates(["doc_id", "_text_hash"]).select(docs.columns)
+    kept = found.groupBy("group").agg(F.min(rank).alias("r")).select("r.doc_id", "r.text_hash")
+    stays = boxed(docs).join(kept, same_document(), "left_semi")
+    return stays.dropDuplicates(["key_id", "key_hash"]).select("row.*")
