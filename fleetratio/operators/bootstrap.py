@@ -2,13 +2,13 @@
 
 Ordinary resampling: a stratum with n vessels is redrawn n times with replacement, R times. The
 draw is a hash of (seed, stratum, replicate, draw number), so the result does not depend on
-partitioning, retries or the order of rows, and no state is kept between tasks.
+partitioning, retries or the order of rows, and no state is kept between tasks. Vessels are numbered
+by the order of a hash of their key, by the same rule in a stratum of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,14 +23,12 @@ from .moments import UNIT_COLS, fleet_effort, stratum_domain_moments
 from .prepare import program_normalise
 
 SAMPLERS = ("xxhash64", "md5")
-# Strata with more vessels than this are resampled by joins instead of arrays.
-MAX_ARRAY_UNITS = 50_000
-# Aim for this many draws in one task.
-DRAWS_PER_TASK = 4_000_000
-# Most replicates of a stratum in one row of work; the work of one stratum spreads over R / this.
+# Consecutive vessels of a stratum that one row of work holds.
+CHUNK_UNITS = 50_000
+# Replicates of a stratum in one row of work; the work of one stratum spreads over R / this.
 REPLICATE_BLOCK = 50
-# Most domains computed as columns of their own; longer lists are summed as rows and drawn in batches.
-DOMAIN_BATCH = 32
+# Hex digits of a vessel's hash that name its bucket, the same for every stratum.
+BUCKET_DIGITS = 3
 
 
 def vessel_sums(
@@ -41,18 +39,14 @@ def vessel_sums(
     unit: str,
     domain_col: str,
     vessel_col: str,
-    batch: int = DOMAIN_BATCH,
 ) -> DataFrame:
     """Effort and the bycatch of each domain (array ``__byc``) per stratum and vessel, in one scan.
 
-    A short list is summed as one column per domain. A long one is summed by domain first, so a
-    record costs the same whatever the length of the list, and then packed per vessel.
+    Records are summed by domain first, so a record costs the same whatever the length of the list,
+    and then packed per vessel.
     """
     require_columns(ob, [*strata, vessel_col, effort, unit, domain_col], "observer table")
     keys, value, load = [*strata, vessel_col], measure(unit), measure(effort)
-    if len(domains) <= batch:
-        byc = [sum_or_zero(F.when(F.col(domain_col) == d, value)) for d in domains]
-        return ob.groupBy(*keys).agg(sum_or_zero(load).alias("ves_expf"), F.array(*byc).alias("__byc"))
     place = F.when(F.col(domain_col).isin(list(domains)), F.array_position(_names(domains), F.col(domain_col)))
     by_domain = (
         ob.withColumn("__place", place)
@@ -92,10 +86,14 @@ def vessel_rollup(
     return _by_domain(sums, domains, domain_col, "ves_byc")
 
 
-def stratum_salt(strata: Sequence[str]) -> Column:
-    """Text form of a stratum for the hash. Only a salt: rows are always grouped by the columns."""
-    parts = [F.coalesce(F.concat(F.lit("V"), F.col(c).cast("string")), F.lit("N")) for c in strata]
-    return F.concat_ws("|", *parts)
+def key_text(columns: Sequence[str]) -> Column:
+    """One text for the values of some columns; missing values and separators in a value stay distinct."""
+
+    def part(name: str) -> Column:
+        escaped = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(F.concat(F.lit("V"), escaped), F.lit("N"))
+
+    return F.concat_ws("|", *[part(c) for c in columns])
 
 
 def draw_index(sampler: str, seed: int, salt: Column, rep: Column, draw: Column, n: Column) -> Column:
@@ -103,151 +101,100 @@ def draw_index(sampler: str, seed: int, salt: Column, rep: Column, draw: Column,
     if sampler == "md5":
         text = F.concat_ws("|", F.lit(str(seed)), salt, rep.cast("string"), draw.cast("string"))
         head = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-        return F.pmod(head, n.cast("bigint")).cast("int")
+        return F.pmod(head, n.cast("bigint"))
     if sampler == "xxhash64":
-        return F.pmod(F.xxhash64(F.lit(int(seed)), salt, rep, draw), n.cast("bigint")).cast("int")
+        return F.pmod(F.xxhash64(F.lit(int(seed)).cast("bigint"), salt, rep.cast("bigint"), draw.cast("bigint")), n.cast("bigint"))
     raise ValueError(f"unknown sampler {sampler!r}: use one of {', '.join(SAMPLERS)}")
 
 
-def _array_replicates(units, strata, order, n_domains, replicates, seed, sampler, sizes) -> DataFrame:
-    """Replicate sums for strata whose vessels fit an array.
-
-    Each row of work is (stratum, block of replicates) with the stratum's vessels as primitive
-    arrays. Rows are spread by (stratum, block) before the draws are exploded, so one large
-    stratum runs in many tasks; draws are summed in place and never shuffled.
-    """
-    values = ["ves_expf", *[f"__b{i}" for i in range(n_domains)]]
-    sorted_units = F.sort_array(F.collect_list(F.struct(*order, *values)))
-    packed = units.groupBy(*strata).agg(sorted_units.alias("__units"))
-    arrays = [F.col("__units").getField(v).alias(f"__a{k}") for k, v in enumerate(values)]
-    block = max(1, min(REPLICATE_BLOCK, ceil(replicates / 8)))
-    n_blocks = ceil(replicates / block)
-    n_strata, total_units = sizes
-    tasks = max(1, min(n_strata * n_blocks, max(units.sparkSession.sparkContext.defaultParallelism, ceil(total_units * replicates / DRAWS_PER_TASK))))
-    work = (
-        packed.select(
-            *strata,
-            stratum_salt(strata).alias("__salt"),
-            F.size("__units").alias("__n"),
-            *arrays,
-        )
-        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .repartition(tasks, *strata, "__block")
-    )
-    first = F.col("__block") * block + 1
-    draws = work.withColumn(
-        "rep", F.explode(F.sequence(first, F.least(first + (block - 1), F.lit(replicates))))
-    ).withColumn("__draw", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    index = draw_index(sampler, seed, F.col("__salt"), F.col("rep"), F.col("__draw"), F.col("__n"))
-    picked = draws.select(
-        *strata, "__block", "rep", *[f"__a{k}" for k in range(len(values))], index.alias("__idx")
-    ).select(
-        *strata, "__block", "rep", *[F.get(f"__a{k}", F.col("__idx")).alias(v) for k, v in enumerate(values)]
-    )
-    return picked.groupBy(*strata, "__block", "rep").agg(*[F.sum(v).alias(v) for v in values]).drop("__block")
-
-
-def _indexed_units(units: DataFrame, strata: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
-    """Number the vessels of each stratum 0 .. n-1 without sorting a whole stratum in one task.
+def _numbered_units(units: DataFrame, strata: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Number the vessels of each stratum 0 .. n-1 (``__idx``) and add n (``__n``).
 
-    Vessels fall into ceil(n / limit) buckets by a hash of their key; they are numbered inside the
-    bucket and shifted by the bucket's offset. With one bucket the order is the key order.
+    The order is that of the md5 of the vessel's key, then the key. Vessels are numbered inside
+    buckets of that hash and shifted by the sizes of the buckets before, so no task sees a whole
+    stratum and the number depends on nothing but the stratum's vessels.
     """
-    n = units.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
-    buckets = F.ceil(F.col("__n") / F.lit(limit))
-    keyed = null_safe_join(units, n, strata, "left").withColumn(
-        "__bucket", F.pmod(F.xxhash64(*order), buckets)
-    )
-    before = Window.partitionBy(*strata).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = units.withColumn("__md5", F.md5(key_text(order))).withColumn("__bucket", F.substring("__md5", 1, BUCKET_DIGITS))
+    whole = Window.partitionBy(*strata)
+    before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # at most 16^3 rows of a stratum
     offsets = (
-        keyed.groupBy(*strata, "__bucket")
+        hashed.groupBy(*strata, "__bucket")
         .agg(F.count(F.lit(1)).alias("__count"))
-        .select(*strata, "__bucket", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__offset"))
+        .select(
+            *strata,
+            "__bucket",
+            F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__offset"),
+            F.sum("__count").over(whole).alias("__n"),
+        )
     )
-    place = F.row_number().over(Window.partitionBy(*strata, "__bucket").orderBy(*order))
-    numbered = keyed.withColumn("__place", place)
-    return null_safe_join(numbered, offsets, [*strata, "__bucket"], "left").withColumn(
-        "__idx", (F.col("__offset") + F.col("__place") - 1).cast("int")
+    place = F.row_number().over(Window.partitionBy(*strata, "__bucket").orderBy("__md5", *order))
+    numbered = hashed.withColumn("__place", place)
+    return null_safe_join(numbered, offsets, [*strata, "__bucket"], "inner").withColumn(
+        "__idx", F.col("__offset") + F.col("__place") - 1
     )
 
 
-def _joined_replicates(units, strata, order, n_domains, replicates, seed, sampler, limit) -> DataFrame:
-    """Replicate sums for strata of any size: draws are rows, joined to the numbered vessels.
+def _replicate_sums(units, strata, order, n_domains, replicates, seed, sampler, chunk_units, tasks=None) -> DataFrame:
+    """Sums of effort and of every domain for each stratum and replicate, whatever the stratum's size.
 
-    Every key (stratum, vessel number) meets about R draws whatever the size of the stratum, so
-    the join has no hot key; the sums combine before they are shuffled.
+    Each row of work is (stratum, chunk of consecutive vessels, block of replicates) with the chunk's
+    vessels as primitive arrays. It evaluates all n draws of its replicates, keeps those that fall in its
+    chunk and sums them in place; only the sums are shuffled. The price of c chunks is c times the hashes.
     """
     values = ["ves_expf", *[f"__b{i}" for i in range(n_domains)]]
-    numbered = cut_lineage(_indexed_units(units, strata, order, limit).select(*strata, "__n", "__idx", *values))
-    step = 10_000
-    chunk = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / step))
+    size = F.lit(chunk_units).cast("bigint")
+    columns = [F.col("ves_expf"), *[F.col("__byc")[i].alias(f"__b{i}") for i in range(n_domains)]]
+    numbered = _numbered_units(units, strata, order)
+    chunked = numbered.select(*strata, "__n", "__idx", F.expr(f"__idx div {chunk_units}").alias("__chunk"), *columns)
+    sorted_units = F.sort_array(F.collect_list(F.struct("__idx", *values)))
+    packed = chunked.groupBy(*strata, "__n", "__chunk").agg(sorted_units.alias("__units"))
+    arrays = [F.col("__units").getField(v).alias(f"__a{k}") for k, v in enumerate(values)]
+    block = max(1, min(REPLICATE_BLOCK, ceil(replicates / 8)))
+    tasks = tasks or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = (
-        numbered.select(*strata, "__n").distinct()
-        .select(*strata, "__n", stratum_salt(strata).alias("__salt"), F.explode(chunk).alias("__chunk"))
-        .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .repartition(*strata, "__chunk", "rep")
+        packed.select(*strata, key_text(strata).alias("__salt"), "__n", "__chunk", *arrays)
+        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(ceil(replicates / block) - 1))))
+        .repartition(tasks, *strata, "__chunk", "__block")
     )
-    start = (F.col("__chunk") * step).cast("int")
-    stop = F.least(start + (step - 1), F.col("__n").cast("int") - 1)
-    draws = work.withColumn("__draw", F.explode(F.sequence(start, stop)))
-    index = draw_index(sampler, seed, F.col("__salt"), F.col("rep"), F.col("__draw"), F.col("__n"))
-    drawn = draws.select(*strata, "rep", index.alias("__idx"))
-    joined = null_safe_join(drawn, numbered.drop("__n"), [*strata, "__idx"], "inner")
-    return joined.groupBy(*strata, "rep").agg(*[F.sum(v).alias(v) for v in values])
+    first = F.col("__block") * block + 1
+    draws = work.withColumn(
+        "rep", F.explode(F.sequence(first, F.least(first + (block - 1), F.lit(replicates))))
+    ).withColumn("__draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+    drawn = draw_index(sampler, seed, F.col("__salt"), F.col("rep"), F.col("__draw"), F.col("__n")) - F.col("__chunk") * size
+    picked = (
+        draws.select(*strata, "__chunk", "__block", "rep", *[f"__a{k}" for k in range(len(values))], drawn.cast("int").alias("__at"))
+        .where((F.col("__at") >= 0) & (F.col("__at") < size))
+        .select(*strata, "__chunk", "__block", "rep", *[F.get(f"__a{k}", F.col("__at")).alias(v) for k, v in enumerate(values)])
+    )
+    in_place = picked.groupBy(*strata, "__chunk", "__block", "rep").agg(*[F.sum(v).alias(v) for v in values])
+    return in_place.groupBy(*strata, "rep").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def _replicate_ratios(
-    units, strata, order, domains, domain_col, replicates, seed, sampler, max_array_units, batch=DOMAIN_BATCH
+    units, strata, order, domains, domain_col, replicates, seed, sampler, chunk_units
 ) -> DataFrame:
-    """The ratio of every stratum, domain and replicate; ``units`` are stored vessel rows.
-
-    A one-row size check chooses the path; strata over the limit always take the join path. All
-    batches of domains see the same draws, for a draw depends on stratum and replicate only.
-    """
+    """The ratio of every stratum, domain and replicate; one set of draws serves all domains."""
     if replicates < 1:
         raise ValueError("replicates must be positive")
-    counts = units.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
-    fits = F.col("__n") <= max_array_units
-    check = counts.agg(
-        F.count_if(fits).alias("strata"),
-        F.coalesce(F.sum(F.when(fits, F.col("__n"))), F.lit(0)).alias("units"),
-        F.count_if(~fits).alias("large"),
-    ).first()
-    small = large = units
-    if check["large"] and check["strata"]:
-        small = null_safe_join(units, counts.where(fits).select(*strata), strata, "left_semi")
-        large = null_safe_join(units, counts.where(~fits).select(*strata), strata, "left_semi")
-    parts = []
-    for start in range(0, len(domains), batch):
-        names = domains[start : start + batch]
-        values = [F.col("__byc")[start + i].alias(f"__b{i}") for i in range(len(names))]
-
-        def columns(df: DataFrame, values=values) -> DataFrame:
-            return df.select(*strata, *order, "ves_expf", *values)
-
-        sums = []
-        if check["strata"] or not check["large"]:
-            sizes = (max(1, check["strata"]), check["units"])
-            sums.append(_array_replicates(columns(small), strata, order, len(names), replicates, seed, sampler, sizes))
-        if check["large"]:
-            sums.append(
-                _joined_replicates(columns(large), strata, order, len(names), replicates, seed, sampler, max_array_units)
-            )
-        for part in sums:
-            ratios = F.array(*[divide(F.col(f"__b{i}"), F.col("ves_expf")) for i in range(len(names))])
-            parts.append(_by_domain(part.select(*strata, "rep", ratios.alias("__byc")), names, domain_col, "ratio"))
-    return reduce(DataFrame.unionByName, parts).select(*strata, domain_col, "rep", "ratio")
+    if chunk_units < 1:
+        raise ValueError("chunk_units must be positive")
+    sums = _replicate_sums(units, strata, order, len(domains), replicates, seed, sampler, chunk_units)
+    ratios = F.array(*[divide(F.col(f"__b{i}"), F.col("ves_expf")) for i in range(len(domains))])
+    return _by_domain(sums.select(*strata, "rep", ratios.alias("__byc")), domains, domain_col, "ratio")
 
 
 def _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col, vessel_col):
-    """Stored vessel rows with positive effort, and the columns that order them in a stratum."""
+    """Vessel rows with positive effort, and the columns that order them in a stratum.
+
+    They are stored in the checkpoint folder where the session has one; else later steps sum them again.
+    """
     unit_strata = list(strata) if unit_strata is None else column_list(unit_strata)
     absent = [c for c in strata if c not in unit_strata]
     if absent:
         raise ValueError(f"unit_strata lacks reporting strata: {', '.join(absent)}")
     order = [c for c in unit_strata if c not in strata] + [vessel_col]
     sums = vessel_sums(ob, unit_strata, domains, effort, unit, domain_col, vessel_col)
-    # Everything below reads the vessel table several times: store it once.
     return cut_lineage(sums.where(F.col("ves_expf") > 0)), order
 
 
@@ -263,12 +210,12 @@ def boot_replicates(
     replicates: int = 10_000,
     seed: int = 42,
     sampler: str = "xxhash64",
-    max_array_units: int = MAX_ARRAY_UNITS,
+    chunk_units: int = CHUNK_UNITS,
 ) -> DataFrame:
     """The bootstrapped ratio of every stratum, domain and replicate."""
     strata, domains = column_list(strata), domain_list(domains)
     units, order = _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col, vessel_col)
-    return _replicate_ratios(units, strata, order, domains, domain_col, replicates, seed, sampler, max_array_units)
+    return _replicate_ratios(units, strata, order, domains, domain_col, replicates, seed, sampler, chunk_units)
 
 
 def boot_summary(
@@ -283,13 +230,13 @@ def boot_summary(
     replicates: int = 10_000,
     seed: int = 42,
     sampler: str = "xxhash64",
-    max_array_units: int = MAX_ARRAY_UNITS,
+    chunk_units: int = CHUNK_UNITS,
     confidence: float = 0.95,
 ) -> DataFrame:
     """Point estimate, median, mean and percentile interval of the ratio, by stratum and domain."""
     strata, domains = column_list(strata), domain_list(domains)
     units, order = _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col, vessel_col)
-    reps = _replicate_ratios(units, strata, order, domains, domain_col, replicates, seed, sampler, max_array_units)
+    reps = _replicate_ratios(units, strata, order, domains, domain_col, replicates, seed, sampler, chunk_units)
     tail = round((1 - confidence) / 2, 10)
     stats = reps.groupBy(*strata, domain_col).agg(
         F.percentile("ratio", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail))).alias("__q"),
@@ -320,11 +267,12 @@ def bootstrap_ratio(
     domain_col: str = "species",
     replicates: int = 10_000,
     seed: int = 42,
-    program: str = "auto",
     sampler: str = "xxhash64",
     unit_cols: Sequence[str] = UNIT_COLS,
-    max_array_units: int = MAX_ARRAY_UNITS,
+    chunk_units: int = CHUNK_UNITS,
     confidence: float = 0.95,
+    *,
+    program: str,
 ) -> DataFrame:
     """Bootstrap interval of the bycatch ratio with the observed summaries, no expansion.
 
@@ -335,7 +283,7 @@ def bootstrap_ratio(
     data = program_normalise(ob, program)
     boot, observed = _boot_and_observed(
         data, strata, domains, unit_strata, effort, unit, domain_col, replicates, seed, sampler,
-        unit_cols, max_array_units, confidence,
+        unit_cols, chunk_units, confidence,
     )
     out = null_safe_join(boot, observed, [*strata, domain_col], "full")
     return _with_observed_ratio(out)
@@ -352,12 +300,13 @@ def bootstrap_expand(
     domain_col: str = "species",
     replicates: int = 10_000,
     seed: int = 42,
-    program: str = "auto",
     sampler: str = "xxhash64",
     unit_cols: Sequence[str] = UNIT_COLS,
-    max_array_units: int = MAX_ARRAY_UNITS,
+    chunk_units: int = CHUNK_UNITS,
     confidence: float = 0.95,
     complete_domains: bool = False,
+    *,
+    program: str,
 ) -> DataFrame:
     """Bootstrap interval of the bycatch ratio, expanded to the fleet.
 
@@ -368,7 +317,7 @@ def bootstrap_expand(
     data = program_normalise(ob, program)
     boot, observed = _boot_and_observed(
         data, strata, domains, unit_strata, effort, unit, domain_col, replicates, seed, sampler,
-        unit_cols, max_array_units, confidence,
+        unit_cols, chunk_units, confidence,
     )
     totals = fleet_effort(fleet, strata, effort)
     cell = [*strata, domain_col]
@@ -393,11 +342,11 @@ def bootstrap_expand(
 
 def _boot_and_observed(
     data, strata, domains, unit_strata, effort, unit, domain_col, replicates, seed, sampler, unit_cols,
-    max_array_units, confidence,
+    chunk_units, confidence,
 ):
     boot = boot_summary(
         data, strata, domains, unit_strata, effort, unit, domain_col, unit_cols[2], replicates, seed,
-        sampler, max_array_units, confidence,
+        sampler, chunk_units, confidence,
     )
     observed = stratum_domain_moments(
         data, strata, domains, effort, unit, domain_col, unit_cols=unit_cols, effort_filter=False

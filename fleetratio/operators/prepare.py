@@ -32,7 +32,7 @@ def state_of_agency(code: Column) -> Column:
 
 def season_of_month(month: Column) -> Column:
     """``summer`` for the summer months, else ``winter``; an unknown month is winter."""
-    return F.when(month.cast("int").between(*SUMMER_MONTHS), "summer").otherwise("winter")
+    return F.when(month.try_cast("int").between(*SUMMER_MONTHS), "summer").otherwise("winter")
 
 
 def prefixed_stratum(prefix: str, value: Column) -> Column:
@@ -104,20 +104,13 @@ def sectors_with_domain(
     return ob.where(F.col(domain_col) == domain).select(*columns).distinct()
 
 
-def restrict_to_sectors(
-    df: DataFrame, sectors: DataFrame, col: str = "sector", max_literals: int = 1_000
-) -> DataFrame:
-    """Rows whose sector is in the sector table.
+def restrict_to_sectors(df: DataFrame, sectors: DataFrame, col: str = "sector") -> DataFrame:
+    """Rows whose sector is in the sector table, missing matching missing; a semi-join, no job while planning.
 
-    Up to ``max_literals`` sectors become a predicate the scan evaluates: a join on so few values
-    would shuffle all records onto as many tasks. A longer list stays a semi-join.
+    Sectors are few and one may have a third of all records. Restrict aggregated rows where the column
+    is among the strata; records only where it is not.
     """
-    names = sectors.select(col).distinct()
-    found = [r[0] for r in names.limit(max_literals + 1).collect()]
-    if len(found) > max_literals:
-        return null_safe_join(df, names, [col], "left_semi")
-    keep = F.col(col).isin([v for v in found if v is not None])
-    return df.where(keep | F.col(col).isNull() if None in found else keep)
+    return null_safe_join(df, sectors.select(col).distinct(), [col], "left_semi")
 
 
 def detect_program(ob: DataFrame, sector_col: str = "sector") -> str:
@@ -132,12 +125,12 @@ def detect_program(ob: DataFrame, sector_col: str = "sector") -> str:
 
 
 def program_normalise(
-    ob: DataFrame, program: str = "auto", sector_col: str = "sector", trip_col: str = "trip_id"
+    ob: DataFrame, program: str, sector_col: str = "sector", trip_col: str = "trip_id"
 ) -> DataFrame:
     """Observer records under one convention.
 
     Shore-based data keep sampled records only. At-sea data take ``pwht_mt`` as target catch and
-    have no trips.
+    have no trips. ``auto`` looks for at-sea sectors first, which reads the table once more.
     """
     df = clean_names(ob)
     if program == "auto":

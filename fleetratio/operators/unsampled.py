@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import column_list, domain_list, require_columns
 from ..functions.nulls import is_true, measure, null_safe_join, strict_sum, sum_or_zero
 from ..functions.stats import LB_PER_MT, expand_component, percent
+from ..sources.checkpoints import cut_lineage
 from .moments import ANALYSIS
 
 # Record classes, names and codes of the catch records.
@@ -106,43 +107,13 @@ def failed_trips(ob: DataFrame, trip_col: str = "trip_id") -> DataFrame:
     return ob.where(_is("datatype", FAILED)).select(trip_col).distinct()
 
 
-def _nifq_factor(ob, strata, domains, policy, domain_col, haul_col, strict) -> DataFrame:
-    """Unsampled non-IFQ weight per stratum, one column per domain."""
-    cond = _is("datatype", UNSAMPLED_IFQ) & _is("common_name", NON_IFQ) & _is("catch_disposition", DISCARDED)
-    weight = measure("mt")
-    # A strict sum also needs the rows whose condition is unknown: they make it unknown.
-    maybe = (
-        _possible("datatype", UNSAMPLED_IFQ)
-        & _possible("common_name", NON_IFQ)
-        & _possible("catch_disposition", DISCARDED)
-    )
-    by_haul = (
-        ob.where(maybe if strict else cond)
-        .groupBy(*strata, haul_col)
-        .agg((strict_sum(weight, cond) if strict else sum_or_zero(F.when(cond, weight))).alias("__mt"))
-    )
-    hauls = nifq_haul_domains(ob, domains, domain_col, haul_col)
-    joined = null_safe_join(by_haul, hauls, [haul_col], "inner")
+def _total(value: Column, cond: Column, strict: bool) -> Column:
+    return strict_sum(value, cond) if strict else sum_or_zero(F.when(cond, value))
 
-    def factor(domain: str) -> Column:
-        chosen = F.lit(True) if policy[domain] == ALWAYS else ~F.array_contains("present", domain)
-        value = F.col("__mt")
-        return strict_sum(value, chosen) if strict else sum_or_zero(F.when(chosen, value))
 
-    return joined.groupBy(*strata).agg(*[factor(d).alias(f"__nifq{i}") for i, d in enumerate(domains)])
-
-
-def _failed_factor(ob, strata, trip_col, strict) -> DataFrame:
-    """Target catch of failed trips per stratum; records are summed by trip before the join."""
-    value = measure("tgt_mt")
-    by_trip = ob.groupBy(*strata, trip_col).agg(
-        (strict_sum(value) if strict else sum_or_zero(value)).alias("__tgt")
-    )
-    chosen = null_safe_join(by_trip, failed_trips(ob, trip_col), [trip_col], "left_semi")
-    total = F.col("__tgt")
-    return chosen.groupBy(*strata).agg(
-        (strict_sum(total) if strict else sum_or_zero(total)).alias("fail_expf")
-    )
+def _again(name: str, strict: bool) -> Column:
+    """Sum of sums: one that is unknown makes a strict sum unknown."""
+    return strict_sum(F.col(name)) if strict else sum_or_zero(F.col(name))
 
 
 def _seen() -> Column:
@@ -150,42 +121,45 @@ def _seen() -> Column:
     return _is("datatype", ANALYSIS) | (_is("datatype", UNSAMPLED_IFQ) & (F.col("common_name") != NON_IFQ))
 
 
-def _stratum_sums(ob, strata, domains, domain_col, strict) -> DataFrame:
-    """All sums taken record by record: numerators of every domain, denominators, factors, effort.
+SUMS = ("nifq_denom", "zmis_denom", "zmis_expf", "unst_denom", "unst_expf", "fail_denom")
+
 
-    One pass of conditional sums straight to the stratum, so a task sends one row per stratum.
+def _unit_sums(ob, strata, haul_col, trip_col, vessel_col, strict) -> DataFrame:
+    """Everything that does not depend on a domain, by stratum, haul, trip and vessel, in one scan.
+
+    Stored where the session has a checkpoint folder: four consumers read it.
     """
     analysis, discarded = _is("datatype", ANALYSIS), _is("catch_disposition", DISCARDED)
     zmis = _is("datatype", UNSAMPLED_ZMIS) & discarded
+    nifq = _is("datatype", UNSAMPLED_IFQ) & _is("common_name", NON_IFQ) & discarded
     mt, tgt = measure("mt"), measure("tgt_mt")
-    count, weight = measure("exp_sp_ct"), measure("exp_sp_wt") / LB_PER_MT
-
-    def total(value: Column, cond: Column) -> Column:
-        return strict_sum(value, cond) if strict else sum_or_zero(F.when(cond, value))
-
     sums = {
-        "nifq_denom": total(mt, (F.col("ifq") == 0) & analysis & discarded),
-        "zmis_denom": total(mt, analysis & discarded),
-        "zmis_expf": total(mt, zmis & _is("common_name", MISC_MIXED)),
-        "unst_denom": total(mt, analysis),
-        "unst_expf": total(mt, zmis & _is("common_name", UNSORTED)),
-        "fail_denom": total(tgt, analysis),
+        "nifq_denom": _total(mt, (F.col("ifq") == 0) & analysis & discarded, strict),
+        "zmis_denom": _total(mt, analysis & discarded, strict),
+        "zmis_expf": _total(mt, zmis & _is("common_name", MISC_MIXED), strict),
+        "unst_denom": _total(mt, analysis, strict),
+        "unst_expf": _total(mt, zmis & _is("common_name", UNSORTED), strict),
+        "fail_denom": _total(tgt, analysis, strict),
         "obs_tgt_mt": sum_or_zero(F.when(_seen(), tgt)),
         "unobs_tgt_mt": sum_or_zero(F.when(~_seen(), tgt)),
+        "__nifq": _total(mt, nifq, strict),
+        "__tgt": _total(tgt, F.lit(True), strict),
+        "__failed": F.bool_or(is_true(_is("datatype", FAILED))),
+        "__seen": F.bool_or(is_true(_seen())),
+        "__unseen": F.bool_or(is_true(~_seen())),
+        "__unknown": F.bool_or(_seen().isNull()),
     }
-    for i, d in enumerate(domains):
-        own = analysis & discarded & (F.col(domain_col) == d)
-        sums[f"__ct{i}"], sums[f"__wt{i}"] = total(count, own), total(weight, own)
-    return ob.groupBy(*strata).agg(*[expr.alias(name) for name, expr in sums.items()])
+    units = ob.groupBy(*strata, haul_col, trip_col, vessel_col).agg(*[expr.alias(name) for name, expr in sums.items()])
+    return cut_lineage(units)
+
 
+def _stratum_sums(units, strata, strict) -> DataFrame:
+    plain = [sum_or_zero(F.col(c)).alias(c) for c in ("obs_tgt_mt", "unobs_tgt_mt")]
+    return units.groupBy(*strata).agg(*[_again(c, strict).alias(c) for c in SUMS], *plain)
 
-def _unit_counts(ob, strata, haul_col, vessel_col) -> DataFrame:
+
+def _unit_counts(units, strata, haul_col, vessel_col) -> DataFrame:
     """Observed and unobserved hauls and observed vessels; only ids and flags are shuffled."""
-    units = ob.groupBy(*strata, haul_col, vessel_col).agg(
-        F.bool_or(is_true(_seen())).alias("__seen"),
-        F.bool_or(is_true(~_seen())).alias("__unseen"),
-        F.bool_or(_seen().isNull()).alias("__unknown"),
-    )
     # A record of unknown class adds the missing value once to each count.
     unknown = F.bool_or("__unknown")
 
@@ -201,6 +175,81 @@ def _unit_counts(ob, strata, haul_col, vessel_col) -> DataFrame:
     )
 
 
+def _failed_factor(units, strata, trip_col, strict) -> DataFrame:
+    """Target catch of failed trips per stratum; records are summed by trip before the join."""
+    by_trip = units.groupBy(*strata, trip_col).agg(_again("__tgt", strict).alias("__tgt"))
+    failed = units.where("__failed").select(trip_col).distinct()
+    chosen = null_safe_join(by_trip, failed, [trip_col], "left_semi")
+    return chosen.groupBy(*strata).agg(_again("__tgt", strict).alias("fail_expf"))
+
+
+def _nifq_factors(units, ob, strata, domains, domain_col, haul_col, strict) -> DataFrame:
+    """Unsampled non-IFQ weight of the marked hauls per stratum.
+
+    ``__nifq_all`` is (weight, unknown hauls, hauls) of all of them, ``__nifq_present`` the same by
+    domain for those that discarded the domain by name; a list of domains costs no more than its
+    hauls have.
+    """
+    by_haul = units.groupBy(*strata, haul_col).agg(_again("__nifq", strict).alias("__mt"))
+    joined = null_safe_join(by_haul, nifq_haul_domains(ob, domains, domain_col, haul_col), [haul_col], "inner")
+    groups = F.concat(F.array(F.lit(None).cast("string")), "present")
+    rows = joined.select(*strata, "__mt", F.explode(groups).alias("__domain"))
+    sums = rows.groupBy(*strata, "__domain").agg(
+        F.struct(
+            sum_or_zero(F.col("__mt")).alias("mt"), F.count_if(F.col("__mt").isNull()).alias("unknown"), F.count(F.lit(1)).alias("n")
+        ).alias("__sum")
+    )
+    named = F.col("__domain").isNotNull()
+    return sums.groupBy(*strata).agg(
+        F.max(F.when(~named, F.col("__sum"))).alias("__nifq_all"),
+        F.map_from_entries(F.collect_list(F.when(named, F.struct("__domain", "__sum")))).alias("__nifq_present"),
+    )
+
+
+def _domain_sums(ob, strata, domains, domain_col, strict) -> DataFrame:
+    """Discarded count and weight of the sampled records, by domain (map ``__own``) per stratum.
+
+    Only records of the domains leave the scan, and those whose class, disposition or domain is
+    missing: they make a strict sum unknown, without a domain that of every domain (``__blurred``).
+    """
+    analysis, discarded = _is("datatype", ANALYSIS), _is("catch_disposition", DISCARDED)
+    own = analysis & discarded & F.when(F.col(domain_col).isNotNull(), True)
+    count, weight = measure("exp_sp_ct"), measure("exp_sp_wt") / LB_PER_MT
+    listed = F.col(domain_col).isin(list(domains))
+    if strict:
+        wanted = _possible("datatype", ANALYSIS) & _possible("catch_disposition", DISCARDED) & (listed | F.col(domain_col).isNull())
+    else:
+        wanted = analysis & discarded & listed
+    sums = ob.where(wanted).groupBy(*strata, F.col(domain_col).alias("__domain")).agg(
+        F.struct(_total(count, own, strict).alias("ct"), _total(weight, own, strict).alias("wt")).alias("__sum")
+    )
+    named = F.col("__domain").isNotNull()
+    return sums.groupBy(*strata).agg(
+        F.coalesce(F.bool_or(~named & F.col("__sum.ct").isNull()), F.lit(False)).alias("__blurred"),
+        F.map_from_entries(F.collect_list(F.when(named, F.struct("__domain", "__sum")))).alias("__own"),
+    )
+
+
+def _by_domain(parts: DataFrame, domains, policy, strict: bool) -> DataFrame:
+    """One row per stratum and domain, with the domain's sums from the stratum's maps."""
+    kinds = F.array(*[F.struct(F.lit(d).alias("bycsp"), F.lit(policy[d] == ALWAYS).alias("__always")) for d in domains])
+    long = parts.select("*", F.inline(kinds))
+    name = F.col("bycsp")
+    own, present = F.try_element_at("__own", name), F.try_element_at("__nifq_present", name)
+    everything, zero = F.col("__nifq_all"), F.lit(0.0)
+
+    def left(field: str) -> Column:
+        taken = F.coalesce(F.when(~F.col("__always"), present[field]), F.lit(0))
+        return F.coalesce(everything[field], F.lit(0)) - taken
+
+    nifq = F.when(left("n") > 0, left("mt")).otherwise(zero)
+    sums = {u: F.when(own.isNull(), zero).otherwise(own[u]) for u in ("ct", "wt")}
+    if strict:
+        nifq = F.when(left("unknown") == 0, nifq)
+        sums = {u: F.when(~F.coalesce("__blurred", F.lit(False)), c) for u, c in sums.items()}
+    return long.withColumns({"__ct": sums["ct"], "__wt": sums["wt"], "nifq_expf": nifq})
+
+
 def _join_sums(left: DataFrame, sums: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Left join of stratum sums: a stratum without any record sums to 0, an unknown sum stays NULL."""
     names = [c for c in sums.columns if c not in strata]
@@ -221,8 +270,8 @@ def expand_unsampled(
 ) -> DataFrame:
     """Estimated discards of unsampled and failed records in four components.
 
-    All domains are computed together: domain-free sums once per stratum, domain sums as columns,
-    unpivoted at the end on stratum rows. ``na_policy='ignore'`` leaves missing values out instead
+    Domain-free sums are taken once, from one aggregation by haul, trip and vessel; the sums of the domains are
+    rows, so a long list costs no more per record than a short one. ``na_policy='ignore'`` leaves missing values out instead
     of letting them make a sum missing. ``observed_weight_from_counts`` takes the observed weight
     from the counts, as older reports did.
     """
@@ -238,27 +287,16 @@ def expand_unsampled(
          "exp_sp_ct", "exp_sp_wt"],
         "observer table",
     )
-    parts = _stratum_sums(ob, strata, domains, domain_col, strict)
+    units = _unit_sums(ob, strata, haul, trip, vessel, strict)
+    parts = _stratum_sums(units, strata, strict)
+    for part in (_unit_counts(units, strata, haul, vessel), _failed_factor(units, strata, trip, strict)):
+        parts = _join_sums(parts, part, strata)
     for part in (
-        _unit_counts(ob, strata, haul, vessel),
-        _nifq_factor(ob, strata, domains, policy, domain_col, haul, strict),
-        _failed_factor(ob, strata, trip, strict),
+        _nifq_factors(units, ob, strata, domains, domain_col, haul, strict),
+        _domain_sums(ob, strata, domains, domain_col, strict),
     ):
-        parts = _join_sums(parts, part, strata)
-
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(d).alias("bycsp"),
-                F.col(f"__ct{i}").alias("__ct"),
-                F.col(f"__wt{i}").alias("__wt"),
-                F.col(f"__nifq{i}").alias("nifq_expf"),
-            )
-            for i, d in enumerate(domains)
-        ]
-    )
-    names = [c for c in parts.columns if not c.startswith(("__ct", "__wt", "__nifq"))]
-    long = parts.select(*names, F.inline(cells))
+        parts = null_safe_join(parts, part, strata, "left")
+    long = _by_domain(parts, domains, policy, strict)
     for c in COMPONENTS:
         long = long.withColumns({f"{c}_num_ct": F.col("__ct"), f"{c}_num_wt": F.col("__wt")})
     estimates = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,13 +56,17 @@ from ..operators.quality import (
 from ..operators.ratio import ratio_table
 from ..operators.unsampled import ALWAYS, EXCLUDE_IF_PRESENT, expand_unsampled, failed_trips, nifq_haul_set
 from ..sources.fixtures import fleet_view, observer_view, table
-from .requests import species_request
+from ..sources.tables import read_table, write_result
+from .requests import sector_request, species_request
 
 SYG = ["sector", "year", "gear"]
 SY = ["sector", "year"]
 UNITS = ["haul_id", "trip_id", "drvid"]
 DOMAINS = ["PROMO", "SMALL"]
 POLICY = {"PROMO": EXCLUDE_IF_PRESENT, "SMALL": ALWAYS}
+SPECIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+# species by sector, and ten that never occur: a list of 40
+FORTY = [f"{s} {r}" for s in SPECIES for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")] + [f"NEVER {i}" for i in range(10)]
 SAMPLE = [*SYG, *UNITS, "datatype"]
 MD5 = {"sampler": "md5", "seed": 42}
 
@@ -129,10 +134,25 @@ def species_request_expanded(spark, sf_dir):
     return species_request(ob, fleet, "PROMO", drop_sectors=["AFRICA"])
 
 
+@register("request_six_species")
+def request_of_six_species(spark, sf_dir):
+    """Counts of six species by one stratum, given as text."""
+    ob = observer_view(spark, sf_dir, [*SAMPLE, "species", "tgt_mt", "exp_sp_ct"])
+    fleet = fleet_view(spark, sf_dir, ["sector", "tgt_mt"])
+    return round_measures(expand_to_fleet(ob, fleet, "sector", SPECIES, unit="exp_sp_ct", cleanup=False), ["sector"])
+
+
+@register("sector_request")
+def sector_request_by_group(spark, sf_dir):
+    ob = observer_view(spark, sf_dir, [*SAMPLE, "r_state", "species", "grouping", "tgt_mt", "dis_mt"])
+    fleet = fleet_view(spark, sf_dir, [*SYG, "agency_code", "tgt_mt"])
+    return sector_request(ob, fleet, ["ASIA", "EUROPE"], DOMAINS, group_col="grouping")
+
+
 @register("boot_ratio")
 def boot_ratio(spark, sf_dir):
     ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
-    out = bootstrap_ratio(ob, SY, DOMAINS, replicates=200, program="shore", **MD5)
+    out = bootstrap_ratio(ob, SY, DOMAINS, replicates=10_000, program="shore", **MD5)
     return round_measures(out, SY)
 
 
@@ -146,7 +166,7 @@ def boot_expand(spark, sf_dir):
         codes=["PROM"], whole=True,
     )
     fleet = derive_fleet_strata(fleet_view(spark, sf_dir, ["year", "agency_code", "landing_month", "tgt_mt"]))
-    out = bootstrap_expand(ob, fleet, keys, ["PROMO"], unit="promo_count", replicates=200, **MD5)
+    out = bootstrap_expand(ob, fleet, keys, ["PROMO"], unit="promo_count", replicates=10_000, program="shore", **MD5)
     return round_measures(out, keys)
 
 
@@ -154,17 +174,50 @@ def boot_expand(spark, sf_dir):
 def boot_expand_unobserved(spark, sf_dir):
     ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
     fleet = fleet_view(spark, sf_dir, [*SY, "tgt_mt"])
-    out = bootstrap_expand(ob, fleet, SY, DOMAINS, replicates=50, program="shore", **MD5)
+    out = bootstrap_expand(ob, fleet, SY, DOMAINS, replicates=10_000, program="shore", **MD5)
     return round_measures(out, SY)
 
 
 @register("boot_pooled")
 def boot_pooled(spark, sf_dir):
     ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
-    out = bootstrap_ratio(ob, "sector", DOMAINS, unit_strata=SY, replicates=100, program="shore", **MD5)
+    out = bootstrap_ratio(ob, "sector", DOMAINS, unit_strata=SY, replicates=10_000, program="shore", **MD5)
+    return round_measures(out, ["sector"])
+
+
+@register("boot_chunks")
+def boot_chunks(spark, sf_dir):
+    """Strata cut into chunks of seven vessels; the SQL knows no chunks."""
+    ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
+    out = bootstrap_ratio(ob, SY, DOMAINS, replicates=200, chunk_units=7, program="shore", **MD5)
+    return round_measures(out, SY)
+
+
+@register("boot_pooled_expand")
+def boot_pooled_expand(spark, sf_dir):
+    ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
+    fleet = fleet_view(spark, sf_dir, ["sector", "tgt_mt"])
+    out = bootstrap_expand(ob, fleet, "sector", DOMAINS, unit_strata=SY, program="shore", **MD5)
     return round_measures(out, ["sector"])
 
 
+@register("boot_complete_domains")
+def boot_complete_domains(spark, sf_dir):
+    ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
+    fleet = fleet_view(spark, sf_dir, [*SY, "tgt_mt"])
+    out = bootstrap_expand(ob, fleet, SY, DOMAINS, complete_domains=True, program="shore", **MD5)
+    return round_measures(out, SY)
+
+
+@register("boot_at_sea")
+def boot_at_sea(spark, sf_dir):
+    """At-sea conventions: processed weight as effort, all record classes, no trips."""
+    ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "pwht_mt", "dis_mt"])
+    at_sea = ob.withColumn("sector", F.when(F.col("sector") == "ASIA", "MOTHERSHIP").otherwise(F.col("sector")))
+    out = bootstrap_ratio(at_sea, SY, DOMAINS, program="at_sea", **MD5)
+    return round_measures(out, SY)
+
+
 @register("boot_replicates")
 def boot_replicate_ratios(spark, sf_dir):
     ob = observer_view(spark, sf_dir, [*SY, "drvid", "datatype", "species", "tgt_mt", "dis_mt"])
@@ -181,6 +234,24 @@ def unsampled_expansion(spark, sf_dir):
     return round_measures(out, keys)
 
 
+UNSAMPLED = ["year", "r_state", *UNITS, "species", "datatype", "common_name", "ifq", "catch_disposition", "mt", "tgt_mt",
+             "exp_sp_ct", "exp_sp_wt"]
+
+
+@register("unsampled_all_species")
+def unsampled_all_species(spark, sf_dir):
+    keys, policy = ["year", "r_state"], {s: ALWAYS if s == "SMALL" else EXCLUDE_IF_PRESENT for s in SPECIES}
+    return round_measures(expand_unsampled(observer_view(spark, sf_dir, UNSAMPLED), keys, SPECIES, policy), keys)
+
+
+@register("unsampled_ignore_missing")
+def unsampled_ignore_missing(spark, sf_dir):
+    """Missing values left out instead of making a sum missing."""
+    keys = ["year", "r_state"]
+    ob = observer_view(spark, sf_dir, UNSAMPLED)
+    return round_measures(expand_unsampled(ob, keys, DOMAINS, POLICY, na_policy="ignore"), keys)
+
+
 @register("ratio_se")
 def ratio_standard_error(spark, sf_dir):
     cols = [*SYG, *UNITS, "tgt_mt", "dis_mt"]
@@ -221,6 +292,13 @@ def vessel_sums(spark, sf_dir):
     return round_measures(vessel_rollup(ob, SY, DOMAINS, "gfr_mt"), SY)
 
 
+@register("vessel_rollup_forty")
+def vessel_sums_of_forty(spark, sf_dir):
+    ob = observer_view(spark, sf_dir, [*SY, "drvid", "species", "gfr_mt", "dis_mt"])
+    ob = ob.withColumn("kind", F.concat_ws(" ", "species", "sector"))
+    return round_measures(vessel_rollup(ob, ["year"], FORTY, "gfr_mt", domain_col="kind"), ["year"])
+
+
 @register("program_normalise")
 def program_conventions(spark, sf_dir):
     cols = ["sector", "trip_id", "drvid", "datatype", "tgt_mt", "pwht_mt"]
@@ -235,7 +313,7 @@ def program_conventions(spark, sf_dir):
             F.sum("tgt_mt").alias("tgt_mt"),
         )
 
-    parts = [summary(program_normalise(at_sea), "at_sea"), summary(program_normalise(ob), "shore")]
+    parts = [summary(program_normalise(at_sea, "auto"), "at_sea"), summary(program_normalise(ob, "auto"), "shore")]
     return round_measures(union_domains(parts), ["sector"])
 
 
@@ -298,6 +376,14 @@ def vessel_tickets(spark, sf_dir):
     return round_measures(vessel_ticket_join(ob, fleet, SY, "PROMO"), SY)
 
 
+@register("vessel_ticket_matches")
+def vessel_tickets_matched(spark, sf_dir):
+    """Observed vessels with landings only; one vessel in three has none here."""
+    ob = observer_view(spark, sf_dir, [*SY, "drvid", "datatype", "species", "gfr_mt", "dis_mt"]).where(F.col("datatype") == "Analysis Data")
+    fleet = fleet_view(spark, sf_dir, [*SY, "drvid", "gfr_mt"]).where(F.col("drvid") % 3 != 0)
+    return round_measures(vessel_ticket_join(ob, fleet, SY, "PROMO", matched_only=True), SY)
+
+
 @register("nifq_haul_set")
 def nifq_hauls(spark, sf_dir):
     cols = ["haul_id", "species", "datatype", "common_name", "ifq", "catch_disposition"]
@@ -423,7 +509,7 @@ def unobserved_strata_audit(spark, sf_dir):
 
 
 @register("reconcile")
-def reconciled_ratios(spark, sf_dir):
+def reconciled_ratios(spark, sf_dir, mismatches_only=False):
     """The ratio over hauls against the ratio over vessels, which keeps records without haul."""
     ob = observer_view(spark, sf_dir, [*SYG, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
     by_haul = ratio_table(ob, SYG, DOMAINS, analysis_only=True)
@@ -434,10 +520,15 @@ def reconciled_ratios(spark, sf_dir):
         .agg(F.sum("ves_byc").alias("total_byc"), F.sum("ves_expf").alias("total_expf"))
         .withColumn("byc_ratio", divide(F.col("total_byc"), F.col("total_expf")))
     )
-    out = reconcile(by_haul, by_vessel, [*SYG, "species"], ["total_byc", "byc_ratio"], tolerance=1e-4)
+    out = reconcile(by_haul, by_vessel, [*SYG, "species"], ["total_byc", "byc_ratio"], tolerance=1e-4, mismatches_only=mismatches_only)
     return round_measures(out, SYG)
 
 
+@register("reconcile_mismatches")
+def reconciled_mismatches(spark, sf_dir):
+    return reconciled_ratios(spark, sf_dir, mismatches_only=True)
+
+
 @register("cell_range")
 def cell_range_of_vessels(spark, sf_dir):
     keys = [*SYG, "state", "season"]
@@ -469,3 +560,12 @@ def numeric_years(spark, sf_dir):
     texts = ob.withColumn("year", F.concat(F.lit(" "), F.col("year").cast("string")))
     out = numeric_year(texts).groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("mt").alias("mt"))
     return round_measures(out, ["year"])
+
+
+@register("result_round_trip")
+def result_round_trip(spark, sf_dir):
+    """Totals written to a folder under the warehouse and read back through the reader."""
+    fleet = fleet_view(spark, sf_dir, [*SYG, "tgt_mt"])
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fleetratio-round-trip-{uuid.uuid4().hex}"
+    write_result(fleet_effort(fleet, SYG), path)
+    return round_measures(read_table(spark, path, required=[*SYG, "fleet_expf"]), SYG)

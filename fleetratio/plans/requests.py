@@ -25,20 +25,26 @@ def species_request(
     effort: str = "tgt_mt",
     unit: str = "dis_mt",
 ) -> DataFrame:
-    """Expanded discards of one species in the sectors that ever caught it."""
+    """Expanded discards of one species in the sectors that ever caught it.
+
+    With the sector among the strata the report is restricted, a row per stratum; else the records are.
+    """
     sectors = sectors_with_domain(ob, species)
+    strata, late = list(strata), "sector" in strata
 
     def prepared(df: DataFrame) -> DataFrame:
-        return restrict_to_sectors(sector_filter(df, drop=list(drop_sectors)), sectors)
+        kept = sector_filter(df, drop=list(drop_sectors))
+        return kept if late else restrict_to_sectors(kept, sectors)
 
-    return expand_to_fleet(
+    report = expand_to_fleet(
         derive_observer_strata(prepared(ob)),
         derive_fleet_strata(prepared(fleet)),
-        list(strata),
+        strata,
         [species],
         effort,
         unit,
     )
+    return restrict_to_sectors(report, sectors) if late else report
 
 
 def sector_request(

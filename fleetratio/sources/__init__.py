@@ -1,4 +1,4 @@
-from .checkpoints import cut_lineage, ensure_checkpoint_dir
+from .checkpoints import cut_lineage, checkpoint_dir
 from .tables import read_fleet, read_observer, read_table, write_result
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "read_fleet", "read_observer", "read_table", "write_result"]
+__all__ = ["cut_lineage", "checkpoint_dir", "read_fleet", "read_observer", "read_table", "write_result"]

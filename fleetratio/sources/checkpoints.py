@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
-
-    It comes from ``spark.checkpoint.dir`` (or an earlier ``setCheckpointDir``). Only a local
-    session without either gets a temporary folder: on a cluster that would not be shared.
-    """
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``, or an earlier ``setCheckpointDir``."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="fleetratio-checkpoint-")
-    sc.setCheckpointDir(configured)
+    if not sc.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` stored in the shared checkpoint folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` stored in the shared checkpoint folder, where it survives the loss of executors.
+
+    Without a folder ``df`` itself: what reads it computes it again.
+    """
+    return df.checkpoint(eager=True) if checkpoint_dir(df.sparkSession) else df

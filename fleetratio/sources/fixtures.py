@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import read_table
+
 # Declared so that opening a table starts no inference job.
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -83,7 +85,7 @@ FLEET = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", schema=SCHEMAS[name])
 
 
 def _view(spark: SparkSession, sf_dir: str, exprs: dict, columns: Sequence[str] | None) -> DataFrame:

@@ -70,6 +70,8 @@ fleet AS (
 )
 """
 
+SPECIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+SECTORS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 SYG = ["sector", "year", "gear"]
 SY = ["sector", "year"]
 UNITS = ["haul_id", "trip_id", "drvid"]
@@ -216,17 +218,23 @@ SELECT * EXCLUDE (lo), CASE WHEN lo IS NULL OR obs_byc IS NULL THEN NULL WHEN lo
   AS est_byc_lower FROM report"""
 
 
+def key_text(columns):
+    """One text for several values, separators in a value escaped, missing ones marked."""
+    part = "coalesce('V' || replace(replace(CAST(\"{}\" AS VARCHAR), '\\', '\\\\'), '|', '\\|'), 'N')"
+    return " || '|' || ".join(part.format(c) for c in columns)
+
+
 def boot_ctes(strata, unit, domains, reps, unit_strata=None, src="ad", seed=42):
     """Draw every unit number by md5 and look it up; ``src`` holds sampled records only."""
     us = unit_strata or strata
     order = [c for c in us if c not in strata] + ["drvid"]
-    salt = " || '|' || ".join(f"coalesce('V' || CAST(\"{c}\" AS VARCHAR), 'N')" for c in strata)
+    salt = key_text(strata)
     return f"""
 ves AS (
   SELECT {q(us)}, drvid, coalesce(sum(tgt_mt), 0) AS e FROM {src} GROUP BY {q(us)}, drvid
 ),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY {q(strata)} ORDER BY {', '.join(f'"{c}" NULLS FIRST' for c in order)}) - 1 AS idx,
+  SELECT *, row_number() OVER (PARTITION BY {q(strata)} ORDER BY md5({key_text(order)}), {', '.join(f'"{c}" NULLS FIRST' for c in order)}) - 1 AS idx,
     count(*) OVER (PARTITION BY {q(strata)}) AS n
   FROM ves WHERE e > 0
 ),
@@ -258,11 +266,14 @@ boot AS (
 
 
 AD = ", ad AS (SELECT * FROM ob WHERE datatype = 'Analysis Data')"
+AT_SEA = """, ad AS (
+  SELECT * REPLACE (CASE WHEN sector = 'ASIA' THEN 'MOTHERSHIP' ELSE sector END AS sector, pwht_mt AS tgt_mt,
+    CAST(NULL AS BIGINT) AS trip_id) FROM ob)"""
 BOOT_COLS = ["point_est_ratio", "median_ratio", "mean_ratio", "lower_ci", "upper_ci"]
 
 
 def observed_ctes(strata, unit, domains, src="ad"):
-    return f"""{effort_ctes(strata, 'tgt_mt', src)},
+    return f"""{effort_ctes(strata, 'tgt_mt', src, 'TRUE')},
 {bycatch_ctes(strata, unit, domains, src)},
 seen AS (
   SELECT {q(strata, 'b.')}, b.species, {q(EFFORT_COLS, 'e.')}, {q(BYC_COLS, 'b.')}
@@ -274,8 +285,8 @@ DERIVED = """round(n_hauls_byc / nullif(n_obs_hauls, 0) * 100, 2) AS pct_hauls_b
   round(total_byc / nullif(total_expf, 0), 6) AS byc_ratio"""
 
 
-def boot_ratio_sql(strata, unit, domains, reps, unit_strata=None):
-    return f"""{BASE}{AD}, {boot_ctes(strata, unit, domains, reps, unit_strata)},
+def boot_ratio_sql(strata, unit, domains, reps, unit_strata=None, ad=AD):
+    return f"""{BASE}{ad}, {boot_ctes(strata, unit, domains, reps, unit_strata)},
 {observed_ctes(strata, unit, domains)},
 both_ AS (
   SELECT {merged('b', 'o', strata + ['species'])}, {q(BOOT_COLS, 'b.')}, {q(EFFORT_COLS + BYC_COLS, 'o.')}
@@ -284,13 +295,17 @@ both_ AS (
 SELECT {q(strata + ['species'])}, {rounded(BOOT_COLS + MOMENTS)}, {q(COUNTS[:4])}, {DERIVED} FROM both_"""
 
 
-def boot_expand_sql(strata, unit, domains, reps, ad=AD):
-    return f"""{BASE}{ad}, {boot_ctes(strata, unit, domains, reps)},
+def boot_expand_sql(strata, unit, domains, reps, ad=AD, unit_strata=None, complete=False):
+    spread = f"CROSS JOIN (VALUES {values(domains)}) v(species)" if complete else ""
+    species, key = ("coalesce(f.species, b.species) AS species", strata + ["species"]) if complete else ("b.species", strata)
+    return f"""{BASE}{ad}, {boot_ctes(strata, unit, domains, reps, unit_strata)},
 {observed_ctes(strata, unit, domains)},
-land AS (SELECT {q(strata)}, coalesce(sum(tgt_mt), 0) AS fleet_expf FROM fleet GROUP BY {q(strata)}),
+land AS (
+  SELECT * FROM (SELECT {q(strata)}, coalesce(sum(tgt_mt), 0) AS fleet_expf FROM fleet GROUP BY {q(strata)}) {spread}
+),
 step AS (
-  SELECT {merged('f', 'b', strata)}, b.species, f.fleet_expf, {q(BOOT_COLS, 'b.')}
-  FROM land f FULL JOIN boot b ON {same('f', 'b', strata)}
+  SELECT {merged('f', 'b', strata)}, {species}, f.fleet_expf, {q(BOOT_COLS, 'b.')}
+  FROM land f FULL JOIN boot b ON {same('f', 'b', key)}
 ),
 both_ AS (
   SELECT {merged('s', 'o', strata + ['species'])}, s.fleet_expf, {q(BOOT_COLS, 's.')}, {q(EFFORT_COLS + BYC_COLS, 'o.')}
@@ -320,7 +335,12 @@ NIFQ_RECORD = """(datatype = 'Unsampled IFQ' AND (common_name = 'Non-IFQ Fish Sp
   AND catch_disposition = 'D')"""
 
 
-def unsampled_sql(select=None):
+def lenient(value, cond="TRUE"):
+    """Missing values and unknown conditions left out."""
+    return f"coalesce(sum(CASE WHEN {cond} THEN {value} END), 0)"
+
+
+def unsampled_sql(select=None, domains=(("PROMO", False), ("SMALL", True)), total=strict):
     k = ["year", "r_state"]
     seen = "(datatype = 'Analysis Data' OR (datatype = 'Unsampled IFQ' AND common_name <> 'Non-IFQ Fish Species'))"
     own = "o.species = d.bycsp AND datatype = 'Analysis Data' AND catch_disposition = 'D'"
@@ -345,29 +365,28 @@ def unsampled_sql(select=None):
     out = factors + ests + ["obs_tgt_mt", "obs_byc_ct", "obs_byc_wt", "unobs_tgt_mt", "total_tgt_mt"]
     return f"""{BASE},
 nifq_hauls AS (SELECT DISTINCT haul_id FROM ob WHERE {NIFQ_RECORD}),
-present AS (SELECT DISTINCT haul_id FROM ob WHERE species = 'PROMO' AND catch_disposition = 'D'),
+present AS (SELECT DISTINCT haul_id, species FROM ob WHERE catch_disposition = 'D'),
+dom AS (SELECT * FROM (VALUES {', '.join(f"('{s}', {always})" for s, always in domains)}) d(bycsp, always)),
 hset AS (
-  SELECT haul_id, 'SMALL' AS bycsp FROM nifq_hauls
-  UNION ALL
-  SELECT n.haul_id, 'PROMO' FROM nifq_hauls n
-  WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.haul_id IS NOT DISTINCT FROM n.haul_id)
+  SELECT n.haul_id, d.bycsp FROM nifq_hauls n CROSS JOIN dom d
+  WHERE d.always OR NOT EXISTS (SELECT 1 FROM present p WHERE p.species = d.bycsp AND p.haul_id IS NOT DISTINCT FROM n.haul_id)
 ),
 failed AS (SELECT DISTINCT trip_id FROM ob WHERE datatype = 'Failed Data'),
 marked AS (
   SELECT o.*, d.bycsp, {own} AS own, {seen} AS seen, {failed} AS in_failed, {in_set} AS chosen
-  FROM ob o CROSS JOIN (VALUES ('PROMO'), ('SMALL')) d(bycsp)
+  FROM ob o CROSS JOIN dom d
 ),
 sums AS (
   SELECT {q(k)}, bycsp,
-    {strict('exp_sp_ct', 'own')} AS num_ct, {strict('exp_sp_wt / 2204.6', 'own')} AS num_wt,
-    {strict('mt', "ifq = 0 AND datatype = 'Analysis Data' AND catch_disposition = 'D'")} AS nifq_denom,
-    {strict('mt', nifq)} AS nifq_expf,
-    {strict('mt', "datatype = 'Analysis Data' AND catch_disposition = 'D'")} AS zmis_denom,
-    {strict('mt', "datatype = 'Unsampled ZMIS' AND common_name = 'Misc Mixed Species' AND catch_disposition = 'D'")} AS zmis_expf,
-    {strict('mt', "datatype = 'Analysis Data'")} AS unst_denom,
-    {strict('mt', "datatype = 'Unsampled ZMIS' AND common_name = 'Unsorted catch not sampled' AND catch_disposition = 'D'")} AS unst_expf,
-    {strict('tgt_mt', "datatype = 'Analysis Data'")} AS fail_denom,
-    {strict('tgt_mt', 'in_failed')} AS fail_expf,
+    {total('exp_sp_ct', 'own')} AS num_ct, {total('exp_sp_wt / 2204.6', 'own')} AS num_wt,
+    {total('mt', "ifq = 0 AND datatype = 'Analysis Data' AND catch_disposition = 'D'")} AS nifq_denom,
+    {total('mt', nifq)} AS nifq_expf,
+    {total('mt', "datatype = 'Analysis Data' AND catch_disposition = 'D'")} AS zmis_denom,
+    {total('mt', "datatype = 'Unsampled ZMIS' AND common_name = 'Misc Mixed Species' AND catch_disposition = 'D'")} AS zmis_expf,
+    {total('mt', "datatype = 'Analysis Data'")} AS unst_denom,
+    {total('mt', "datatype = 'Unsampled ZMIS' AND common_name = 'Unsorted catch not sampled' AND catch_disposition = 'D'")} AS unst_expf,
+    {total('tgt_mt', "datatype = 'Analysis Data'")} AS fail_denom,
+    {total('tgt_mt', 'in_failed')} AS fail_expf,
     coalesce(sum(CASE WHEN seen THEN tgt_mt END), 0) AS obs_tgt_mt,
     coalesce(sum(CASE WHEN NOT seen THEN tgt_mt END), 0) AS unobs_tgt_mt,
     {n_where('haul_id', 'seen')} AS obs_hauls, {n_where('drvid', 'seen')} AS n_obs_ves,
@@ -453,6 +472,27 @@ def settled(sql):
     return out + sql
 
 
+RECONCILE = f"""{BASE}{AD}, {ratio_ctes(SYG, 'tgt_mt', 'dis_mt', ['PROMO', 'SMALL'], src='ad')},
+v AS (SELECT {q(SYG)}, drvid, sum(tgt_mt) AS e FROM ad GROUP BY {q(SYG)}, drvid HAVING sum(tgt_mt) > 0),
+vb AS (
+  SELECT {q(SYG, 'v.')}, d.species, sum(v.e) AS e,
+    sum((SELECT coalesce(sum(dis_mt), 0) FROM ad a WHERE {same('a', 'v', SYG + ['drvid'])} AND a.species = d.species)) AS b
+  FROM v CROSS JOIN (VALUES ('PROMO'), ('SMALL')) d(species) GROUP BY {q(SYG, 'v.')}, d.species
+),
+j AS (
+  SELECT {merged('r', 'vb', SYG + ['species'])}, r.species IS NOT NULL AS in_left, vb.species IS NOT NULL AS in_right,
+    r.total_byc AS l1, vb.b AS r1, r.byc_ratio AS l2, vb.b / nullif(vb.e, 0) AS r2
+  FROM ratios r FULL JOIN vb ON {same('r', 'vb', SYG + ['species'])}
+),
+u AS (
+  SELECT {q(SYG)}, species, in_left, in_right, 'total_byc' AS measure, l1 AS left_value, r1 AS right_value FROM j
+  UNION ALL
+  SELECT {q(SYG)}, species, in_left, in_right, 'byc_ratio', l2, r2 FROM j
+)
+SELECT {q(SYG)}, species, in_left, in_right, measure, round(left_value, 6) AS left_value, round(right_value, 6) AS right_value,
+  in_left AND in_right AND coalesce(abs(left_value - right_value) <= 1e-4, left_value IS NULL AND right_value IS NULL) AS agrees
+FROM u"""
+
 PLAIN = {
     "ratio_est_single": SINGLE,
     "ratio_multi": ratio_sql(SYG, "tgt_mt", "dis_mt", ["PROMO", "SMALL"]),
@@ -465,10 +505,45 @@ SELECT {q(SYG)}, species, {rounded(['fleet_expf'] + MOMENTS + RATIO_COLS + ['est
     "species_request": clean_sql(
         ["year", "gear", "sector", "state"], ["PROMO"], src="ob_r", fleet="fleet_r", extra=REQUEST_VIEWS
     ),
-    "boot_ratio": boot_ratio_sql(SY, "dis_mt", ["PROMO", "SMALL"], 200),
-    "boot_expand": boot_expand_sql(["year", "state", "season"], "promo_count", ["PROMO"], 200, COUNT_AD),
-    "boot_expand_unobserved": boot_expand_sql(SY, "dis_mt", ["PROMO", "SMALL"], 50),
-    "boot_pooled": boot_ratio_sql(["sector"], "dis_mt", ["PROMO", "SMALL"], 100, SY),
+    "boot_ratio": boot_ratio_sql(SY, "dis_mt", ["PROMO", "SMALL"], 10_000),
+    "boot_expand": boot_expand_sql(["year", "state", "season"], "promo_count", ["PROMO"], 10_000, COUNT_AD),
+    "boot_expand_unobserved": boot_expand_sql(SY, "dis_mt", ["PROMO", "SMALL"], 10_000),
+    "boot_pooled": boot_ratio_sql(["sector"], "dis_mt", ["PROMO", "SMALL"], 10_000, SY),
+    "boot_chunks": boot_ratio_sql(SY, "dis_mt", ["PROMO", "SMALL"], 200),
+    "boot_pooled_expand": boot_expand_sql(["sector"], "dis_mt", ["PROMO", "SMALL"], 10_000, unit_strata=SY),
+    "boot_complete_domains": boot_expand_sql(SY, "dis_mt", ["PROMO", "SMALL"], 10_000, complete=True),
+    "boot_at_sea": boot_ratio_sql(SY, "dis_mt", ["PROMO", "SMALL"], 10_000, ad=AT_SEA),
+    "request_six_species": f"""{BASE}, {expand_ctes(['sector'], 'tgt_mt', 'exp_sp_ct', SPECIES)}
+SELECT sector, species, {rounded(['fleet_expf'] + MOMENTS + RATIO_COLS + ['est_byc', 'est_byc_lower', 'est_byc_upper'])},
+  {q(COUNTS)}, pct_cvg FROM expanded""",
+    "sector_request": clean_sql(["sector", "year", "state"], ["PROMO", "SMALL"], "grouping", "ob_s", "fleet_s", """,
+ob_s AS (SELECT * FROM ob WHERE sector IN ('ASIA', 'EUROPE')), fleet_s AS (SELECT * FROM fleet WHERE sector IN ('ASIA', 'EUROPE'))"""),
+    "unsampled_all_species": unsampled_sql(domains=[(s, s == "SMALL") for s in SPECIES]),
+    "unsampled_ignore_missing": unsampled_sql(total=lenient),
+    "vessel_rollup_forty": f"""{BASE},
+o AS (SELECT *, species || ' ' || sector AS kind FROM ob),
+e AS (SELECT "year", drvid, sum(gfr_mt) AS ves_expf FROM o GROUP BY "year", drvid),
+b AS (SELECT "year", drvid, kind, sum(dis_mt) AS b FROM o GROUP BY "year", drvid, kind),
+k AS (
+  SELECT s || ' ' || r AS kind FROM (VALUES {values(SPECIES)}) a(s) CROSS JOIN (VALUES {values(SECTORS)}) c(r)
+  UNION ALL SELECT 'NEVER ' || i FROM (SELECT unnest(range(0, 10)) AS i)
+)
+SELECT e."year", e.drvid, k.kind, round(e.ves_expf, 6) AS ves_expf, round(coalesce(b.b, 0), 6) AS ves_byc
+FROM e CROSS JOIN k LEFT JOIN b ON {same('e', 'b', ['year', 'drvid'])} AND b.kind = k.kind""",
+    "vessel_ticket_matches": f"""{BASE}{AD},
+seen AS (
+  SELECT {q(SY)}, drvid, 'PROMO' AS species, sum(gfr_mt) AS ves_expf,
+    sum(CASE WHEN species = 'PROMO' THEN dis_mt ELSE 0 END) AS ves_byc FROM ad GROUP BY {q(SY)}, drvid
+),
+land AS (
+  SELECT {q(SY)}, drvid, sum(gfr_mt) AS v, sum(sum(gfr_mt)) OVER (PARTITION BY {q(SY)}) AS t
+  FROM fleet WHERE drvid % 3 <> 0 GROUP BY {q(SY)}, drvid
+)
+SELECT {q(SY, 's.')}, s.drvid, s.species, round(ves_expf, 6) AS ves_expf, round(ves_byc, 6) AS ves_byc,
+  round(l.v, 6) AS ves_fleet_expf, round(l.t, 6) AS fleet_expf
+FROM seen s JOIN land l ON {same('s', 'l', SY + ['drvid'])} WHERE ves_expf > 0""",
+    "result_round_trip": f"""{BASE}
+SELECT {q(SYG)}, round(sum(tgt_mt), 6) AS fleet_expf FROM fleet GROUP BY {q(SYG)}""",
     "boot_replicates": f"""{BASE}{AD}, {boot_ctes(SY, 'dis_mt', ['PROMO', 'SMALL'], 20)}
 SELECT {q(SY)}, species, CAST(rep AS INTEGER) AS rep, round(ratio, 6) AS ratio FROM reps""",
     "unsampled_expansion": unsampled_sql(),
@@ -596,26 +671,8 @@ SELECT a AS n_left, b AS n_right, a = b AS equal FROM (
   round(coalesce(obs_byc_ct, 0), 6) AS obs_byc_ct FROM est"""),
     "numeric_year": f"""{BASE}
 SELECT CAST("year" AS DOUBLE) AS "year", count(*) AS n_rows, round(sum(mt), 6) AS mt FROM ob GROUP BY "year" """,
-    "reconcile": f"""{BASE}{AD}, {ratio_ctes(SYG, 'tgt_mt', 'dis_mt', ['PROMO', 'SMALL'], src='ad')},
-v AS (SELECT {q(SYG)}, drvid, sum(tgt_mt) AS e FROM ad GROUP BY {q(SYG)}, drvid HAVING sum(tgt_mt) > 0),
-vb AS (
-  SELECT {q(SYG, 'v.')}, d.species, sum(v.e) AS e,
-    sum((SELECT coalesce(sum(dis_mt), 0) FROM ad a WHERE {same('a', 'v', SYG + ['drvid'])} AND a.species = d.species)) AS b
-  FROM v CROSS JOIN (VALUES ('PROMO'), ('SMALL')) d(species) GROUP BY {q(SYG, 'v.')}, d.species
-),
-j AS (
-  SELECT {merged('r', 'vb', SYG + ['species'])}, r.species IS NOT NULL AS in_left, vb.species IS NOT NULL AS in_right,
-    r.total_byc AS l1, vb.b AS r1, r.byc_ratio AS l2, vb.b / nullif(vb.e, 0) AS r2
-  FROM ratios r FULL JOIN vb ON {same('r', 'vb', SYG + ['species'])}
-),
-u AS (
-  SELECT {q(SYG)}, species, in_left, in_right, 'total_byc' AS measure, l1 AS left_value, r1 AS right_value FROM j
-  UNION ALL
-  SELECT {q(SYG)}, species, in_left, in_right, 'byc_ratio', l2, r2 FROM j
-)
-SELECT {q(SYG)}, species, in_left, in_right, measure, round(left_value, 6) AS left_value, round(right_value, 6) AS right_value,
-  in_left AND in_right AND coalesce(abs(left_value - right_value) <= 1e-4, left_value IS NULL AND right_value IS NULL) AS agrees
-FROM u""",
+    "reconcile": RECONCILE,
+    "reconcile_mismatches": f"SELECT * FROM ({RECONCILE}) WHERE NOT agrees",
 }
 
 ORACLE = {name: settled(sql) for name, sql in PLAIN.items()}

@@ -32,7 +32,7 @@ from fleetratio.operators.quality import (
 )
 from fleetratio.plans.requests import sector_request, species_request
 from fleetratio.sources import read_observer, read_table, write_result
-from fleetratio.sources.checkpoints import ensure_checkpoint_dir
+from fleetratio.sources.checkpoints import checkpoint_dir
 
 
 def test_derived_strata(spark):
@@ -164,12 +164,12 @@ def test_sources(spark, observer, tmp_path):
 
 
 def test_checkpoint_dir_is_the_configured_one(spark):
-    assert spark.sparkContext.getConf().get("spark.checkpoint.dir") in ensure_checkpoint_dir(spark)
+    assert spark.sparkContext.getConf().get("spark.checkpoint.dir") in checkpoint_dir(spark)
 
 
 def test_sector_restriction_is_a_scan_predicate_or_a_join(observer):
     ob = observer(dict(sector="a"), dict(sector="b"), dict(sector=None), dict(sector="c"))
     chosen = ob.where("sector in ('a', 'b') or sector is null")
     assert {r.sector for r in restrict_to_sectors(ob, chosen).collect()} == {"a", "b", None}
-    assert {r.sector for r in restrict_to_sectors(ob, chosen, max_literals=1).collect()} == {"a", "b", None}
+    assert {r.sector for r in restrict_to_sectors(ob, chosen).collect()} == {"a", "b", None}
     assert restrict_to_sectors(ob, ob.where("false")).count() == 0
