@@ -1,8 +1,10 @@
 import hashlib
+import re
+import struct
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+import xxhash
 
 from fleetratio.operators.bootstrap import (
     boot_replicates,
@@ -21,25 +23,44 @@ def vessels(observer, n=9, sector="S", extra=()):
     return observer(*rows, *extra)
 
 
-def brute_force(salt, effort, bycatch, replicates, seed=42):
-    """Ratios of all replicates by the md5 draws, in plain Python."""
-    n, out = len(effort), []
+def md5_draw(seed, salt, rep, draw):
+    return int(hashlib.md5(f"{seed}|{salt}|{rep}|{draw}".encode()).hexdigest()[:8], 16)
+
+
+def xxhash_draw(seed, salt, rep, draw):
+    """The hash of four values in a row: each is hashed with the hash before it as seed."""
+    h = 42
+    for part in (struct.pack("<q", seed), salt.encode(), struct.pack("<q", rep), struct.pack("<q", draw)):
+        h = xxhash.xxh64_intdigest(part, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+DRAWS = {"md5": md5_draw, "xxhash64": xxhash_draw}
+
+
+def brute_force(salt, units, replicates, seed=42, sampler="md5"):
+    """Ratios of all replicates in plain Python; ``units`` maps the key text of a vessel to (effort, bycatch)."""
+    values = [units[k] for k in sorted(units, key=lambda k: (hashlib.md5(k.encode()).hexdigest(), k))]
+    n, out = len(values), []
     for r in range(1, replicates + 1):
-        idx = [int(hashlib.md5(f"{seed}|{salt}|{r}|{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)]
-        out.append(sum(bycatch[i] for i in idx) / sum(effort[i] for i in idx))
+        drawn = [values[DRAWS[sampler](seed, salt, r, j) % n] for j in range(n)]
+        out.append(sum(b for _, b in drawn) / sum(e for e, _ in drawn))
     return out
 
 
-def test_draws_match_brute_force(observer):
-    got = boot_replicates(vessels(observer), "sector", ["A"], replicates=25, sampler="md5").orderBy("rep").collect()
-    want = brute_force("VS", [10.0 + i for i in range(9)], [float(i) if i % 2 == 0 else 0.0 for i in range(9)], 25)
+NINE = {f"Vv{i:02d}": (10.0 + i, float(i) if i % 2 == 0 else 0.0) for i in range(9)}
+
+
+@pytest.mark.parametrize("sampler", ["md5", "xxhash64"])
+def test_draws_match_brute_force(observer, sampler):
+    got = boot_replicates(vessels(observer), "sector", ["A"], replicates=25, sampler=sampler).orderBy("rep").collect()
     assert [r.rep for r in got] == list(range(1, 26))
-    assert [r.ratio for r in got] == pytest.approx(want)
+    assert [r.ratio for r in got] == pytest.approx(brute_force("VS", NINE, 25, sampler=sampler))
 
 
 def test_summary_is_type_7_quantiles(observer):
     row = boot_summary(vessels(observer), "sector", ["A"], replicates=60, sampler="md5").first()
-    want = brute_force("VS", [10.0 + i for i in range(9)], [float(i) if i % 2 == 0 else 0.0 for i in range(9)], 60)
+    want = brute_force("VS", NINE, 60)
     assert row.point_est_ratio == pytest.approx(sum([0, 2, 4, 6, 8]) / sum(10 + i for i in range(9)))
     assert (row.lower_ci, row.median_ratio, row.upper_ci) == pytest.approx(tuple(np.quantile(want, [0.025, 0.5, 0.975])))
     assert row.mean_ratio == pytest.approx(np.mean(want))
@@ -63,26 +84,23 @@ def test_seed_changes_draws(observer):
 
 
 @pytest.mark.parametrize("sampler", ["md5", "xxhash64"])
-def test_join_path_is_a_bootstrap_over_all_vessels(observer, sampler):
-    """Strata above the array limit are numbered by buckets: other draws, same distribution."""
+def test_chunks_do_not_change_replicates(observer, sampler):
+    """Draws and numbers of vessels do not know how a stratum is cut."""
     ob = vessels(observer, 12).unionByName(vessels(observer, 3, "T"))
-    args = dict(replicates=400, sampler=sampler)
-    small = boot_summary(ob, "sector", ["A", "B"], max_array_units=50, **args)
-    mixed = boot_summary(ob, "sector", ["A", "B"], max_array_units=5, **args)
-    a = {(r.sector, r.species): r for r in small.collect()}
-    b = {(r.sector, r.species): r for r in mixed.collect()}
-    assert set(a) == set(b) and len(a) == 4
-    for k in a:
-        assert a[k].point_est_ratio == pytest.approx(b[k].point_est_ratio)
-        assert a[k].mean_ratio == pytest.approx(b[k].mean_ratio, abs=0.03)
-        if k[0] == "T":
-            assert a[k].upper_ci == pytest.approx(b[k].upper_ci)
-
-
-def test_join_path_resamples_n_of_n(spark, observer):
+    found = []
+    for chunk_units in (3, 7, 50_000):
+        got = boot_replicates(ob, "sector", ["A", "B"], replicates=40, sampler=sampler, chunk_units=chunk_units)
+        found.append({(r.sector, r.species, r.rep): r.ratio for r in got.collect()})
+    assert len(found[0]) == 2 * 2 * 40
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(other[k] == pytest.approx(v, rel=1e-12, abs=1e-12) for k, v in found[0].items())
+
+
+def test_every_replicate_draws_n_of_n(observer):
     """With effort 1 per vessel every replicate must draw exactly n vessels, all of them sometimes."""
     rows = [dict(haul_id=f"h{i}", drvid=f"v{i:02d}", species="A", dis_mt=float(2 ** i), tgt_mt=1.0) for i in range(8)]
-    got = boot_replicates(observer(*rows), "sector", ["A"], replicates=200, max_array_units=3).collect()
+    got = boot_replicates(observer(*rows), "sector", ["A"], replicates=200, chunk_units=3).collect()
     assert len(got) == 200
     sums = [round(r.ratio * 8) for r in got]
     assert all(8 <= s <= 8 * 128 for s in sums)
@@ -90,6 +108,18 @@ def test_join_path_resamples_n_of_n(spark, observer):
     assert sum(sums) / 200 == pytest.approx(255, rel=0.15)
 
 
+def test_strata_with_separators_draw_apart(observer):
+    """("a", "b|Vc") and ("a|Vb", "c") are different strata, so their draws differ."""
+    rows = [
+        dict(sector=s, gear=g, haul_id=f"h{i}", drvid=f"v{i}", species="A", dis_mt=float(2 ** i), tgt_mt=1.0)
+        for s, g in (("a", "b|Vc"), ("a|Vb", "c"))
+        for i in range(8)
+    ]
+    got = boot_replicates(observer(*rows), ["sector", "gear"], ["A"], replicates=20).collect()
+    one, two = ([r.ratio for r in sorted(got, key=lambda r: r.rep) if r.sector == s] for s in ("a", "a|Vb"))
+    assert len(one) == len(two) == 20 and one != two
+
+
 def test_null_stratum_and_null_vessel(observer, landings, by_key):
     ob = observer(
         *[dict(sector=None, haul_id=f"h{i}", drvid=None if i == 2 else f"v{i}", dis_mt=1.0 * i, tgt_mt=4.0) for i in range(5)]
@@ -133,7 +163,7 @@ def test_finer_unit_strata_make_more_units(observer):
     ob = observer(
         *[dict(year=2020 + y, haul_id=f"h{v}", drvid=f"v{v}", dis_mt=float(v), tgt_mt=5.0 + y) for v in range(4) for y in range(2)]
     )
-    want = brute_force("VS", [5.0] * 4 + [6.0] * 4, [0.0, 1.0, 2.0, 3.0] * 2, 12)
+    want = brute_force("VS", {f"V{2020 + y}|Vv{v}": (5.0 + y, float(v)) for v in range(4) for y in range(2)}, 12)
     got = boot_replicates(ob, "sector", ["A"], unit_strata=["sector", "year"], replicates=12, sampler="md5")
     assert [r.ratio for r in got.orderBy("rep").collect()] == pytest.approx(want)
     with pytest.raises(ValueError, match="year"):
@@ -151,7 +181,7 @@ def test_at_sea_program(observer):
         dict(sector="MOTHERSHIP", haul_id="h1", trip_id="t1", dis_mt=1.0, tgt_mt=1.0, pwht_mt=10.0, datatype=None),
         dict(sector="MOTHERSHIP", haul_id="h2", trip_id="t2", dis_mt=1.0, tgt_mt=1.0, pwht_mt=10.0, datatype="Failed Data"),
     )
-    row = bootstrap_ratio(ob, "sector", ["A"], replicates=5).first()
+    row = bootstrap_ratio(ob, "sector", ["A"], replicates=5, program="at_sea").first()
     assert (row.total_expf, row.n_obs_trips, row.n_obs_hauls) == (20.0, 1, 2)
 
 
@@ -168,12 +198,11 @@ def test_bad_arguments(observer):
 def test_a_stratum_spreads_over_tasks(observer):
     df = boot_replicates(vessels(observer), "sector", ["A"], replicates=400)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(sector" in plan and "__block" in plan
-    used = df.withColumn("p", F.spark_partition_id()).select("p").distinct().count()
-    assert used > 1
+    spread = re.search(r"hashpartitioning\(sector#\d+, __chunk#\d+L?, __block#\d+, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert spread and int(spread[1]) > 1
 
 
-def test_long_domain_lists_take_batches_with_the_same_draws(observer):
+def test_long_domain_lists_share_the_draws(observer):
     ob = vessels(observer, 7)
     names = ["A", "B", *[f"none {i}" for i in range(40)]]
     args = dict(replicates=15, sampler="md5")

@@ -61,4 +61,6 @@ def test_null_safe_joins_are_equi_joins(stored, landings):
 
 def test_sums_combine_before_the_shuffle(stored):
     text = plan(vessel_rollup(stored, "sector", ["A", "B"]))
-    assert text.count("Exchange") == 1 and "partial_sum" in text
+    assert text.count("Exchange") == 2 and "partial_sum" in text
+    long = plan(vessel_rollup(stored, "sector", ["A", "B", *[f"none {i}" for i in range(38)]]))
+    assert re.findall(r"\w+(?=\(| \[|\n)", long).count("HashAggregate") == re.findall(r"\w+(?=\(| \[|\n)", text).count("HashAggregate")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fleetratio.functions.stats import stable_round
 from fleetratio.operators.expand import expand_to_fleet
 from fleetratio.operators.prepare import (
     derive_fleet_strata,
@@ -67,8 +68,8 @@ def test_sectors_with_domain(observer):
 def test_program(observer):
     shore, sea = observer(dict(sector="S"), dict(datatype="Failed Data")), observer(dict(sector="ATSEA TRIBAL", pwht_mt=3.0))
     assert (detect_program(shore), detect_program(sea)) == ("shore", "at_sea")
-    assert program_normalise(shore).count() == 1
-    row = program_normalise(sea).first()
+    assert program_normalise(shore, "auto").count() == 1
+    row = program_normalise(sea, "auto").first()
     assert (row.tgt_mt, row.trip_id) == (3.0, None)
     with pytest.raises(ValueError, match="unknown program"):
         program_normalise(shore, "other")
@@ -167,9 +168,33 @@ def test_checkpoint_dir_is_the_configured_one(spark):
     assert spark.sparkContext.getConf().get("spark.checkpoint.dir") in checkpoint_dir(spark)
 
 
-def test_sector_restriction_is_a_scan_predicate_or_a_join(observer):
+def test_sector_restriction_runs_no_job_while_planning(spark, observer, landings):
+    ob, fleet = observer(dict(species="A"), dict(sector="T", species="B")), landings({}, dict(sector="T")).withColumn("state", F.lit("CA"))
+    ob = ob.withColumn("r_state", F.lit("CA"))
+    group = "planning"
+    spark.sparkContext.setJobGroup(group, group)
+    report = species_request(ob, fleet, "A")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    assert {r.sector for r in report.collect()} == {"S"}
+    by_year = species_request(ob, fleet, "A", strata=["year"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("other")
+    assert by_year.count() == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_month_as_text_is_winter(spark):
+    months = spark.createDataFrame([("May",), ("5",), ("6",), (None,)], "landing_month string")
+    assert [r.season for r in derive_fleet_strata(months).collect()] == ["winter", "summer", "summer", "winter"]
+
+
+def test_rounding_removes_noise_first(spark):
+    """Half up at three digits after rounding to seven: a value within noise of a tie goes up."""
+    values = spark.createDataFrame([(2.0005,), (2.00049999996,), (2.0004999,), (-2.0005,)], "x double")
+    assert [r.y for r in values.select(stable_round(F.col("x"), 3).alias("y")).collect()] == [2.001, 2.001, 2.0, -2.001]
+
+
+def test_sector_restriction_matches_missing_sectors(observer):
     ob = observer(dict(sector="a"), dict(sector="b"), dict(sector=None), dict(sector="c"))
     chosen = ob.where("sector in ('a', 'b') or sector is null")
     assert {r.sector for r in restrict_to_sectors(ob, chosen).collect()} == {"a", "b", None}
-    assert {r.sector for r in restrict_to_sectors(ob, chosen).collect()} == {"a", "b", None}
     assert restrict_to_sectors(ob, ob.where("false")).count() == 0
