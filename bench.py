@@ -1,7 +1,11 @@
-"""Time the headline queries; prints one JSON line."""
+"""Time the headline queries; prints one JSON line.
+
+usage: bench.py [--checkpoint-dir FOLDER] [query ...]
+"""
 
 from __future__ import annotations
 
+import argparse
 import json
 import os
 import sys
@@ -45,6 +49,11 @@ def boot(replicates: int, sampler: str):
 
 
 def main() -> None:
+    parser = argparse.ArgumentParser()
+    parser.add_argument("--checkpoint-dir", help="where the session stores checkpoints; without one plans read their sources again")
+    parser.add_argument("queries", nargs="*")
+    args = parser.parse_args()
+    stores = {"spark__checkpoint__dir": args.checkpoint_dir} if args.checkpoint_dir else {}
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
@@ -54,13 +63,13 @@ def main() -> None:
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="16g",
+        **stores,
     )
     spark.sparkContext.setLogLevel("ERROR")
     jobs = {name: QUERIES[name] for name in HEADLINE}
     jobs["boot_1000_replicates"] = boot(1_000, "xxhash64")
     jobs["boot_10000_replicates"] = boot(10_000, "xxhash64")
-    only = sys.argv[1:]
-    jobs = {k: v for k, v in jobs.items() if not only or k in only}
+    jobs = {k: v for k, v in jobs.items() if not args.queries or k in args.queries}
     QUERIES["fleet_effort"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name, job in jobs.items():
