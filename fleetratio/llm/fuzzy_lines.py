@@ -125,7 +125,10 @@ def _verified(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
 
 
 def _cross_links(batches, shingle: int, threshold: float):
-    """Links between the components of each group of rows (bucket, low, high, line, root, content)."""
+    """Links between the components of each group of rows (bucket, low, high, line, root, content, leader).
+
+    Pairs with the bucket's leader have been verified before.
+    """
     for table in whole_groups(batches, ["bucket", "low", "high"]):
         rows = table.to_pydict()
         keys = list(zip(rows["bucket"], rows["low"], rows["high"]))
@@ -134,7 +137,8 @@ def _cross_links(batches, shingle: int, threshold: float):
             end = at
             while end < len(keys) and keys[end] == keys[at]:
                 end += 1
-            root, sets = rows["root"][at:end], [shingles(c, shingle) for c in rows["content"][at:end]]
+            root, line, leader = rows["root"][at:end], rows["line"][at:end], rows["leader"][at]
+            sets = [shingles(c, shingle) for c in rows["content"][at:end]]
             merged = {r: r for r in root}
 
             def top(r):
@@ -145,10 +149,10 @@ def _cross_links(batches, shingle: int, threshold: float):
             for i in range(end - at):
                 for j in range(i):
                     p, q = top(root[i]), top(root[j])
-                    if p != q and similar(sets[i], sets[j], threshold):
+                    if p != q and leader not in (line[i], line[j]) and similar(sets[i], sets[j], threshold):
                         merged[max(p, q)] = min(p, q)
-                        left.append(rows["line"][at + i])
-                        right.append(rows["line"][at + j])
+                        left.append(line[i])
+                        right.append(line[j])
             at = end
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -167,14 +171,14 @@ def similar_line_classes(lines: DataFrame, shingle: int = SHINGLE, threshold: fl
     roots = connected_components(links)
 
     labelled = stored(shared.join(roots, shared["line"] == roots["node"], "left").select("bucket", "line", F.coalesce("root", "line").alias("root")), "labelled-buckets")
-    contents = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(line))").alias("content"))
-    # bands often bring the same lines together: of buckets with equal contents one is looked at
-    mixed = contents.filter("r0 <> r1").groupBy("content", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    contents = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(line))").alias("content"), F.min("line").alias("leader"))
+    # of two lines one is the leader; of buckets with equal contents, which bands often make, one is looked at
+    mixed = contents.filter("r0 <> r1 AND n > 2").groupBy("content", "n", "leader").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "leader")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.hash("line"), tiles)
     met = F.explode(F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(own, t).alias("low"), F.greatest(own, t).alias("high"))))
-    units = labelled.join(mixed, "bucket").withColumn("t", met).select("bucket", "t.low", "t.high", "line", "root")
-    loaded = units.join(texts, "line").select("bucket", "low", "high", "line", "root", "content")
+    units = labelled.join(mixed, "bucket").withColumn("t", met).select("bucket", "t.low", "t.high", "line", "root", "leader")
+    loaded = units.join(texts, "line").select("bucket", "low", "high", "line", "root", "content", "leader")
     placed = loaded.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "line")
     crossing = placed.mapInArrow(lambda batches: _cross_links(batches, shingle, threshold), "a long, b long")
     return connected_components(stored(links.unionByName(crossing), "line-links"))
