@@ -5,6 +5,7 @@ A byte goes if a string of 50 bytes that covers it also starts in a document wit
 Bringing together. The least hash of the k-byte strings inside a 50-byte string is its anchor: equal strings
 have equal anchors, and only one byte in seventeen starts a new one. Anchors are shuffled packed, six bytes each;
 those that two different texts have name the regions worth sorting, and regions with one anchor meet in a task.
+Texts are moved once, into a table bucketed by document, with which later joins need no second move.
 
 Sorting. A task lays its regions end to end. Suffixes smaller than their successor are sorted directly; the rest,
 each greater than its successor, are induced by scanning the buckets of first bytes upwards, where every
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetratio.llm.common import stored, text_of, whole_groups
+from fleetratio.llm.common import bucketed, text_of, whole_groups
 
 LENGTH = 50
 #: Bytes hashed for an anchor; a string has LENGTH - KGRAM + 1 of them.
@@ -30,6 +31,10 @@ KGRAM = 20
 STARTS = 32
 #: Regions with one anchor that are sorted together; beyond it each string goes to one of several tasks by its hash.
 TILE = 4096
+#: Slices of the hash range for each shuffle partition, so that hashing them to partitions evens out.
+SLICES = 4
+#: Regions sorted at a time, more only where one anchor has more.
+CHUNK = 16_384
 #: Bytes of a text hashed at a time.
 PIECE = 1 << 20
 LAST_ID = 2**63 - 1
@@ -130,38 +135,68 @@ def _shared_anchors(batches):
             )
 
 
-def _regions(batches, length: int):
-    """Regions of documents around shared anchors; of equal regions in a batch the first carries the bytes."""
-    names = ["anchor", "tiles", "variant", "id", "text_hash", "start", "n", "bytes"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    for batch in batches:
-        out, seen = [[] for _ in names], set()
+def _squeezed(array) -> bytes:
+    data = array if isinstance(array, bytes) else np.ascontiguousarray(array).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _released(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+REGION_ROWS = "slice int, body binary, ids binary, hashes binary, starts binary, ns binary"
+
+
+def _region_rows(batches, slices: int, length: int):
+    """Regions of documents around shared anchors, one row for each slice of a batch.
+
+    A region that a document with a smaller id in the batch has too need not be sorted: all its strings go. Such
+    regions form a row without bytes.
+    """
+    for number, batch in enumerate(batches):
+        seen: dict[int, int] = {}
+        shipped, settled = [], []
         ids, hashes, texts = (batch[c].to_pylist() for c in ("id", "text_hash", "text"))
         blobs, tile_blobs = batch["anchors"].to_pylist(), batch["tiles"].to_pylist()
         for k in sorted(range(len(ids)), key=lambda k: ids[k]):
-            data = texts[k].encode()
             wanted = np.concatenate([_unpacked(b) for b in blobs[k]])
             tiles = np.concatenate([np.frombuffer(b, np.int32) for b in tile_blobs[k]])
             order = np.argsort(wanted)
             wanted, tiles = wanted[order], tiles[order]
-            for offset, piece in pieces_of(data, length):
+            for offset, piece in pieces_of(texts[k].encode(), length):
                 anchor = string_anchors(piece, length)
                 cut = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
                 at = np.minimum(np.searchsorted(wanted, anchor[cut]), len(wanted) - 1)
                 hit = wanted[at] == anchor[cut]
-                for a, b, t in zip(cut[hit].tolist(), np.append(cut[1:], len(anchor))[hit].tolist(), tiles[at[hit]].tolist()):
-                    for s in range(a, b, STARTS):
-                        e = min(b, s + STARTS)
+                first = cut[hit].tolist()
+                for a, b, t, value in zip(first, np.append(cut[1:], len(anchor))[hit].tolist(), tiles[at[hit]].tolist(), anchor[cut[hit]].tolist()):
+                    step = STARTS if t == 1 else 1
+                    for s in range(a, b, step):
+                        e = min(b, s + step)
                         region = piece[s : e + length - 1]
-                        variant = xxhash.xxh3_64_intdigest(region)
-                        row = (int(anchor[a]), t, variant - (1 << 64) if variant >> 63 else variant, ids[k], hashes[k], offset + s, e - s, None if variant in seen else region)
-                        seen.add(variant)
-                        for column, value in zip(out, row):
-                            column.append(value)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
-                    out = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+                        same = xxhash.xxh3_64_intdigest(region)
+                        if seen.setdefault(same, ids[k]) < ids[k]:
+                            settled.append((ids[k], hashes[k], offset + s, e - s))
+                        else:
+                            part = value if t == 1 else (value + same % t * 0x9E3779B97F4A) & 0xFFFFFFFFFFFF
+                            shipped.append((part * slices >> 48, ids[k], hashes[k], offset + s, e - s, region))
+        rows = []
+        shipped.sort(key=lambda r: r[:2])
+        slice_of = np.array([r[0] for r in shipped], np.int64)
+        bounds = np.searchsorted(slice_of, np.arange(slices + 1)).tolist()
+        for s in range(slices):
+            part = shipped[bounds[s] : bounds[s + 1]]
+            if part:
+                rows.append((s, _squeezed(b"".join(r[5] for r in part)), *_columns([r[1:5] for r in part])))
+        if settled:
+            rows.append((number % slices, None, *_columns(settled)))
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        types = [pa.int32()] + [pa.binary()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["slice", "body", "ids", "hashes", "starts", "ns"])
+
+
+def _columns(rows: list[tuple]) -> list[bytes]:
+    return [_squeezed(np.array([r[k] for r in rows], kind)) for k, kind in enumerate((np.int64, np.int64, np.int64, np.int8))]
 
 
 def two_stage_ranks(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -215,33 +250,63 @@ def two_stage_ranks(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, dept
     return rank
 
 
-def _marks(batches, length: int):
+def _marks(regions: list[bytes], doc: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """For each region the starts whose string has a document before the region's own, as bits."""
-    for table in whole_groups(batches, ["anchor", "tile"]):
-        regions = table["bytes"].to_pylist()
-        doc, starts = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-        sizes = np.fromiter(map(len, regions), np.int64, len(regions))
-        text = np.frombuffer(b"".join(regions), np.uint8)
-        begin = np.cumsum(sizes) - sizes
-        ends = np.repeat(begin + sizes, sizes)
-        region = np.repeat(np.arange(len(regions)), starts)
-        offset = np.arange(len(region)) - np.repeat(np.cumsum(starts) - starts, starts)
-        place = begin[region] + offset
-        wanted = np.zeros(len(text), bool)
-        wanted[place] = True
-        order = np.argsort(two_stage_ranks(text, ends, wanted, length)[place])
-        strings = text[place[order][:, None] + np.arange(length)[None, :]]
-        differ = strings[1:] != strings[:-1]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)  # prefixes of neighbours
-        head = np.append(True, common < length)
-        run = np.cumsum(head) - 1
-        least = np.minimum.reduceat(doc[region[order]], np.flatnonzero(head))[run]
-        before = np.zeros(len(place), bool)
-        before[order] = least < doc[region[order]]
-        bits = np.bitwise_or.reduceat(before.astype(np.int64) << offset, np.cumsum(starts) - starts)
-        full = (np.int64(1) << starts) - 1
-        shift = table["shift"].to_numpy().astype(np.int64)
-        yield pa.RecordBatch.from_arrays([table["variant"].combine_chunks(), pa.array(doc), pa.array((bits << shift) | ~(full << shift))], ["variant", "id", "marks"])
+    sizes = starts + length - 1
+    text = np.frombuffer(b"".join(regions), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    region = np.repeat(np.arange(len(regions)), starts)
+    offset = np.arange(len(region)) - np.repeat(np.cumsum(starts) - starts, starts)
+    place = begin[region] + offset
+    wanted = np.zeros(len(text), bool)
+    wanted[place] = True
+    order = np.argsort(two_stage_ranks(text, np.repeat(begin + sizes, sizes), wanted, length)[place])
+    strings = text[place[order][:, None] + np.arange(length)[None, :]]
+    differ = strings[1:] != strings[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)  # prefixes of neighbours
+    head = np.append(True, common < length)
+    run = np.cumsum(head) - 1
+    least = np.minimum.reduceat(doc[region[order]], np.flatnonzero(head))[run]
+    before = np.zeros(len(place), bool)
+    before[order] = least < doc[region[order]]
+    return np.bitwise_or.reduceat(before.astype(np.int64) << offset, np.cumsum(starts) - starts)
+
+
+def _sorted_slices(batches, length: int):
+    """(id, text_hash, start, marks) of the regions that lose a string; each slice is cut between anchors."""
+
+    def rows(doc, text, start, marks):
+        hit = marks != 0
+        return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (doc, text, start, marks)], ["id", "text_hash", "start", "marks"])
+
+    for table in whole_groups(batches, ["slice"]):
+        cuts = np.flatnonzero(np.diff(table["slice"].to_numpy())) + 1
+        for a, b in zip([0, *cuts], [*cuts, table.num_rows]):
+            part = table.slice(a, b - a).to_pylist()
+            read = lambda r, name, kind: np.frombuffer(_released(r[name]), kind)
+            regions, kept = [], []
+            for r in part:
+                columns = [read(r, "ids", np.int64), read(r, "hashes", np.int64), read(r, "starts", np.int64), read(r, "ns", np.int8).astype(np.int64)]
+                if r["body"] is None:
+                    yield rows(*columns[:3], (np.int64(1) << columns[3]) - 1)
+                    continue
+                body, ends = _released(r["body"]), np.cumsum(columns[3] + length - 1).tolist()
+                regions += [body[x:y] for x, y in zip([0, *ends], ends)]
+                kept.append(columns)
+            if not regions:
+                continue
+            doc, text, start, n = (np.concatenate(c) for c in zip(*kept))
+            anchor = string_anchors(b"".join(regions), length)[np.cumsum(n + length - 1) - (n + length - 1)]
+            order = np.argsort(anchor, kind="stable")
+            new = np.flatnonzero(np.append(True, np.diff(anchor[order]) != 0))
+            at = 0
+            while at < len(order):
+                after = new[np.searchsorted(new, at + CHUNK) :]
+                end = int(after[0]) if len(after) else len(order)
+                chosen = order[at:end]
+                marks = _marks([regions[k] for k in chosen], doc[chosen], n[chosen], length)
+                yield rows(doc[chosen], text[chosen], start[chosen], marks)
+                at = end
 
 
 def _cut(batches, length: int):
@@ -278,29 +343,20 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash")
     )
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = keyed.select("id", "text_hash", "text").mapInArrow(lambda b: _anchor_rows(b, slices, length), "slice int, anchors binary, ids binary, hashes binary, counts binary")
-    by_slice = packed.repartition(slices, "slice").sortWithinPartitions("slice")
-    shared = by_slice.mapInArrow(_shared_anchors, "id long, text_hash long, anchors binary, tiles binary")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = SLICES * partitions
+
+    def by_slice(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions, "slice").sortWithinPartitions("slice")
+
+    texts = keyed.select("id", "text_hash", "text")
+    packed = texts.mapInArrow(lambda b: _anchor_rows(b, slices, length), "slice int, anchors binary, ids binary, hashes binary, counts binary")
+    shared = by_slice(packed).mapInArrow(_shared_anchors, "id long, text_hash long, anchors binary, tiles binary")
     # a document's own anchors come together again: as many as its text has
     per_doc = shared.groupBy("id", "text_hash").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("tiles").alias("tiles"))
-    candidates = stored(keyed.drop("doc_id").join(per_doc, ["id", "text_hash"]), "shared-anchors")
-    regions = stored(
-        candidates.mapInArrow(lambda b: _regions(b, length), "anchor long, tiles int, variant long, id long, text_hash long, start long, n int, bytes binary"), "regions"
-    )
-
-    carried = regions.filter("bytes IS NOT NULL")
-    whole = carried.filter("tiles = 1").select("anchor", F.lit(0).alias("tile"), "variant", "id", F.lit(0).alias("shift"), "n", "bytes")
-    single = carried.filter("tiles > 1").withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("bytes", F.substring("bytes", F.col("shift") + 1, F.lit(length)))
-    spread = single.select("anchor", F.pmod(F.xxhash64("bytes"), F.col("tiles")).cast("int").alias("tile"), "variant", "id", "shift", F.lit(1).alias("n"), "bytes")
-    placed = whole.unionByName(spread).repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
-    marked = placed.mapInArrow(lambda b: _marks(b, length), "variant long, id long, marks long")
-    variants = marked.groupBy("variant").agg(F.min("id").alias("first_id"), F.expr("bit_and(marks)").alias("marks"))
-
-    full = F.expr("shiftleft(1L, n) - 1")
-    found = regions.select("variant", "id", "text_hash", "start", "n").join(variants, "variant")
-    marks = F.when(F.col("id") > F.col("first_id"), full).otherwise(F.col("marks").bitwiseAND(full))
-    hit = found.select("id", "text_hash", "start", marks.alias("marks")).filter("marks <> 0")
+    candidates = bucketed(texts.join(per_doc, ["id", "text_hash"]), ["id", "text_hash"], partitions)
+    regions = candidates.mapInArrow(lambda b: _region_rows(b, slices, length), REGION_ROWS)
+    hit = by_slice(regions).mapInArrow(lambda b: _sorted_slices(b, length), "id long, text_hash long, start long, marks long")
     per_text = hit.groupBy("id", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("marks").alias("marks"))
     cut = (
         candidates.select("id", "text_hash", "text")
