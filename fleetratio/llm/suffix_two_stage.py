@@ -34,7 +34,7 @@ TILE = 4096
 #: Slices of the hash range for each shuffle partition, so that hashing them to partitions evens out.
 SLICES = 4
 #: Regions sorted at a time, more only where one anchor has more.
-CHUNK = 16_384
+CHUNK = 8_192
 #: Bytes of a text hashed at a time.
 PIECE = 1 << 20
 LAST_ID = 2**63 - 1
@@ -223,7 +223,7 @@ def two_stage_ranks(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, dept
     # stage one: sort the rising suffixes by their bytes
     direct = np.flatnonzero(need & rising)
     reach = np.minimum(ends[direct] - direct, depth)
-    keys = padded[direct[:, None] + np.arange(-(-depth // 8) * 8)[None, :]]
+    keys = np.lib.stride_tricks.sliding_window_view(padded, -(-depth // 8) * 8)[direct]
     keys[np.arange(keys.shape[1])[None, :] >= reach[:, None]] = 0
     words = keys.view(">u8")
     direct = direct[np.lexsort([reach] + [words[:, k] for k in range(words.shape[1] - 1, -1, -1)])]
@@ -233,7 +233,7 @@ def two_stage_ranks(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, dept
     by_byte = falling[np.argsort(text[falling], kind="stable")]
     fall_at, rise_at = np.searchsorted(text[by_byte], np.arange(257)), np.searchsorted(text[direct], np.arange(257))
     base = 0
-    for byte in range(256):
+    for byte in np.flatnonzero(np.diff(fall_at) + np.diff(rise_at)).tolist():
         waiting = by_byte[fall_at[byte] : fall_at[byte + 1]]
         while len(waiting):
             after = np.where(inner[waiting], rank[np.minimum(waiting + 1, n - 1)], -2)
@@ -261,7 +261,7 @@ def _marks(regions: list[bytes], doc: np.ndarray, starts: np.ndarray, length: in
     wanted = np.zeros(len(text), bool)
     wanted[place] = True
     order = np.argsort(two_stage_ranks(text, np.repeat(begin + sizes, sizes), wanted, length)[place])
-    strings = text[place[order][:, None] + np.arange(length)[None, :]]
+    strings = np.lib.stride_tricks.sliding_window_view(text, length)[place[order]]
     differ = strings[1:] != strings[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)  # prefixes of neighbours
     head = np.append(True, common < length)
