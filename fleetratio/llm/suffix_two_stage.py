@@ -36,7 +36,7 @@ SLICES = 4
 #: Regions sorted at a time, more only where one anchor has more.
 CHUNK = 8_192
 #: Bytes of a text hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 LAST_ID = 2**63 - 1
 
 
@@ -284,19 +284,20 @@ def _sorted_slices(batches, length: int):
         for a, b in zip([0, *cuts], [*cuts, table.num_rows]):
             part = table.slice(a, b - a).to_pylist()
             read = lambda r, name, kind: np.frombuffer(_released(r[name]), kind)
-            regions, kept = [], []
+            regions, kept, anchors = [], [], []
             for r in part:
                 columns = [read(r, "ids", np.int64), read(r, "hashes", np.int64), read(r, "starts", np.int64), read(r, "ns", np.int8).astype(np.int64)]
                 if r["body"] is None:
                     yield rows(*columns[:3], (np.int64(1) << columns[3]) - 1)
                     continue
-                body, ends = _released(r["body"]), np.cumsum(columns[3] + length - 1).tolist()
-                regions += [body[x:y] for x, y in zip([0, *ends], ends)]
+                body, ends = _released(r["body"]), np.cumsum(columns[3] + length - 1)
+                regions += [body[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist())]
+                anchors.append(string_anchors(body, length)[np.append(0, ends[:-1])])
                 kept.append(columns)
             if not regions:
                 continue
             doc, text, start, n = (np.concatenate(c) for c in zip(*kept))
-            anchor = string_anchors(b"".join(regions), length)[np.cumsum(n + length - 1) - (n + length - 1)]
+            anchor = np.concatenate(anchors)
             order = np.argsort(anchor, kind="stable")
             new = np.flatnonzero(np.append(True, np.diff(anchor[order]) != 0))
             at = 0
