@@ -107,8 +107,20 @@ def _anchor_rows(batches, slices: int, length: int):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["slice", "anchors", "ids", "hashes", "counts"])
 
 
-def _shared_anchors(batches):
-    """For the first document of each text its anchors that another text has too, and the tiles each needs."""
+def _squeezed(array) -> bytes:
+    data = array if isinstance(array, bytes) else np.ascontiguousarray(array).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _released(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _shared_anchors(batches, homes: int):
+    """For the first document of each text its anchors that another text has too, and the tiles each needs.
+
+    One row for each home, a part of the documents, to which the anchors go back.
+    """
     for table in whole_groups(batches, ["slice"]):
         cuts = np.flatnonzero(np.diff(table["slice"].to_numpy())) + 1
         for a, b in zip([0, *cuts], [*cuts, table.num_rows]):
@@ -124,24 +136,29 @@ def _shared_anchors(batches):
             anchor, doc, text = anchor[first], doc[first], text[first]
             _, run, size = np.unique(anchor, return_inverse=True, return_counts=True)
             many = size[run] > 1
-            anchor, doc, text, size = anchor[many], doc[many], text[many], size[run][many]
-            order = np.lexsort((anchor, text, doc))
-            anchor, doc, text, tiles = anchor[order], doc[order], text[order], -(-size[order] // TILE)
-            head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))) if len(doc) else np.zeros(0, np.int64)
-            ends = np.append(head[1:], len(doc))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[head]), pa.array(text[head]), pa.array([_packed(anchor[x:y]) for x, y in zip(head, ends)], pa.binary()), pa.array([tiles[x:y].astype(np.int32).tobytes() for x, y in zip(head, ends)], pa.binary())],
-                ["id", "text_hash", "anchors", "tiles"],
-            )
-
-
-def _squeezed(array) -> bytes:
-    data = array if isinstance(array, bytes) else np.ascontiguousarray(array).tobytes()
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _released(blob: bytes) -> bytes:
-    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+            anchor, doc, text, tiles = anchor[many], doc[many], text[many], -(-size[run][many] // TILE)
+            home = (((doc ^ text).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(homes)).astype(np.int64)
+            order = np.lexsort((text, doc, home))
+            anchor, doc, text, tiles, home = (x[order] for x in (anchor, doc, text, tiles, home))
+            used, starts = np.unique(home, return_index=True)
+            bounds = [*zip(starts.tolist(), [*starts[1:].tolist(), len(home)])]
+            packed = [[_squeezed(x[y:z]) for y, z in bounds] for x in (doc, text, anchor, tiles.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [pa.array(p, pa.binary()) for p in packed], ["home", "ids", "hashes", "anchors", "tiles"])
+
+
+def _per_document(batches):
+    """One row for each document from the rows of its home."""
+    for table in whole_groups(batches, ["home"]):
+        read = lambda name, kind: np.concatenate([np.frombuffer(_released(x), kind) for x in table[name].to_pylist()])
+        doc, text, anchor, tiles = read("ids", np.int64), read("hashes", np.int64), read("anchors", np.uint64), read("tiles", np.int32)
+        order = np.lexsort((anchor, text, doc))
+        doc, text, anchor, tiles = doc[order], text[order], anchor[order], tiles[order]
+        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])))
+        bounds = [*zip(head.tolist(), [*head[1:].tolist(), len(doc)])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[head]), pa.array(text[head]), pa.array([_packed(anchor[x:y]) for x, y in bounds], pa.binary()), pa.array([tiles[x:y].tobytes() for x, y in bounds], pa.binary())],
+            ["id", "text_hash", "anchors", "tiles"],
+        )
 
 
 REGION_ROWS = "slice int, body binary, ids binary, hashes binary, starts binary, ns binary"
@@ -159,10 +176,7 @@ def _region_rows(batches, slices: int, length: int):
         ids, hashes, texts = (batch[c].to_pylist() for c in ("id", "text_hash", "text"))
         blobs, tile_blobs = batch["anchors"].to_pylist(), batch["tiles"].to_pylist()
         for k in sorted(range(len(ids)), key=lambda k: ids[k]):
-            wanted = np.concatenate([_unpacked(b) for b in blobs[k]])
-            tiles = np.concatenate([np.frombuffer(b, np.int32) for b in tile_blobs[k]])
-            order = np.argsort(wanted)
-            wanted, tiles = wanted[order], tiles[order]
+            wanted, tiles = _unpacked(blobs[k]), np.frombuffer(tile_blobs[k], np.int32)
             for offset, piece in pieces_of(texts[k].encode(), length):
                 anchor = string_anchors(piece, length)
                 cut = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
@@ -352,9 +366,9 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     texts = keyed.select("id", "text_hash", "text")
     packed = texts.mapInArrow(lambda b: _anchor_rows(b, slices, length), "slice int, anchors binary, ids binary, hashes binary, counts binary")
-    shared = by_slice(packed).mapInArrow(_shared_anchors, "id long, text_hash long, anchors binary, tiles binary")
-    # a document's own anchors come together again: as many as its text has
-    per_doc = shared.groupBy("id", "text_hash").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("tiles").alias("tiles"))
+    shared = by_slice(packed).mapInArrow(lambda b: _shared_anchors(b, slices), "home int, ids binary, hashes binary, anchors binary, tiles binary")
+    back = shared.repartition(partitions, "home").sortWithinPartitions("home")
+    per_doc = back.mapInArrow(_per_document, "id long, text_hash long, anchors binary, tiles binary")
     candidates = bucketed(texts.join(per_doc, ["id", "text_hash"]), ["id", "text_hash"], partitions)
     regions = candidates.mapInArrow(lambda b: _region_rows(b, slices, length), REGION_ROWS)
     hit = by_slice(regions).mapInArrow(lambda b: _sorted_slices(b, length), "id long, text_hash long, start long, marks long")
