@@ -72,6 +72,11 @@ def pieces_of(data: bytes, length: int):
         yield at, data[at : at + PIECE + length - 1]
 
 
+def slice_of(values: np.ndarray, slices: int) -> np.ndarray:
+    """Slice of each value by a hash of it: anchors are minima, most of them small."""
+    return ((values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+
+
 def _packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -92,7 +97,7 @@ def _anchor_rows(batches, slices: int, length: int):
             each.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64))
         anchor = np.concatenate(each)
         doc = np.repeat(np.arange(len(each)), [len(e) for e in each])
-        part = ((anchor >> np.uint64(16)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+        part = slice_of(anchor, slices)
         order = np.argsort(part, kind="stable")  # documents stay in order within a slice
         anchor, doc, part = anchor[order], doc[order], part[order]
         bounds = np.searchsorted(part, np.arange(slices + 1))
@@ -137,7 +142,7 @@ def _shared_anchors(batches, homes: int):
             _, run, size = np.unique(anchor, return_inverse=True, return_counts=True)
             many = size[run] > 1
             anchor, doc, text, tiles = anchor[many], doc[many], text[many], -(-size[run][many] // TILE)
-            home = (((doc ^ text).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(homes)).astype(np.int64)
+            home = slice_of((doc ^ text).view(np.uint64), homes)
             order = np.lexsort((text, doc, home))
             anchor, doc, text, tiles, home = (x[order] for x in (anchor, doc, text, tiles, home))
             used, starts = np.unique(home, return_index=True)
@@ -182,8 +187,9 @@ def _region_rows(batches, slices: int, length: int):
                 cut = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
                 at = np.minimum(np.searchsorted(wanted, anchor[cut]), len(wanted) - 1)
                 hit = wanted[at] == anchor[cut]
-                first = cut[hit].tolist()
-                for a, b, t, value in zip(first, np.append(cut[1:], len(anchor))[hit].tolist(), tiles[at[hit]].tolist(), anchor[cut[hit]].tolist()):
+                values = anchor[cut[hit]]
+                bounds = zip(cut[hit].tolist(), np.append(cut[1:], len(anchor))[hit].tolist())
+                for (a, b), t, value, home in zip(bounds, tiles[at[hit]].tolist(), values.tolist(), slice_of(values, slices).tolist()):
                     step = STARTS if t == 1 else 1
                     for s in range(a, b, step):
                         e = min(b, s + step)
@@ -192,12 +198,12 @@ def _region_rows(batches, slices: int, length: int):
                         if seen.setdefault(same, ids[k]) < ids[k]:
                             settled.append((ids[k], hashes[k], offset + s, e - s))
                         else:
-                            part = value if t == 1 else (value + same % t * 0x9E3779B97F4A) & 0xFFFFFFFFFFFF
-                            shipped.append((part * slices >> 48, ids[k], hashes[k], offset + s, e - s, region))
+                            part = home if t == 1 else xxhash.xxh3_64_intdigest(b"%d %d" % (value, same % t)) % slices
+                            shipped.append((part, ids[k], hashes[k], offset + s, e - s, region))
         rows = []
         shipped.sort(key=lambda r: r[:2])
-        slice_of = np.array([r[0] for r in shipped], np.int64)
-        bounds = np.searchsorted(slice_of, np.arange(slices + 1)).tolist()
+        placed = np.array([r[0] for r in shipped], np.int64)
+        bounds = np.searchsorted(placed, np.arange(slices + 1)).tolist()
         for s in range(slices):
             part = shipped[bounds[s] : bounds[s + 1]]
             if part:
@@ -366,7 +372,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     texts = keyed.select("id", "text_hash", "text")
     packed = texts.mapInArrow(lambda b: _anchor_rows(b, slices, length), "slice int, anchors binary, ids binary, hashes binary, counts binary")
-    shared = by_slice(packed).mapInArrow(lambda b: _shared_anchors(b, slices), "home int, ids binary, hashes binary, anchors binary, tiles binary")
+    shared = by_slice(packed).mapInArrow(lambda b: _shared_anchors(b, partitions), "home int, ids binary, hashes binary, anchors binary, tiles binary")
     back = shared.repartition(partitions, "home").sortWithinPartitions("home")
     per_doc = back.mapInArrow(_per_document, "id long, text_hash long, anchors binary, tiles binary")
     candidates = bucketed(texts.join(per_doc, ["id", "text_hash"]), ["id", "text_hash"], partitions)
