@@ -64,15 +64,38 @@ def base_spans(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.concat(email, ip, card, phone)).otherwise(none)
 
 
-def _left_words(text: Column, spans: Column) -> Column:
-    """Adds to each token the word before it, in small letters; a token at the start has none."""
+def _left_word(text: Column, at: Column) -> Column:
+    """The word before a place, in small letters; empty at the start."""
+    before = F.substring(text, F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)))
+    return F.lower(F.substring_index(F.rtrim(F.translate(before, "\t\n\x0b\x0c\r", "     ")), " ", -1))
 
-    def word(m):
-        before = F.substring(text, F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT_CHARS)))
-        spaced = F.rtrim(F.translate(before, "\t\n\x0b\x0c\r", "     "))
-        return F.lower(F.substring_index(spaced, " ", -1))
 
-    return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("value"), word(m).alias("pattern")))
+def _instances(text: Column, base: Column, min_digits: int) -> Column:
+    """(start, end, value, pattern, is_seed): whole base spans, and identifier-like tokens that touch none.
+
+    A seed's pattern is the word before the token it starts in, as that of any other token. A span that starts
+    inside another, or behind another in one token, has no word before it.
+    """
+
+    def item(start, end, value, at, is_seed: bool):
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), _left_word(text, at).alias("pattern"), F.lit(is_seed).alias("is_seed"))
+
+    def seed(m):
+        inside = F.filter(base, lambda b: (b["start"] >= m["start"]) & (b["start"] < m["end"]))
+        lead = F.array_min(F.transform(inside, lambda b: F.struct(b["start"].alias("start"), (-b["end"]).alias("back"))))
+        free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["start"]) & (b["end"] > x["start"]))
+        whole = lambda x: item(x["start"], -x["back"], F.substring(text, x["start"] + 1, -x["back"] - x["start"]), m["start"], True)
+        return let(lead, lambda x: F.when(x.isNotNull() & free(x), whole(x)))
+
+    def unseen(m):
+        wanted = F.contains(m["match"], F.lit("@")) | (F.char_length(_digits(m["match"])) >= min_digits)
+        return wanted & ~F.exists(base, lambda b: (m["start"] < b["end"]) & (m["end"] > b["start"]))
+
+    def both(ts):
+        seeds = F.filter(F.transform(ts, seed), lambda x: x.isNotNull())
+        return F.concat(seeds, F.transform(F.filter(ts, unseen), lambda m: item(m["start"], m["end"], m["match"], m["start"], False)))
+
+    return F.when(text.rlike("[0-9@]"), let(match_spans(text, TOKEN), both))
 
 
 def _scored(edges: DataFrame, rounds: int, min_seeds: int, smoothing: int, threshold: int) -> DataFrame:
@@ -117,13 +140,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, smo
     keyed = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     seeded = keyed.withColumn("base", base_spans(F.col("text")))
 
-    def wanted(m):
-        return F.contains(m["match"], F.lit("@")) | (F.char_length(_digits(m["match"])) >= min_digits)
-
-    tokens = F.when(F.col("text").rlike("[0-9@]"), _left_words(F.col("text"), F.filter(match_spans(F.col("text"), TOKEN), wanted)))
-    touches = lambda m: F.exists("base", lambda b: (m["start"] < b["end"]) & (m["end"] > b["start"]))
-    flagged = F.transform(tokens, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["pattern"].alias("pattern"), touches(m).alias("is_seed")))
-    found = stored(seeded.select("doc_id", "text_hash", "base", flagged.alias("tokens")), "pii-tokens")
+    found = stored(seeded.select("doc_id", "text_hash", "base", _instances(F.col("text"), F.col("base"), min_digits).alias("tokens")), "pii-tokens")
 
     occurrences = found.select("doc_id", "text_hash", F.explode("tokens").alias("t")).select("doc_id", "text_hash", "t.*").filter("pattern <> ''")
     edges = stored(occurrences.groupBy("pattern", "value").agg(F.max("is_seed").alias("is_seed")), "pii-edges")

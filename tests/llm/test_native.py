@@ -63,6 +63,16 @@ def test_context_finds_unseen_identifiers(make_docs):
     assert all(found[i] == personal(rows[i][1]) for i in range(12))
 
 
+@pytest.mark.parametrize("seed", ["+1 (743) 555-38{:02}", "+44 20 7946 {:04}", "<+49 30 1234 {:04}>", "4111 1111 1111 {}"])
+def test_seeds_with_blanks_induce_the_word_before_them(make_docs, seed):
+    last = [f"{k:04}" for k in range(10_000) if luhn(f"411111111111{k:04}")][:12] if seed.startswith("4") else range(12)
+    rows = [(i, f"You may dial {seed.format(x)} today") for i, x in enumerate(last)]
+    rows += [(100, "You may dial 77-881234 today"), (101, "Your parcel 77-881234x arrives")]
+    found = dict(spans_of(find_personal_data(make_docs(rows))))
+    assert found[100] == (("context", 13, 22),) and found[101] == ()
+    assert all(found[i] == personal(rows[i][1]) != () for i in range(12))
+
+
 def test_personal_data_of_awkward_rows(awkward, awkward_rows, nothing):
     want = sorted((r[0] if r[0] is not None else -1, personal(r[1] or "")) for r in awkward_rows)
     assert spans_of(find_personal_data(awkward)) == want
