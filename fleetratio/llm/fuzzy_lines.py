@@ -101,16 +101,33 @@ def _buckets(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
 
 
 def _shared(batches):
-    """Rows of sorted (bucket, line) whose bucket has another line, with the bucket's least line as leader."""
-    for table in whole_groups(batches, ["bucket"]):
-        bucket, line = table["bucket"].to_numpy(), table["line"].to_numpy()
+    """Rows of sorted (bucket, line), each once, whose bucket has another line, with the bucket's least line as leader.
+
+    Of the bucket that a batch leaves open only its number, leader and last line are kept.
+    """
+    held, told = None, False
+    for batch in batches:
+        bucket, line = batch["bucket"].to_numpy(), batch["line"].to_numpy()
+        fresh = np.ones(len(bucket), bool)
+        fresh[1:] = (bucket[1:] != bucket[:-1]) | (line[1:] != line[:-1])
+        if held and len(bucket):
+            fresh[0] = (bucket[0], line[0]) != (held[0], held[2])
+        bucket, line = bucket[fresh], line[fresh]
+        if not len(bucket):
+            continue
+        goes_on = held is not None and bucket[0] == held[0]
+        if goes_on:
+            bucket, line = np.append(held[0], bucket), np.append(held[1], line)
         new = np.ones(len(bucket), bool)
         new[1:] = bucket[1:] != bucket[:-1]
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         leader = line[first][group]
         many = np.logical_or.reduceat(line != leader, first)[group]
-        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (bucket, line, leader)], ["bucket", "line", "leader"])
+        held, out = (bucket[-1], leader[-1], line[-1]), many.copy()
+        out[0] &= not (goes_on and told)
+        told = bool(many[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (bucket, line, leader)], ["bucket", "line", "leader"])
 
 
 def _verified(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -159,10 +176,12 @@ def _cross_links(batches, shingle: int, threshold: float):
 
 def similar_line_classes(lines: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, root) of every line that has a similar but different line in ``lines`` (line, content)."""
-    banded = _buckets(lines, shingle, bands, rows)
-    shared = stored(banded.repartition("bucket").sortWithinPartitions("bucket", "line").mapInArrow(_shared, "bucket long, line long, leader long").distinct(), "line-buckets")
+    # combined before the shuffle: a line that a third of the corpus repeats is banded once
+    each = lines.groupBy("line").agg(F.first("content").alias("content"))
+    placed = _buckets(each, shingle, bands, rows).repartition("bucket").sortWithinPartitions("bucket", "line")
+    shared = stored(placed.mapInArrow(_shared, "bucket long, line long, leader long"), "line-buckets")
     wanted = shared.select("line").distinct()
-    texts = stored(lines.join(wanted, "line", "left_semi").groupBy("line").agg(F.first("content").alias("content")), "candidate-lines")
+    texts = stored(each.join(wanted, "line", "left_semi"), "candidate-lines")
 
     stars = shared.filter("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b")).distinct()
     with_a = stars.join(texts.withColumnRenamed("content", "content_a"), stars["a"] == F.col("line")).drop("line")

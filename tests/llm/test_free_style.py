@@ -7,10 +7,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
+from fleetratio.llm import fuzzy_lines
 from fleetratio.llm.components import connected_components
 from fleetratio.llm.fuzzy_lines import drop_duplicate_lines, line_report, shingles, similar
 from fleetratio.llm.qgram_decontamination import EDITS, Q, STEP, WINDOW, banded_edits, contaminated, drop_contaminated, folded, search, window_index
@@ -114,6 +116,27 @@ def test_one_fuzzy_line_of_a_component_stays(make_docs):
     assert cleaned == {1: rows[0][1], 2: "\nOwn text of two.", 3: "", None: ""}
 
 
+def test_repeated_lines_are_banded_once(make_docs, monkeypatch):
+    banded, seen = fuzzy_lines._buckets, []
+    monkeypatch.setattr(fuzzy_lines, "_buckets", lambda lines, *a: seen.append(lines.count()) or banded(lines, *a))
+    line = "A very common line of the whole corpus, which all the documents in it repeat."
+    rows = [(i, line + "\n" + line) for i in range(50)] + [(50, line.replace("common", "commons"))]
+    removed = {r.doc_id: r.removed for r in line_report(make_docs(rows)).collect()}
+    assert seen == [2]
+    assert removed == {0: "1", **{i: "0,1" for i in range(1, 50)}, 50: "0"}
+
+
+def test_shared_buckets_do_not_depend_on_batches():
+    rng = random.Random(5)
+    rows = sorted((rng.randint(0, 40) ** 2 // 40, rng.randint(-9, 9)) for _ in range(400))
+    lines = {b: sorted({x for c, x in rows if c == b}) for b, _ in rows}
+    want = [(b, x, xs[0]) for b, xs in lines.items() if len(xs) > 1 for x in xs]
+    for size in (1, 2, 3, 7, 50, 400):
+        batches = [pa.RecordBatch.from_pydict({"bucket": [r[0] for r in rows[at : at + size]], "line": [r[1] for r in rows[at : at + size]]}) for at in range(0, len(rows), size)]
+        got = [tuple(r.values()) for out in fuzzy_lines._shared(iter(batches)) for r in out.to_pylist()]
+        assert got == want
+
+
 def test_lines_of_awkward_rows(awkward, awkward_rows, nothing):
     cleaned = drop_duplicate_lines(awkward)
     assert cleaned.columns == awkward.columns and cleaned.count() == len(awkward_rows)
