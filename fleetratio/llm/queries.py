@@ -54,7 +54,7 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = repeated_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = repeated_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), both_ends=True)
     return gone.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
 
 

@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 From every sentence of a document a span runs over the fewest consecutive sentences, at least two, that hold
-at least fifteen words. Spans meet by hash over the whole corpus; sentences that a span covers go unless that
+at least fifteen words; with ``both_ends`` another such span ends at every sentence, and the two kinds together
+cover every repeated run that meets both limits. Spans meet by hash over the whole corpus; sentences that a span covers go unless that
 span is its first occurrence.
 
 A span is known by a 64-bit hash: among n spans two different ones are taken for one with a chance of n^2 / 2^65.
@@ -28,7 +29,7 @@ def sentence_pieces(text: str) -> list[str]:
     return re.split(BREAK, text)
 
 
-def document_spans(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int, int]]:
+def document_spans(text: str, min_sentences: int, min_words: int, both_ends: bool = False) -> list[tuple[int, int, int]]:
     """(hash, first piece, last piece) of each span; pieces without a word are passed over."""
     worded = [(k, piece.encode().lower().split()) for k, piece in enumerate(sentence_pieces(text))]
     worded = [(k, words) for k, words in worded if words]
@@ -36,20 +37,23 @@ def document_spans(text: str, min_sentences: int, min_words: int) -> list[tuple[
     upto = np.concatenate(([0], np.cumsum([len(words) for _, words in worded], dtype=np.int64)))
     starts = np.arange(len(worded))
     ends = np.maximum(np.searchsorted(upto, upto[:-1] + min_words), starts + min_sentences)
+    runs = [(s, e) for s, e in zip(starts.tolist(), ends.tolist()) if e <= len(worded)]
+    if both_ends:
+        stops = starts + 1
+        begins = np.minimum(np.searchsorted(upto, upto[1:] - min_words, side="right") - 1, stops - min_sentences)
+        runs += [(s, e) for s, e in zip(begins.tolist(), stops.tolist()) if s >= 0 and ends[s] != e]
     out = []
-    for s, e in zip(starts.tolist(), ends.tolist()):
-        if e > len(worded):
-            break
+    for s, e in runs:
         out.append((xxhash.xxh64_intdigest(b"".join(hashes[s:e])), worded[s][0], worded[e - 1][0]))
     return out
 
 
-def corpus_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+def corpus_spans(docs: DataFrame, min_sentences: int, min_words: int, both_ends: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, hashes, texts = batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(), batch["text"].to_pylist()
             for at in range(0, len(texts), 500):
-                part = [document_spans(t, min_sentences, min_words) for t in texts[at : at + 500]]
+                part = [document_spans(t, min_sentences, min_words, both_ends) for t in texts[at : at + 500]]
                 counts = [len(p) for p in part]
                 flat = [x for p in part for x in p]
                 rows = np.repeat(np.arange(at, at + len(part)), counts)
@@ -65,14 +69,14 @@ def corpus_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataFra
     return keyed.mapInArrow(run, "span long, doc_id long, text_hash long, first int, last int")
 
 
-def repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, both_ends: bool = False) -> DataFrame:
     """(doc_id, text_hash, removed): numbers of the pieces that go, for each document that loses one.
 
     The first occurrence of a span is that with the least doc_id (null last), then text hash, then place. Null
     and empty texts and texts with fewer sentences or words have no span. Rows equal in doc_id and text are one
     document. An empty table gives an empty result; other columns are not read.
     """
-    spans = stored(corpus_spans(docs, min_sentences, min_words), "sentence-spans")
+    spans = stored(corpus_spans(docs, min_sentences, min_words, both_ends), "sentence-spans")
     where = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash", "first")
     # counted and summed before the shuffle; a span that half the corpus holds is one row
     repeated = spans.groupBy("span").agg(F.min(where).alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("span", "keeper")
@@ -81,9 +85,9 @@ def repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_
     return covered.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("piece")).alias("removed"))
 
 
-def drop_repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, both_ends: bool = False) -> DataFrame:
     """``docs`` without the sentences of repeated spans; columns and rows stay, a null text stays null."""
-    joined = boxed(docs).join(repeated_sentences(docs, min_sentences, min_words), same_document(), "left")
+    joined = boxed(docs).join(repeated_sentences(docs, min_sentences, min_words, both_ends), same_document(), "left")
     pieces = F.split("row.text", BREAK, -1)
     left = F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, ""))

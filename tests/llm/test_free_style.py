@@ -312,6 +312,28 @@ def test_sentence_spans_against_brute_force(make_docs, corpus):
         assert cleaned[i] == (t if t is None else "".join(p for k, p in enumerate(sentence_pieces(t)) if k not in want.get(i, ())))
 
 
+def all_repeated_runs(docs):
+    """Pieces of every run of two sentences and fifteen words or more that is not its first occurrence."""
+    seen, gone = {}, {}
+    for i, t in docs:
+        pieces = sentence_pieces(t)
+        worded = [(k, tuple(p.encode().lower().split())) for k, p in enumerate(pieces) if WORD.search(p)]
+        for s in range(len(worded)):
+            for e in range(s + 2, len(worded) + 1):
+                if sum(len(w) for _, w in worded[s:e]) >= 15:
+                    if seen.setdefault(tuple(w for _, w in worded[s:e]), (i, s)) != (i, s):
+                        gone.setdefault(i, set()).update(range(worded[s][0], worded[e - 1][0] + 1))
+    return gone
+
+
+def test_both_ends_cover_every_repeated_run(make_docs, corpus):
+    passage = " ".join(" ".join(f"w{k}{i}" for i in range(n)) + "." for k, n in enumerate((20, 20, 8, 4)))
+    rows = [*corpus, (70, passage + " One goes on in this way."), (71, passage + " Another goes on in that way."), (72, "Two words. " + passage)]
+    got = {r.doc_id: set(r.removed) for r in repeated_sentences(make_docs(rows), both_ends=True).collect()}
+    assert got == all_repeated_runs([(i, t or "") for i, t in rows])
+    assert got[71] == {0, 1, 2, 3} and got[72] == {1, 2, 3, 4} and 70 not in got
+
+
 def test_sentence_spans_of_awkward_rows(awkward, awkward_rows, nothing):
     cleaned = drop_repeated_sentences(awkward)
     assert cleaned.columns == awkward.columns and cleaned.count() == len(awkward_rows)
