@@ -60,4 +60,69 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM counted
 """
 
-LLM_ORACLE = {"op4_curriculum_mix": OP4, "op6_rule_cascade": OP6}
+#: The table of the reflected CRC-32 by its rule, then the CRC of each distinct word byte by byte.
+OP11 = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(256)) AS i)
+), worded AS (
+  SELECT doc_id, row_number() OVER () AS row,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), benchmarked AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), uses AS (
+  SELECT row, word, count(*) AS n FROM (SELECT row, unnest(words) AS word FROM worded) GROUP BY row, word
+), vocabulary AS (
+  SELECT word, hex(encode(word)) AS hx FROM (SELECT word FROM uses UNION SELECT word FROM benchmarked)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM vocabulary, crc_table
+), s AS (
+  SELECT bucket, sum(n)::DOUBLE AS s FROM uses JOIN hashed USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*)::DOUBLE AS t FROM benchmarked JOIN hashed USING (word) GROUP BY bucket
+), totals AS (
+  SELECT (SELECT coalesce(sum(s), 0) FROM s) AS big_s, (SELECT coalesce(sum(t), 0) FROM t) AS big_t
+), gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), totals
+), weights AS (
+  SELECT row, sum(n * gain)::BIGINT AS weight FROM uses JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row
+), scored AS (
+  SELECT doc_id, row, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM worded LEFT JOIN weights USING (row)
+), placed AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place::BIGINT END AS rank FROM scored LEFT JOIN placed USING (row)
+"""
+
+OP13 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, row_number() OVER () AS row,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, row, CASE WHEN len(words) < 2 THEN words ELSE list_sort(list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) END AS shingles FROM worded
+), classes AS (
+  SELECT shingles, min(row) AS class, len(shingles) AS n FROM sets WHERE len(shingles) > 0 GROUP BY shingles
+), uses AS (
+  SELECT class, n, unnest(shingles) AS shingle FROM classes
+), pairs AS (
+  SELECT a.class AS a, b.class AS b FROM uses a JOIN uses b ON a.shingle = b.shingle AND a.class < b.class AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), links AS (
+  SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
+), reached(node, root) AS (
+  SELECT class, class FROM classes UNION SELECT l.b, r.root FROM reached r JOIN links l ON r.node = l.a
+), roots AS (
+  SELECT node AS class, min(root) AS root FROM reached GROUP BY node
+), grouped AS (
+  SELECT s.doc_id, s.row, coalesce(r.root, -s.row) AS root, len(s.shingles) AS n_shingles FROM sets s LEFT JOIN classes c USING (shingles) LEFT JOIN roots r ON r.class = c.class
+), labelled AS (
+  SELECT doc_id, n_shingles::BIGINT AS n_shingles, min(doc_id) OVER (PARTITION BY root) AS component_id FROM grouped
+)
+SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM labelled
+"""
+
+LLM_ORACLE = {"op4_curriculum_mix": OP4, "op6_rule_cascade": OP6, "op11_overlapped_resampling": OP11, "op13_oneperm_minhash": OP13}

@@ -12,13 +12,19 @@ from fleetratio.llm.common import table
 from fleetratio.llm.contextual_pii import KINDS, find_personal_data
 from fleetratio.llm.curriculum import curriculum
 from fleetratio.llm.fuzzy_lines import line_report
+from fleetratio.llm.importance_resampling import importance_draw
+from fleetratio.llm.oneperm_minhash import near_duplicate_sets
 from fleetratio.llm.qgram_decontamination import contaminated
 from fleetratio.llm.sentence_spans import repeated_sentences
 from fleetratio.llm.simhash_pivots import near_duplicates
 from fleetratio.llm.suffix_two_stage import remove_repeated_strings
+from fleetratio.llm.tokenizer_alignment import alignment_statistics, read_vocabularies
 from fleetratio.llm.trigram_secrets import BASE_RULES, find_secrets
 from fleetratio.llm.warc_derivatives import derive_records
 
+#: Where the public vocabularies lie.
+A_VOCABULARY, B_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _listed(spans):
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
@@ -83,6 +89,20 @@ def op10_suffix_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_overlapped_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_draw(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_diagonal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), read_vocabularies(A_VOCABULARY, B_VOCABULARY))
+
+
+def op13_oneperm_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicate_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_contextual_pii": op2_contextual_pii,
@@ -94,4 +114,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_simhash_pivots": op9_simhash_pivots,
     "op10_suffix_two_stage": op10_suffix_two_stage,
+    "op11_overlapped_resampling": op11_overlapped_resampling,
+    "op12_diagonal_alignment": op12_diagonal_alignment,
+    "op13_oneperm_minhash": op13_oneperm_minhash,
 }
