@@ -31,7 +31,7 @@ PROBES = 4096
 #: 64-bit words of the parity sketch.
 SKETCH_WORDS = 16
 #: Members of a mixed bucket compared in one go; tiles of a larger bucket meet pairwise.
-TILE = 1024
+TILE = 2048
 #: Members of a star confirmed by one task.
 STAR = 4096
 #: Multipliers of a well-known 64-bit mixer.
@@ -223,12 +223,12 @@ def _crossing(batches, percent: int, most: int):
             rank = np.arange(len(i)) - np.maximum.accumulate(np.where(fresh, np.arange(len(i)), 0))
             kept = rank < most
             a, b = np.minimum(ids[i], ids[j])[kept], np.maximum(ids[i], ids[j])[kept]
-            more = np.full(len(a), bool((~kept).any()))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
+            key, more = np.full(len(a), keys[0][part[0]]), np.full(len(a), bool((~kept).any()))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b), pa.array(more)], ["key", "a", "b", "more"])
 
 
 def _crossing_pairs(rows: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b, more) over the buckets whose members lie in different components."""
+    """(key, a, b, more) over the buckets whose members lie in different components."""
     labelled = rows.join(roots, rows["set_id"] == roots["node"], "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
     open_buckets = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).filter("x <> y")
     tiles = F.ceil(F.col("members") / TILE).cast("int")
@@ -236,7 +236,7 @@ def _crossing_pairs(rows: DataFrame, roots: DataFrame, sketches: DataFrame, perc
     met = F.explode(F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(own, t).alias("low"), F.greatest(own, t).alias("high"))))
     units = labelled.join(open_buckets, "key").withColumn("tile", met).select("key", "tile.low", "tile.high", "set_id", "root")
     placed = units.join(sketches, "set_id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "set_id")
-    return placed.mapInArrow(lambda batches: _crossing(batches, percent, most), "a long, b long, more boolean")
+    return placed.mapInArrow(lambda batches: _crossing(batches, percent, most), "key long, a long, b long, more boolean")
 
 
 def similar_sets(classes: DataFrame, docs: DataFrame, shingle: int = 2, percent: int = 80, most: int = 8) -> DataFrame:
@@ -265,7 +265,7 @@ def similar_sets(classes: DataFrame, docs: DataFrame, shingle: int = 2, percent:
         links = stored(links.unionByName(extra), "links")
         if not again:  # all pairs that were left are confirmed or refuted now
             return connected_components(links)
-        most *= 8
+        larger, most = larger.join(found.filter("more").select("key").distinct(), "key", "left_semi"), 8 * most
 
 
 def near_duplicate_sets(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
