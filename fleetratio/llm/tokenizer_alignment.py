@@ -143,6 +143,27 @@ def _decoded(raw: bytes) -> str:
         return ""
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.xxhash64(text_of()).alias("text_hash"))
+
+
+def _coded(batches, vocabularies: Vocabularies):
+    """(some rows of a batch, ids of A and B of each, group sizes of A and B of each), few texts at a time."""
+    coders = Encoders(vocabularies)
+    for batch in batches:
+        texts, at = batch["text"], 0
+        while at < len(texts):
+            chunk, size = [], 0
+            while at + len(chunk) < len(texts) and (not chunk or size < CHUNK):
+                chunk.append(_decoded(texts[at + len(chunk)].as_py()))
+                size += len(chunk[-1])
+            ids = iter(coders.encode([t for t in chunk if t]))
+            coded = [next(ids) if t else ([], []) for t in chunk]
+            ends = ((np.cumsum(coders.a_length[a]).tolist(), np.cumsum(coders.b_length[b]).tolist()) if a else ([], []) for a, b in coded)
+            yield batch.slice(at, len(chunk)), coded, [aligned_groups(a, b) for a, b in ends]
+            at += len(chunk)
+
+
 def align(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
     """(doc_id, text_hash, a_ids, b_ids, a_sizes, b_sizes): ids of both tokenizers for each text, and how many
     tokens of either side each group holds.
@@ -151,67 +172,14 @@ def align(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
     Repeated rows and null ids keep one row each, an empty table gives an empty result; only ``doc_id`` and
     ``text`` are read.
     """
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(vocabularies)
-
-    def run(batches):
-        coders = Encoders(shipped.value)
-        for batch in batches:
-            texts = [_decoded(t) for t in batch["text"].to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-                    size += len(texts[end])
-                    end += 1
-                coded = [([], [])] * (end - at)
-                full = [k for k in range(at, end) if texts[k]]
-                for k, ids in zip(full, coders.encode([texts[k] for k in full]) if full else []):
-                    coded[k - at] = ids
-                sizes = [aligned_groups(np.cumsum(coders.a_length[a]).tolist(), np.cumsum(coders.b_length[b]).tolist()) if a else ([], []) for a, b in coded]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch["doc_id"].slice(at, end - at),
-                        "text_hash": batch["text_hash"].slice(at, end - at),
-                        "a_ids": _lists([a for a, _ in coded]),
-                        "b_ids": _lists([b for _, b in coded]),
-                        "a_sizes": _lists([a for a, _ in sizes]),
-                        "b_sizes": _lists([b for _, b in sizes]),
-                    }
-                )
-                at = end
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.xxhash64(text_of()).alias("text_hash"))
-    return keyed.mapInArrow(run, "doc_id long, text_hash long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>")
-
-
-def _links(batch) -> tuple[np.ndarray, np.ndarray]:
-    """Pair codes of all links of a batch, and where each row's links start and end.
-
-    Every token has a byte at least, so one token of either side ends at the end of a group: its last one.
-    """
-    codes = []
-    for side in ("a", "b"):
-        ids, sizes = batch[f"{side}_ids"], batch[f"{side}_sizes"]
-        codes.append(ids.flatten().to_numpy()[np.cumsum(sizes.flatten().to_numpy(), dtype=np.int64) - 1].astype(np.int64))
-    cuts = batch["a_sizes"].offsets.to_numpy()
-    return (codes[0] << 32) | codes[1], cuts - cuts[0]
-
-
-def link_counts(aligned: DataFrame) -> DataFrame:
-    """(a_id, b_id, n): how many links of the corpus hold each pair of ids; summed in each task before the shuffle."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabularies)
 
     def run(batches):
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            found, n = np.unique(_links(batch)[0], return_counts=True)
-            pairs, back = np.unique(np.concatenate([pairs, found]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n]), len(pairs)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+        for rows, coded, sizes in _coded(batches, shipped.value):
+            lists = [_lists([r[k] for r in side]) for side in (coded, sizes) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["text_hash"], *lists], ["doc_id", "text_hash", "a_ids", "b_ids", "a_sizes", "b_sizes"])
 
-    partial = aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, "pair long, n long")
-    summed = partial.groupBy("pair").agg(F.sum("n").alias("n"))
-    return summed.select(F.shiftright("pair", 32).cast("int").alias("a_id"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b_id"), "n")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>")
 
 
 def groups_text(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> str:
@@ -223,8 +191,53 @@ def groups_text(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes:
     return ";".join(out)
 
 
-def alignment_report(aligned: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of ``align``.
+def linked_pairs(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> np.ndarray:
+    """Pairs of ids that end together, A above 32 bits of B. Every token has a byte at least, so one token of either
+    side ends at the end of a group: its last one."""
+    a, b = (np.array(ids, np.int64)[np.cumsum(np.array(sizes, np.int64)) - 1] if ids else np.zeros(0, np.int64) for ids, sizes in ((a_ids, a_sizes), (b_ids, b_sizes)))
+    return (a << 32) | b
+
+
+def alignment_links(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
+    """(doc_id, text_hash, n_a, n_b, n_groups, groups_sha256, links): ``align`` in short, for counting. ``links`` are
+    the linked pairs of ids, packed as bytes."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabularies)
+
+    def run(batches):
+        for rows, coded, sizes in _coded(batches, shipped.value):
+            full = [(*c, *s) for c, s in zip(coded, sizes)]
+            columns = {
+                "doc_id": rows["doc_id"],
+                "text_hash": rows["text_hash"],
+                "n_a": pa.array([len(f[0]) for f in full], pa.int64()),
+                "n_b": pa.array([len(f[1]) for f in full], pa.int64()),
+                "n_groups": pa.array([len(f[2]) for f in full], pa.int64()),
+                "groups_sha256": pa.array([sha256(groups_text(*f).encode()).hexdigest() if f[0] else "" for f in full], pa.string()),
+                "links": pa.array([linked_pairs(*f).tobytes() for f in full], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary")
+
+
+def link_counts(linked: DataFrame) -> DataFrame:
+    """(a_id, b_id, n): how many links of the corpus hold each pair of ids; summed in each task before the shuffle."""
+
+    def run(batches):
+        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found, n = np.unique(np.frombuffer(b"".join(batch["links"][at : at + 500].to_pylist()), np.int64), return_counts=True)
+                pairs, back = np.unique(np.concatenate([pairs, found]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, n]), len(pairs)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+
+    summed = linked.select("links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return summed.select(F.shiftright("pair", 32).cast("int").alias("a_id"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b_id"), "n")
+
+
+def alignment_report(linked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of ``alignment_links``.
 
     ``n_best`` are the links whose pair no other pair of the same b id outnumbers, ``count_sum`` adds the corpus counts
     of the links. ``counts`` is that of ``link_counts``: at most as many rows as the vocabularies have bytes, so it is
@@ -237,26 +250,22 @@ def alignment_report(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     b_ids = pairs & 0xFFFFFFFF
     top = np.zeros(int(b_ids.max(initial=0)) + 1, np.int64)
     np.maximum.at(top, b_ids, n)
-    shipped = aligned.sparkSession.sparkContext.broadcast((pairs, n, n == top[b_ids]))
+    shipped = linked.sparkSession.sparkContext.broadcast((pairs, n, n == top[b_ids]))
 
     def run(batches):
         pairs, n, best = shipped.value
         for batch in batches:
-            codes, cuts = _links(batch)
-            at = np.searchsorted(pairs, codes)
-            sums, bests = (np.concatenate(([0], np.cumsum(x[at], dtype=np.int64))) for x in (n, best))
-            lists = [batch[c].to_pylist() for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")]
-            digests = [sha256(groups_text(*row).encode()).hexdigest() if row[0] else "" for row in zip(*lists)]
-            lengths = [np.diff(batch[c].offsets.to_numpy()).astype(np.int64) for c in ("a_ids", "b_ids", "a_sizes")]
-            numbers = [*lengths, lengths[2], bests[cuts[1:]] - bests[cuts[:-1]], sums[cuts[1:]] - sums[cuts[:-1]]]
-            names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, numbers), pa.array(digests, pa.string())], names)
+            rows = []
+            for links in batch["links"]:
+                at = np.searchsorted(pairs, np.frombuffer(links.as_buffer(), np.int64))
+                rows.append((len(at), int(best[at].sum()), int(n[at].sum())))
+            named = {name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(("n_links", "n_best", "count_sum"))}
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("doc_id", "n_a", "n_b", "n_groups")} | named | {"groups_sha256": batch["groups_sha256"]})
 
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return aligned.select("doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, schema)
+    return linked.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def alignment_statistics(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
     """``alignment_report`` of the documents over the counts of their own corpus; texts are encoded once."""
-    aligned = stored(align(docs, vocabularies), "aligned")
-    return alignment_report(aligned, link_counts(aligned))
+    linked = stored(alignment_links(docs, vocabularies), "linked")
+    return alignment_report(linked, link_counts(linked))
