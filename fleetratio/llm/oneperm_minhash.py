@@ -230,6 +230,7 @@ def _crossing(batches, percent: int, most: int):
 def _crossing_pairs(rows: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int, most: int) -> DataFrame:
     """(key, a, b, more) over the buckets whose members lie in different components."""
     labelled = rows.join(roots, rows["set_id"] == roots["node"], "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
+    labelled = stored(labelled, "labelled-buckets")
     open_buckets = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).filter("x <> y")
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     own = F.pmod(F.hash("set_id"), tiles)
@@ -265,7 +266,7 @@ def similar_sets(classes: DataFrame, docs: DataFrame, shingle: int = 2, percent:
         links = stored(links.unionByName(extra), "links")
         if not again:  # all pairs that were left are confirmed or refuted now
             return connected_components(links)
-        larger, most = larger.join(found.filter("more").select("key").distinct(), "key", "left_semi"), 8 * most
+        larger, most = stored(larger.join(found.filter("more").select("key").distinct(), "key", "left_semi"), "open-buckets"), 64 * most
 
 
 def near_duplicate_sets(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
