@@ -91,13 +91,13 @@ class Encoders:
     def encode_a(self, text: str) -> list[int]:
         return self.ranks.encode_ordinary(text) if self.by_ranks(text) else self.a.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both for each text; none where either does not give back the bytes of space and text."""
         out = []
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
             raw, a = f" {text}".encode(), self.encode_a(f" {text}")
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            out.append((a, b) if same else ([], []))
+            same = b"".join(map(self.b_bytes.__getitem__, b)) == raw and b"".join(map(self.a_bytes.__getitem__, a)) == raw
+            out.append(tuple(np.array(ids if same else [], np.int32) for ids in (a, b)))
         return out
 
 
@@ -130,9 +130,9 @@ def aligned_groups(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def _lists(rows: list[list[int]]) -> pa.ListArray:
+def _lists(rows: list) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter((v for r in rows for v in r), np.int32, ends[-1])))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([NO_IDS, *(np.array(r, np.int32) for r in rows)])))
 
 
 def _decoded(raw: bytes) -> str:
@@ -143,13 +143,15 @@ def _decoded(raw: bytes) -> str:
         return ""
 
 
+NO_IDS = np.zeros(0, np.int32)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.xxhash64(text_of()).alias("text_hash"))
 
 
-def _coded(batches, vocabularies: Vocabularies):
+def _coded(batches, coders: Encoders):
     """(some rows of a batch, ids of A and B of each, group sizes of A and B of each), few texts at a time."""
-    coders = Encoders(vocabularies)
     for batch in batches:
         texts, at = batch["text"], 0
         while at < len(texts):
@@ -158,8 +160,8 @@ def _coded(batches, vocabularies: Vocabularies):
                 chunk.append(_decoded(texts[at + len(chunk)].as_py()))
                 size += len(chunk[-1])
             ids = iter(coders.encode([t for t in chunk if t]))
-            coded = [next(ids) if t else ([], []) for t in chunk]
-            ends = ((np.cumsum(coders.a_length[a]).tolist(), np.cumsum(coders.b_length[b]).tolist()) if a else ([], []) for a, b in coded)
+            coded = [next(ids) if t else (NO_IDS, NO_IDS) for t in chunk]
+            ends = ((np.cumsum(coders.a_length[a]).tolist(), np.cumsum(coders.b_length[b]).tolist()) for a, b in coded)
             yield batch.slice(at, len(chunk)), coded, [aligned_groups(a, b) for a, b in ends]
             at += len(chunk)
 
@@ -175,26 +177,36 @@ def align(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(vocabularies)
 
     def run(batches):
-        for rows, coded, sizes in _coded(batches, shipped.value):
+        for rows, coded, sizes in _coded(batches, Encoders(shipped.value)):
             lists = [_lists([r[k] for r in side]) for side in (coded, sizes) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["text_hash"], *lists], ["doc_id", "text_hash", "a_ids", "b_ids", "a_sizes", "b_sizes"])
 
     return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>")
 
 
-def groups_text(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-    a, b, i, j, out = list(map(str, a_ids)), list(map(str, b_ids)), 0, 0, []
-    for x, y in zip(a_sizes, b_sizes):
-        out.append(f"{a[i]}|{b[j]}" if x == y == 1 else f"{','.join(a[i : i + x])}|{','.join(b[j : j + y])}")
-        i, j = i + x, j + y
-    return ";".join(out)
+def shown_ids(size: int) -> np.ndarray:
+    """Each id below ``size`` in digits, followed by a comma, a bar or a semicolon."""
+    return np.array([f"{i}{mark}".encode() for i in range(size) for mark in ",|;"], object)
+
+
+def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_sizes: list[int], b_sizes: list[int], shown: np.ndarray) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group in order. All pieces are placed at once: a token of A comes after
+    the B tokens of the groups before its own, one of B after the A tokens of its own as well."""
+    x, y = np.array(a_sizes, np.int64), np.array(b_sizes, np.int64)
+    a_ends, b_ends = np.cumsum(x), np.cumsum(y)
+    a, b = 3 * a_ids.astype(np.int64), 3 * b_ids.astype(np.int64)
+    a[a_ends - 1] += 1
+    b[b_ends - 1] += 2
+    pieces = np.empty(len(a) + len(b), np.int64)
+    pieces[np.arange(len(a)) + np.repeat(b_ends - y, x)] = a
+    pieces[np.arange(len(b)) + np.repeat(a_ends, y)] = b
+    return b"".join(shown[pieces].tolist())[:-1]
 
 
-def linked_pairs(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> np.ndarray:
+def linked_pairs(a_ids: np.ndarray, b_ids: np.ndarray, a_sizes: list[int], b_sizes: list[int]) -> np.ndarray:
     """Pairs of ids that end together, A above 32 bits of B. Every token has a byte at least, so one token of either
     side ends at the end of a group: its last one."""
-    a, b = (np.array(ids, np.int64)[np.cumsum(np.array(sizes, np.int64)) - 1] if ids else np.zeros(0, np.int64) for ids, sizes in ((a_ids, a_sizes), (b_ids, b_sizes)))
+    a, b = (ids[np.cumsum(np.array(sizes, np.int64)) - 1].astype(np.int64) for ids, sizes in ((a_ids, a_sizes), (b_ids, b_sizes)))
     return (a << 32) | b
 
 
@@ -204,7 +216,9 @@ def alignment_links(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(vocabularies)
 
     def run(batches):
-        for rows, coded, sizes in _coded(batches, shipped.value):
+        coders = Encoders(shipped.value)
+        shown = shown_ids(max(len(coders.a_bytes), len(coders.b_bytes)))
+        for rows, coded, sizes in _coded(batches, coders):
             full = [(*c, *s) for c, s in zip(coded, sizes)]
             columns = {
                 "doc_id": rows["doc_id"],
@@ -212,7 +226,7 @@ def alignment_links(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
                 "n_a": pa.array([len(f[0]) for f in full], pa.int64()),
                 "n_b": pa.array([len(f[1]) for f in full], pa.int64()),
                 "n_groups": pa.array([len(f[2]) for f in full], pa.int64()),
-                "groups_sha256": pa.array([sha256(groups_text(*f).encode()).hexdigest() if f[0] else "" for f in full], pa.string()),
+                "groups_sha256": pa.array([sha256(groups_text(*f, shown)).hexdigest() if len(f[0]) else "" for f in full], pa.string()),
                 "links": pa.array([linked_pairs(*f).tobytes() for f in full], pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(columns)
