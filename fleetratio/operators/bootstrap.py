@@ -4,6 +4,10 @@ Ordinary resampling: a stratum with n vessels is redrawn n times with replacemen
 draw is a hash of (seed, stratum, replicate, draw number), so the result does not depend on
 partitioning, retries or the order of rows, and no state is kept between tasks. Vessels are numbered
 by the order of a hash of their key, by the same rule in a stratum of any size.
+
+The numbers form a tree of fixed nodes. The n draws of a replicate are first dealt to nodes by one
+hash each; a node then draws only its share among its own vessels. So a replicate takes at most two
+hashes a draw, however many nodes and tasks a stratum is cut into.
 """
 
 from __future__ import annotations
@@ -21,10 +25,15 @@ from ..sources.checkpoints import cut_lineage
 from .expand import spread_domains
 from .moments import UNIT_COLS, fleet_effort, stratum_domain_moments
 from .prepare import program_normalise
+from .quantiles import exact_quantiles
 
 SAMPLERS = ("xxhash64", "md5")
-# Consecutive vessels of a stratum that one row of work holds.
-CHUNK_UNITS = 50_000
+# Consecutive vessels of a node of the tree; a part of the sampling rule, as the seed is.
+NODE_UNITS = 4096
+# Draws dealt to nodes by one row of work.
+DEAL_DRAWS = 1_000_000
+# Draws that one hash of a sampler serves.
+DRAWS_PER_HASH = {"xxhash64": 2, "md5": 4}
 # Replicates of a stratum in one row of work; the work of one stratum spreads over R / this.
 REPLICATE_BLOCK = 50
 # Hex digits of a vessel's hash that name its bucket, the same for every stratum.
@@ -40,35 +49,42 @@ def vessel_sums(
     domain_col: str,
     vessel_col: str,
 ) -> DataFrame:
-    """Effort and the bycatch of each domain (array ``__byc``) per stratum and vessel, in one scan.
+    """Effort and bycatch per stratum and vessel, in one scan.
 
-    Records are summed by domain first, so a record costs the same whatever the length of the list,
-    and then packed per vessel.
+    ``__entries`` holds (0, effort) and (place in the list, bycatch) of each domain that the vessel caught:
+    a domain that does not occur costs nothing. Records are summed by domain before they are packed.
     """
     require_columns(ob, [*strata, vessel_col, effort, unit, domain_col], "observer table")
     keys, value, load = [*strata, vessel_col], measure(unit), measure(effort)
-    place = F.when(F.col(domain_col).isin(list(domains)), F.array_position(_names(domains), F.col(domain_col)))
+    place = F.when(F.col(domain_col).isin(list(domains)), F.array_position(_names(domains), F.col(domain_col)).cast("int"))
     by_domain = (
         ob.withColumn("__place", place)
         .groupBy(*keys, "__place")
         .agg(sum_or_zero(load).alias("__load"), sum_or_zero(value).alias("__value"))
     )
-    entries = F.collect_list(F.when(F.col("__place").isNotNull(), F.struct("__place", "__value")))
-    packed = by_domain.groupBy(*keys).agg(F.sum("__load").alias("ves_expf"), F.map_from_entries(entries).alias("__m"))
-    places = F.sequence(F.lit(1).cast("bigint"), F.lit(len(domains)).cast("bigint"))
-    amounts = F.transform(places, lambda i: F.coalesce(F.try_element_at(F.col("__m"), i), F.lit(0.0)))
-    return packed.select(*keys, "ves_expf", amounts.alias("__byc"))
+    entry = F.when(F.col("__place").isNotNull() & (F.col("__value") != 0), _entry(F.col("__place"), F.col("__value")))
+    packed = by_domain.groupBy(*keys).agg(F.sum("__load").alias("ves_expf"), F.collect_list(entry).alias("__caught"))
+    entries = F.concat(F.array(_entry(F.lit(0), F.col("ves_expf"))), F.col("__caught"))
+    return packed.select(*keys, "ves_expf", entries.alias("__entries"))
+
+
+def _entry(place: Column, amount: Column) -> Column:
+    return F.struct(place.alias("k"), amount.alias("v"))
 
 
 def _names(domains: Sequence[str]) -> Column:
     return F.array(*[F.lit(d) for d in domains])
 
 
-def _by_domain(df: DataFrame, domains: Sequence[str], domain_col: str, name: str) -> DataFrame:
-    """One row per domain from the array ``__byc``."""
-    keep = [c for c in df.columns if c != "__byc"]
-    pairs = df.withColumn("__domain", _names(domains)).withColumn("__pair", F.arrays_zip("__domain", "__byc"))
-    return pairs.select(*keep, F.inline("__pair").alias(domain_col, name))
+def _by_domain(df: DataFrame, domains: Sequence[str], domain_col: str, name: str, amount: Column) -> DataFrame:
+    """One row per domain; ``amount`` reads the map ``__m`` at ``__k``, the domain's place."""
+    keep = [c for c in df.columns if c != "__m"]
+    spread = df.select(*keep, "__m", F.posexplode(_names(domains)).alias("__at", domain_col)).withColumn("__k", F.col("__at") + 1)
+    return spread.select(*keep, domain_col, amount.alias(name))
+
+
+def _amount() -> Column:
+    return F.coalesce(F.try_element_at("__m", F.col("__k")), F.lit(0.0))
 
 
 def vessel_rollup(
@@ -83,7 +99,8 @@ def vessel_rollup(
     """Effort and bycatch per stratum, vessel and domain; vessels without the domain have 0."""
     strata, domains = column_list(strata), domain_list(domains)
     sums = vessel_sums(ob, strata, domains, effort, unit, domain_col, vessel_col)
-    return _by_domain(sums, domains, domain_col, "ves_byc")
+    mapped = sums.select(*strata, vessel_col, "ves_expf", F.map_from_entries("__entries").alias("__m"))
+    return _by_domain(mapped, domains, domain_col, "ves_byc", _amount())
 
 
 def key_text(columns: Sequence[str]) -> Column:
@@ -96,17 +113,32 @@ def key_text(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[part(c) for c in columns])
 
 
-def draw_index(sampler: str, seed: int, salt: Column, rep: Column, draw: Column, n: Column) -> Column:
-    """Zero-based index of the unit drawn: a hash reduced modulo ``n``."""
+def draw_digest(sampler: str, seed: int, salt: Column, node: Column, rep: Column, number: Column) -> Column:
+    """Hash ``number`` of a node and replicate; serves as many draws as ``DRAWS_PER_HASH`` says."""
     if sampler == "md5":
-        text = F.concat_ws("|", F.lit(str(seed)), salt, rep.cast("string"), draw.cast("string"))
-        head = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-        return F.pmod(head, n.cast("bigint"))
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), salt, node.cast("string"), rep.cast("string"), number.cast("string")))
     if sampler == "xxhash64":
-        return F.pmod(F.xxhash64(F.lit(int(seed)).cast("bigint"), salt, rep.cast("bigint"), draw.cast("bigint")), n.cast("bigint"))
+        return F.xxhash64(F.lit(int(seed)).cast("bigint"), salt, node.cast("bigint"), rep.cast("bigint"), number.cast("bigint"))
     raise ValueError(f"unknown sampler {sampler!r}: use one of {', '.join(SAMPLERS)}")
 
 
+def draw_numbers(sampler: str) -> Column:
+    """The random numbers of the hash ``__digest``: draw ``j`` takes number ``j mod size`` of hash ``j div size``."""
+    if sampler == "md5":
+        # no higher-order function here: it would leave generated code and copy the vessels for every hash
+        return F.array(*[F.conv(F.substring(F.col("__digest"), 8 * g + 1, 8), 16, 10).cast("bigint") for g in range(4)])
+    return F.array(F.shiftrightunsigned("__digest", 32), F.col("__digest").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def _drawn(df: DataFrame, sampler: str, seed: int, node: Column, first: Column, n: Column) -> DataFrame:
+    """One row with ``__number`` for each of the draws ``first`` .. ``first + n - 1``; ``first`` begins a hash."""
+    each = DRAWS_PER_HASH[sampler]
+    hashes = df.withColumn("__hash", F.explode(F.sequence(F.expr("0L") + F.floor(first / each), F.floor((first + n - 1) / each))))
+    digests = hashes.withColumn("__digest", draw_digest(sampler, seed, F.col("__salt"), node, F.col("rep"), F.col("__hash")))
+    spread = digests.select(*df.columns, "__hash", F.posexplode(draw_numbers(sampler)).alias("__pos", "__number"))
+    return spread.where(F.col("__hash") * each + F.col("__pos") < first + n).drop("__hash", "__pos")
+
+
 def _numbered_units(units: DataFrame, strata: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Number the vessels of each stratum 0 .. n-1 (``__idx``) and add n (``__n``).
 
@@ -135,53 +167,79 @@ def _numbered_units(units: DataFrame, strata: Sequence[str], order: Sequence[str
     )
 
 
-def _replicate_sums(units, strata, order, n_domains, replicates, seed, sampler, chunk_units, tasks=None) -> DataFrame:
-    """Sums of effort and of every domain for each stratum and replicate, whatever the stratum's size.
+def _node_shares(sizes: DataFrame, replicates, block, seed, sampler, node_units) -> DataFrame:
+    """Draws that each node of a stratum of several nodes gets in each replicate (``__shares``), by block of replicates.
 
-    Each row of work is (stratum, chunk of consecutive vessels, block of replicates) with the chunk's
-    vessels as primitive arrays. It evaluates all n draws of its replicates, keeps those that fall in its
-    chunk and sums them in place; only the sums are shuffled. The price of c chunks is c times the hashes.
+    Each of the n draws is dealt by its own hash, in rows of work of a million; counts are combined before they move.
     """
-    values = ["ves_expf", *[f"__b{i}" for i in range(n_domains)]]
-    size = F.lit(chunk_units).cast("bigint")
-    columns = [F.col("ves_expf"), *[F.col("__byc")[i].alias(f"__b{i}") for i in range(n_domains)]]
-    numbered = _numbered_units(units, strata, order)
-    chunked = numbered.select(*strata, "__n", "__idx", F.expr(f"__idx div {chunk_units}").alias("__chunk"), *columns)
-    sorted_units = F.sort_array(F.collect_list(F.struct("__idx", *values)))
-    packed = chunked.groupBy(*strata, "__n", "__chunk").agg(sorted_units.alias("__units"))
-    arrays = [F.col("__units").getField(v).alias(f"__a{k}") for k, v in enumerate(values)]
-    block = max(1, min(REPLICATE_BLOCK, ceil(replicates / 8)))
-    tasks = tasks or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = F.lit(-1)
+    blocks = F.sequence(F.lit(0), F.lit(ceil(replicates / block) - 1))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / DEAL_DRAWS))
     work = (
-        packed.select(*strata, key_text(strata).alias("__salt"), "__n", "__chunk", *arrays)
-        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(ceil(replicates / block) - 1))))
-        .repartition(tasks, *strata, "__chunk", "__block")
+        sizes.where(F.col("__n") > node_units)
+        .withColumn("__block", F.explode(blocks))
+        .withColumn("__part", F.explode(parts))
+        .repartition("__salt", "__block", "__part")
     )
-    first = F.col("__block") * block + 1
-    draws = work.withColumn(
-        "rep", F.explode(F.sequence(first, F.least(first + (block - 1), F.lit(replicates))))
-    ).withColumn("__draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
-    drawn = draw_index(sampler, seed, F.col("__salt"), F.col("rep"), F.col("__draw"), F.col("__n")) - F.col("__chunk") * size
-    picked = (
-        draws.select(*strata, "__chunk", "__block", "rep", *[f"__a{k}" for k in range(len(values))], drawn.cast("int").alias("__at"))
-        .where((F.col("__at") >= 0) & (F.col("__at") < size))
-        .select(*strata, "__chunk", "__block", "rep", *[F.get(f"__a{k}", F.col("__at")).alias(v) for k, v in enumerate(values)])
-    )
-    in_place = picked.groupBy(*strata, "__chunk", "__block", "rep").agg(*[F.sum(v).alias(v) for v in values])
-    return in_place.groupBy(*strata, "rep").agg(*[F.sum(v).alias(v) for v in values])
+    reps = F.sequence(F.col("__block") * block + 1, F.least(F.col("__block") * block + block, F.lit(replicates)))
+    first = F.col("__part") * DEAL_DRAWS
+    rows = work.select("__salt", "__n", "__block", "__part", F.explode(reps).alias("rep"))
+    dealt = _drawn(rows, sampler, seed, top, first, F.least(F.lit(DEAL_DRAWS), F.col("__n") - first))
+    node = F.floor(F.pmod("__number", "__n") / node_units).alias("__node")
+    shares = dealt.groupBy("__salt", node, "__block", "rep").agg(F.count(F.lit(1)).alias("draws"))
+    return shares.groupBy("__salt", "__node", "__block").agg(F.map_from_entries(F.collect_list(F.struct("rep", "draws"))).alias("__shares"))
 
 
-def _replicate_ratios(
-    units, strata, order, domains, domain_col, replicates, seed, sampler, chunk_units
-) -> DataFrame:
-    """The ratio of every stratum, domain and replicate; one set of draws serves all domains."""
+def _replicate_sums(units, strata, order, replicates, seed, sampler, chunk_units, node_units, tasks=None) -> DataFrame:
+    """(strata, rep, __m): sums by place of each stratum and replicate, effort at place 0, whatever the stratum's size.
+
+    Each row of work is (stratum, node, chunk of the node, block of replicates) with the chunk's vessels as an array
+    of their entries. It evaluates the draws of its node, keeps those that fall in its chunk and sums the entries in
+    place; only sums are shuffled. Places that no drawn vessel has do not appear.
+    """
+    chunk_units = min(chunk_units, node_units)
+    numbered = _numbered_units(units, strata, order).withColumn("__salt", key_text(strata))
+    in_node = F.expr(f"__idx % {node_units}")
+    chunked = numbered.select(
+        *strata,
+        "__salt",
+        "__n",
+        F.expr(f"__idx div {node_units}").alias("__node"),
+        F.floor(in_node / chunk_units).alias("__chunk"),
+        in_node.alias("__at"),
+        "__entries",
+    )
+    in_order = F.sort_array(F.collect_list(F.struct("__at", "__entries")))
+    packed = chunked.groupBy(*strata, "__salt", "__n", "__node", "__chunk").agg(in_order.getField("__entries").alias("__units"))
+    block = max(1, min(REPLICATE_BLOCK, ceil(replicates / 8)))
+    tasks = tasks or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = packed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(ceil(replicates / block) - 1))))
+    work = work.repartition(tasks, "__salt", "__node", "__chunk", "__block")
+    sizes = numbered.select("__salt", "__n").distinct()
+    shares = _node_shares(sizes, replicates, block, seed, sampler, node_units)
+    first = F.col("__block") * block + 1
+    shared = work.join(shares, ["__salt", "__node", "__block"], "left").where((F.col("__n") <= node_units) | F.col("__shares").isNotNull())
+    reps = shared.withColumn("rep", F.explode(F.sequence(first, F.least(first + (block - 1), F.lit(replicates)))))
+    share = F.when(F.col("__n") <= node_units, F.col("__n")).otherwise(F.try_element_at("__shares", F.col("rep")))
+    draws = reps.select(*strata, "__salt", "__n", "__node", "__chunk", "__block", "__units", "rep", share.alias("draws")).where("draws > 0")
+    size = F.least(F.lit(node_units).cast("bigint"), F.col("__n") - F.col("__node") * node_units)
+    drawn = _drawn(draws, sampler, seed, F.col("__node"), F.lit(0).cast("bigint"), F.col("draws"))
+    spot = (F.pmod(F.col("__number"), size) - F.col("__chunk") * chunk_units).cast("int")
+    picked = drawn.select(*strata, "__salt", "__node", "__chunk", "__block", "rep", "__units", spot.alias("__spot"))
+    picked = picked.where((F.col("__spot") >= 0) & (F.col("__spot") < chunk_units))
+    entries = picked.select(*strata, "__salt", "__node", "__chunk", "__block", "rep", F.inline(F.get("__units", F.col("__spot"))))
+    in_place = entries.groupBy(*strata, "__salt", "__node", "__chunk", "__block", "rep", "k").agg(F.sum("v").alias("v"))
+    sums = in_place.repartition(*strata, "rep").groupBy(*strata, "rep", "k").agg(F.sum("v").alias("v"))
+    return sums.groupBy(*strata, "rep").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__m"))
+
+
+def _check_sampling(replicates: int, sampler: str, chunk_units: int, node_units: int) -> None:
     if replicates < 1:
         raise ValueError("replicates must be positive")
-    if chunk_units < 1:
-        raise ValueError("chunk_units must be positive")
-    sums = _replicate_sums(units, strata, order, len(domains), replicates, seed, sampler, chunk_units)
-    ratios = F.array(*[divide(F.col(f"__b{i}"), F.col("ves_expf")) for i in range(len(domains))])
-    return _by_domain(sums.select(*strata, "rep", ratios.alias("__byc")), domains, domain_col, "ratio")
+    if chunk_units < 1 or node_units < 1:
+        raise ValueError("chunk_units and node_units must be positive")
+    if sampler not in SAMPLERS:
+        raise ValueError(f"unknown sampler {sampler!r}: use one of {', '.join(SAMPLERS)}")
 
 
 def _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col, vessel_col):
@@ -210,12 +268,15 @@ def boot_replicates(
     replicates: int = 10_000,
     seed: int = 42,
     sampler: str = "xxhash64",
-    chunk_units: int = CHUNK_UNITS,
+    chunk_units: int = NODE_UNITS,
+    node_units: int = NODE_UNITS,
 ) -> DataFrame:
     """The bootstrapped ratio of every stratum, domain and replicate."""
     strata, domains = column_list(strata), domain_list(domains)
+    _check_sampling(replicates, sampler, chunk_units, node_units)
     units, order = _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col, vessel_col)
-    return _replicate_ratios(units, strata, order, domains, domain_col, replicates, seed, sampler, chunk_units)
+    sums = _replicate_sums(units, strata, order, replicates, seed, sampler, chunk_units, node_units)
+    return _by_domain(sums, domains, domain_col, "ratio", divide(_amount(), F.try_element_at("__m", F.lit(0))))
 
 
 def boot_summary(
@@ -230,30 +291,33 @@ def boot_summary(
     replicates: int = 10_000,
     seed: int = 42,
     sampler: str = "xxhash64",
-    chunk_units: int = CHUNK_UNITS,
+    chunk_units: int = NODE_UNITS,
+    node_units: int = NODE_UNITS,
     confidence: float = 0.95,
 ) -> DataFrame:
     """Point estimate, median, mean and percentile interval of the ratio, by stratum and domain."""
     strata, domains = column_list(strata), domain_list(domains)
+    _check_sampling(replicates, sampler, chunk_units, node_units)
     units, order = _resampling_units(ob, strata, unit_strata, domains, effort, unit, domain_col, vessel_col)
-    reps = _replicate_ratios(units, strata, order, domains, domain_col, replicates, seed, sampler, chunk_units)
+    sums = _replicate_sums(units, strata, order, replicates, seed, sampler, chunk_units, node_units)
+    # domains that a replicate lacks have no row and count as zero
+    ratios = sums.select(*strata, F.try_element_at("__m", F.lit(0)).alias("__e"), F.explode("__m").alias("__k", "__v")).where(F.col("__k") > 0)
+    ratios = ratios.select(*strata, "__k", divide(F.col("__v"), F.col("__e")).alias("ratio"))
     tail = round((1 - confidence) / 2, 10)
-    stats = reps.groupBy(*strata, domain_col).agg(
-        F.percentile("ratio", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail))).alias("__q"),
-        F.avg("ratio").alias("mean_ratio"),
-    )
-    vessels = _by_domain(units.select(*strata, "ves_expf", "__byc"), domains, domain_col, "ves_byc")
-    point = vessels.groupBy(*strata, domain_col).agg(
-        divide(F.sum("ves_byc"), F.sum("ves_expf")).alias("point_est_ratio")
-    )
-    return null_safe_join(point, stats, [*strata, domain_col], "left").select(
+    stats = exact_quantiles(ratios, [*strata, "__k"], "ratio", [tail, 0.5, 1 - tail], rows_per_group=replicates)
+    totals = units.select(*strata, F.inline("__entries")).groupBy(*strata, "k").agg(F.sum("v").alias("v"))
+    totals = totals.groupBy(*strata).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__m"))
+    spread = totals.select(*strata, "__m", F.posexplode(_names(domains)).alias("__at", domain_col)).withColumn("__k", F.col("__at") + 1)
+    point = spread.select(*strata, "__k", domain_col, divide(_amount(), F.try_element_at("__m", F.lit(0))).alias("point_est_ratio"))
+    out = null_safe_join(point, stats, [*strata, "__k"], "left")
+    return out.select(
         *strata,
         domain_col,
         "point_est_ratio",
-        F.col("__q")[1].alias("median_ratio"),
-        "mean_ratio",
-        F.col("__q")[0].alias("lower_ci"),
-        F.col("__q")[2].alias("upper_ci"),
+        F.coalesce(F.col("__q")[1], F.lit(0.0)).alias("median_ratio"),
+        F.coalesce("__mean", F.lit(0.0)).alias("mean_ratio"),
+        F.coalesce(F.col("__q")[0], F.lit(0.0)).alias("lower_ci"),
+        F.coalesce(F.col("__q")[2], F.lit(0.0)).alias("upper_ci"),
     )
 
 
@@ -269,7 +333,8 @@ def bootstrap_ratio(
     seed: int = 42,
     sampler: str = "xxhash64",
     unit_cols: Sequence[str] = UNIT_COLS,
-    chunk_units: int = CHUNK_UNITS,
+    chunk_units: int = NODE_UNITS,
+    node_units: int = NODE_UNITS,
     confidence: float = 0.95,
     *,
     program: str,
@@ -283,7 +348,7 @@ def bootstrap_ratio(
     data = program_normalise(ob, program)
     boot, observed = _boot_and_observed(
         data, strata, domains, unit_strata, effort, unit, domain_col, replicates, seed, sampler,
-        unit_cols, chunk_units, confidence,
+        unit_cols, chunk_units, node_units, confidence,
     )
     out = null_safe_join(boot, observed, [*strata, domain_col], "full")
     return _with_observed_ratio(out)
@@ -302,7 +367,8 @@ def bootstrap_expand(
     seed: int = 42,
     sampler: str = "xxhash64",
     unit_cols: Sequence[str] = UNIT_COLS,
-    chunk_units: int = CHUNK_UNITS,
+    chunk_units: int = NODE_UNITS,
+    node_units: int = NODE_UNITS,
     confidence: float = 0.95,
     complete_domains: bool = False,
     *,
@@ -317,7 +383,7 @@ def bootstrap_expand(
     data = program_normalise(ob, program)
     boot, observed = _boot_and_observed(
         data, strata, domains, unit_strata, effort, unit, domain_col, replicates, seed, sampler,
-        unit_cols, chunk_units, confidence,
+        unit_cols, chunk_units, node_units, confidence,
     )
     totals = fleet_effort(fleet, strata, effort)
     cell = [*strata, domain_col]
@@ -342,11 +408,11 @@ def bootstrap_expand(
 
 def _boot_and_observed(
     data, strata, domains, unit_strata, effort, unit, domain_col, replicates, seed, sampler, unit_cols,
-    chunk_units, confidence,
+    chunk_units, node_units, confidence,
 ):
     boot = boot_summary(
         data, strata, domains, unit_strata, effort, unit, domain_col, unit_cols[2], replicates, seed,
-        sampler, chunk_units, confidence,
+        sampler, chunk_units, node_units, confidence,
     )
     observed = stratum_domain_moments(
         data, strata, domains, effort, unit, domain_col, unit_cols=unit_cols, effort_filter=False

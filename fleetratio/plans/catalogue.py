@@ -189,10 +189,26 @@ def boot_pooled(spark, sf_dir):
 def boot_chunks(spark, sf_dir):
     """Strata cut into chunks of seven vessels; the SQL knows no chunks."""
     ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
-    out = bootstrap_ratio(ob, SY, DOMAINS, replicates=200, chunk_units=7, program="shore", **MD5)
+    out = bootstrap_ratio(ob, SY, DOMAINS, replicates=10_000, chunk_units=7, program="shore", **MD5)
     return round_measures(out, SY)
 
 
+@register("boot_tree")
+def boot_tree(spark, sf_dir):
+    """Draws dealt to nodes of eight vessels, nodes cut into chunks of five; the SQL knows the tree only."""
+    ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
+    out = bootstrap_ratio(ob, SY, DOMAINS, replicates=10_000, node_units=8, chunk_units=5, program="shore", **MD5)
+    return round_measures(out, SY)
+
+
+@register("boot_forty")
+def boot_forty_species(spark, sf_dir):
+    """Forty species, of which ten never occur and the others in few vessels each."""
+    ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
+    ob = ob.withColumn("kind", F.concat_ws(" ", "species", "sector"))
+    return round_measures(bootstrap_ratio(ob, "year", FORTY, domain_col="kind", replicates=1_000, program="shore", **MD5), ["year"])
+
+
 @register("boot_pooled_expand")
 def boot_pooled_expand(spark, sf_dir):
     ob = observer_view(spark, sf_dir, [*SY, *UNITS, "datatype", "species", "tgt_mt", "dis_mt"])
@@ -222,7 +238,7 @@ def boot_at_sea(spark, sf_dir):
 def boot_replicate_ratios(spark, sf_dir):
     ob = observer_view(spark, sf_dir, [*SY, "drvid", "datatype", "species", "tgt_mt", "dis_mt"])
     ob = ob.where(F.col("datatype") == "Analysis Data")
-    return round_measures(boot_replicates(ob, SY, DOMAINS, replicates=20, **MD5), SY)
+    return round_measures(boot_replicates(ob, SY, DOMAINS, replicates=10_000, **MD5), SY)
 
 
 @register("unsampled_expansion")

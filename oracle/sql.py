@@ -5,6 +5,8 @@ Where the plans use sparse moments, hashes or arrays, the SQL builds the dense t
 
 from __future__ import annotations
 
+import re
+
 BASE = """
 WITH base AS (
   SELECT *, (r_name = 'ASIA' AND year(o_orderdate) = 2001) AS never
@@ -224,8 +226,13 @@ def key_text(columns):
     return " || '|' || ".join(part.format(c) for c in columns)
 
 
-def boot_ctes(strata, unit, domains, reps, unit_strata=None, src="ad", seed=42):
-    """Draw every unit number by md5 and look it up; ``src`` holds sampled records only."""
+def hashed(seed, node, rep, j):
+    """Number ``j`` of a node in a replicate: eight hex digits of the md5 that serves four draws."""
+    return f"CAST(('0x' || substr(md5('{seed}|' || salt || '|' || {node} || '|' || {rep} || '|' || ({j} // 4)), CAST(8 * ({j} % 4) + 1 AS INTEGER), 8)) AS BIGINT)"
+
+
+def boot_ctes(strata, unit, domains, reps, unit_strata=None, src="ad", seed=42, node=4096, domain_col="species"):
+    """Deal the draws to nodes of the tree by md5, draw in each node, look the unit up; ``src`` holds sampled records only."""
     us = unit_strata or strata
     order = [c for c in us if c not in strata] + ["drvid"]
     salt = key_text(strata)
@@ -241,14 +248,24 @@ numbered AS (
 ves_byc AS (
   SELECT n.*, v.species, coalesce(c.b, 0) AS b
   FROM numbered n CROSS JOIN (VALUES {values(domains)}) v(species)
-  LEFT JOIN (SELECT {q(us)}, drvid, species, sum({unit}) AS b FROM {src} GROUP BY {q(us)}, drvid, species) c
+  LEFT JOIN (SELECT {q(us)}, drvid, {domain_col} AS species, sum({unit}) AS b FROM {src} GROUP BY ALL) c
     ON {same('n', 'c', us + ['drvid'])} AND c.species = v.species
 ),
+strat AS (
+  SELECT DISTINCT {q(strata)}, n, {salt} AS salt FROM numbered
+),
+dealt AS (
+  SELECT salt, rep, ({hashed(seed, -1, 'r.rep', 'j.j')} % n) // {node} AS node, count(*) AS share
+  FROM strat CROSS JOIN (SELECT unnest(range(1, {reps} + 1)) AS rep) r CROSS JOIN LATERAL (SELECT unnest(range(0, strat.n)) AS j) j
+  WHERE n > {node} GROUP BY ALL
+),
+shares AS (
+  SELECT s.*, d.rep, d.node, d.share FROM strat s JOIN dealt d USING (salt)
+  UNION ALL SELECT s.*, r.rep, 0, s.n FROM strat s CROSS JOIN (SELECT unnest(range(1, {reps} + 1)) AS rep) r WHERE s.n <= {node}
+),
 draws AS (
-  SELECT s.*, r.rep, CAST(('0x' || substr(md5('{seed}|' || salt || '|' || r.rep || '|' || j.j), 1, 8)) AS BIGINT) % n AS idx
-  FROM (SELECT DISTINCT {q(strata)}, n, {salt} AS salt FROM numbered) s
-  CROSS JOIN (SELECT unnest(range(1, {reps} + 1)) AS rep) r
-  CROSS JOIN LATERAL (SELECT unnest(range(0, s.n)) AS j) j
+  SELECT s.*, s.node * {node} + {hashed(seed, 's.node', 's.rep', 'j.j')} % least({node}, n - s.node * {node}) AS idx
+  FROM shares s CROSS JOIN LATERAL (SELECT unnest(range(0, s.share)) AS j) j
 ),
 reps AS (
   SELECT {q(strata, 'd.')}, v.species, d.rep, sum(v.b) / sum(v.e) AS ratio
@@ -269,6 +286,8 @@ AD = ", ad AS (SELECT * FROM ob WHERE datatype = 'Analysis Data')"
 AT_SEA = """, ad AS (
   SELECT * REPLACE (CASE WHEN sector = 'ASIA' THEN 'MOTHERSHIP' ELSE sector END AS sector, pwht_mt AS tgt_mt,
     CAST(NULL AS BIGINT) AS trip_id) FROM ob)"""
+KINDS = ", ad AS (SELECT *, species || ' ' || sector AS kind FROM ob WHERE datatype = 'Analysis Data')"
+FORTY = [f"{s} {r}" for s in SPECIES for r in SECTORS] + [f"NEVER {i}" for i in range(10)]
 BOOT_COLS = ["point_est_ratio", "median_ratio", "mean_ratio", "lower_ci", "upper_ci"]
 
 
@@ -285,8 +304,8 @@ DERIVED = """round(n_hauls_byc / nullif(n_obs_hauls, 0) * 100, 2) AS pct_hauls_b
   round(total_byc / nullif(total_expf, 0), 6) AS byc_ratio"""
 
 
-def boot_ratio_sql(strata, unit, domains, reps, unit_strata=None, ad=AD):
-    return f"""{BASE}{ad}, {boot_ctes(strata, unit, domains, reps, unit_strata)},
+def boot_ratio_sql(strata, unit, domains, reps, unit_strata=None, ad=AD, node=4096):
+    return f"""{BASE}{ad}, {boot_ctes(strata, unit, domains, reps, unit_strata, node=node)},
 {observed_ctes(strata, unit, domains)},
 both_ AS (
   SELECT {merged('b', 'o', strata + ['species'])}, {q(BOOT_COLS, 'b.')}, {q(EFFORT_COLS + BYC_COLS, 'o.')}
@@ -509,7 +528,10 @@ SELECT {q(SYG)}, species, {rounded(['fleet_expf'] + MOMENTS + RATIO_COLS + ['est
     "boot_expand": boot_expand_sql(["year", "state", "season"], "promo_count", ["PROMO"], 10_000, COUNT_AD),
     "boot_expand_unobserved": boot_expand_sql(SY, "dis_mt", ["PROMO", "SMALL"], 10_000),
     "boot_pooled": boot_ratio_sql(["sector"], "dis_mt", ["PROMO", "SMALL"], 10_000, SY),
-    "boot_chunks": boot_ratio_sql(SY, "dis_mt", ["PROMO", "SMALL"], 200),
+    "boot_chunks": boot_ratio_sql(SY, "dis_mt", ["PROMO", "SMALL"], 10_000),
+    "boot_tree": boot_ratio_sql(SY, "dis_mt", ["PROMO", "SMALL"], 10_000, node=8),
+    "boot_forty": re.sub(r"\bspecies\b", "kind", boot_ratio_sql(["year"], "dis_mt", FORTY, 1_000, ad=KINDS)).replace(
+        "kind || ' ' || sector AS kind", "species || ' ' || sector AS kind").replace("p_type AS kind", "p_type AS species"),
     "boot_pooled_expand": boot_expand_sql(["sector"], "dis_mt", ["PROMO", "SMALL"], 10_000, unit_strata=SY),
     "boot_complete_domains": boot_expand_sql(SY, "dis_mt", ["PROMO", "SMALL"], 10_000, complete=True),
     "boot_at_sea": boot_ratio_sql(SY, "dis_mt", ["PROMO", "SMALL"], 10_000, ad=AT_SEA),
@@ -544,7 +566,7 @@ SELECT {q(SY, 's.')}, s.drvid, s.species, round(ves_expf, 6) AS ves_expf, round(
 FROM seen s JOIN land l ON {same('s', 'l', SY + ['drvid'])} WHERE ves_expf > 0""",
     "result_round_trip": f"""{BASE}
 SELECT {q(SYG)}, round(sum(tgt_mt), 6) AS fleet_expf FROM fleet GROUP BY {q(SYG)}""",
-    "boot_replicates": f"""{BASE}{AD}, {boot_ctes(SY, 'dis_mt', ['PROMO', 'SMALL'], 20)}
+    "boot_replicates": f"""{BASE}{AD}, {boot_ctes(SY, 'dis_mt', ['PROMO', 'SMALL'], 10_000)}
 SELECT {q(SY)}, species, CAST(rep AS INTEGER) AS rep, round(ratio, 6) AS ratio FROM reps""",
     "unsampled_expansion": unsampled_sql(),
     "ratio_se": f"""{BASE},

@@ -1,11 +1,14 @@
 import hashlib
 import re
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from fleetratio.operators import bootstrap
 from fleetratio.operators.bootstrap import (
     boot_replicates,
     boot_summary,
@@ -23,28 +26,30 @@ def vessels(observer, n=9, sector="S", extra=()):
     return observer(*rows, *extra)
 
 
-def md5_draw(seed, salt, rep, draw):
-    return int(hashlib.md5(f"{seed}|{salt}|{rep}|{draw}".encode()).hexdigest()[:8], 16)
+def md5_number(seed, salt, node, rep, j):
+    digest = hashlib.md5(f"{seed}|{salt}|{node}|{rep}|{j // 4}".encode()).hexdigest()
+    return int(digest[8 * (j % 4) : 8 * (j % 4) + 8], 16)
 
 
-def xxhash_draw(seed, salt, rep, draw):
-    """The hash of four values in a row: each is hashed with the hash before it as seed."""
+def xxhash_number(seed, salt, node, rep, j):
+    """Half of the hash of five values in a row: each is hashed with the hash before it as seed."""
     h = 42
-    for part in (struct.pack("<q", seed), salt.encode(), struct.pack("<q", rep), struct.pack("<q", draw)):
+    for part in (struct.pack("<q", seed), salt.encode(), *(struct.pack("<q", v) for v in (node, rep, j // 2))):
         h = xxhash.xxh64_intdigest(part, h)
-    return h - (1 << 64) if h >> 63 else h
+    return h & 0xFFFFFFFF if j % 2 else h >> 32
 
 
-DRAWS = {"md5": md5_draw, "xxhash64": xxhash_draw}
+NUMBERS = {"md5": md5_number, "xxhash64": xxhash_number}
 
 
-def brute_force(salt, units, replicates, seed=42, sampler="md5"):
+def brute_force(salt, units, replicates, seed=42, sampler="md5", node=4096):
     """Ratios of all replicates in plain Python; ``units`` maps the key text of a vessel to (effort, bycatch)."""
     values = [units[k] for k in sorted(units, key=lambda k: (hashlib.md5(k.encode()).hexdigest(), k))]
-    n, out = len(values), []
+    n, out, number = len(values), [], NUMBERS[sampler]
     for r in range(1, replicates + 1):
-        drawn = [values[DRAWS[sampler](seed, salt, r, j) % n] for j in range(n)]
-        out.append(sum(b for _, b in drawn) / sum(e for e, _ in drawn))
+        shares = Counter(number(seed, salt, -1, r, j) % n // node for j in range(n)) if n > node else {0: n}
+        places = [k * node + number(seed, salt, k, r, j) % min(node, n - k * node) for k, share in shares.items() for j in range(share)]
+        out.append(sum(values[p][1] for p in places) / sum(values[p][0] for p in places))
     return out
 
 
@@ -58,6 +63,35 @@ def test_draws_match_brute_force(observer, sampler):
     assert [r.ratio for r in got] == pytest.approx(brute_force("VS", NINE, 25, sampler=sampler))
 
 
+@pytest.mark.parametrize("sampler", ["md5", "xxhash64"])
+@pytest.mark.parametrize("node", [2, 4, 8])
+def test_draws_of_a_tree_match_brute_force(observer, sampler, node):
+    """Nodes of two, four and eight vessels of nine, the last node not full; chunks inside nodes and above them."""
+    want = brute_force("VS", NINE, 25, sampler=sampler, node=node)
+    for chunk_units in (1, 3, 100):
+        got = boot_replicates(vessels(observer), "sector", ["A"], replicates=25, sampler=sampler, node_units=node, chunk_units=chunk_units)
+        assert [r.ratio for r in got.orderBy("rep").collect()] == pytest.approx(want)
+
+
+def test_draws_dealt_in_parts(observer, monkeypatch):
+    monkeypatch.setattr(bootstrap, "DEAL_DRAWS", 4)
+    got = boot_replicates(vessels(observer), "sector", ["A"], replicates=9, sampler="md5", node_units=2).orderBy("rep").collect()
+    assert [r.ratio for r in got] == pytest.approx(brute_force("VS", NINE, 9, node=2))
+
+
+def test_hashes_are_linear_in_the_vessels(spark, observer):
+    """A stratum of 40 nodes draws as often as it has vessels: each node its own share only."""
+    n, node, reps = 320, 8, 10
+    units = spark.range(n).select(F.lit("S").alias("sector"), F.col("id").cast("string").alias("drvid"), F.lit(1.0).alias("ves_expf"))
+    entries = units.withColumn("__entries", F.array(F.struct(F.lit(0).alias("k"), F.lit(1.0).alias("v"))))
+    sums = bootstrap._replicate_sums(entries, ["sector"], ["drvid"], reps, 42, "md5", node, node).collect()
+    assert [r["__m"][0] for r in sums] == [float(n)] * reps
+    sizes = spark.createDataFrame([("VS", n)], "__salt string, __n long")
+    shares = bootstrap._node_shares(sizes, reps, 5, 42, "md5", node).collect()
+    assert sum(d for r in shares for d in r["__shares"].values()) == n * reps
+    assert {r["__node"] for r in shares} == set(range(n // node))
+
+
 def test_summary_is_type_7_quantiles(observer):
     row = boot_summary(vessels(observer), "sector", ["A"], replicates=60, sampler="md5").first()
     want = brute_force("VS", NINE, 60)
@@ -198,7 +232,7 @@ def test_bad_arguments(observer):
 def test_a_stratum_spreads_over_tasks(observer):
     df = boot_replicates(vessels(observer), "sector", ["A"], replicates=400)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    spread = re.search(r"hashpartitioning\(sector#\d+, __chunk#\d+L?, __block#\d+, (\d+)\), REPARTITION_BY_NUM", plan)
+    spread = re.search(r"hashpartitioning\(__salt#\d+, __node#\d+L?, __chunk#\d+L?, __block#\d+, (\d+)\), REPARTITION_BY_NUM", plan)
     assert spread and int(spread[1]) > 1
 
 
