@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column_list, require_columns
@@ -13,6 +13,11 @@ from ..functions.stats import percent
 from .bootstrap import vessel_rollup
 from .moments import ANALYSIS, UNIT_COLS, fleet_effort, observed_effort
 
+# Parts of a stratum when its total is joined back to its vessels.
+STRATUM_SALTS = 64
+# Key ranges whose digests two tables are compared by.
+DIGEST_RANGES = 4096
+
 
 def flag_small_cells(df: DataFrame, count_col: str = "n_obs_ves", minimum: int = 3) -> DataFrame:
     """Add ``small_cell``: strata with observed vessels, but fewer than ``minimum``."""
@@ -80,17 +85,26 @@ def ticket_match_rate(ob: DataFrame, fleet: DataFrame, ticket_col: str = "fish_t
 
 
 def partition_total(
-    df: DataFrame, strata: Sequence[str] | str, value: str = "gfr_mt", vessel_col: str = UNIT_COLS[2]
+    df: DataFrame,
+    strata: Sequence[str] | str,
+    value: str = "gfr_mt",
+    vessel_col: str = UNIT_COLS[2],
+    salts: int = STRATUM_SALTS,
 ) -> DataFrame:
     """Vessel sums with the total of their stratum on every row.
 
     Totals are aggregated and joined back instead of using a window, which would bring all
-    vessels of a stratum into one task.
+    vessels of a stratum into one task. For the join the vessels of a stratum are dealt to
+    ``salts`` parts by their id, and the total is repeated for each part.
     """
     strata = column_list(strata)
+    if salts < 1:
+        raise ValueError("salts must be positive")
     vessels = df.groupBy(*strata, vessel_col).agg(sum_or_zero(measure(value)).alias("ves_total"))
     totals = vessels.groupBy(*strata).agg(F.sum("ves_total").alias("stratum_total"))
-    return null_safe_join(vessels, totals, strata, "left")
+    parts = totals.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = vessels.withColumn("__salt", F.pmod(F.xxhash64(vessel_col), F.lit(salts)).cast("int"))
+    return null_safe_join(salted, parts, [*strata, "__salt"], "left").drop("__salt")
 
 
 def vessel_ticket_join(
@@ -131,6 +145,56 @@ def unobserved_strata(result: DataFrame, ob: DataFrame, strata: Sequence[str] |
     return out.withColumn("has_sample", F.coalesce(F.col("has_sample"), F.lit(False)))
 
 
+def range_digests(
+    df: DataFrame, keys: Sequence[str] | str, measures: Sequence[str] | str, ranges: int = DIGEST_RANGES
+) -> DataFrame:
+    """(range, rows, x, y): an order-free digest of the rows in each range of the keys' hash.
+
+    Rows are hashed by keys and measures; the hashes of a range are combined by exclusive or and by the sum
+    of their halves, before anything is shuffled.
+    """
+    keys, measures = column_list(keys), column_list(measures)
+    row = F.xxhash64(F.lit(1), *_hashable(keys), *_hashable(measures, measure))
+    hashed = df.select(key_range(keys, ranges).alias("range"), row.alias("__h"))
+    return hashed.groupBy("range").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bit_xor("__h").alias("x"),
+        F.sum(F.shiftrightunsigned("__h", 32) + F.col("__h").bitwiseAND(F.lit(0xFFFFFFFF)) * 3).alias("y"),
+    )
+
+
+def _hashable(names: Sequence[str], read=F.col) -> list[Column]:
+    """Values with their null flags, as a hash passes over nulls; -0.0 counts as 0.0."""
+    values = [read(n) + F.lit(0.0) if read is measure else read(n) for n in names]
+    return [part for v in values for part in (v, v.isNull())]
+
+
+def key_range(keys: Sequence[str], ranges: int = DIGEST_RANGES) -> Column:
+    return F.pmod(F.xxhash64(F.lit(0), *_hashable(keys)), F.lit(ranges)).cast("int")
+
+
+def differing_ranges(
+    left: DataFrame, right: DataFrame, keys: Sequence[str] | str, measures: Sequence[str] | str, ranges: int = DIGEST_RANGES
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of both tables in the key ranges whose digests differ; of equal tables only digests are shuffled.
+
+    Key columns must have the same types on both sides, or equal keys hash apart.
+    """
+    keys, measures = column_list(keys), column_list(measures)
+    types = [[df.schema[k].dataType for k in keys] for df in (left, right)]
+    if types[0] != types[1]:
+        return left, right
+    tagged = range_digests(left, keys, measures, ranges).unionByName(range_digests(right, keys, measures, ranges))
+    # a range differs if one side lacks it or the two digests are not the same
+    same = (F.count(F.lit(1)) == 2) & (F.min("rows") == F.max("rows")) & (F.min("x") == F.max("x")) & (F.min("y") == F.max("y"))
+    differ = tagged.groupBy("range").agg(same.alias("__same")).where(~F.col("__same")).select(F.col("range").alias("__range"))
+
+    def opened(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(differ), key_range(keys, ranges) == F.col("__range"), "left_semi")  # at most ``ranges`` rows
+
+    return opened(left), opened(right)
+
+
 def reconcile(
     left: DataFrame,
     right: DataFrame,
@@ -142,12 +206,16 @@ def reconcile(
     """Two result tables side by side, one row per key and measure.
 
     Values agree if both are missing or differ by at most ``tolerance``; a key on one side only
-    never agrees.
+    never agrees. With ``mismatches_only`` the tables are first compared by digests, and only the key
+    ranges that differ are joined.
     """
     keys, measures = column_list(keys), column_list(measures)
     for df, what in ((left, "left table"), (right, "right table")):
         require_columns(df, [*keys, *measures], what)
 
+    if mismatches_only:
+        left, right = differing_ranges(left, right, keys, measures)
+
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*keys, *[measure(m).alias(f"__{name}_{m}") for m in measures], F.lit(True).alias(f"in_{name}"))
 

@@ -55,8 +55,9 @@ from ..operators.quality import (
 )
 from ..operators.ratio import ratio_table
 from ..operators.unsampled import ALWAYS, EXCLUDE_IF_PRESENT, expand_unsampled, failed_trips, nifq_haul_set
+from ..sources.checkpoints import shared_folder
 from ..sources.fixtures import fleet_view, observer_view, table
-from ..sources.tables import read_table, write_result
+from ..sources.tables import read_fleet, read_observer, read_table, write_partitioned, write_result
 from .requests import sector_request, species_request
 
 SYG = ["sector", "year", "gear"]
@@ -580,8 +581,29 @@ def numeric_years(spark, sf_dir):
 
 @register("result_round_trip")
 def result_round_trip(spark, sf_dir):
-    """Totals written to a folder under the warehouse and read back through the reader."""
+    """Totals written to the shared folder and read back through the reader."""
     fleet = fleet_view(spark, sf_dir, [*SYG, "tgt_mt"])
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fleetratio-round-trip-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/fleetratio-round-trip-{uuid.uuid4().hex}"
     write_result(fleet_effort(fleet, SYG), path)
     return round_measures(read_table(spark, path, required=[*SYG, "fleet_expf"]), SYG)
+
+
+@register("fleet_of_one_year")
+def fleet_of_one_year(spark, sf_dir):
+    """Landing lines as delivered, with untidy names, stored by year; one year of them read back through the reader."""
+    lines = fleet_view(spark, sf_dir, [*SYG, "drvid", "tgt_mt"]).toDF("Sector", "Year", "GEAR", "DRVID", "Tgt MT")
+    path = f"{shared_folder(spark)}/fleetratio-by-year-{uuid.uuid4().hex}"
+    write_partitioned(lines, path, "Year", files_per_value=2)
+    fleet = read_fleet(spark, path, required=[*SYG, "drvid", "tgt_mt"], tidy_names=True)
+    return round_measures(fleet_effort(fleet.where(F.col("year") == 1997), SYG), SYG)
+
+
+@register("ratio_from_files")
+def ratio_from_files(spark, sf_dir):
+    """Catch records as delivered, with untidy names, stored by year; three years of them through the reader."""
+    records = observer_view(spark, sf_dir, [*SAMPLE, "species", "tgt_mt", "dis_mt"])
+    untidy = records.toDF("Sector", "Year", "GEAR", "HAUL_ID", "TRIP_ID", "DRVID", "Datatype", "Species", "Tgt MT", "DIS.mt")
+    path = f"{shared_folder(spark)}/fleetratio-records-{uuid.uuid4().hex}"
+    write_partitioned(untidy, path, "Year")
+    ob = read_observer(spark, path, tidy_names=True).where(F.col("year").between(1995, 1997))
+    return round_measures(ratio_table(ob, SYG, DOMAINS), SYG)

@@ -1,4 +1,6 @@
-from .checkpoints import cut_lineage, checkpoint_dir
-from .tables import read_fleet, read_observer, read_table, write_result
+from .checkpoints import checkpoint_dir, cut_lineage, shared_folder
+from .tables import read_fleet, read_observer, read_table, write_partitioned, write_result
 
-__all__ = ["cut_lineage", "checkpoint_dir", "read_fleet", "read_observer", "read_table", "write_result"]
+__all__ = [
+    "checkpoint_dir", "cut_lineage", "read_fleet", "read_observer", "read_table", "shared_folder", "write_partitioned", "write_result",
+]

@@ -21,3 +21,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Without a folder ``df`` itself: what reads it computes it again.
     """
     return df.checkpoint(eager=True) if checkpoint_dir(df.sparkSession) else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: the checkpoint folder, or the warehouse where none is set."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

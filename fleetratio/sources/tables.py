@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.names import clean_names, require_columns
 
@@ -47,3 +48,19 @@ def read_fleet(spark: SparkSession, path: str, required: Sequence[str] = FLEET_C
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", **options: str) -> None:
     """Write a result table; estimates are small, the writer keeps Spark's own partitions."""
     df.write.format(fmt).mode(mode).options(**options).save(path)
+
+
+def write_partitioned(
+    df: DataFrame, path: str, column: str = "year", files_per_value: int = 1, mode: str = "errorifexists", **options: str
+) -> None:
+    """Write a table into one folder a value of ``column``, so that readers of one value open one folder.
+
+    Rows are dealt out by range of the column and, where a value is to have several files, of a hash of the row:
+    a task writes to few folders, and a value with most of the rows is split.
+    """
+    require_columns(df, [column], "table")
+    if files_per_value < 1:
+        raise ValueError("files_per_value must be positive")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_value))
+    placed = df.withColumn("__part", part).repartitionByRange(column, "__part").drop("__part")
+    placed.write.partitionBy(column).mode(mode).options(**options).parquet(path)

@@ -515,6 +515,11 @@ FROM u"""
 PLAIN = {
     "ratio_est_single": SINGLE,
     "ratio_multi": ratio_sql(SYG, "tgt_mt", "dis_mt", ["PROMO", "SMALL"]),
+    "ratio_from_files": f"""{BASE}, ob_y AS (SELECT * FROM ob WHERE "year" BETWEEN 1995 AND 1997),
+{ratio_ctes(SYG, 'tgt_mt', 'dis_mt', ['PROMO', 'SMALL'], src='ob_y')}
+SELECT {q(SYG)}, species, {rounded(MOMENTS + RATIO_COLS)}, {q(COUNTS)} FROM ratios""",
+    "fleet_of_one_year": f"""{BASE}
+SELECT {q(SYG)}, round(sum(tgt_mt), 6) AS fleet_expf FROM fleet WHERE "year" = 1997 GROUP BY {q(SYG)}""",
     "ratio_multi_groups": ratio_sql(["year", "gear"], "gfr_mt", "dis_mt", ["PROMO", "LARGE"], "grouping"),
     "expand_multi_raw": f"""{BASE}, {expand_ctes(SYG, 'tgt_mt', 'dis_mt', ['PROMO', 'SMALL'])}
 SELECT {q(SYG)}, species, {rounded(['fleet_expf'] + MOMENTS + RATIO_COLS + ['est_byc', 'est_byc_lower', 'est_byc_upper'])},

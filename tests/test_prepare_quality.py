@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from fleetratio.operators.prepare import (
 from fleetratio.operators.quality import (
     cell_range,
     coverage,
+    differing_ranges,
     key_quality,
     partition_total,
     reconcile,
@@ -32,7 +35,7 @@ from fleetratio.operators.quality import (
     vessel_ticket_join,
 )
 from fleetratio.plans.requests import sector_request, species_request
-from fleetratio.sources import read_observer, read_table, write_result
+from fleetratio.sources import read_fleet, read_observer, read_table, write_partitioned, write_result
 from fleetratio.sources.checkpoints import checkpoint_dir
 
 
@@ -198,3 +201,61 @@ def test_sector_restriction_matches_missing_sectors(observer):
     chosen = ob.where("sector in ('a', 'b') or sector is null")
     assert {r.sector for r in restrict_to_sectors(ob, chosen).collect()} == {"a", "b", None}
     assert restrict_to_sectors(ob, ob.where("false")).count() == 0
+
+
+def test_a_hot_stratum_spreads_over_tasks_when_its_total_is_joined_back(spark):
+    """A third of all vessels lies in one stratum, and no side can be broadcast."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), (F.col("id") % 200).cast("string")))
+    df = spark.range(60_000).select(hot.alias("sector"), F.col("id").cast("string").alias("drvid"), F.lit(1.0).alias("gfr_mt"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = partition_total(df, "sector").withColumn("task", F.spark_partition_id())
+        rows = sorted(r["count"] for r in out.groupBy("task").count().collect())
+        totals = {r.sector: r.t for r in out.groupBy("sector").agg(F.max("stratum_total").alias("t"), F.count("*").alias("n")).where("t <> n OR sector = 'hot'").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 16 and rows[-1] <= 2 * rows[8]
+    assert totals == {"hot": 20_000.0}
+
+
+def test_equal_tables_open_no_range(spark):
+    rows = [(f"s{i % 7}" if i % 5 else None, i, float(i) if i % 3 else None) for i in range(300)]
+    left = spark.createDataFrame(rows, "sector string, year int, x double")
+    opened = differing_ranges(left, left.repartition(7), ["sector", "year"], "x")
+    assert [df.count() for df in opened] == [0, 0]
+    zeros = left.withColumn("x", F.when(F.col("x") == 1.0, F.lit(-0.0)).otherwise(F.col("x")))
+    same = left.withColumn("x", F.when(F.col("x") == 1.0, F.lit(0.0)).otherwise(F.col("x")))
+    assert [df.count() for df in differing_ranges(zeros, same, ["sector", "year"], "x")] == [0, 0]
+
+
+def test_mismatches_are_found_in_the_ranges_that_differ(spark):
+    rows = [(f"s{i % 7}" if i % 5 else None, i, float(i) if i % 3 else None) for i in range(300)]
+    changed = [(s, y, 0.5 if y == 4 else None if y == 8 else 1.0 if y == 9 else x) for s, y, x in rows if y != 11] + [("new", 1, 2.0)]
+    schema = "sector string, year int, x double"
+    left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(changed, schema)
+    opened = differing_ranges(left, right, ["sector", "year"], "x")
+    assert 4 <= opened[0].count() < 30
+    got = reconcile(left, right, ["sector", "year"], "x", mismatches_only=True).collect()
+    assert {(r.sector, r.year) for r in got} == {("s4", 4), ("s1", 8), ("s2", 9), ("s4", 11), ("new", 1)}
+    # repeated rows and rows that cancel out under an exclusive or count as well
+    twice = left.unionByName(left.where("year < 2")).unionByName(left.where("year < 2"))
+    assert differing_ranges(left, twice, ["sector", "year"], "x")[1].count() >= 6
+    # other key types are joined whole
+    assert differing_ranges(left, right.withColumn("year", F.col("year").cast("long")), ["sector", "year"], "x")[0] is left
+
+
+def test_readers_of_one_year_open_one_folder(spark, tmp_path):
+    path = str(tmp_path / "by-year")
+    df = spark.range(900).select((2000 + F.col("id") % 3).cast("int").alias("Year"), F.col("id").cast("string").alias("DRVID"), F.lit(1.0).alias("Tgt MT"))
+    write_partitioned(df.repartition(5), path, "Year", files_per_value=2)
+    assert sorted(p.name for p in (tmp_path / "by-year").glob("Year=*")) == ["Year=2000", "Year=2001", "Year=2002"]
+    assert all(1 <= len(list(d.glob("*.parquet"))) <= 3 for d in (tmp_path / "by-year").glob("Year=*"))
+    one = read_fleet(spark, path, required=["year", "drvid", "tgt_mt"], tidy_names=True).where(F.col("year") == 2001)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[isnotnull\(Year#\d+\), \(Year#\d+ = 2001\)\]", plan)
+    files = [r[0] for r in one.select(F.input_file_name()).distinct().collect()]
+    assert one.count() == 300 and files and all("/Year=2001/" in f for f in files)
