@@ -571,8 +571,9 @@ SELECT {q(SY, 's.')}, s.drvid, s.species, round(ves_expf, 6) AS ves_expf, round(
 FROM seen s JOIN land l ON {same('s', 'l', SY + ['drvid'])} WHERE ves_expf > 0""",
     "result_round_trip": f"""{BASE}
 SELECT {q(SYG)}, round(sum(tgt_mt), 6) AS fleet_expf FROM fleet GROUP BY {q(SYG)}""",
+    # ratios with seven digits are frequent among so many: their ties round half up in decimals, as a double need not
     "boot_replicates": f"""{BASE}{AD}, {boot_ctes(SY, 'dis_mt', ['PROMO', 'SMALL'], 10_000)}
-SELECT {q(SY)}, species, CAST(rep AS INTEGER) AS rep, round(ratio, 6) AS ratio FROM reps""",
+SELECT {q(SY)}, species, CAST(rep AS INTEGER) AS rep, CAST(round(CAST(round(ratio, 10) AS DECIMAL(38, 10)), 6) AS DOUBLE) AS ratio FROM reps""",
     "unsampled_expansion": unsampled_sql(),
     "ratio_se": f"""{BASE},
 h AS (SELECT {q(SYG)}, {q(UNITS)}, sum(dis_mt) AS b, sum(tgt_mt) AS e FROM ob GROUP BY {q(SYG)}, {q(UNITS)}),

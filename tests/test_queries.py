@@ -1,4 +1,5 @@
 import os
+import subprocess
 import sys
 
 import pytest
@@ -47,3 +48,11 @@ def test_ratio_table_scans_the_records_once(spark):
 
 def test_entry(spark):
     assert registry.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("absent", ["fleetratio.llm", "xxhash"])
+def test_the_rest_works_without_the_text_operators(absent):
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLE))], done.stderr
