@@ -28,9 +28,11 @@ from .prepare import (
 from .quality import (
     cell_range,
     coverage,
+    differing_ranges,
     flag_small_cells,
     key_quality,
     partition_total,
+    range_digests,
     reconcile,
     record_class_counts,
     row_counts,
@@ -40,5 +42,6 @@ from .quality import (
     unobserved_strata,
     vessel_ticket_join,
 )
+from .quantiles import exact_quantiles
 from .ratio import ratio_table
 from .unsampled import expand_unsampled, failed_trips, nifq_haul_set
