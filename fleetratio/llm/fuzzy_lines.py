@@ -3,7 +3,7 @@
 Lines that are equal meet by their hash. Different lines get a signature of minimum hashes over their character
 shingles; lines that share a band are candidates. Each candidate is first verified against the least line of
 its bucket; the lines of a bucket that this leaves in different components are verified against each other in
-tasks of bounded size. All links have an exact Jaccard similarity of the threshold or more. Of each component
+tasks of bounded size, where sketches first rule out what cannot be similar. All links have an exact Jaccard similarity of the threshold or more. Of each component
 the first line in the corpus stays.
 
 A line is known by a 64-bit hash: among n lines two different ones are taken for one with a chance of n^2 / 2^65.
@@ -23,14 +23,32 @@ from fleetratio.llm.components import connected_components
 
 SHINGLE = 7
 THRESHOLD = 0.8
-#: Eight bands of four: two lines at similarity 0.8 share a band with a chance of 0.985, at 0.9 of 0.9999.
-BANDS, ROWS = 8, 4
+#: Ten bands of four: two lines at similarity 0.8 share a band with a chance of 0.995, at 0.9 of 0.99997.
+BANDS, ROWS = 10, 4
 #: Lines hashed in one go, few enough for the processor's cache.
 BLOCK = 256
 #: Shingle sets a task remembers: pairs come sorted by one of their lines, and a leader meets many.
 REMEMBERED = 1000
 #: Lines of one bucket compared in one task; larger buckets are cut into tiles that meet pairwise.
 TILE = 1024
+#: 64-bit words of the sketch of a line.
+SKETCH_WORDS = 8
+
+
+def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character shingles of all lines, one line behind the other, and how many each line has."""
+    pad = "\0" * (shingle - 1)
+    chars = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le"), "<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    hashed = np.zeros(len(chars) - shingle + 1, np.uint64)
+    for k in range(shingle):
+        hashed = hashed * np.uint64(0x100000001B3) + chars[k : len(chars) - shingle + 1 + k]
+    hashed ^= hashed >> np.uint64(29)
+    hashed *= np.uint64(0xBF58476D1CE4E5B9)
+    counts = np.maximum(lengths - shingle + 1, 1)
+    starts = np.concatenate(([0], np.cumsum(lengths + shingle - 1)[:-1]))
+    cuts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    return hashed[np.arange(counts.sum()) + np.repeat(starts - cuts, counts)], counts
 
 
 def line_signatures(lines: list[str], shingle: int, functions: int) -> np.ndarray:
@@ -39,26 +57,37 @@ def line_signatures(lines: list[str], shingle: int, functions: int) -> np.ndarra
     factors = (rng.integers(0, 1 << 31, functions, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
     shifts = rng.integers(0, 1 << 32, functions, dtype=np.uint32)
     out = np.empty((len(lines), functions), np.uint32)
-    pad = "\0" * (shingle - 1)
     for at in range(0, len(lines), BLOCK):
-        part = lines[at : at + BLOCK]
-        chars = np.frombuffer((pad.join(part) + pad).encode("utf-32-le"), "<u4").astype(np.uint64)
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        hashed = np.zeros(len(chars) - shingle + 1, np.uint64)
-        for k in range(shingle):
-            hashed = hashed * np.uint64(0x100000001B3) + chars[k : len(chars) - shingle + 1 + k]
-        hashed ^= hashed >> np.uint64(29)
-        hashed *= np.uint64(0xBF58476D1CE4E5B9)
-        counts = np.maximum(lengths - shingle + 1, 1)
-        starts = np.concatenate(([0], np.cumsum(lengths + shingle - 1)[:-1]))
+        hashed, counts = shingle_hashes(lines[at : at + BLOCK], shingle)
         cuts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        places = np.arange(counts.sum()) + np.repeat(starts - cuts, counts)
-        values = (hashed[places] >> np.uint64(32)).astype(np.uint32)
+        values = (hashed >> np.uint64(32)).astype(np.uint32)
         for f in range(functions):
-            out[at : at + len(part), f] = np.minimum.reduceat(values * factors[f] + shifts[f], cuts)
+            out[at : at + len(counts), f] = np.minimum.reduceat(values * factors[f] + shifts[f], cuts)
     return out
 
 
+def line_sketches(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of the shingle sets and bounds of their sizes from above.
+
+    A sketch tells for each of its cells whether an odd number of shingles fall there: two sketches differ in no more
+    cells than the sets in shingles, also where shingles share a hash.
+    """
+    cells = 64 * SKETCH_WORDS
+    sketches, sizes = np.empty((len(lines), SKETCH_WORDS), np.uint64), np.empty(len(lines), np.int64)
+    for at in range(0, len(lines), BLOCK):
+        hashed, counts = shingle_hashes(lines[at : at + BLOCK], shingle)
+        row = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((hashed, row))
+        hashed, row = hashed[order], row[order]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (hashed[1:] != hashed[:-1]) | (row[1:] != row[:-1])
+        cell = (hashed[fresh] >> np.uint64(32)).astype(np.int64) % cells
+        odd = np.bincount(row[fresh] * cells + cell, minlength=len(counts) * cells) & 1
+        sketches[at : at + len(counts)] = np.packbits(odd.astype(np.uint8).reshape(len(counts), cells), axis=1).view(np.uint64)
+        sizes[at : at + len(counts)] = counts
+    return sketches, sizes
+
+
 def band_buckets(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit bucket for each line and band."""
     out = np.empty((len(signatures), bands), np.uint64)
@@ -142,40 +171,55 @@ def _verified(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
 
 
 def _cross_links(batches, shingle: int, threshold: float):
-    """Links between the components of each group of rows (bucket, low, high, line, root, content, leader).
+    """Links between the components of each group of rows (bucket, low, high, line, root, content, leader), as pairs of roots.
 
-    Pairs with the bucket's leader have been verified before.
+    Pairs with the bucket's leader have been verified before. Sketches rule out most of the others: sets of similarity
+    t differ in at most (1 - t) / (1 + t) of the sum of their sizes. What is left is compared shingle by shingle.
     """
+    slack = (1 - threshold) / (1 + threshold) + 1e-9
     for table in whole_groups(batches, ["bucket", "low", "high"]):
-        rows = table.to_pydict()
-        keys = list(zip(rows["bucket"], rows["low"], rows["high"]))
-        left, right, at = [], [], 0
-        while at < len(keys):
-            end = at
-            while end < len(keys) and keys[end] == keys[at]:
-                end += 1
-            root, line, leader = rows["root"][at:end], rows["line"][at:end], rows["leader"][at]
-            sets = [shingles(c, shingle) for c in rows["content"][at:end]]
-            merged = {r: r for r in root}
+        keys = [table[c].to_numpy() for c in ("bucket", "low", "high")]
+        roots, lines, leaders = (table[c].to_numpy() for c in ("root", "line", "leader"))
+        contents = table["content"].to_pylist()
+        sketches, sizes = line_sketches(contents, shingle)
+        change = np.zeros(table.num_rows, bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), table.num_rows]
+        left, right = [], []
+        for at, end in zip(cuts, cuts[1:]):
+            merged: dict[int, int] = {}
+            sets: dict[int, set] = {}
 
             def top(r):
-                while merged[r] != r:
-                    merged[r] = r = merged[merged[r]]
+                while (up := merged.get(r, r)) != r:
+                    r = up
                 return r
 
-            for i in range(end - at):
-                for j in range(i):
-                    p, q = top(root[i]), top(root[j])
-                    if p != q and leader not in (line[i], line[j]) and similar(sets[i], sets[j], threshold):
+            for i in range(at + 1, end):
+                if lines[i] == leaders[i]:
+                    continue
+                other = at + np.flatnonzero((roots[at:i] != roots[i]) & (lines[at:i] != leaders[i]))
+                apart = np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+                for j in other[apart <= slack * (sizes[other] + sizes[i])].tolist():
+                    p, q = top(int(roots[i])), top(int(roots[j]))
+                    if p == q:
+                        continue
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = shingles(contents[k], shingle)
+                    if similar(sets[i], sets[j], threshold):
                         merged[max(p, q)] = min(p, q)
-                        left.append(line[i])
-                        right.append(line[j])
-            at = end
+                        left.append(p)
+                        right.append(q)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
 def similar_line_classes(lines: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, root) of every line that has a similar but different line in ``lines`` (line, content)."""
+    """(node, root) of every line that has a similar but different line in ``lines`` (line, content).
+
+    Lines shorter than a shingle are one shingle each. Repeated rows count once; an empty table gives an empty result.
+    """
     # combined before the shuffle: a line that a third of the corpus repeats is banded once
     each = lines.groupBy("line").agg(F.first("content").alias("content"))
     placed = _buckets(each, shingle, bands, rows).repartition("bucket").sortWithinPartitions("bucket", "line")
@@ -200,7 +244,11 @@ def similar_line_classes(lines: DataFrame, shingle: int = SHINGLE, threshold: fl
     loaded = units.join(texts, "line").select("bucket", "low", "high", "line", "root", "content", "leader")
     placed = loaded.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "line")
     crossing = placed.mapInArrow(lambda batches: _cross_links(batches, shingle, threshold), "a long, b long")
-    return connected_components(stored(links.unionByName(crossing), "line-links"))
+    # the links between components are few: only roots take part in the second union
+    joined = connected_components(stored(crossing.distinct(), "root-links")).withColumnsRenamed({"node": "old", "root": "new"})
+    moved = roots.join(joined, roots["root"] == joined["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    single = joined.join(roots, joined["old"] == roots["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return stored(moved.unionByName(single), "line-roots")
 
 
 def duplicate_lines(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

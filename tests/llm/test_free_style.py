@@ -105,7 +105,7 @@ def test_lines_against_all_pairs(make_docs, corpus):
     removed = {i: {int(x) for x in got[i].removed.split(",") if x} for i, _ in corpus}
     truth = {i: set(want[i, t or ""]) for i, t in corpus}
     assert all(removed[i] <= truth[i] for i in truth)
-    assert sum(map(len, removed.values())) >= 0.97 * sum(map(len, truth.values())) > 20
+    assert sum(map(len, removed.values())) >= 0.99 * sum(map(len, truth.values())) > 20
     assert all(got[i].n_removed == len(removed[i]) for i in truth)
 
 
@@ -137,6 +137,33 @@ def test_shared_buckets_do_not_depend_on_batches():
         assert got == want
 
 
+def test_sketches_bound_the_difference_of_lines():
+    rng = random.Random(11)
+    lines = ["", "abc", "é" * 40, "ab" * 300, *("".join(rng.choice("abcd ") for _ in range(rng.randint(1, 200))) for _ in range(300))]
+    lines += [x[:50] + "#" + x[51:] for x in lines]
+    sketches, sizes = fuzzy_lines.line_sketches(lines, 7)
+    sets = [shingles(x, 7) for x in lines]
+    assert all(n >= len(s) for n, s in zip(sizes, sets))
+    for _ in range(3000):
+        a, b = rng.randrange(len(lines)), rng.randrange(len(lines))
+        assert np.bitwise_count(sketches[a] ^ sketches[b]).sum() <= len(sets[a] ^ sets[b])
+
+
+def test_lines_of_a_mixed_bucket_meet(spark):
+    """Every line in one bucket, whose leader is like none of them: all links come from the comparison inside it."""
+    rng = random.Random(4)
+    lines = ["0 the leader of the bucket", *("".join(rng.choice("abcdefgh ") for _ in range(80)) for _ in range(12))]
+    lines += [x[:70] + str(k) + x[71:] for k in range(3) for x in lines[1:]]
+    rows = [{"bucket": 5, "low": 0, "high": 0, "line": k, "root": k, "content": x, "leader": 0} for k, x in enumerate(lines)]
+    want = {frozenset(k for k in range(1, len(lines)) if lines[k][:70] == x[:70]) for x in lines[1:]}
+    got = {k: {k} for k in range(len(lines))}
+    for out in fuzzy_lines._cross_links(iter(pa.RecordBatch.from_pylist(rows[k : k + 7]) for k in range(0, len(rows), 7)), 7, 0.8):
+        for r in out.to_pylist():
+            both = got[r["a"]] | got[r["b"]]
+            got.update(dict.fromkeys(both, both))
+    assert {frozenset(v) for k, v in got.items() if k} == want
+
+
 def test_lines_of_awkward_rows(awkward, awkward_rows, nothing):
     cleaned = drop_duplicate_lines(awkward)
     assert cleaned.columns == awkward.columns and cleaned.count() == len(awkward_rows)
