@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from fleetratio.llm.common import boxed, same_document, text_of
 
-Q, WINDOW, STEP, EDITS = 12, 80, 40, 5
-#: Items with fewer characters are not looked for.
-MIN_ITEM = 40
+Q, WINDOW, STEP, EDITS = 12, 80, 10, 5
 #: Characters of the benchmark that are searched in one pass over the documents; a larger benchmark takes more passes.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
+#: Shared q-grams counted in one go.
+HITS = 1 << 20
 #: Characters of documents handled at a time in a task.
 PIECE_CHARS = 1 << 20
 WALL = 1000
@@ -54,7 +54,7 @@ def window_index(items: list[tuple[int, str]], q: int, window: int, step: int, e
     chars, item, budget = [], [], []
     for number, text in items:
         whole = folded(text)
-        if len(whole) < max(MIN_ITEM, q + 1):
+        if len(whole) <= q:  # no more than one q-gram
             continue
         width = min(window, len(whole))
         for s in [*range(0, len(whole) - width, step), len(whole) - width]:
@@ -78,38 +78,53 @@ def window_index(items: list[tuple[int, str]], q: int, window: int, step: int, e
     )
 
 
-def _hits(index: SimpleNamespace, chars: np.ndarray):
-    """Shared q-grams as (place in text, window, offset in window)."""
+def _shared(index: SimpleNamespace, chars: np.ndarray):
+    """Places in the text, ascending, that start a q-gram of the index, and the number of the q-gram."""
     hashes = gram_hashes(chars, index.q)
     places = np.flatnonzero(index.member[hashes >> np.uint64(64 - MEMBER_BITS)])
     found = hashes[places]
     at = np.minimum(np.searchsorted(index.unique, found), max(len(index.unique) - 1, 0))
     true = index.unique[at] == found
-    places, at = places[true], at[true]
+    return places[true], at[true]
+
+
+def _full_bands(index: SimpleNamespace, places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(window, band) of the bands that the shared q-grams at some places fill to the lemma's count, each once."""
     counts = index.count[at]
     each = np.repeat(np.arange(len(places)), counts)
     entry = np.repeat(index.start[at], counts) + np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return places[each], index.window[entry], index.offset[entry]
+    window, offset = index.window[entry], index.offset[entry]
+    band = (places[each] - offset) // (index.budget[window] + 1)
+    # each hit lies in the band that starts in its stride and in the one that starts a stride before
+    low, wide = band.min() - 1, int(index.width.max())
+    many = int(band.max() - low) + 1
+    key = (window * many + (band - low)) * wide + offset
+    key = np.unique(np.concatenate([key, key - wide])) // wide
+    cell, filled = np.unique(key, return_counts=True)
+    cell = cell[filled >= index.need[cell // many]]
+    return np.stack([cell // many, cell % many + low])
 
 
 def _bands(index: SimpleNamespace, chars: np.ndarray):
-    """(window, first diagonal) of the bands of 2 (k + 1) diagonals that meet the lemma's count."""
-    place, window, offset = _hits(index, chars)
-    if not len(place):
-        return place, window
-    stride = index.budget[window] + 1
-    band = (place - offset) // stride
-    # each hit lies in the band that starts in its stride and in the one that starts a stride before
-    rows = np.concatenate([np.stack([window, band, offset]), np.stack([window, band - 1, offset])], axis=1)
-    rows = rows[:, np.lexsort(rows[::-1])]
-    fresh = np.ones(rows.shape[1], bool)
-    fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-    rows = rows[:, fresh]
-    head = np.ones(rows.shape[1], bool)
-    head[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
-    first = np.flatnonzero(head)
-    many = np.diff(np.append(first, rows.shape[1])) >= index.need[rows[0, first]]
-    return rows[0, first[many]], rows[1, first[many]] * (index.budget[rows[0, first[many]]] + 1)
+    """(window, first diagonal) of the bands of 2 (k + 1) diagonals that meet the lemma's count.
+
+    Places are taken in runs of bounded numbers of hits, each with as much text behind it as a band can reach, so a
+    q-gram that repeats in the text and in an item takes time but no more memory.
+    """
+    places, at = _shared(index, chars)
+    if not len(places):
+        return places, places
+    reach = int(index.width.max()) + 2 * (int(index.budget.max()) + 1)
+    upto = np.cumsum(index.count[at])
+    found, first = [], 0
+    while first < len(places):
+        done = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, done + HITS)))
+        end = np.searchsorted(places, places[last - 1] + reach, side="right")
+        found.append(_full_bands(index, places[first:end], at[first:end]))
+        first = last
+    window, band = np.unique(np.concatenate(found, axis=1), axis=1)
+    return window, band * (index.budget[window] + 1)
 
 
 def banded_edits(pattern: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +159,9 @@ def search(index: SimpleNamespace, texts: list[str]) -> list[tuple[int, int, int
     for width, edits in {*zip(index.width[windows].tolist(), index.budget[windows].tolist())}:
         same = (index.width[windows] == width) & (index.budget[windows] == edits)
         chosen, start = windows[same], diagonals[same] - edits
-        columns = start[:, None] + np.arange(width + 2 * (edits + 1) + 2 * edits)[None, :]
+        reach = np.arange(width + 2 * (edits + 1) + 2 * edits)[None, :]
         for at in range(0, len(chosen), 4096):
-            inside = columns[at : at + 4096]
+            inside = start[at : at + 4096, None] + reach
             region = np.where((inside >= 0) & (inside < len(chars)), chars[np.clip(inside, 0, len(chars) - 1)], 0)
             pattern = np.stack([index.chars[k] for k in chosen[at : at + 4096]])
             found, end = banded_edits(pattern, region)
@@ -174,7 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, window: int
 
     ``edits`` is the least of the windows found; the ends are code points of the text. A passage of
     ``window + step`` characters of an item, with no more than ``edits`` edits in a window, holds a whole window.
-    Null and empty texts hold nothing; items under 40 characters are not looked for; rows with one doc_id and
+    Null and empty texts hold nothing; an item shorter than a window is looked for whole, with fewer edits, if it has
+    more than ``q`` characters; rows with one doc_id and
     text are one document. Empty tables give an empty result; other columns are not read.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
