@@ -18,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[!?/][^>]*>", re.S | re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Every alternative runs to the end of the page where its end is missing, so no part of a page is searched twice.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+TITLE, TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+#: Start tags whose attributes are read, up to the mark that ends them.
+TAG = re.compile(r"<(html|meta|a)\b[^>]*", re.I)
+LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+CHARSET = re.compile(r"\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
+HREF = re.compile(r"\bhref\s*=\s*", re.I)
+VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
 #: Elements that end a line of text.
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
 SPACES = re.compile(r"[^\S\n]+")
@@ -48,6 +52,9 @@ def plain_text(page: str) -> str:
 
     def mark(m: re.Match) -> str:
         tag = m[3]
+        if not m[0].endswith(">") and not m[1] and not m[0].startswith("<!--"):
+            # never ended: text as it stands, up to a comment in it
+            return m[0].split("<!--")[0] + (" " if "<!--" in m[0] else "")
         return "\n" if tag and tag.lower() in BLOCKS else ("" if tag else " ")
 
     text = html.unescape(MARKUP.sub(mark, SPACES.sub(" ", page.replace("\n", " "))))
@@ -55,11 +62,22 @@ def plain_text(page: str) -> str:
 
 
 def metadata_fields(page: str) -> str:
-    """application/warc-fields block of a page."""
+    """application/warc-fields block of a page, in one pass over its tags: a tag's first link, the first language and set."""
     one_line = lambda x: SPACES.sub(" ", html.unescape(x).replace("\n", " ")).strip()
-    fields = [(name, m[1]) for name, pattern in (("title", TITLE), ("language", LANG), ("charset", CHARSET)) if (m := pattern.search(page))]
-    fields += [("outlink", "".join(m)) for m in LINK.findall(page)]
-    return "".join(f"{name}: {one_line(value)}\r\n" for name, value in fields)
+    fields, links = {}, []
+    # behind the last mark no tag ends; a title without an end has none behind a later start either
+    last = page.rfind(">") + 1
+    if (start := TITLE.search(page, 0, last)) and (end := TITLE_END.search(page, start.end())):
+        fields["title"] = page[start.end() : end.start()]
+    for tag in TAG.finditer(page):
+        name = tag[1].lower()
+        if name == "a":
+            if (href := HREF.search(page, tag.start(), tag.end())) and (value := VALUE.match(page, href.end())):
+                links.append(value[value.lastindex])
+        elif (kind := "language" if name == "html" else "charset") not in fields and (m := (LANG if name == "html" else CHARSET).search(page, tag.start(), tag.end())):
+            fields[kind] = m[1]
+    named = [(k, fields[k]) for k in ("title", "language", "charset") if k in fields]
+    return "".join(f"{name}: {one_line(value)}\r\n" for name, value in [*named, *(("outlink", x) for x in links)])
 
 
 def derived_records(page_id, url, page, source_id, date, headers) -> list[tuple]:

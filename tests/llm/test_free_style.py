@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import html
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -19,7 +21,7 @@ from fleetratio.llm.qgram_decontamination import EDITS, Q, STEP, WINDOW, banded_
 from fleetratio.llm.sentence_spans import drop_repeated_sentences, repeated_sentences, sentence_pieces
 from fleetratio.llm.simhash_pivots import fingerprint, fingerprint_links, keep_one_each, near_duplicates
 from fleetratio.llm.suffix_two_stage import remove_repeated_strings, two_stage_ranks
-from fleetratio.llm.warc_derivatives import derive_records, digest, plain_text, record_bytes
+from fleetratio.llm.warc_derivatives import BLOCKS, derive_records, digest, metadata_fields, plain_text, record_bytes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SF = "/root/testdata/sf0.001"
@@ -53,6 +55,58 @@ def corpus():
     return rows
 
 
+# ---- pages and benchmark passages that repeat one thing
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<title>", "<html ", "<script ", "<meta charset", "</", "<!", "<a href='", "x <b y"])
+def test_unended_tags_take_time_in_proportion(piece):
+    start = time.monotonic()
+    for text in (piece * (1_000_000 // len(piece)), piece * (200_000 // len(piece)) + ">"):
+        plain_text(text), metadata_fields(text)
+    assert time.monotonic() - start < 10
+
+
+PAGES = [
+    "<html lang=en><title>A &amp; b</title><meta charset='utf-8'><a class=x href=\"u>v\">t</a><A HREF = w>z</a>", "<a name=q><a <a href='1'>x", "<a href=>y", "<a href='open>z",
+    "<title>no end", "<title <title>x</title>y</title>", "<html><html lang='de'><p>one<p>two<!-- c", "a < b <b and <!-- gone", "x <b never ended", "<?pi <!doctype", "<script>a</script", "<a href",
+]
+
+
+def test_fields_and_text_of_odd_pages():
+    """Against the plain patterns that say what a page holds, searched from every place."""
+    markup = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[!?/][^>]*>", re.S | re.I)
+    one = {
+        "title": r"<title\b[^>]*>(.*?)</title\s*>",
+        "language": r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)",
+        "charset": r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)",
+    }
+    link = r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+    for page in PAGES:
+        want = [(k, html.unescape(m[1])) for k, p in one.items() if (m := re.search(p, page, re.S | re.I))]
+        want += [("outlink", "".join(m)) for m in re.findall(link, page, re.I)]
+        assert metadata_fields(page) == "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in want), page
+        kept = markup.sub(lambda m: ("\n" if m[3].lower() in BLOCKS else "") if m[3] else " ", page)
+        assert plain_text(page).split() == html.unescape(kept).split(), page
+
+
+def test_short_items_and_short_passages_are_found(make_docs, spark):
+    item = prose(7, 80).replace("\n", " ")
+    items = spark.createDataFrame([(1, item), (2, "Thirteen char"), (3, "Twelve chars")], "item_id long, text string")
+    rows = [(at, "Before it. " + item[at : at + WINDOW + STEP] + " Behind it.") for at in range(0, 60)]
+    rows += [(100, "x thirteen char y"), (101, "x thirteen chat y"), (102, "twelve chars")]
+    got = {(r.doc_id, r.item_id) for r in contaminated(make_docs(rows), items).collect()}
+    assert got == {*((at, 1) for at in range(60)), (100, 2)}
+
+
+def test_repeated_grams_are_counted_in_bounded_runs(monkeypatch):
+    text = prose(8, 400)
+    index = window_index([(1, "-" * 100), (2, text[200:400]), (3, "ab" * 60)], Q, WINDOW, STEP, EDITS)
+    whole = "-" * 700 + text + "ab" * 300 + "-" * 90
+    want = sorted(search(index, [whole, text]))
+    monkeypatch.setattr("fleetratio.llm.qgram_decontamination.HITS", 500)
+    assert sorted(search(index, [whole, text])) == want and len({w for _, w, *_ in want}) == len(index.item)
+
+
 # ---- components
 
 
