@@ -63,6 +63,63 @@ def test_context_finds_unseen_identifiers(make_docs):
     assert all(found[i] == personal(rows[i][1]) for i in range(12))
 
 
+def context_by_hand(rows, rounds=6, support=3, confidence=700_000):
+    """Context spans from the rounds over dictionaries."""
+    edges, places = {}, []
+    for i, t in rows:
+        base, words = personal(t or ""), [(m.start(), m.end()) for m in WORD.finditer(t or "")]
+        for k, (s, e) in enumerate(words):
+            if not re.search("[0-9@]", t[s:e]):
+                continue
+            inside = [b for b in base if s <= b[1] < e]
+            last = k
+            if inside:
+                _, start, end = min(inside, key=lambda b: (b[1], -b[2]))
+                if any(b[1] < start < b[2] for b in base):
+                    continue
+                last = max(j for j, w in enumerate(words) if w[0] < end)
+            elif any(s < b[2] and e > b[1] for b in base) or ("@" not in t[s:e] and len(re.sub("[^0-9]", "", t[s:e])) < 6):
+                continue
+            else:
+                start, end = s, e
+            for side, j in (("behind", k - 1), ("before", last + 1)):
+                if 0 <= j < len(words):
+                    pattern = side + " " + t[slice(*words[j])].lower()
+                    edges[pattern, t[start:end]] = edges.get((pattern, t[start:end]), False) or bool(inside)
+                    places.append((i, pattern, start, end, bool(inside)))
+    seeds = {v for (_, v), seed in edges.items() if seed}
+    instances, patterns = dict.fromkeys(seeds, 1_000_000), {}
+    for _ in range(rounds):
+        patterns = {}
+        for p in {p for p, _ in edges}:
+            scores = [instances.get(v, 0) for q, v in edges if q == p]
+            if sum(x >= confidence for x in scores) >= support:
+                patterns[p] = sum(scores) // (len(scores) + 1)
+        instances = dict.fromkeys(seeds, 1_000_000)
+        for (p, v), seed in edges.items():
+            if p in patterns:
+                instances[v] = max(instances.get(v, 0), 1_000_000 if seed else patterns[p])
+    return {i: tuple(sorted({("context", s, e) for d, p, s, e, seed in places if d == i and not seed and patterns.get(p, 0) >= confidence}, key=lambda x: x[1])) for i, _ in rows}
+
+
+def test_discovered_identifiers_induce_further_patterns(make_docs):
+    """Twelve addresses teach "account", the numbers found there teach "reference", and that finds a number of its own."""
+    rows = [(i, f"Pay from account 10.0.{i}.{i + 1}{'' if i % 2 else ' soon'}") for i in range(12)]
+    rows += [(100 + k, f"Line {k}: account 77-88123{k}") for k in range(6)] + [(200 + k, f"Old {'x' * 100}  reference\t 77-88123{k}") for k in range(6)]
+    rows += [(300, "Old reference 99-000111"), (301, "Old parcel 99-000112"), (302, "call +49 30 1234567 or 4111 1111 1111 1111 or a@b.org now"), (303, None)]
+    got = {i: tuple(x for x in spans if x[0] == "context") for i, spans in spans_of(find_personal_data(make_docs(rows)))}
+    assert got == context_by_hand(rows)
+    assert got[100] and got[200] and got[300] == (("context", 14, 23),) and got[301] == ()
+
+
+def test_words_behind_seeds_are_patterns_and_many_tokens_meet_their_seeds(make_docs):
+    """A text of several blocks of tokens; seeds and unseen numbers before one word."""
+    long = " ".join(f"10.1.{k // 200}.{k % 200} filed x{k} 4-{k:06}{' filed' if k % 3 else ' open'}" for k in range(700))
+    rows = [(1, long), (2, "seen 555-123456 filed"), (3, "seen 555-123456 open")]
+    got = {i: tuple(x for x in spans if x[0] == "context") for i, spans in spans_of(find_personal_data(make_docs(rows)))}
+    assert got == context_by_hand(rows)
+
+
 @pytest.mark.parametrize("seed", ["+1 (743) 555-38{:02}", "+44 20 7946 {:04}", "<+49 30 1234 {:04}>", "4111 1111 1111 {}"])
 def test_seeds_with_blanks_induce_the_word_before_them(make_docs, seed):
     last = [f"{k:04}" for k in range(10_000) if luhn(f"411111111111{k:04}")][:12] if seed.startswith("4") else range(12)
