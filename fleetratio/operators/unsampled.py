@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.names import column_list, domain_list, require_columns
 from ..functions.nulls import is_true, measure, null_safe_join, strict_sum, sum_or_zero
 from ..functions.stats import LB_PER_MT, expand_component, percent
-from ..sources.checkpoints import cut_lineage
 from .moments import ANALYSIS
 
 # Record classes, names and codes of the catch records.
@@ -122,13 +121,12 @@ def _seen() -> Column:
 
 
 SUMS = ("nifq_denom", "zmis_denom", "zmis_expf", "unst_denom", "unst_expf", "fail_denom")
+KNOWN_SUMS = ("obs_tgt_mt", "unobs_tgt_mt")
+HAUL, TRIP, VESSEL = "haul", "trip", "vessel"
 
 
-def _unit_sums(ob, strata, haul_col, trip_col, vessel_col, strict) -> DataFrame:
-    """Everything that does not depend on a domain, by stratum, haul, trip and vessel, in one scan.
-
-    Stored where the session has a checkpoint folder: four consumers read it.
-    """
+def _unit_sums(ob, strata, unit_cols, strict) -> DataFrame:
+    """Everything that does not depend on a domain, by stratum, haul, trip and vessel, in one scan."""
     analysis, discarded = _is("datatype", ANALYSIS), _is("catch_disposition", DISCARDED)
     zmis = _is("datatype", UNSAMPLED_ZMIS) & discarded
     nifq = _is("datatype", UNSAMPLED_IFQ) & _is("common_name", NON_IFQ) & discarded
@@ -144,73 +142,91 @@ def _unit_sums(ob, strata, haul_col, trip_col, vessel_col, strict) -> DataFrame:
         "unobs_tgt_mt": sum_or_zero(F.when(~_seen(), tgt)),
         "__nifq": _total(mt, nifq, strict),
         "__tgt": _total(tgt, F.lit(True), strict),
-        "__failed": F.bool_or(is_true(_is("datatype", FAILED))),
         "__seen": F.bool_or(is_true(_seen())),
         "__unseen": F.bool_or(is_true(~_seen())),
         "__unknown": F.bool_or(_seen().isNull()),
     }
-    units = ob.groupBy(*strata, haul_col, trip_col, vessel_col).agg(*[expr.alias(name) for name, expr in sums.items()])
-    return cut_lineage(units)
-
+    return ob.groupBy(*strata, *unit_cols).agg(*[expr.alias(name) for name, expr in sums.items()])
 
-def _stratum_sums(units, strata, strict) -> DataFrame:
-    plain = [sum_or_zero(F.col(c)).alias(c) for c in ("obs_tgt_mt", "unobs_tgt_mt")]
-    return units.groupBy(*strata).agg(*[_again(c, strict).alias(c) for c in SUMS], *plain)
 
+def _by_id(units, strata, unit_cols, strict) -> DataFrame:
+    """One row per stratum and haul, per stratum and trip, per stratum and vessel, from the same unit rows.
 
-def _unit_counts(units, strata, haul_col, vessel_col) -> DataFrame:
-    """Observed and unobserved hauls and observed vessels; only ids and flags are shuffled."""
-    # A record of unknown class adds the missing value once to each count.
-    unknown = F.bool_or("__unknown")
+    A haul carries all sums, a trip its target catch, a vessel its flags: three kinds of rows in one
+    aggregation instead of one aggregation of the units for each kind. Sums of another kind stay NULL.
+    """
+    haul, trip, vessel = unit_cols
+    sums = [*SUMS, *KNOWN_SUMS, "__nifq", "__tgt"]
+    flags = ["__seen", "__unseen", "__unknown"]
 
-    def count(value: str, flag: str) -> Column:
-        cond = F.col(flag)
-        missing = unknown | F.bool_or(cond & F.col(value).isNull())
-        return F.count_distinct(F.when(cond, F.col(value))) + missing.cast("long")
+    def row(kind: str, id_col: str, kept: Sequence[str]) -> Column:
+        values = [(F.col(c) if c in kept else F.lit(None).cast("double")).alias(c) for c in sums]
+        return F.struct(F.lit(kind).alias("__kind"), F.col(id_col).cast("string").alias("__id"), *values, *flags)
 
-    return units.groupBy(*strata).agg(
-        count(haul_col, "__seen").alias("obs_hauls"),
-        count(vessel_col, "__seen").alias("n_obs_ves"),
-        count(haul_col, "__unseen").alias("unobs_hauls"),
+    rows = F.array(row(HAUL, haul, sums[:-1]), row(TRIP, trip, ["__tgt"]), row(VESSEL, vessel, []))
+    return (
+        units.select(*strata, F.inline(rows))
+        .groupBy(*strata, "__kind", "__id")
+        .agg(
+            *[_again(c, strict and c not in KNOWN_SUMS).alias(c) for c in sums],
+            *[F.bool_or(c).alias(c) for c in flags],
+        )
     )
 
 
-def _failed_factor(units, strata, trip_col, strict) -> DataFrame:
-    """Target catch of failed trips per stratum; records are summed by trip before the join."""
-    by_trip = units.groupBy(*strata, trip_col).agg(_again("__tgt", strict).alias("__tgt"))
-    failed = units.where("__failed").select(trip_col).distinct()
-    chosen = null_safe_join(by_trip, failed, [trip_col], "left_semi")
-    return chosen.groupBy(*strata).agg(_again("__tgt", strict).alias("fail_expf"))
+def _marks(ob, domains, domain_col, haul_col, trip_col) -> DataFrame:
+    """The hauls to be expanded, with the domains they discarded by name, and the failed trips."""
+    hauls = nifq_haul_domains(ob, domains, domain_col, haul_col)
+    trips = failed_trips(ob, trip_col)
+    none = F.array().cast("array<string>")
+    return hauls.select(F.lit(HAUL).alias("__kind"), F.col(haul_col).cast("string").alias("__id"), "present").unionByName(
+        trips.select(F.lit(TRIP).alias("__kind"), F.col(trip_col).cast("string").alias("__id"), none.alias("present"))
+    ).withColumn("__marked", F.lit(True))
 
 
-def _nifq_factors(units, ob, strata, domains, domain_col, haul_col, strict) -> DataFrame:
-    """Unsampled non-IFQ weight of the marked hauls per stratum.
+def _free_sums(by_id, marks, strata, strict) -> DataFrame:
+    """Sums by stratum (``__domain`` NULL, struct ``__all``) and by stratum and domain (struct ``__nifq_sum``).
 
-    ``__nifq_all`` is (weight, unknown hauls, hauls) of all of them, ``__nifq_present`` the same by
-    domain for those that discarded the domain by name; a list of domains costs no more than its
-    hauls have.
+    ``__nifq_sum`` is (weight, unknown hauls, hauls) of the marked hauls: all of them in the NULL group, those
+    that discarded the domain by name in its group. A list of domains costs no more than its hauls have.
     """
-    by_haul = units.groupBy(*strata, haul_col).agg(_again("__nifq", strict).alias("__mt"))
-    joined = null_safe_join(by_haul, nifq_haul_domains(ob, domains, domain_col, haul_col), [haul_col], "inner")
-    groups = F.concat(F.array(F.lit(None).cast("string")), "present")
-    rows = joined.select(*strata, "__mt", F.explode(groups).alias("__domain"))
-    sums = rows.groupBy(*strata, "__domain").agg(
+    joined = null_safe_join(by_id, marks, ["__kind", "__id"], "left")
+    alone = F.array(F.lit(None).cast("string"))
+    groups = F.when(F.col("present").isNull(), alone).otherwise(F.concat(alone, "present"))
+    rows = joined.withColumn("__domain", F.explode(groups))
+
+    every = F.col("__domain").isNull()
+    haul, trip, vessel = (_is("__kind", k) for k in (HAUL, TRIP, VESSEL))
+    marked = F.coalesce("__marked", F.lit(False))
+
+    def count(kind: Column, flag: str) -> Column:
+        # A record of unknown class adds the missing value once to each count.
+        missing = F.bool_or(F.col("__unknown")) | F.bool_or(kind & F.col(flag) & F.col("__id").isNull())
+        return F.count_if(every & kind & F.col(flag) & F.col("__id").isNotNull()) + missing.cast("long")
+
+    nifq = F.when(haul & marked, F.col("__nifq"))
+    return rows.groupBy(*strata, "__domain").agg(
         F.struct(
-            sum_or_zero(F.col("__mt")).alias("mt"), F.count_if(F.col("__mt").isNull()).alias("unknown"), F.count(F.lit(1)).alias("n")
-        ).alias("__sum")
-    )
-    named = F.col("__domain").isNotNull()
-    return sums.groupBy(*strata).agg(
-        F.max(F.when(~named, F.col("__sum"))).alias("__nifq_all"),
-        F.map_from_entries(F.collect_list(F.when(named, F.struct("__domain", "__sum")))).alias("__nifq_present"),
+            *[_total(F.col(c), haul & every, strict).alias(c) for c in SUMS],
+            *[sum_or_zero(F.when(haul & every, F.col(c))).alias(c) for c in KNOWN_SUMS],
+            _total(F.col("__tgt"), trip & marked, strict).alias("fail_expf"),
+            count(haul, "__seen").alias("obs_hauls"),
+            count(vessel, "__seen").alias("n_obs_ves"),
+            count(haul, "__unseen").alias("unobs_hauls"),
+        ).alias("__all"),
+        F.struct(
+            sum_or_zero(nifq).alias("mt"),
+            F.count_if(haul & marked & F.col("__nifq").isNull()).alias("unknown"),
+            F.count_if(haul & marked).alias("n"),
+        ).alias("__nifq_sum"),
     )
 
 
 def _domain_sums(ob, strata, domains, domain_col, strict) -> DataFrame:
-    """Discarded count and weight of the sampled records, by domain (map ``__own``) per stratum.
+    """Discarded count and weight (struct ``__own_sum``) of the sampled records by stratum and domain.
 
     Only records of the domains leave the scan, and those whose class, disposition or domain is
-    missing: they make a strict sum unknown, without a domain that of every domain (``__blurred``).
+    missing: they make a strict sum unknown, without a domain that of every domain.
     """
     analysis, discarded = _is("datatype", ANALYSIS), _is("catch_disposition", DISCARDED)
     own = analysis & discarded & F.when(F.col(domain_col).isNotNull(), True)
@@ -220,14 +236,27 @@ def _domain_sums(ob, strata, domains, domain_col, strict) -> DataFrame:
         wanted = _possible("datatype", ANALYSIS) & _possible("catch_disposition", DISCARDED) & (listed | F.col(domain_col).isNull())
     else:
         wanted = analysis & discarded & listed
-    sums = ob.where(wanted).groupBy(*strata, F.col(domain_col).alias("__domain")).agg(
-        F.struct(_total(count, own, strict).alias("ct"), _total(weight, own, strict).alias("wt")).alias("__sum")
+    return ob.where(wanted).groupBy(*strata, F.col(domain_col).alias("__domain")).agg(
+        F.struct(_total(count, own, strict).alias("ct"), _total(weight, own, strict).alias("wt")).alias("__own_sum")
     )
+
+
+def _stratum_parts(free: DataFrame, own: DataFrame, strata) -> DataFrame:
+    """One row per stratum: its sums as columns, those by domain as maps, from one aggregation of both tables."""
     named = F.col("__domain").isNotNull()
-    return sums.groupBy(*strata).agg(
-        F.coalesce(F.bool_or(~named & F.col("__sum.ct").isNull()), F.lit(False)).alias("__blurred"),
-        F.map_from_entries(F.collect_list(F.when(named, F.struct("__domain", "__sum")))).alias("__own"),
+
+    def by_name(c: str) -> Column:
+        entry = F.struct("__domain", c)
+        return F.map_from_entries(F.collect_list(F.when(named & F.col(c).isNotNull(), entry)))
+
+    parts = free.unionByName(own, allowMissingColumns=True).groupBy(*strata).agg(
+        F.max(F.when(~named, F.col("__all"))).alias("__all"),
+        F.max(F.when(~named, F.col("__nifq_sum"))).alias("__nifq_all"),
+        by_name("__nifq_sum").alias("__nifq_present"),
+        by_name("__own_sum").alias("__own"),
+        F.coalesce(F.bool_or(~named & F.col("__own_sum").isNotNull() & F.col("__own_sum.ct").isNull()), F.lit(False)).alias("__blurred"),
     )
+    return parts.select(*strata, "__all.*", "__nifq_all", "__nifq_present", "__own", "__blurred")
 
 
 def _by_domain(parts: DataFrame, domains, policy, strict: bool) -> DataFrame:
@@ -246,18 +275,10 @@ def _by_domain(parts: DataFrame, domains, policy, strict: bool) -> DataFrame:
     sums = {u: F.when(own.isNull(), zero).otherwise(own[u]) for u in ("ct", "wt")}
     if strict:
         nifq = F.when(left("unknown") == 0, nifq)
-        sums = {u: F.when(~F.coalesce("__blurred", F.lit(False)), c) for u, c in sums.items()}
+        sums = {u: F.when(~F.col("__blurred"), c) for u, c in sums.items()}
     return long.withColumns({"__ct": sums["ct"], "__wt": sums["wt"], "nifq_expf": nifq})
 
 
-def _join_sums(left: DataFrame, sums: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Left join of stratum sums: a stratum without any record sums to 0, an unknown sum stays NULL."""
-    names = [c for c in sums.columns if c not in strata]
-    joined = null_safe_join(left, sums.withColumn("__hit", F.lit(True)), strata, "left")
-    filled = {c: F.when(F.col("__hit").isNull(), F.lit(0)).otherwise(F.col(c)) for c in names}
-    return joined.withColumns(filled).drop("__hit")
-
-
 def expand_unsampled(
     ob: DataFrame,
     strata: Sequence[str] | str,
@@ -270,8 +291,8 @@ def expand_unsampled(
 ) -> DataFrame:
     """Estimated discards of unsampled and failed records in four components.
 
-    Domain-free sums are taken once, from one aggregation by haul, trip and vessel; the sums of the domains are
-    rows, so a long list costs no more per record than a short one. ``na_policy='ignore'`` leaves missing values out instead
+    Domain-free sums are taken once, from one aggregation by haul, trip and vessel, and what belongs to a haul,
+    a trip or a vessel travels as three kinds of rows through the next; the sums of the domains are rows, so a long list costs no more per record than a short one. ``na_policy='ignore'`` leaves missing values out instead
     of letting them make a sum missing. ``observed_weight_from_counts`` takes the observed weight
     from the counts, as older reports did.
     """
@@ -280,22 +301,16 @@ def expand_unsampled(
     if na_policy not in ("strict", "ignore"):
         raise ValueError("na_policy is 'strict' or 'ignore'")
     strict = na_policy == "strict"
-    haul, trip, vessel = unit_cols
+    haul, trip, _ = unit_cols
     require_columns(
         ob,
         [*strata, *unit_cols, domain_col, "datatype", "common_name", "ifq", "catch_disposition", "mt", "tgt_mt",
          "exp_sp_ct", "exp_sp_wt"],
         "observer table",
     )
-    units = _unit_sums(ob, strata, haul, trip, vessel, strict)
-    parts = _stratum_sums(units, strata, strict)
-    for part in (_unit_counts(units, strata, haul, vessel), _failed_factor(units, strata, trip, strict)):
-        parts = _join_sums(parts, part, strata)
-    for part in (
-        _nifq_factors(units, ob, strata, domains, domain_col, haul, strict),
-        _domain_sums(ob, strata, domains, domain_col, strict),
-    ):
-        parts = null_safe_join(parts, part, strata, "left")
+    by_id = _by_id(_unit_sums(ob, strata, unit_cols, strict), strata, unit_cols, strict)
+    free = _free_sums(by_id, _marks(ob, domains, domain_col, haul, trip), strata, strict)
+    parts = _stratum_parts(free, _domain_sums(ob, strata, domains, domain_col, strict), strata)
     long = _by_domain(parts, domains, policy, strict)
     for c in COMPONENTS:
         long = long.withColumns({f"{c}_num_ct": F.col("__ct"), f"{c}_num_wt": F.col("__wt")})

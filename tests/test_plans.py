@@ -48,10 +48,14 @@ def test_filters_reach_the_scan(stored):
 
 
 def test_unsampled_expansion_scans(stored):
-    """The sums by haul and trip are stored from one whole scan; the others read only candidates."""
-    found = scans(expand_unsampled(stored, ["sector", "year"], ["A", "E"], {"A": EXCLUDE_IF_PRESENT, "E": ALWAYS}))
-    assert len(found) == 2
-    assert all("datatype" in p and "catch_disposition" in p for p, _ in found)
+    """One whole scan feeds the sums by haul, trip and vessel; the others read only candidates; planning runs no job."""
+    df = expand_unsampled(stored, ["sector", "year"], ["A", "E"], {"A": EXCLUDE_IF_PRESENT, "E": ALWAYS})
+    found = scans(df)
+    assert sorted(len(p) > 0 for p, _ in found) == [False, True, True, True]
+    assert all("datatype" in p for p, _ in found if p)
+    failed = [columns for p, columns in found if "EqualTo(datatype,Failed Data)" in p]
+    assert failed == [{"trip_id", "datatype"}]
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan(df))) <= 20
 
 
 def test_null_safe_joins_are_equi_joins(stored, landings):
