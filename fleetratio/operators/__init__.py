@@ -32,6 +32,7 @@ from .quality import (
     flag_small_cells,
     key_quality,
     partition_total,
+    possible_members,
     range_digests,
     reconcile,
     record_class_counts,

@@ -17,6 +17,8 @@ from .moments import ANALYSIS, UNIT_COLS, fleet_effort, observed_effort
 STRATUM_SALTS = 64
 # Key ranges whose digests two tables are compared by.
 DIGEST_RANGES = 4096
+# Bits of the set that landing lines are tested against before they are shuffled: 16 MB, whatever the ids.
+FILTER_BITS = 2**27
 
 
 def flag_small_cells(df: DataFrame, count_col: str = "n_obs_ves", minimum: int = 3) -> DataFrame:
@@ -67,20 +69,48 @@ def ticket_ids(ob: DataFrame, col: str = "fish_tickets") -> DataFrame:
     return ob.where(F.col(col) != "").select(F.explode(ids).alias("ftid"))
 
 
-def ticket_match_rate(ob: DataFrame, fleet: DataFrame, ticket_col: str = "fish_tickets", id_col: str = "ftid") -> DataFrame:
-    """Share of distinct observed ticket ids that occur in the fleet table.
+def _id_bit(name: str, bits: int) -> Column:
+    """Place of an id in a set of ``bits`` bits, from 1."""
+    return F.xxhash64(name).bitwiseAND(F.lit(bits - 1)) + 1
+
+
+def possible_members(df: DataFrame, ids: DataFrame, col: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``col`` may be among ``ids``; a row that is left out certainly is not.
 
-    Both sides are reduced to one flag row per id before they meet, so a ticket repeated on many
-    records costs one row per task.
+    The distinct ``ids`` set bits in pieces of 4 KB that are broadcast: at most ``bits`` / 8 bytes, ``bits`` a power
+    of two. The ids move to their piece before it is built, so no half-filled pieces are shuffled. With n ids about
+    n / ``bits`` of the other rows pass as well, so a join must follow. Rows without a value are left out.
     """
-    seen = ticket_ids(ob, ticket_col).select("ftid", F.lit(True).alias("__seen"), F.lit(False).alias("__landed"))
-    landed = fleet.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("string").alias("ftid"), F.lit(False).alias("__seen"), F.lit(True).alias("__landed")
-    )
-    ids = seen.unionByName(landed).groupBy("ftid").agg(F.bool_or("__seen").alias("__seen"), F.bool_or("__landed").alias("__landed"))
-    out = ids.where("__seen").agg(
-        F.count(F.lit(1)).alias("n_tickets"), F.count_if(F.col("__landed")).alias("n_matched")
+    if bits < 1 or bits & (bits - 1):
+        raise ValueError("bits must be a power of two")
+    place = _id_bit(col, bits)
+    pieces = (
+        ids.select(F.bitmap_bucket_number(place).alias("__piece"), F.bitmap_bit_position(place).alias("__bit"))
+        .repartition("__piece")
+        .groupBy("__piece")
+        .agg(F.bitmap_construct_agg("__bit").alias("__bits"))
     )
+    tested = df.where(F.col(col).isNotNull()).withColumn("__place", place)
+    joined = tested.join(F.broadcast(pieces), F.bitmap_bucket_number("__place") == F.col("__piece"))
+    at = F.bitmap_bit_position("__place")
+    byte = F.ascii(F.decode(F.substring("__bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    bit = F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))
+    return joined.where(byte.bitwiseAND(bit) != 0).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def ticket_match_rate(
+    ob: DataFrame, fleet: DataFrame, ticket_col: str = "fish_tickets", id_col: str = "ftid", bits: int = FILTER_BITS
+) -> DataFrame:
+    """Share of distinct observed ticket ids that occur in the fleet table.
+
+    Few landing lines belong to an observed trip: lines are first tested against a bit set of the observed ids,
+    and only possible matches are shuffled. Both sides are reduced to one row per id before they meet.
+    """
+    seen = ticket_ids(ob, ticket_col).distinct()
+    lines = fleet.select(F.col(id_col).cast("string").alias("ftid"))
+    landed = possible_members(lines, seen, "ftid", bits).distinct().select(F.col("ftid").alias("__landed"))
+    ids = seen.join(landed, F.col("ftid") == F.col("__landed"), "left")
+    out = ids.agg(F.count(F.lit(1)).alias("n_tickets"), F.count("__landed").alias("n_matched"))
     return out.withColumn("match_rate", divide(F.col("n_matched").cast("double"), F.col("n_tickets").cast("double")))
 
 

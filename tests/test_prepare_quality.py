@@ -25,6 +25,7 @@ from fleetratio.operators.quality import (
     differing_ranges,
     key_quality,
     partition_total,
+    possible_members,
     reconcile,
     record_class_counts,
     row_counts,
@@ -106,6 +107,26 @@ def test_no_observed_ticket_gives_null_rate(spark):
     assert tuple(ticket_match_rate(ob, spark.createDataFrame([("T1",)], "ftid string")).first()) == (0, 0, None)
 
 
+def test_landing_lines_are_tested_before_they_are_shuffled(spark):
+    """Every id of the set passes, next to nothing else does, and a full set lets all pass without harm."""
+    lines = spark.range(20_000).select(F.col("id").cast("string").alias("ftid"), F.lit(1.0).alias("mt"))
+    lines = lines.unionByName(spark.createDataFrame([(None, 1.0)], "ftid string, mt double"))
+    ids = spark.range(0, 20_000, 40).select(F.col("id").cast("string").alias("ftid"))
+    passed = possible_members(lines, ids, "ftid")
+    assert passed.columns == ["ftid", "mt"]
+    assert {r.ftid for r in passed.collect()} == {str(i) for i in range(0, 20_000, 40)}
+    narrow = [r.ftid for r in possible_members(lines, ids, "ftid", bits=4096).collect()]
+    assert 500 < len(narrow) < 4_000 and {str(i) for i in range(0, 20_000, 40)} <= set(narrow)
+    assert possible_members(lines, ids, "ftid", bits=1).count() == 20_000
+    assert possible_members(lines, ids.where("false"), "ftid").count() == 0
+
+    ob = ids.union(spark.createDataFrame([("T1;T2",), ("7;8;",), ("",), (None,)], "s string")).toDF("fish_tickets")
+    for bits in (1, 64, 2**27):
+        rate = ticket_match_rate(ob, lines, bits=bits)
+        assert [tuple(r) for r in rate.collect()] == [(504, 502, 502 / 504)]
+    assert "ReusedExchange" in rate._jdf.queryExecution().executedPlan().toString()
+
+
 def test_coverage_and_partition_total(observer, landings, by_key):
     cov = coverage(observer(dict(tgt_mt=1.0)), landings(dict(tgt_mt=3.0), dict(year=2021, tgt_mt=1.0)), ["sector", "year"])
     got = by_key(cov, "year")
