@@ -23,6 +23,8 @@ from fleetratio.llm.common import boxed, same_document, stored, text_of
 #: A sentence ends after its mark and a space, or at a line break; the pieces add up to the text.
 BREAK = r"(?<=[.!?]\x20)|(?<=\n)"
 MIN_SENTENCES, MIN_WORDS = 2, 15
+#: A span is hot if it has more than this share of all occurrences, so at most 1 / share are, and more than the floor.
+HOT_SHARE, HOT_FLOOR = 1e-4, 100
 
 
 def sentence_pieces(text: str) -> list[str]:
@@ -79,8 +81,14 @@ def repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_
     spans = stored(corpus_spans(docs, min_sentences, min_words, both_ends), "sentence-spans")
     where = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash", "first")
     # counted and summed before the shuffle; a span that half the corpus holds is one row
-    repeated = spans.groupBy("span").agg(F.min(where).alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("span", "keeper")
-    later = spans.join(repeated, "span").filter(~where.eqNullSafe(F.col("keeper")))
+    found = spans.groupBy("span").agg(F.min(where).alias("keeper"), F.count("*").alias("n")).filter("n > 1")
+    limit = max(HOT_FLOOR, HOT_SHARE * spans.count())
+    # occurrences of hot spans stay where they are; the few keepers come to them
+    hot = found.filter(F.col("n") > limit).select("span", F.col("keeper").alias("hot_keeper"))
+    known = spans.join(F.broadcast(hot), "span", "left")
+    few = known.filter(F.col("hot_keeper").isNull()).join(found.filter(F.col("n") <= limit).select("span", "keeper"), "span")
+    many = known.filter(F.col("hot_keeper").isNotNull()).withColumn("keeper", F.col("hot_keeper"))
+    later = few.unionByName(many, allowMissingColumns=True).filter(~where.eqNullSafe(F.col("keeper")))
     covered = later.select("doc_id", "text_hash", F.explode(F.sequence("first", "last")).alias("piece"))
     return covered.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("piece")).alias("removed"))
 

@@ -415,6 +415,17 @@ def test_both_ends_cover_every_repeated_run(make_docs, corpus):
     assert got[71] == {0, 1, 2, 3} and got[72] == {1, 2, 3, 4} and 70 not in got
 
 
+@pytest.mark.parametrize("floor", [1, 2])
+def test_hot_spans_stay_where_they_are(make_docs, corpus, monkeypatch, floor):
+    """All repeated spans are hot, or only those in three places or more: the result stays that of brute force."""
+    monkeypatch.setattr("fleetratio.llm.sentence_spans.HOT_FLOOR", floor)
+    shared = "One two three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen sixteen."
+    rows = [*corpus, *[(100 + i, shared) for i in range(30)], (200, shared + " " + shared)]
+    got = {r.doc_id: set(r.removed) for r in repeated_sentences(make_docs(rows), both_ends=True).collect()}
+    assert got == all_repeated_runs([(i, t or "") for i, t in rows])
+    assert 100 not in got and all(got[100 + i] == {0, 1} for i in range(1, 30))
+
+
 def test_sentence_spans_of_awkward_rows(awkward, awkward_rows, nothing):
     cleaned = drop_repeated_sentences(awkward)
     assert cleaned.columns == awkward.columns and cleaned.count() == len(awkward_rows)
