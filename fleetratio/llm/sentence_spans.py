@@ -25,6 +25,8 @@ BREAK = r"(?<=[.!?]\x20)|(?<=\n)"
 MIN_SENTENCES, MIN_WORDS = 2, 15
 #: A span is hot if it has more than this share of all occurrences, so at most 1 / share are, and more than the floor.
 HOT_SHARE, HOT_FLOOR = 1e-4, 100
+#: Parts that the occurrences of a hot span are dealt to by their document.
+HOT_PARTS = 64
 
 
 def sentence_pieces(text: str) -> list[str]:
@@ -83,12 +85,13 @@ def repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_
     # counted and summed before the shuffle; a span that half the corpus holds is one row
     found = spans.groupBy("span").agg(F.min(where).alias("keeper"), F.count("*").alias("n")).filter("n > 1")
     limit = max(HOT_FLOOR, HOT_SHARE * spans.count())
-    # occurrences of hot spans stay where they are; the few keepers come to them
+    # the list of hot spans is short; their occurrences are dealt to parts, and their keepers repeated for each part
     hot = found.filter(F.col("n") > limit).select("span", F.col("keeper").alias("hot_keeper"))
     known = spans.join(F.broadcast(hot), "span", "left")
-    few = known.filter(F.col("hot_keeper").isNull()).join(found.filter(F.col("n") <= limit).select("span", "keeper"), "span")
-    many = known.filter(F.col("hot_keeper").isNotNull()).withColumn("keeper", F.col("hot_keeper"))
-    later = few.unionByName(many, allowMissingColumns=True).filter(~where.eqNullSafe(F.col("keeper")))
+    dealt = F.when(F.col("hot_keeper").isNotNull(), F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
+    parts = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    keepers = found.select("span", "keeper", F.explode(parts).alias("part"))
+    later = known.withColumn("part", dealt).join(keepers, ["span", "part"]).filter(~where.eqNullSafe(F.col("keeper")))
     covered = later.select("doc_id", "text_hash", F.explode(F.sequence("first", "last")).alias("piece"))
     return covered.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("piece")).alias("removed"))
 
