@@ -7,7 +7,8 @@ by the order of a hash of their key, by the same rule in a stratum of any size.
 
 The numbers form a tree of fixed nodes. The n draws of a replicate are first dealt to nodes by one
 hash each; a node then draws only its share among its own vessels. So a replicate takes at most two
-hashes a draw, however many nodes and tasks a stratum is cut into.
+hashes a draw, however many nodes, chunks and tasks a stratum is cut into. Spark deals rows of work
+out; inside a row of work draws are counted in arrays (``functions.draws``), no row is made for a draw.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import DRAWS_PER_HASH, count_draws
 from ..functions.names import column_list, domain_list, require_columns
 from ..functions.nulls import divide, measure, null_safe_join, sum_or_zero
 from ..functions.stats import clamp_lower, percent
@@ -32,10 +37,12 @@ SAMPLERS = ("xxhash64", "md5")
 NODE_UNITS = 4096
 # Draws dealt to nodes by one row of work.
 DEAL_DRAWS = 1_000_000
-# Draws that one hash of a sampler serves.
-DRAWS_PER_HASH = {"xxhash64": 2, "md5": 4}
 # Replicates of a stratum in one row of work; the work of one stratum spreads over R / this.
-REPLICATE_BLOCK = 50
+REPLICATE_BLOCK = 250
+# Vessels of a row of work: as many whole nodes as come to them, or a part of a larger node.
+PIECE_UNITS = 4096
+# Counts of draws that a row of work holds at once while it deals draws to nodes.
+DEAL_CELLS = 1_000_000
 # Hex digits of a vessel's hash that name its bucket, the same for every stratum.
 BUCKET_DIGITS = 3
 
@@ -113,30 +120,11 @@ def key_text(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[part(c) for c in columns])
 
 
-def draw_digest(sampler: str, seed: int, salt: Column, node: Column, rep: Column, number: Column) -> Column:
-    """Hash ``number`` of a node and replicate; serves as many draws as ``DRAWS_PER_HASH`` says."""
+def _hash_start(sampler: str, seed: int) -> Column:
+    """What all hashes of a stratum begin with: the text before the node, or the hash of seed and stratum."""
     if sampler == "md5":
-        return F.md5(F.concat_ws("|", F.lit(str(seed)), salt, node.cast("string"), rep.cast("string"), number.cast("string")))
-    if sampler == "xxhash64":
-        return F.xxhash64(F.lit(int(seed)).cast("bigint"), salt, node.cast("bigint"), rep.cast("bigint"), number.cast("bigint"))
-    raise ValueError(f"unknown sampler {sampler!r}: use one of {', '.join(SAMPLERS)}")
-
-
-def draw_numbers(sampler: str) -> Column:
-    """The random numbers of the hash ``__digest``: draw ``j`` takes number ``j mod size`` of hash ``j div size``."""
-    if sampler == "md5":
-        # no higher-order function here: it would leave generated code and copy the vessels for every hash
-        return F.array(*[F.conv(F.substring(F.col("__digest"), 8 * g + 1, 8), 16, 10).cast("bigint") for g in range(4)])
-    return F.array(F.shiftrightunsigned("__digest", 32), F.col("__digest").bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def _drawn(df: DataFrame, sampler: str, seed: int, node: Column, first: Column, n: Column) -> DataFrame:
-    """One row with ``__number`` for each of the draws ``first`` .. ``first + n - 1``; ``first`` begins a hash."""
-    each = DRAWS_PER_HASH[sampler]
-    hashes = df.withColumn("__hash", F.explode(F.sequence(F.expr("0L") + F.floor(first / each), F.floor((first + n - 1) / each))))
-    digests = hashes.withColumn("__digest", draw_digest(sampler, seed, F.col("__salt"), node, F.col("rep"), F.col("__hash")))
-    spread = digests.select(*df.columns, "__hash", F.posexplode(draw_numbers(sampler)).alias("__pos", "__number"))
-    return spread.where(F.col("__hash") * each + F.col("__pos") < first + n).drop("__hash", "__pos")
+        return F.concat(F.lit(f"{seed}|"), F.col("__salt"), F.lit("|"))
+    return F.xxhash64(F.lit(int(seed)).cast("bigint"), F.col("__salt"))
 
 
 def _numbered_units(units: DataFrame, strata: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -167,68 +155,160 @@ def _numbered_units(units: DataFrame, strata: Sequence[str], order: Sequence[str
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _node_shares(sizes: DataFrame, replicates, block, seed, sampler, node_units) -> DataFrame:
     """Draws that each node of a stratum of several nodes gets in each replicate (``__shares``), by block of replicates.
 
-    Each of the n draws is dealt by its own hash, in rows of work of a million; counts are combined before they move.
+    Each of the n draws is dealt by its own hash, in rows of work of a million draws a replicate. A node has one row
+    for each part of the draws and some replicates of the block.
     """
-    top = F.lit(-1)
     blocks = F.sequence(F.lit(0), F.lit(ceil(replicates / block) - 1))
     parts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / DEAL_DRAWS))
     work = (
         sizes.where(F.col("__n") > node_units)
-        .withColumn("__block", F.explode(blocks))
+        .select("__salt", _hash_start(sampler, seed).alias("__start"), "__n", F.explode(blocks).alias("__block"))
         .withColumn("__part", F.explode(parts))
-        .repartition("__salt", "__block", "__part")
+        .repartition(_tasks(sizes), "__salt", "__block", "__part")
     )
-    reps = F.sequence(F.col("__block") * block + 1, F.least(F.col("__block") * block + block, F.lit(replicates)))
-    first = F.col("__part") * DEAL_DRAWS
-    rows = work.select("__salt", "__n", "__block", "__part", F.explode(reps).alias("rep"))
-    dealt = _drawn(rows, sampler, seed, top, first, F.least(F.lit(DEAL_DRAWS), F.col("__n") - first))
-    node = F.floor(F.pmod("__number", "__n") / node_units).alias("__node")
-    shares = dealt.groupBy("__salt", node, "__block", "rep").agg(F.count(F.lit(1)).alias("draws"))
-    return shares.groupBy("__salt", "__node", "__block").agg(F.map_from_entries(F.collect_list(F.struct("rep", "draws"))).alias("__shares"))
+    deal_draws, deal_cells = DEAL_DRAWS, DEAL_CELLS
+
+    def deal(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, first = row["__n"], row["__part"] * deal_draws
+                nodes = -(-n // node_units)
+                last = min(row["__block"] * block + block, replicates)
+                step = max(1, deal_cells // nodes)
+                for low in range(row["__block"] * block + 1, last + 1, step):
+                    reps = np.arange(low, min(low + step, last + 1))
+                    start, columns = row["__start"], [reps]
+                    if sampler == "md5":
+                        start += "-1|"
+                    else:
+                        columns = [np.full(len(reps), -1), reps]
+                    counts = count_draws(
+                        sampler, start, columns, np.full(len(reps), min(deal_draws, n - first)), np.full(len(reps), n),
+                        np.arange(len(reps)) * nodes, len(reps) * nodes, first, node_units,
+                    )
+                    by_node = counts.reshape(len(reps), nodes).T
+                    node, rep = np.nonzero(by_node)
+                    offsets = np.searchsorted(node, np.arange(nodes + 1)).astype(np.int32)
+                    shares = pa.MapArray.from_arrays(offsets, pa.array(reps[rep].astype(np.int32)), pa.array(by_node[node, rep]))
+                    some = offsets[1:] > offsets[:-1]
+                    columns = [
+                        pa.array([row["__salt"]] * nodes, pa.string()),
+                        pa.array(np.arange(nodes)),
+                        pa.array(np.full(nodes, row["__block"], np.int32)),
+                        shares,
+                    ]
+                    names = ["__salt", "__node", "__block", "__shares"]
+                    yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(some))
+
+    return work.mapInArrow(deal, "__salt string, __node bigint, __block int, __shares map<int,int>")
 
 
 def _replicate_sums(units, strata, order, replicates, seed, sampler, chunk_units, node_units, tasks=None) -> DataFrame:
     """(strata, rep, __m): sums by place of each stratum and replicate, effort at place 0, whatever the stratum's size.
 
-    Each row of work is (stratum, node, chunk of the node, block of replicates) with the chunk's vessels as an array
-    of their entries. It evaluates the draws of its node, keeps those that fall in its chunk and sums the entries in
-    place; only sums are shuffled. Places that no drawn vessel has do not appear.
+    Vessels travel in chunks, an array of their entries each. A row of work is a block of replicates of a piece of a
+    stratum: the chunks of some nodes, or of a part of a large one. It counts how often each vessel of the piece is
+    drawn, once for all its chunks, and sums the entries in place; only sums are shuffled. Places that no drawn
+    vessel has may be missing.
     """
     chunk_units = min(chunk_units, node_units)
+    span_nodes = max(1, PIECE_UNITS // node_units)
+    span_units = span_nodes * node_units
+    piece_units = span_units if node_units <= PIECE_UNITS else chunk_units * ceil(PIECE_UNITS / chunk_units)
+    block = max(1, min(REPLICATE_BLOCK, ceil(replicates / 8)))
+    tasks = tasks or _tasks(units)
+    work_keys = ["__salt", "__node", "__chunk", "__block"]
+
     numbered = _numbered_units(units, strata, order).withColumn("__salt", key_text(strata))
-    in_node = F.expr(f"__idx % {node_units}")
     chunked = numbered.select(
         *strata,
         "__salt",
         "__n",
-        F.expr(f"__idx div {node_units}").alias("__node"),
-        F.floor(in_node / chunk_units).alias("__chunk"),
-        in_node.alias("__at"),
+        F.expr(f"__idx div {span_units} * {span_nodes}").alias("__node"),
+        F.expr(f"__idx % {span_units} div {piece_units}").alias("__chunk"),
+        F.expr(f"__idx - __idx % {node_units} % {chunk_units}").alias("__first"),
+        F.col("__idx").alias("__at"),
         "__entries",
     )
     in_order = F.sort_array(F.collect_list(F.struct("__at", "__entries")))
-    packed = chunked.groupBy(*strata, "__salt", "__n", "__node", "__chunk").agg(in_order.getField("__entries").alias("__units"))
-    block = max(1, min(REPLICATE_BLOCK, ceil(replicates / 8)))
-    tasks = tasks or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = packed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(ceil(replicates / block) - 1))))
-    work = work.repartition(tasks, "__salt", "__node", "__chunk", "__block")
+    packed = chunked.groupBy(*strata, "__salt", "__n", "__node", "__chunk", "__first").agg(in_order.getField("__entries").alias("__units"))
+    work = packed.withColumn("__start", _hash_start(sampler, seed))
+    work = work.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(ceil(replicates / block) - 1))))
+    work = work.repartition(tasks, *work_keys)
+
     sizes = numbered.select("__salt", "__n").distinct()
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.lit(ceil(span_units / piece_units) - 1).cast("bigint"))
     shares = _node_shares(sizes, replicates, block, seed, sampler, node_units)
-    first = F.col("__block") * block + 1
-    shared = work.join(shares, ["__salt", "__node", "__block"], "left").where((F.col("__n") <= node_units) | F.col("__shares").isNotNull())
-    reps = shared.withColumn("rep", F.explode(F.sequence(first, F.least(first + (block - 1), F.lit(replicates)))))
-    share = F.when(F.col("__n") <= node_units, F.col("__n")).otherwise(F.try_element_at("__shares", F.col("rep")))
-    draws = reps.select(*strata, "__salt", "__n", "__node", "__chunk", "__block", "__units", "rep", share.alias("draws")).where("draws > 0")
-    size = F.least(F.lit(node_units).cast("bigint"), F.col("__n") - F.col("__node") * node_units)
-    drawn = _drawn(draws, sampler, seed, F.col("__node"), F.lit(0).cast("bigint"), F.col("draws"))
-    spot = (F.pmod(F.col("__number"), size) - F.col("__chunk") * chunk_units).cast("int")
-    picked = drawn.select(*strata, "__salt", "__node", "__chunk", "__block", "rep", "__units", spot.alias("__spot"))
-    picked = picked.where((F.col("__spot") >= 0) & (F.col("__spot") < chunk_units))
-    entries = picked.select(*strata, "__salt", "__node", "__chunk", "__block", "rep", F.inline(F.get("__units", F.col("__spot"))))
-    in_place = entries.groupBy(*strata, "__salt", "__node", "__chunk", "__block", "rep", "k").agg(F.sum("v").alias("v"))
+    shares = shares.select(
+        "__salt", F.expr(f"__node - __node % {span_nodes}").alias("__node"), F.explode(pieces).alias("__chunk"), "__block",
+        F.col("__node").alias("__own"), "__shares",
+    ).repartition(tasks, *work_keys)
+
+    schema = work.select(*strata, F.lit(0).alias("rep"), F.lit(0).alias("k"), F.lit(0.0).alias("v")).schema
+    width = len(strata)
+
+    def piece_sums(chunks, dealt):
+        if not chunks.num_rows:
+            return pa.table({})
+        row = chunks.select(["__n", "__node", "__chunk", "__block", "__start"]).slice(0, 1).to_pylist()[0]
+        n, node0, low = row["__n"], row["__node"], row["__node"] * node_units + row["__chunk"] * piece_units
+        held = min(piece_units, n - low)
+        reps = np.arange(row["__block"] * block + 1, min(row["__block"] * block + block, replicates) + 1)
+        nodes = np.arange(node0, min(node0 + span_nodes, -(-n // node_units)))
+        shared = np.zeros((len(reps), len(nodes)), np.int64)
+        if n <= node_units:
+            shared[:] = n
+        elif dealt.num_rows:
+            maps = dealt.column("__shares").combine_chunks()
+            lengths = np.diff(maps.offsets.to_numpy(zero_copy_only=False))
+            span = slice(maps.offsets[0].as_py(), maps.offsets[-1].as_py())
+            own = np.repeat(dealt.column("__own").to_numpy(), lengths) - node0
+            at = maps.keys.to_numpy(zero_copy_only=False)[span] - reps[0]
+            np.add.at(shared, (at, own), maps.items.to_numpy(zero_copy_only=False)[span])
+        rep, node = np.repeat(reps, len(nodes)), np.tile(nodes, len(reps))
+        counts = count_draws(
+            sampler, row["__start"], [node, rep], shared.ravel(), np.minimum(node_units, n - node * node_units),
+            (rep - reps[0]) * held + node * node_units - low, len(reps) * held,
+        ) if span_nodes * node_units == piece_units else np.concatenate([
+            count_draws(sampler, row["__start"], [nodes, np.full(1, r)], shared[i], np.minimum(node_units, n - nodes * node_units),
+                        nodes * node_units - low, held)
+            for i, r in enumerate(reps)
+        ])
+        counts = counts.reshape(len(reps), held)
+
+        listed = chunks.column("__units").combine_chunks()
+        lengths = pc.list_value_length(listed).to_numpy()
+        entries = listed.flatten()
+        begins = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = np.repeat(chunks.column("__first").to_numpy() - low, lengths) + np.arange(len(entries)) - begins
+        at = np.repeat(at, pc.list_value_length(entries).to_numpy())
+        entries = entries.flatten()
+        place = pc.struct_field(entries, "k").to_numpy(zero_copy_only=False)
+        amount = pc.struct_field(entries, "v").to_numpy(zero_copy_only=False)
+        by_place = np.argsort(place, kind="stable")
+        places, begins = np.unique(place[by_place], return_index=True)
+        rows = []
+        for k, some in zip(places, np.split(by_place, begins[1:])):
+            drawn, value = counts[:, at[some]].astype(np.float64), amount[some]
+            if np.isfinite(value).all():
+                sums = drawn @ value
+            else:
+                sums = np.where(drawn > 0, drawn * value, 0.0).sum(axis=1)
+            kept = (drawn > 0).any(axis=1) if k == 0 else sums != 0
+            rows.append((reps[kept], np.full(int(kept.sum()), k), sums[kept]))
+        rep, k, v = (np.concatenate(c) for c in zip(*rows))
+        key = [chunks.column(i).combine_chunks().take(pa.array(np.zeros(len(rep), np.int64))) for i in range(width)]
+        names = [*chunks.column_names[:width], "rep", "k", "v"]
+        return pa.table([*key, pa.array(rep.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(v)], names)
+
+    in_place = work.groupBy(*work_keys).cogroup(shares.groupBy(*work_keys)).applyInArrow(piece_sums, schema)
     sums = in_place.repartition(*strata, "rep").groupBy(*strata, "rep", "k").agg(F.sum("v").alias("v"))
     return sums.groupBy(*strata, "rep").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__m"))
 

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from fleetratio.functions import draws
 from fleetratio.operators import bootstrap
 from fleetratio.operators.bootstrap import (
     boot_replicates,
@@ -248,3 +249,33 @@ def test_long_domain_lists_share_the_draws(observer):
     wide = {(r.drvid, r.species): r.ves_byc for r in vessel_rollup(ob, "sector", ["A", "B"]).collect()}
     rows = {(r.drvid, r.species): r.ves_byc for r in vessel_rollup(ob, "sector", names).collect()}
     assert {k: rows[k] for k in wide} == wide and len(rows) == 42 * 7
+
+
+def test_numbers_of_whole_arrays_match_single_hashes():
+    """Texts of one to three blocks, numbers of one to seven digits."""
+    rng = np.random.default_rng(3)
+    columns = [np.concatenate((rng.integers(0, top, 300), [0, top - 1])) for top in (2_000, 10_001, 3_000_000)]
+    for salt in ("VASIA|V1995", "x" * 49, "é" * 70):
+        found = draws.md5_numbers(f"42|{salt}|", columns)
+        for i, (node, rep, number) in enumerate(zip(*columns)):
+            assert [int(f[i]) for f in found] == [md5_number(42, salt, node, rep, 4 * int(number) + g) for g in range(4)]
+
+
+def test_a_chunk_repeats_no_draws(observer):
+    """Rows of work are cut by node and block of replicates, whatever the chunks, and no row is made for a hash or a draw."""
+    df = boot_replicates(vessels(observer), "sector", ["A"], replicates=80, sampler="md5", chunk_units=1, node_units=4)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "__hash" not in plan and "__number" not in plan
+    # few bytes, much work: a number of tasks that adaptive execution does not merge
+    assert re.search(r"hashpartitioning\(__salt#\d+, __block#\d+, __part#\d+L?, \d+\), REPARTITION_BY_NUM", plan)
+
+
+@pytest.mark.parametrize("sampler", ["md5", "xxhash64"])
+def test_pieces_of_nodes_match_brute_force(observer, monkeypatch, sampler):
+    """Rows of work of three vessels: parts of a node of eight, one node of two."""
+    monkeypatch.setattr(bootstrap, "PIECE_UNITS", 3)
+    monkeypatch.setattr(draws, "SLICE", 5)
+    for node, chunk_units in ((8, 2), (8, 8), (2, 1)):
+        want = brute_force("VS", NINE, 12, sampler=sampler, node=node)
+        got = boot_replicates(vessels(observer), "sector", ["A"], replicates=12, sampler=sampler, node_units=node, chunk_units=chunk_units)
+        assert [r.ratio for r in got.orderBy("rep").collect()] == pytest.approx(want)
