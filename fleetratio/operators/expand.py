@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import clean_names, column_list, domain_list, require_columns
 from ..functions.nulls import divide, measure, n_distinct, null_safe_join, strict_sum, sum_or_zero
 from ..functions.stats import Z_95, clamp_lower, percent, stable_round, standard_error
-from .moments import UNIT_COLS, fleet_effort
+from .moments import UNIT_COLS, by_unit, fleet_effort
 from .ratio import ratio_table, with_ratio
 
 
@@ -120,8 +120,11 @@ def expand_single(
     haul, trip, vessel = unit_cols
     require_columns(ob, [*strata, *unit_cols, effort, bycatch], "observer table")
     require_columns(fleet, [*strata, effort], "fleet table")
-    units = ob.groupBy(*strata, *unit_cols).agg(
-        strict_sum(measure(bycatch)).alias("__byc"), sum_or_zero(measure(effort)).alias("__expf")
+    records = by_unit(
+        ob.select(*strata, *unit_cols, measure(bycatch).alias("__bycatch"), measure(effort).alias("__effort")), [*strata, *unit_cols]
+    )
+    units = records.groupBy(*strata, *unit_cols).agg(
+        strict_sum(F.col("__bycatch")).alias("__byc"), sum_or_zero(F.col("__effort")).alias("__expf")
     )
     byc, expf = F.col("__byc"), F.col("__expf")
     complete = F.count(F.lit(1)) == F.count(byc)

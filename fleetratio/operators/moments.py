@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column_list, domain_list, require_columns
@@ -18,6 +18,15 @@ ANALYSIS = "Analysis Data"
 BYCATCH_COLUMNS = ("total_byc", "mean_byc", "se_byc", "n_hauls_byc")
 
 
+def by_unit(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
+    """Records dealt to tasks by their sampling unit, one task for each shuffle partition of the session.
+
+    Adaptive execution merges what a plain aggregation shuffles up to its advisory size of packed bytes, which are millions of
+    units; a task then holds them all, and several rows of each for the distinct counts that follow.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fleet_effort(
     fleet: DataFrame, strata: Sequence[str] | str, effort: str = "tgt_mt", moments: bool = False
 ) -> DataFrame:
@@ -49,11 +58,10 @@ def observed_effort(
     strata = column_list(strata)
     haul, trip, vessel = unit_cols
     require_columns(ob, [*strata, *unit_cols, "datatype", effort], "observer table")
-    hauls = (
-        ob.where(F.col(haul).isNotNull() & (F.col("datatype") == ANALYSIS))
-        .groupBy(*strata, *unit_cols)
-        .agg(sum_or_zero(measure(effort)).alias("expf_haul"))
-    )
+    sampled = ob.where(F.col(haul).isNotNull() & (F.col("datatype") == ANALYSIS))
+    keys = [*strata, *unit_cols]
+    records = by_unit(sampled.select(*keys, measure(effort).alias("__effort")), keys)
+    hauls = records.groupBy(*keys).agg(sum_or_zero(F.col("__effort")).alias("expf_haul"))
     expf = F.col("expf_haul")
     return hauls.groupBy(*strata).agg(
         F.sum(expf).alias("total_expf"),
@@ -76,7 +84,7 @@ def sample_sizes(
     haul, trip, vessel = unit_cols
     require_columns(ob, [*strata, *unit_cols], "observer table")
     return (
-        ob.select(*strata, *unit_cols)
+        by_unit(ob.select(*strata, *unit_cols), [*strata, *unit_cols])
         .distinct()
         .groupBy(*strata)
         .agg(
@@ -133,18 +141,22 @@ def stratum_domain_moments(
     is_domain = F.col("__kind") == 1
     wanted = is_true(F.col(domain_col).isin(domains))
     group = [F.when(is_domain, F.col(group_col)).alias(group_col)] if group_col else []
-    rows = (
-        ob.where(F.col(haul).isNotNull())
-        .select(
+    # names and values that no row of the record needs are left out before it moves
+    records = by_unit(
+        ob.where(F.col(haul).isNotNull()).select(
             *strata,
             *unit_cols,
-            domain_col,
-            *([group_col] if group_col else []),
+            F.when(wanted, F.col(domain_col)).alias(domain_col),
+            *([F.when(wanted, F.col(group_col)).alias(group_col)] if group_col else []),
             sampled.alias("__sampled"),
-            measure(effort).alias("__effort"),
-            measure(unit).alias("__unit"),
-            F.explode(F.when(wanted, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("__kind"),
-        )
+            F.when(sampled, measure(effort)).alias("__effort"),
+            F.when(wanted, measure(unit)).alias("__unit"),
+        ),
+        [*strata, *unit_cols],
+    )
+    named = F.col(domain_col).isNotNull()
+    rows = (
+        records.select("*", F.explode(F.when(named, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("__kind"))
         .select(
             *strata,
             *unit_cols,

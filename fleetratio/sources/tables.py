@@ -50,17 +50,21 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     df.write.format(fmt).mode(mode).options(**options).save(path)
 
 
+# Parts of a file, so that the tasks can cut a large value where they need to.
+PARTS_PER_FILE = 256
+
+
 def write_partitioned(
     df: DataFrame, path: str, column: str = "year", files_per_value: int = 1, mode: str = "errorifexists", **options: str
 ) -> None:
     """Write a table into one folder a value of ``column``, so that readers of one value open one folder.
 
-    Rows are dealt out by range of the column and, where a value is to have several files, of a hash of the row:
-    a task writes to few folders, and a value with most of the rows is split.
+    Rows are dealt out by range of the column and of a hash of the row: a task writes to few folders, and a value that is
+    too large for one task, or is to have several files, is split. So what a task sorts does not grow with the table.
     """
     require_columns(df, [column], "table")
     if files_per_value < 1:
         raise ValueError("files_per_value must be positive")
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_value))
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_value * PARTS_PER_FILE))
     placed = df.withColumn("__part", part).repartitionByRange(column, "__part").drop("__part")
     placed.write.partitionBy(column).mode(mode).options(**options).parquet(path)

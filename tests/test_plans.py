@@ -5,8 +5,8 @@ import re
 import pytest
 
 from fleetratio.operators.bootstrap import vessel_rollup
-from fleetratio.operators.expand import expand_to_fleet
-from fleetratio.operators.moments import observed_effort, zero_filled_bycatch
+from fleetratio.operators.expand import expand_single, expand_to_fleet
+from fleetratio.operators.moments import observed_effort, sample_sizes, zero_filled_bycatch
 from fleetratio.operators.prepare import sector_filter
 from fleetratio.operators.ratio import ratio_table
 from fleetratio.operators.unsampled import ALWAYS, EXCLUDE_IF_PRESENT, expand_unsampled, nifq_haul_set
@@ -68,3 +68,15 @@ def test_sums_combine_before_the_shuffle(stored):
     assert text.count("Exchange") == 2 and "partial_sum" in text
     long = plan(vessel_rollup(stored, "sector", ["A", "B", *[f"none {i}" for i in range(38)]]))
     assert re.findall(r"\w+(?=\(| \[|\n)", long).count("HashAggregate") == re.findall(r"\w+(?=\(| \[|\n)", text).count("HashAggregate")
+
+
+def test_units_meet_in_a_fixed_number_of_tasks(stored, landings):
+    """Adaptive execution would merge millions of units into one task, which then holds several rows of each."""
+    strata = ["sector", "year"]
+    for df in (
+        observed_effort(stored, strata),
+        sample_sizes(stored, strata),
+        ratio_table(stored, strata, ["A"]),
+        expand_single(stored, landings({}), strata, "tgt_mt", "dis_mt"),
+    ):
+        assert re.search(r"hashpartitioning\(.*drvid#\d+.*, 4\), REPARTITION_BY_NUM", plan(df))

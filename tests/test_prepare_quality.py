@@ -280,3 +280,16 @@ def test_readers_of_one_year_open_one_folder(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[isnotnull\(Year#\d+\), \(Year#\d+ = 2001\)\]", plan)
     files = [r[0] for r in one.select(F.input_file_name()).distinct().collect()]
     assert one.count() == 300 and files and all("/Year=2001/" in f for f in files)
+
+
+def test_a_year_too_large_for_a_task_is_split(spark, tmp_path):
+    """All rows are of one year; the file number asked for is the least, what a task sorts stays bounded."""
+    path, name = str(tmp_path / "one-year"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        write_partitioned(spark.range(4000).withColumn("year", F.lit(2000)), path, "year")
+    finally:
+        spark.conf.set(name, before)
+    assert len(list((tmp_path / "one-year" / "year=2000").glob("*.parquet"))) > 1
+    assert spark.read.parquet(path).distinct().count() == 4000
