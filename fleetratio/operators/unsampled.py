@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import column_list, domain_list, require_columns
 from ..functions.nulls import is_true, measure, null_safe_join, strict_sum, sum_or_zero
 from ..functions.stats import LB_PER_MT, expand_component, percent
-from .moments import ANALYSIS
+from .moments import ANALYSIS, by_unit
 
 # Record classes, names and codes of the catch records.
 UNSAMPLED_IFQ = "Unsampled IFQ"
@@ -123,37 +123,52 @@ def _seen() -> Column:
 SUMS = ("nifq_denom", "zmis_denom", "zmis_expf", "unst_denom", "unst_expf", "fail_denom")
 KNOWN_SUMS = ("obs_tgt_mt", "unobs_tgt_mt")
 HAUL, TRIP, VESSEL = "haul", "trip", "vessel"
+# Tasks that the records of one vessel are dealt to, at most.
+VESSEL_PARTS = 8
 
 
-def _unit_sums(ob, strata, unit_cols, strict) -> DataFrame:
-    """Everything that does not depend on a domain, by stratum, haul, trip and vessel, in one scan."""
+def _addend(value: Column, cond: Column, strict: bool) -> Column:
+    """What a record adds to a sum: nothing where ``cond`` does not hold, a missing value where a strict sum becomes unknown."""
+    if not strict:
+        return F.coalesce(F.when(cond, value), F.lit(0.0))
+    return F.when(cond.isNull(), F.lit(None).cast("double")).when(cond, value).otherwise(F.lit(0.0))
+
+
+def _record_values(ob, strata, unit_cols, strict) -> DataFrame:
+    """What each record adds to the sums and flags that do not depend on a domain, dealt to tasks by vessel and haul.
+
+    The records of a haul meet in one task and those of a vessel in few, where they are combined before they move on.
+    """
+    haul, _, vessel = unit_cols
     analysis, discarded = _is("datatype", ANALYSIS), _is("catch_disposition", DISCARDED)
     zmis = _is("datatype", UNSAMPLED_ZMIS) & discarded
     nifq = _is("datatype", UNSAMPLED_IFQ) & _is("common_name", NON_IFQ) & discarded
     mt, tgt = measure("mt"), measure("tgt_mt")
-    sums = {
-        "nifq_denom": _total(mt, (F.col("ifq") == 0) & analysis & discarded, strict),
-        "zmis_denom": _total(mt, analysis & discarded, strict),
-        "zmis_expf": _total(mt, zmis & _is("common_name", MISC_MIXED), strict),
-        "unst_denom": _total(mt, analysis, strict),
-        "unst_expf": _total(mt, zmis & _is("common_name", UNSORTED), strict),
-        "fail_denom": _total(tgt, analysis, strict),
-        "obs_tgt_mt": sum_or_zero(F.when(_seen(), tgt)),
-        "unobs_tgt_mt": sum_or_zero(F.when(~_seen(), tgt)),
-        "__nifq": _total(mt, nifq, strict),
-        "__tgt": _total(tgt, F.lit(True), strict),
-        "__seen": F.bool_or(is_true(_seen())),
-        "__unseen": F.bool_or(is_true(~_seen())),
-        "__unknown": F.bool_or(_seen().isNull()),
+    values = {
+        "nifq_denom": _addend(mt, (F.col("ifq") == 0) & analysis & discarded, strict),
+        "zmis_denom": _addend(mt, analysis & discarded, strict),
+        "zmis_expf": _addend(mt, zmis & _is("common_name", MISC_MIXED), strict),
+        "unst_denom": _addend(mt, analysis, strict),
+        "unst_expf": _addend(mt, zmis & _is("common_name", UNSORTED), strict),
+        "fail_denom": _addend(tgt, analysis, strict),
+        "obs_tgt_mt": _addend(tgt, _seen(), False),
+        "unobs_tgt_mt": _addend(tgt, ~_seen(), False),
+        "__nifq": _addend(mt, nifq, strict),
+        "__tgt": _addend(tgt, F.lit(True), strict),
+        "__seen": is_true(_seen()),
+        "__unseen": is_true(~_seen()),
+        "__unknown": _seen().isNull(),
     }
-    return ob.groupBy(*strata, *unit_cols).agg(*[expr.alias(name) for name, expr in sums.items()])
+    records = ob.select(*strata, *unit_cols, *[expr.alias(name) for name, expr in values.items()])
+    return by_unit(records, [F.col(vessel), F.pmod(F.xxhash64(haul), F.lit(VESSEL_PARTS))])
 
 
-def _by_id(units, strata, unit_cols, strict) -> DataFrame:
-    """One row per stratum and haul, per stratum and trip, per stratum and vessel, from the same unit rows.
+def _by_id(records, strata, unit_cols, strict) -> DataFrame:
+    """One row per stratum and haul, per stratum and trip, per stratum and vessel, from the same records.
 
-    A haul carries all sums, a trip its target catch, a vessel its flags: three kinds of rows in one
-    aggregation instead of one aggregation of the units for each kind. Sums of another kind stay NULL.
+    A haul carries its unsampled non-IFQ catch, a trip its target catch, a vessel the sums of the stratum: three kinds
+    of rows in one aggregation instead of one aggregation of the records for each kind. Sums of another kind stay NULL.
+    A record without target catch has no row for its trip, as it adds nothing there.
     """
     haul, trip, vessel = unit_cols
     sums = [*SUMS, *KNOWN_SUMS, "__nifq", "__tgt"]
@@ -163,9 +178,10 @@ def _by_id(units, strata, unit_cols, strict) -> DataFrame:
         values = [(F.col(c) if c in kept else F.lit(None).cast("double")).alias(c) for c in sums]
         return F.struct(F.lit(kind).alias("__kind"), F.col(id_col).cast("string").alias("__id"), *values, *flags)
 
-    rows = F.array(row(HAUL, haul, sums[:-1]), row(TRIP, trip, ["__tgt"]), row(VESSEL, vessel, []))
+    always = [row(HAUL, haul, ["__nifq"]), row(VESSEL, vessel, [*SUMS, *KNOWN_SUMS])]
+    rows = F.when(F.col("__tgt") == 0, F.array(*always)).otherwise(F.array(*always, row(TRIP, trip, ["__tgt"])))
     return (
-        units.select(*strata, F.inline(rows))
+        records.select(*strata, F.inline(rows))
         .groupBy(*strata, "__kind", "__id")
         .agg(
             *[_again(c, strict and c not in KNOWN_SUMS).alias(c) for c in sums],
@@ -190,7 +206,8 @@ def _free_sums(by_id, marks, strata, strict) -> DataFrame:
     ``__nifq_sum`` is (weight, unknown hauls, hauls) of the marked hauls: all of them in the NULL group, those
     that discarded the domain by name in its group. A list of domains costs no more than its hauls have.
     """
-    joined = null_safe_join(by_id, marks, ["__kind", "__id"], "left")
+    # few hauls and trips are marked: the many rows are not sorted to meet them
+    joined = null_safe_join(by_id, marks.hint("shuffle_hash"), ["__kind", "__id"], "left")
     alone = F.array(F.lit(None).cast("string"))
     groups = F.when(F.col("present").isNull(), alone).otherwise(F.concat(alone, "present"))
     rows = joined.withColumn("__domain", F.explode(groups))
@@ -207,8 +224,8 @@ def _free_sums(by_id, marks, strata, strict) -> DataFrame:
     nifq = F.when(haul & marked, F.col("__nifq"))
     return rows.groupBy(*strata, "__domain").agg(
         F.struct(
-            *[_total(F.col(c), haul & every, strict).alias(c) for c in SUMS],
-            *[sum_or_zero(F.when(haul & every, F.col(c))).alias(c) for c in KNOWN_SUMS],
+            *[_total(F.col(c), vessel & every, strict).alias(c) for c in SUMS],
+            *[sum_or_zero(F.when(vessel & every, F.col(c))).alias(c) for c in KNOWN_SUMS],
             _total(F.col("__tgt"), trip & marked, strict).alias("fail_expf"),
             count(haul, "__seen").alias("obs_hauls"),
             count(vessel, "__seen").alias("n_obs_ves"),
@@ -291,8 +308,8 @@ def expand_unsampled(
 ) -> DataFrame:
     """Estimated discards of unsampled and failed records in four components.
 
-    Domain-free sums are taken once, from one aggregation by haul, trip and vessel, and what belongs to a haul,
-    a trip or a vessel travels as three kinds of rows through the next; the sums of the domains are rows, so a long list costs no more per record than a short one. ``na_policy='ignore'`` leaves missing values out instead
+    Domain-free sums are taken once: what a record adds to its haul, its trip and its vessel travels as three
+    kinds of rows through one aggregation; the sums of the domains are rows, so a long list costs no more per record than a short one. ``na_policy='ignore'`` leaves missing values out instead
     of letting them make a sum missing. ``observed_weight_from_counts`` takes the observed weight
     from the counts, as older reports did.
     """
@@ -308,7 +325,7 @@ def expand_unsampled(
          "exp_sp_ct", "exp_sp_wt"],
         "observer table",
     )
-    by_id = _by_id(_unit_sums(ob, strata, unit_cols, strict), strata, unit_cols, strict)
+    by_id = _by_id(_record_values(ob, strata, unit_cols, strict), strata, unit_cols, strict)
     free = _free_sums(by_id, _marks(ob, domains, domain_col, haul, trip), strata, strict)
     parts = _stratum_parts(free, _domain_sums(ob, strata, domains, domain_col, strict), strata)
     long = _by_domain(parts, domains, policy, strict)

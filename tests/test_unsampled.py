@@ -1,5 +1,6 @@
 import pytest
 
+from fleetratio.operators import unsampled
 from fleetratio.operators.unsampled import ALWAYS, EXCLUDE_IF_PRESENT, expand_unsampled, failed_trips, nifq_haul_set
 
 POLICY = {"A": EXCLUDE_IF_PRESENT, "E": ALWAYS}
@@ -128,3 +129,20 @@ def test_components_add_up(observer):
     for r in expand_unsampled(observer(*base_rows()), ["sector", "year"], ["A", "E"], POLICY).collect():
         for u in ("ct", "wt"):
             assert r[f"est_unsamp_{u}"] == pytest.approx(sum(r[f"est_{c}_{u}"] for c in ("nifq", "zmis", "unst", "fail")))
+
+
+def test_records_without_target_catch_have_no_trip_row(observer):
+    """Vessels carry the sums of the stratum, hauls their unsampled catch; a trip is there for target catch alone."""
+    ob = observer(
+        dict(haul_id="h1", trip_id="t1", tgt_mt=0.0, mt=2.0),
+        dict(haul_id="h2", trip_id="t2", tgt_mt=3.0, mt=1.0),
+        dict(haul_id="h3", trip_id="t3", tgt_mt=None, mt=1.0),
+    )
+    units = ("haul_id", "trip_id", "drvid")
+    rows = unsampled._by_id(unsampled._record_values(ob, ["sector"], units, True), ["sector"], units, True).collect()
+    assert sorted((r["__kind"], r["__id"]) for r in rows) == [
+        ("haul", "h1"), ("haul", "h2"), ("haul", "h3"), ("trip", "t2"), ("trip", "t3"), ("vessel", "v1")
+    ]
+    by = {(r["__kind"], r["__id"]): r for r in rows}
+    assert by["trip", "t2"]["__tgt"] == 3.0 and by["trip", "t3"]["__tgt"] is None
+    assert by["vessel", "v1"]["unst_denom"] == 4.0 and by["vessel", "v1"]["fail_denom"] is None
