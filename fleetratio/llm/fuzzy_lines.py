@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetratio.llm.common import WORD, boxed, same_document, stored, text_of, whole_groups
 from fleetratio.llm.components import connected_components
+from fleetratio.operators.quality import possible_members
 
 SHINGLE = 7
 THRESHOLD = 0.8
@@ -215,17 +216,29 @@ def _cross_links(batches, shingle: int, threshold: float):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
+def _each_once(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("line").agg(F.first("content").alias("content"))
+
+
+def _contents_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, content) of the lines in ``wanted`` (distinct), each once.
+
+    Few lines share a bucket: the others are left out by a bit set of the wanted hashes before contents are shuffled again.
+    """
+    return _each_once(possible_members(lines.select("line", "content"), wanted, "line")).join(wanted, "line", "left_semi")
+
+
 def similar_line_classes(lines: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, root) of every line that has a similar but different line in ``lines`` (line, content).
 
     Lines shorter than a shingle are one shingle each. Repeated rows count once; an empty table gives an empty result.
     """
     # combined before the shuffle: a line that a third of the corpus repeats is banded once
-    each = lines.groupBy("line").agg(F.first("content").alias("content"))
+    each = _each_once(lines)
     placed = _buckets(each, shingle, bands, rows).repartition("bucket").sortWithinPartitions("bucket", "line")
     shared = stored(placed.mapInArrow(_shared, "bucket long, line long, leader long"), "line-buckets")
     wanted = shared.select("line").distinct()
-    texts = stored(each.join(wanted, "line", "left_semi"), "candidate-lines")
+    texts = stored(_contents_of(lines, wanted), "candidate-lines")
 
     stars = shared.filter("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b")).distinct()
     with_a = stars.join(texts.withColumnRenamed("content", "content_a"), stars["a"] == F.col("line")).drop("line")

@@ -180,6 +180,26 @@ def test_repeated_lines_are_banded_once(make_docs, monkeypatch):
     assert removed == {0: "1", **{i: "0,1" for i in range(1, 50)}, 50: "0"}
 
 
+def test_only_contents_of_candidates_are_shuffled_again(spark, make_docs, monkeypatch):
+    """Of 3,001 lines two share buckets: a bit set leaves the others out before contents are dealt out a second time."""
+    store, plans = fuzzy_lines.stored, {}
+
+    def stored(df, name):
+        plans.setdefault(name, df._jdf.queryExecution()).executedPlan().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(fuzzy_lines, "stored", stored)
+    rng = random.Random(9)
+    own = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(3000)]
+    near = own[0][:58] + "#" + own[0][59:]
+    rows = [(k, "\n".join(own[k * 30 : k * 30 + 30])) for k in range(100)] + [(100, near + "\n" + own[1])]
+    removed = {r.doc_id: r.removed for r in line_report(make_docs(rows)).collect()}
+    assert removed == {**dict.fromkeys(range(100), ""), 100: "0,1"}
+    plan = plans["candidate-lines"].optimizedPlan().toString()
+    before_combining = plan[plan.index("first(content") :]  # a plan reads from its end
+    assert "__bits" in before_combining
+
+
 def test_shared_buckets_do_not_depend_on_batches():
     rng = random.Random(5)
     rows = sorted((rng.randint(0, 40) ** 2 // 40, rng.randint(-9, 9)) for _ in range(400))
