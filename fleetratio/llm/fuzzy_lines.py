@@ -11,14 +11,12 @@ A line is known by a 64-bit hash: among n lines two different ones are taken for
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetratio.llm.common import WORD, boxed, same_document, stored, text_of, whole_groups
+from fleetratio.llm.common import WORD, Forest, boxed, same_document, stored, text_of, whole_groups
 from fleetratio.llm.components import connected_components
 from fleetratio.operators.quality import possible_members
 
@@ -28,12 +26,14 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 #: Lines hashed in one go, few enough for the processor's cache.
 BLOCK = 256
-#: Shingle sets a task remembers: pairs come sorted by one of their lines, and a leader meets many.
-REMEMBERED = 1000
+#: Characters of the pairs compared in one go.
+PAIR_CHARS = 1 << 18
+#: Parts the buckets are dealt to, a power of two up to 2^16: rows of a part travel packed, some dozens in one row of Spark.
+PARTS = 1 << 12
 #: Lines of one bucket compared in one task; larger buckets are cut into tiles that meet pairwise.
 TILE = 1024
-#: 64-bit words of the sketch of a line.
-SKETCH_WORDS = 8
+#: 64-bit words of the sketch of a line: 2048 cells, enough to rule out lines of some thousand characters.
+SKETCH_WORDS = 32
 
 
 def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +52,49 @@ def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
     return hashed[np.arange(counts.sum()) + np.repeat(starts - cuts, counts)], counts
 
 
+def shingle_codes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each character shingle of all lines, how many each line has, and which lines are coded.
+
+    The numbers are equal just where the shingles are: each character has its own bits. There is room for the most
+    frequent characters (511 in shingles of seven); a line with any other is not coded.
+    """
+    bits = 64 // shingle
+    pad = "\0" * (shingle - 1)
+    chars = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le"), "<u4")
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.concatenate(([0], np.cumsum(lengths + shingle - 1)[:-1]))
+    own = np.ones(len(chars), bool)
+    own[(starts + lengths)[:, None] + np.arange(shingle - 1)] = False
+    often = np.bincount(chars[own])
+    kinds = np.flatnonzero(often)
+    kinds = kinds[np.argsort(-often[kinds], kind="stable")][: (1 << bits) - 1]
+    code = np.zeros(max(len(often), 1), np.uint64)
+    code[kinds] = np.arange(1, len(kinds) + 1)
+    coded = np.ones(len(lines), bool)
+    if len(kinds) < np.count_nonzero(often):
+        at = np.flatnonzero(own & (code[chars] == 0))
+        coded[np.searchsorted(starts, at, side="right") - 1] = False
+    # padding stays 0, so a line shorter than a shingle equals no other
+    chars = np.where(own, code[chars], np.uint64(0))
+    packed = np.zeros(len(chars) - shingle + 1, np.uint64)
+    for k in range(shingle):
+        packed = (packed << np.uint64(bits)) | chars[k : len(chars) - shingle + 1 + k]
+    counts = np.maximum(lengths - shingle + 1, 1)
+    cuts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    return packed[np.arange(counts.sum()) + np.repeat(starts - cuts, counts)], counts, coded
+
+
+def _sorted_fresh(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sorts each line's part of ``values`` in place; which of the values are the first of their kind in their line."""
+    cuts = [0, *ends.tolist()]
+    for at, end in zip(cuts, cuts[1:]):
+        values[at:end].sort()
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[ends[:-1]] = True
+    return fresh
+
+
 def line_signatures(lines: list[str], shingle: int, functions: int) -> np.ndarray:
     """Minimum of each hash function over the character shingles of each line; a short line is one shingle."""
     rng = np.random.default_rng(1)
@@ -78,10 +121,7 @@ def line_sketches(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarra
     for at in range(0, len(lines), BLOCK):
         hashed, counts = shingle_hashes(lines[at : at + BLOCK], shingle)
         row = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((hashed, row))
-        hashed, row = hashed[order], row[order]
-        fresh = np.ones(len(row), bool)
-        fresh[1:] = (hashed[1:] != hashed[:-1]) | (row[1:] != row[:-1])
+        fresh = _sorted_fresh(hashed, np.cumsum(counts))
         cell = (hashed[fresh] >> np.uint64(32)).astype(np.int64) % cells
         odd = np.bincount(row[fresh] * cells + cell, minlength=len(counts) * cells) & 1
         sketches[at : at + len(counts)] = np.packbits(odd.astype(np.uint8).reshape(len(counts), cells), axis=1).view(np.uint64)
@@ -112,6 +152,36 @@ def similar(a: set, b: set, threshold: float) -> bool:
     return both >= threshold * (len(a) + len(b) - both) - 1e-9
 
 
+def similar_pairs(left: list[str], right: list[str], shingle: int, threshold: float) -> np.ndarray:
+    """Which of the pairs of lines are ``similar``: exactly, by sorted numbers that stand for the shingles."""
+    out = np.zeros(len(left), bool)
+    chars = np.cumsum([len(x) + len(y) for x, y in zip(left, right)])
+    at = 0
+    while at < len(left):
+        before = chars[at - 1] if at else 0
+        end = max(int(np.searchsorted(chars, before + PAIR_CHARS, side="right")), at + 1)
+        place: dict[str, int] = {}
+        pairs = [(place.setdefault(x, len(place)), place.setdefault(y, len(place))) for x, y in zip(left[at:end], right[at:end])]
+        lines = list(place)
+        codes, counts, coded = shingle_codes(lines, shingle)
+        ends = np.cumsum(counts)
+        fresh = _sorted_fresh(codes, ends)
+        codes, ends = codes[fresh], np.cumsum(fresh)[ends - 1]
+        cuts, coded = [0, *ends.tolist()], coded.tolist()
+        for k, (i, j) in enumerate(pairs, at):
+            if not (coded[i] and coded[j]):
+                out[k] = similar(shingles(lines[i], shingle), shingles(lines[j], shingle), threshold)
+                continue
+            a, b = cuts[i + 1] - cuts[i], cuts[j + 1] - cuts[j]
+            if min(a, b) >= threshold * max(a, b):
+                met = np.concatenate((codes[cuts[i] : cuts[i + 1]], codes[cuts[j] : cuts[j + 1]]))
+                met.sort()
+                both = np.count_nonzero(met[1:] == met[:-1])
+                out[k] = both >= threshold * (a + b - both) - 1e-9
+        at = end
+    return out
+
+
 def corpus_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, place, line, content): the lines with a word; place counts all lines from 0."""
     text = text_of()
@@ -120,14 +190,49 @@ def corpus_lines(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(part, packed): rows (bucket, line) of the bands of each line, as pairs of 64-bit numbers, by part of the buckets."""
+
     def run(batches):
         for batch in batches:
             signatures = line_signatures(batch["content"].to_pylist(), shingle, bands * rows)
             buckets = band_buckets(signatures, bands, rows)
-            lines_of = np.repeat(batch["line"].to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets.reshape(-1)), pa.array(lines_of)], ["bucket", "line"])
+            rows_of = np.stack((buckets.reshape(-1), np.repeat(batch["line"].to_numpy(), bands)), axis=1)
+            part = _part(rows_of[:, 0])
+            order = np.argsort(part, kind="stable")
+            part, rows_of = part[order], rows_of[order]
+            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+            ends = np.append(cuts, len(part)).astype(np.int32) * 16
+            packed = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(rows_of)])
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), packed], ["part", "packed"])
+
+    return lines.select("line", "content").mapInArrow(run, "part int, packed binary")
 
-    return lines.select("line", "content").mapInArrow(run, "bucket long, line long")
+
+def _part(buckets: np.ndarray) -> np.ndarray:
+    return (buckets & (PARTS - 1)).astype(np.uint16)
+
+
+def _crowded(batches):
+    """Rows (bucket, line) from batches of (part, packed) sorted by part, where the bucket has another row.
+
+    Of the part that a batch leaves open one row of each bucket is held, not the rows of a bucket.
+    """
+    held, told = np.empty((0, 2), np.int64), np.empty(0, bool)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.frombuffer(b"".join(batch["packed"].to_pylist()), np.int64).reshape(-1, 2)
+        rows, told = np.concatenate((held, rows)), np.append(told, np.zeros(len(rows), bool))
+        order = np.argsort(rows[:, 0], kind="stable")  # a held row stays the first of its bucket
+        rows, told = rows[order], told[order]
+        again = np.zeros(len(rows), bool)
+        again[1:] = rows[1:, 0] == rows[:-1, 0]
+        many = again.copy()
+        many[:-1] |= again[1:]
+        out = rows[many & ~told]
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["bucket", "line"])
+        keep = ~again & (_part(rows[:, 0]) == batch["part"][-1].as_py())
+        held, told = rows[keep], (told | many)[keep]
 
 
 def _shared(batches):
@@ -162,11 +267,9 @@ def _shared(batches):
 
 def _verified(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     def run(batches):
-        sets = lru_cache(REMEMBERED)(lambda line: shingles(line, shingle))
         for batch in batches:
-            a, b = batch["content_a"].to_pylist(), batch["content_b"].to_pylist()
-            good = pa.array([similar(sets(x), sets(y), threshold) for x, y in zip(a, b)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
+            good = similar_pairs(batch["content_a"].to_pylist(), batch["content_b"].to_pylist(), shingle, threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.select("a", "b", "content_a", "content_b").mapInArrow(run, "a long, b long")
 
@@ -179,40 +282,30 @@ def _cross_links(batches, shingle: int, threshold: float):
     """
     slack = (1 - threshold) / (1 + threshold) + 1e-9
     for table in whole_groups(batches, ["bucket", "low", "high"]):
-        keys = [table[c].to_numpy() for c in ("bucket", "low", "high")]
-        roots, lines, leaders = (table[c].to_numpy() for c in ("root", "line", "leader"))
-        contents = table["content"].to_pylist()
-        sketches, sizes = line_sketches(contents, shingle)
         change = np.zeros(table.num_rows, bool)
-        for k in keys:
-            change[1:] |= k[1:] != k[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), table.num_rows]
+        for c in ("bucket", "low", "high"):
+            key = table[c].to_numpy()
+            change[1:] |= key[1:] != key[:-1]
+        others = np.flatnonzero(table["line"].to_numpy() != table["leader"].to_numpy())
+        group = np.cumsum(change)[others]
+        contents = table["content"].take(pa.array(others)).to_pylist()
+        names, node = np.unique(table["root"].to_numpy()[others], return_inverse=True)
+        sketches, sizes = line_sketches(contents, shingle)
+        forest = Forest(len(names))
         left, right = [], []
-        for at, end in zip(cuts, cuts[1:]):
-            merged: dict[int, int] = {}
-            sets: dict[int, set] = {}
-
-            def top(r):
-                while (up := merged.get(r, r)) != r:
-                    r = up
-                return r
-
-            for i in range(at + 1, end):
-                if lines[i] == leaders[i]:
-                    continue
-                other = at + np.flatnonzero((roots[at:i] != roots[i]) & (lines[at:i] != leaders[i]))
-                apart = np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-                for j in other[apart <= slack * (sizes[other] + sizes[i])].tolist():
-                    p, q = top(int(roots[i])), top(int(roots[j]))
-                    if p == q:
-                        continue
-                    for k in (i, j):
-                        if k not in sets:
-                            sets[k] = shingles(contents[k], shingle)
-                    if similar(sets[i], sets[j], threshold):
-                        merged[max(p, q)] = min(p, q)
-                        left.append(p)
-                        right.append(q)
+        # rows of a group lie side by side: first each meets its neighbour, then the row behind that, and so on
+        rows, step = np.arange(len(others) - 1), 1
+        while len(rows := rows[group[rows] == group[rows + step]]):
+            i = rows[forest.label[node[rows]] != forest.label[node[rows + step]]]
+            apart = np.bitwise_count(sketches[i] ^ sketches[i + step]).sum(axis=1, dtype=np.int64)
+            i = i[apart <= slack * (sizes[i] + sizes[i + step])]
+            if len(i):
+                i = i[similar_pairs([contents[k] for k in i], [contents[k + step] for k in i], shingle, threshold)]
+                i = i[forest.join(node[i], node[i + step])]
+                left.extend(names[node[i]].tolist())
+                right.extend(names[node[i + step]].tolist())
+            step += 1
+            rows = rows[rows + step < len(others)]
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
@@ -224,8 +317,9 @@ def _contents_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, content) of the lines in ``wanted`` (distinct), each once.
 
     Few lines share a bucket: the others are left out by a bit set of the wanted hashes before contents are shuffled again.
+    An inner join with the distinct hashes does the rest: Spark would move a semi-join before the bit set, with all contents.
     """
-    return _each_once(possible_members(lines.select("line", "content"), wanted, "line")).join(wanted, "line", "left_semi")
+    return _each_once(possible_members(lines.select("line", "content"), wanted, "line")).join(wanted, "line")
 
 
 def similar_line_classes(lines: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -235,8 +329,9 @@ def similar_line_classes(lines: DataFrame, shingle: int = SHINGLE, threshold: fl
     """
     # combined before the shuffle: a line that a third of the corpus repeats is banded once
     each = _each_once(lines)
-    placed = _buckets(each, shingle, bands, rows).repartition("bucket").sortWithinPartitions("bucket", "line")
-    shared = stored(placed.mapInArrow(_shared, "bucket long, line long, leader long"), "line-buckets")
+    placed = _buckets(each, shingle, bands, rows).repartition("part").sortWithinPartitions("part")
+    crowded = placed.mapInArrow(_crowded, "bucket long, line long").sortWithinPartitions("bucket", "line")
+    shared = stored(crowded.mapInArrow(_shared, "bucket long, line long, leader long"), "line-buckets")
     wanted = shared.select("line").distinct()
     texts = stored(_contents_of(lines, wanted), "candidate-lines")
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import itertools
 import random
 import re
 import time
@@ -200,6 +201,76 @@ def test_only_contents_of_candidates_are_shuffled_again(spark, make_docs, monkey
     assert "__bits" in before_combining
 
 
+def test_contents_are_shuffled_after_the_bit_set_whatever_is_broadcast(spark, make_docs, monkeypatch):
+    """The join with the exact hashes comes after contents are combined: before, Spark moved it to the lines themselves."""
+    store, plans = fuzzy_lines.stored, {}
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(fuzzy_lines, "stored", stored)
+    line = "A line of some words that comes again in another form in the second text."
+    line_report(make_docs([(1, line), (2, line.replace("some", "home"))])).collect()
+    plan = plans["candidate-lines"]
+    assert "LeftSemi" not in plan
+    assert plan.index("Join Inner") < plan.index("first(content") < plan.index("__bits")
+
+
+def test_buckets_travel_packed(spark):
+    """Ten buckets a line: 20,000 rows before; packed, no more than a row for each part and batch."""
+    lines = spark.createDataFrame([(k, f"the line number {k} of the text {k * k}") for k in range(2000)], "line long, content string").coalesce(1)
+    packed = [(r.part, bytes(r.packed)) for r in fuzzy_lines._buckets(lines, 7, 10, 4).collect()]
+    assert len(packed) <= fuzzy_lines.PARTS
+    rows = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for _, b in packed])
+    assert rows.shape == (20000, 2) and sorted(rows[:, 1].tolist()) == sorted(list(range(2000)) * 10)
+    assert all((np.frombuffer(b, np.int64)[::2] % fuzzy_lines.PARTS == part).all() for part, b in packed)
+
+
+def test_crowded_buckets_do_not_depend_on_batches():
+    """One bucket holds most rows; the rest are alone, in pairs or more, over several parts."""
+    rng = random.Random(8)
+    rows = [(3 if rng.random() < 0.5 else rng.randint(-300, 300), k) for k in range(900)]
+    by_part = {}
+    for b, x in rows:
+        by_part.setdefault(b % fuzzy_lines.PARTS, []).append((b, x))
+    cells = []
+    for part, some in sorted(by_part.items()):
+        while some:
+            n = rng.randint(1, 9)
+            cells.append({"part": part, "packed": np.array(some[:n], np.int64).tobytes()})
+            some = some[n:]
+    sizes = Counter(b for b, _ in rows)
+    want = sorted(r for r in rows if sizes[r[0]] > 1)
+    assert 1 in sizes.values()
+    for size in (1, 2, 3, 7, 50, len(cells)):
+        batches = [pa.RecordBatch.from_pylist(cells[at : at + size]) for at in range(0, len(cells), size)]
+        assert sorted(tuple(r.values()) for out in fuzzy_lines._crowded(iter(batches)) for r in out.to_pylist()) == want
+
+
+def test_sorted_codes_compare_like_sets(monkeypatch):
+    """Short and long lines, NUL, more characters than have a code, and blocks of few pairs."""
+    rng = random.Random(12)
+    wide = "".join(chr(0x4E00 + k) for k in range(700))
+    lines = ["a", "ab", "\0", "\0\0", "a\0", "ab" * 300, "é𝄞" * 30, wide, wide[:690] + "x" * 10, *("".join(rng.choice("abcd ") for _ in range(rng.randint(1, 300))) for _ in range(60))]
+    lines += [x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :] for x in lines]
+    left, right = zip(*[(x, y) for x in lines for y in lines])
+    want = [similar(shingles(x, 7), shingles(y, 7), 0.8) for x, y in zip(left, right)]
+    assert len(lines) < sum(want) < len(want)
+    for chars in (1, 2000, 1 << 18):
+        monkeypatch.setattr(fuzzy_lines, "PAIR_CHARS", chars)
+        assert fuzzy_lines.similar_pairs(list(left), list(right), 7, 0.8).tolist() == want
+    assert fuzzy_lines.similar_pairs([], [], 7, 0.8).tolist() == []
+
+
+def test_sketches_rule_out_long_lines():
+    """Unlike lines of 2,000 characters: with 512 cells their sketches differed in too few of them to tell."""
+    rng = random.Random(13)
+    sketches, sizes = fuzzy_lines.line_sketches(["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(20)], 7)
+    for a, b in itertools.combinations(range(20), 2):
+        assert np.bitwise_count(sketches[a] ^ sketches[b]).sum() > 0.2 / 1.8 * (sizes[a] + sizes[b])
+
+
 def test_shared_buckets_do_not_depend_on_batches():
     rng = random.Random(5)
     rows = sorted((rng.randint(0, 40) ** 2 // 40, rng.randint(-9, 9)) for _ in range(400))
