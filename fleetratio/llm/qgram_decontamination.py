@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetratio.llm.common import boxed, same_document, text_of
+from fleetratio.llm.common import boxed, same_document, stored, text_of
 
 Q, WINDOW, STEP, EDITS = 12, 80, 10, 5
 #: Characters of the benchmark that are searched in one pass over the documents; a larger benchmark takes more passes.
@@ -50,32 +50,54 @@ def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
 
 
 def window_index(items: list[tuple[int, str]], q: int, window: int, step: int, edits: int) -> SimpleNamespace:
-    """The windows of a block of items and the places of their q-grams."""
-    chars, item, budget = [], [], []
-    for number, text in items:
-        whole = folded(text)
+    """The windows of a block of items and the places of its q-grams.
+
+    A q-gram is held once for each place in the items, not for each window there: which windows cover a place follows
+    from where they begin and end. Windows are in the order of their places in ``text``, the items behind each other.
+    """
+    room = sum(len(text) for _, text in items)
+    text, hashes, place, many = np.empty(room, np.uint32), np.empty(room, np.uint64), np.empty(room, np.int32), np.empty(room, np.int32)
+    item, begin, width, chars, grams = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+    for number, own in items:
+        whole = folded(own)
         if len(whole) <= q:  # no more than one q-gram
             continue
-        width = min(window, len(whole))
-        for s in [*range(0, len(whole) - width, step), len(whole) - width]:
-            chars.append(whole[s : s + width])
-            item.append(number)
-            # no more edits than leave one shared q-gram, or than the rate allows
-            budget.append(max(0, min(edits * width // window, width // q - 1)))
-    grams = [gram_hashes(c, q) for c in chars]
-    counts = [len(g) for g in grams]
-    hashes = np.concatenate([np.zeros(0, np.uint64), *grams])
-    windows = np.repeat(np.arange(len(grams)), counts)
-    offsets = np.concatenate([np.zeros(0, np.int64), *map(np.arange, counts)])
-    order = np.argsort(hashes, kind="stable")
-    unique, start = np.unique(hashes[order], return_index=True)
-    member = np.zeros(1 << MEMBER_BITS, bool)
-    member[unique >> np.uint64(64 - MEMBER_BITS)] = True
-    width, budget = np.array([len(c) for c in chars], np.int64), np.array(budget, np.int64)
-    return SimpleNamespace(
-        q=q, chars=chars, item=item, width=width, budget=budget, need=width + 1 - q * (budget + 1), member=member,
-        unique=unique, start=start, count=np.diff(np.append(start, len(hashes))), window=windows[order], offset=offsets[order],
-    )
+        wide = min(window, len(whole))
+        starts = np.append(np.arange(0, len(whole) - wide, step), len(whole) - wide)
+        over = _covering(SimpleNamespace(q=q, begin=starts, end=starts + wide), np.arange(len(whole) - q + 1))[1]
+        inside = np.flatnonzero(over)
+        to = slice(grams, grams := grams + len(inside))
+        hashes[to], place[to], many[to] = gram_hashes(whole, q)[inside], inside + chars, over[inside]
+        item += [number] * len(starts)
+        begin.append(starts + chars)
+        width.append(np.full(len(starts), wide))
+        text[chars : (chars := chars + len(whole))] = whole
+    begin, width = np.concatenate(begin), np.concatenate(width)
+    # no more edits than leave one shared q-gram, or than the rate allows
+    budget = np.maximum(0, np.minimum(edits * width // window, width // q - 1))
+    index = SimpleNamespace(q=q, text=text[:chars], item=item, begin=begin, end=begin + width, width=width, budget=budget, need=width + 1 - q * (budget + 1))
+    order = np.argsort(hashes[:grams], kind="stable")
+    hashes, index.place, many = hashes[order], place[order], many[order]
+    del order, place
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = hashes[1:] != hashes[:-1]
+    index.unique = hashes[fresh]
+    index.start = np.append(np.flatnonzero(fresh), len(hashes)).astype(np.int32)
+    index.count = np.add.reduceat(many, index.start[:-1]) if len(many) else many  # windows over all places of a q-gram
+    index.member = np.zeros(1 << MEMBER_BITS, bool)
+    index.member[index.unique >> np.uint64(64 - MEMBER_BITS)] = True
+    return index
+
+
+def _covering(index: SimpleNamespace, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first window over the q-gram at each place, and how many there are; they are numbered on from it."""
+    first = np.searchsorted(index.end, place + index.q)
+    return first, np.maximum(np.searchsorted(index.begin, place, side="right") - first, 0)
+
+
+def _from_each(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``many`` numbers on from each ``first``, one run behind the other."""
+    return np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
 def _shared(index: SimpleNamespace, chars: np.ndarray):
@@ -90,10 +112,12 @@ def _shared(index: SimpleNamespace, chars: np.ndarray):
 
 def _full_bands(index: SimpleNamespace, places: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(window, band) of the bands that the shared q-grams at some places fill to the lemma's count, each once."""
-    counts = index.count[at]
-    each = np.repeat(np.arange(len(places)), counts)
-    entry = np.repeat(index.start[at], counts) + np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
-    window, offset = index.window[entry], index.offset[entry]
+    repeats = index.start[at + 1].astype(np.int64) - index.start[at]
+    place = index.place[_from_each(index.start[at], repeats)]
+    first, many = _covering(index, place)
+    each = np.repeat(np.repeat(np.arange(len(places)), repeats), many)
+    window = _from_each(first, many)
+    offset = np.repeat(place, many) - index.begin[window]
     band = (places[each] - offset) // (index.budget[window] + 1)
     # each hit lies in the band that starts in its stride and in the one that starts a stride before
     low, wide = band.min() - 1, int(index.width.max())
@@ -163,7 +187,7 @@ def search(index: SimpleNamespace, texts: list[str]) -> list[tuple[int, int, int
         for at in range(0, len(chosen), 4096):
             inside = start[at : at + 4096, None] + reach
             region = np.where((inside >= 0) & (inside < len(chars)), chars[np.clip(inside, 0, len(chars) - 1)], 0)
-            pattern = np.stack([index.chars[k] for k in chosen[at : at + 4096]])
+            pattern = index.text[index.begin[chosen[at : at + 4096], None] + np.arange(width)]
             found, end = banded_edits(pattern, region)
             good = found <= edits
             ends = inside[:, 0][good] + end[good]
@@ -194,8 +218,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, window: int
     text are one document. Empty tables give an empty result; other columns are not read.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    out = None
-    for block in _item_blocks(benchmark):
+    out, blocks = None, _item_blocks(benchmark)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
         index = keyed.sparkSession.sparkContext.broadcast(window_index(block, q, window, step, edits))
 
         def run(batches, index=index):
@@ -213,7 +239,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, window: int
                     at = end
 
         hits = keyed.mapInArrow(run, "doc_id long, text_hash long, item_id long, part long, end long, edits long")
-        out = hits if out is None else out.unionByName(hits)
+        if out is not None or following is not None:  # else all indexes would be held until the passes run
+            hits = stored(hits, "block-hits")
+            index.destroy()
+        out, block = hits if out is None else out.unionByName(hits), following
     return out.groupBy("doc_id", "text_hash", "item_id").agg(
         F.countDistinct("part").alias("n_windows"), F.min("end").alias("first_end"), F.max("end").alias("last_end"), F.min("edits").alias("edits")
     )

@@ -4,15 +4,18 @@ import base64
 import hashlib
 import html
 import itertools
+import pickle
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.core.broadcast import Broadcast
 
 import corpus_pipeline
 from fleetratio.llm import fuzzy_lines
@@ -446,6 +449,46 @@ def test_decontamination_of_awkward_rows(spark, awkward, awkward_rows, nothing):
     assert contaminated(nothing, bench).count() == 0 and drop_contaminated(awkward, bench.limit(0)).count() == len(awkward_rows)
 
 
+def test_index_of_a_large_benchmark_takes_little_memory():
+    """A q-gram lies in seven windows: held once for each, 2 million characters took a gigabyte on the driver."""
+    items = [(k, prose(600 + k, 100)) for k in range(500)]
+    chars = sum(len(t) for _, t in items)
+    window_index(items[:1], Q, WINDOW, STEP, EDITS)
+    tracemalloc.start()
+    index = window_index(items, Q, WINDOW, STEP, EDITS)
+    peak = tracemalloc.get_traced_memory()[1] - index.member.nbytes
+    tracemalloc.stop()
+    assert chars > 250_000 and peak < 120 * chars
+    assert len(pickle.dumps(index, 5)) - index.member.nbytes < 60 * chars
+
+
+def test_index_counts_each_window_over_a_gram():
+    items = [(1, "ab" * 70), (2, prose(503, 60).replace("\n", " ")), (3, "short item of two dozen"), (4, "x" * Q), (5, "")]
+    for settings in ((Q, WINDOW, STEP, EDITS), (4, 20, 30, 2)):  # with wide steps some places lie in no window
+        q, window, step, _ = settings
+        index, want, at = window_index(items, *settings), Counter(), 0
+        for _, text in items:
+            wide = min(window, len(text))
+            for s in sorted({*range(0, len(text) - wide, step), len(text) - wide}) if len(text) > q else []:
+                assert (index.begin[at] - index.begin[0], index.width[at]) == (sum(len(t) for _, t in items[: index.item[at] - 1]) + s, wide)
+                want.update(text[p : p + q] for p in range(s, s + wide - q + 1))
+                at += 1
+        assert at == len(index.item) and sorted(want.values()) == sorted(index.count.tolist())
+
+
+def test_blocks_of_a_benchmark_give_what_one_block_gives(make_docs, spark, monkeypatch):
+    items = [(k, prose(510 + k, 60)) for k in range(4)] + [(None, prose(515, 60))]
+    docs = make_docs([(1, items[0][1] + items[3][1][:200]), (2, "x" + items[2][1]), (2, items[4][1]), (3, prose(520, 80)), (4, None)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, contaminated(docs, bench).collect()))
+    ended, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (ended.append(self), destroy(self, *a)))
+    monkeypatch.setattr("fleetratio.llm.qgram_decontamination.BLOCK_CHARS", 700)
+    found = contaminated(docs, bench)
+    assert len(ended) >= 3  # no index stays on the driver and the executors
+    assert sorted(map(str, found.collect())) == want and len(want) == 4
+
+
 def test_passage_does_not_run_over_two_documents(make_docs, spark):
     item = prose(502, 40)[:160]
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
