@@ -86,9 +86,20 @@ def window_index(items: list[tuple[int, str]], q: int, window: int, step: int, e
     index.count = np.add.reduceat(many, index.start[:-1]) if len(many) else many  # windows over all places of a q-gram
     index.member = np.zeros(1 << MEMBER_BITS, bool)
     index.member[index.unique >> np.uint64(64 - MEMBER_BITS)] = True
+    # for a large block the table above lets much pass: one more, a bit for a cell and 32 cells or more for a q-gram
+    index.cell_bits = len(index.unique).bit_length() + 5
+    index.cells = np.zeros((1 << index.cell_bits) // 8, np.uint8)
+    byte, bit = _cell(index, index.unique)
+    np.bitwise_or.at(index.cells, byte, bit)
     return index
 
 
+def _cell(index: SimpleNamespace, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte and the bit in it of the hashes' cells, from the bits below those that ``member`` looks at."""
+    cell = (hashes << np.uint64(MEMBER_BITS)) >> np.uint64(64 - index.cell_bits)
+    return cell >> np.uint64(3), np.left_shift(np.uint8(1), (cell & np.uint64(7)).astype(np.uint8))
+
+
 def _covering(index: SimpleNamespace, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first window over the q-gram at each place, and how many there are; they are numbered on from it."""
     first = np.searchsorted(index.end, place + index.q)
@@ -104,6 +115,8 @@ def _shared(index: SimpleNamespace, chars: np.ndarray):
     """Places in the text, ascending, that start a q-gram of the index, and the number of the q-gram."""
     hashes = gram_hashes(chars, index.q)
     places = np.flatnonzero(index.member[hashes >> np.uint64(64 - MEMBER_BITS)])
+    byte, bit = _cell(index, hashes[places])
+    places = places[index.cells[byte] & bit != 0]
     found = hashes[places]
     at = np.minimum(np.searchsorted(index.unique, found), max(len(index.unique) - 1, 0))
     true = index.unique[at] == found
